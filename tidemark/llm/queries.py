@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
+from tidemark.llm import ann, bpe, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -49,6 +49,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes that an earlier one has."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by its nearest labelled examples."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -169,7 +174,7 @@ FROM queued q LEFT JOIN mixed m ON q.rank = m.rank AND q.running = m.running AND
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filters, op2_quality_classifier, op3_simhash_near_dedup, op4_quality_rules, op5_multi_index_hashing, op6_source_mixing,
-        op8_toxicity, op9_bpe, op10_warc,
+        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc,
     )
     return {f.__name__: f for f in found}
 
