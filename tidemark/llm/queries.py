@@ -51,7 +51,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the bytes that an earlier one has."""
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

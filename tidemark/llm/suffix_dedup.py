@@ -213,7 +213,7 @@ def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def combine_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of equal windows in a task only the first goes on, so a window in very many documents is one row per task; the others are covered."""
+    """Of equal windows in a batch only the first goes on, so a window in very many documents is a row or few per batch; the others are covered."""
     for b in batches:
         windows = b[b["kind"] == WINDOW]
         yield b[b["kind"] != WINDOW]
@@ -289,72 +289,86 @@ def match_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from solve(pd.concat(held, ignore_index=True))
 
 
-def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def pack(text: pd.Series) -> pd.Series:
     """Texts as compressed bytes, so that shuffling them takes less disk."""
     press = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        b["packed"] = [press.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]]
-        yield b.drop(columns="text")
+    return text.map(lambda t: press.compress(t.encode("utf-8", "surrogatepass")))
+
+
+DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+TEXT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, span_starts array<long>, span_ends array<long>"
+
+
+def unite(starts: np.ndarray | None, lengths: np.ndarray | None) -> list[list[int]]:
+    """[start, end] of the maximal runs of the stretches, in order."""
+    runs: list[list[int]] = []
+    if starts is not None:
+        for s, n in sorted(zip(starts.tolist(), lengths.tolist(), strict=True)):
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], s + n)
+            else:
+                runs.append([s, s + n])
+    return runs
+
+
+def removed(packed: bytes, starts: np.ndarray | None, lengths: np.ndarray | None) -> tuple[int, list[list[int]], bytes]:
+    """(length of the text, removed runs, bytes that stay)."""
+    data, runs = zstandard.ZstdDecompressor().decompress(packed), unite(starts, lengths)
+    ends = [0, *(e for _, e in runs)]
+    return len(data), runs, b"".join([data[a:s] for a, (s, _) in zip(ends, runs, strict=False)] + [data[ends[-1] :]])
+
+
+def cut_digest(packed: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
+    rows = [(n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) for n, runs, kept in map(removed, packed, starts, lengths)]
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def cut_text(packed: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
+    rows = [
+        (n, n - len(kept), len(runs), kept, kept.decode("utf-8", "ignore"), [s for s, _ in runs], [e for _, e in runs])
+        for n, runs, kept in map(removed, packed, starts, lengths)
+    ]
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_text", "span_starts", "span_ends"])
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str, *rest: Column) -> DataFrame:
-    """doc (the id, or the largest long for none) and tag (of the text) and the text, null as empty."""
+def key_of(doc_id: str, text: str) -> list[Column]:
+    """doc (the id, or the largest long for none), tag (of the text) and the text, null as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"), t.alias("text"), *rest)
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(t).bitwiseAND((1 << TAG_BITS) - 1).alias("_tag"), t.alias("_text")]
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc, tag, spans array<struct<start, length>>) of the stretches to remove, per document that has any; may overlap and touch."""
-    texts = keyed(docs, doc_id, text)
+    """Rows (doc, tag, starts, lengths) of the stretches to remove, per document that has any; they may overlap and touch."""
+    texts = docs.select(*key_of(doc_id, text)).toDF("doc", "tag", "text").where(F.octet_length("text") >= THRESHOLD)
     schema = "kind int, g long, c long, doc long, place long"
-    found = stash(texts.where(F.octet_length("text") >= THRESHOLD).mapInPandas(find_anchors, schema).repartition("g").mapInPandas(match_contexts, schema))
-    tag_of = lambda place, bits: F.shiftright(place, bits)
-    wanted = found.where(F.col("kind") != COVER).groupBy("doc", tag_of("place", POS_BITS + EXTENT_BITS).alias("tag"))
-    wanted = wanted.agg(F.collect_list(F.struct("g", "place", "kind")).alias("wanted")).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
-    packed = texts.where(F.octet_length("text") >= THRESHOLD).mapInPandas(pack, "doc long, tag long, packed binary")
+    found = stash(texts.mapInPandas(find_anchors, schema).repartition("g").mapInPandas(match_contexts, schema))
+    wanted = found.where(F.col("kind") != COVER).groupBy(F.col("doc").alias("_doc"), F.shiftright("place", POS_BITS + EXTENT_BITS).alias("_tag"))
+    wanted = wanted.agg(F.collect_list(F.struct("g", "place", "kind")).alias("wanted"))
+    packed = texts.select("doc", "tag", F.pandas_udf(pack, "binary")("text").alias("packed"))
     asked = packed.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc", "tag", "packed", "wanted")
     contexts = asked.mapInPandas(cut_contexts, "kind int, g long, w long, doc long, place long, context binary")
     contexts = contexts.mapInPandas(combine_windows, contexts.schema)
     last = contexts.repartition("g").sortWithinPartitions("g").mapInPandas(match_windows, "doc long, start long, length long")
     whole = found.where(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("length"))
-    spans = whole.unionByName(last)
-    at = F.struct(F.col("start").bitwiseAND((1 << POS_BITS) - 1).alias("start"), "length")
-    return spans.groupBy("doc", tag_of("start", POS_BITS).alias("tag")).agg(F.collect_list(at).alias("spans"))
+    at = F.struct(F.col("start").bitwiseAND((1 << POS_BITS) - 1).alias("s"), F.col("length").alias("n"))
+    spans = whole.unionByName(last).groupBy("doc", F.shiftright("start", POS_BITS).alias("tag")).agg(F.collect_list(at).alias("spans"))
+    return spans.select("doc", "tag", F.col("spans.s").alias("starts"), F.col("spans.n").alias("lengths"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """Remove each byte that a ``THRESHOLD``-byte string covers which also starts earlier: in a smaller doc_id, or further left in the same one.
 
-    One row (doc_id, n_bytes, n_removed, n_spans, kept binary, spans array<struct<start, end>>) per row of ``docs``, or with ``digest``
-    kept_sha256 in place of the last two. All strings are judged on the input, so which copy stays does not depend on what else goes.
-    Texts are compared as UTF-8 bytes and never across documents.
+    Every row of ``docs`` without its text, but with n_bytes, n_removed, n_spans, kept (bytes), kept_text, span_starts and span_ends, or with
+    ``digest`` kept_sha256 in place of the last four; columns of these names are replaced, others stay. All strings are judged on the input,
+    so which copy stays does not depend on what else goes. Texts are compared as UTF-8 bytes and never across documents; kept_text leaves
+    out what is left of a letter that was cut in two.
 
     A null or empty text has no bytes. Rows that repeat id and text are one document and get the same result; different texts with one id
-    come in the order of a hash. Null ids come last. Other columns are ignored; an empty table gives an empty one.
+    come in the order of a hash. Null ids come last. An empty table gives an empty one.
     """
-    spans = stash(repeated_spans(docs, doc_id, text)).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
-    own = F.col(doc_id).cast("long").alias("doc_id")
-    packed = keyed(docs, doc_id, text, own).mapInPandas(pack, "doc long, tag long, doc_id long, packed binary")
-    both = packed.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "packed", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:long,end:long>>")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            out = []
-            for packed, spans in zip(b["packed"], b["spans"], strict=True):
-                data, runs = unpack.decompress(packed), []
-                for s, n in sorted((x["start"], x["length"]) for x in (spans if spans is not None else ())):
-                    if runs and s <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s + n)
-                    else:
-                        runs.append([s, s + n])
-                ends = [0, *(e for _, e in runs)]
-                kept = b"".join([data[a:s] for a, (s, _) in zip(ends, runs, strict=False)] + [data[ends[-1] :]])
-                numbers = (len(data), len(data) - len(kept), len(runs))
-                out.append((*numbers, hashlib.sha256(kept).hexdigest()) if digest else (*numbers, kept, [{"start": s, "end": e} for s, e in runs]))
-            got = pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")[1:]])
-            got.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield got.astype({"doc_id": "Int64"})
-
-    return both.mapInPandas(cut, schema)
+    spans = stash(repeated_spans(docs, doc_id, text)).toDF("_of", "_of_tag", "_starts", "_lengths")
+    cut, gives = (cut_digest, DIGEST) if digest else (cut_text, TEXT)
+    rest = [c for c in docs.columns if c != text and c not in [f.split()[0] for f in gives.split(", ")]]
+    keyed = docs.select(*rest, *key_of(doc_id, text)).select(*rest, "_doc", "_tag", F.pandas_udf(pack, "binary")("_text").alias("_packed"))
+    both = keyed.join(spans, (F.col("_doc") == F.col("_of")) & (F.col("_tag") == F.col("_of_tag")), "left")
+    return both.select(*rest, F.pandas_udf(cut, gives)("_packed", "_starts", "_lengths").alias("_cut")).select(*rest, "_cut.*")
