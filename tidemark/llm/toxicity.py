@@ -17,6 +17,8 @@ from tidemark.llm.labelled import PER_CLASS, held_out, labelled_sample
 #: Terms of the index at most, and the least chi-square (one degree of freedom) of a term with the label.
 MOST_TERMS = 512
 LEAST_CHI_SQUARE = 30.0
+#: How many times as frequent a term must be in one class as in the other; else any common word passes once the sample is large.
+LEAST_LIFT = 3.0
 BLOCK = 64
 #: ASCII letters in lower case, digits and bytes from 128 on as they are, all else as white space.
 PLAIN = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else b if b > 127 else 32 for b in range(256))
@@ -28,7 +30,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def choose_terms(sample: DataFrame, most: int = MOST_TERMS, least: float = LEAST_CHI_SQUARE) -> list[tuple[bytes, float]]:
-    """(term, inverse document frequency) of the terms that go with either label beyond chance, by chi-square over all of ``sample``."""
+    """(term, inverse document frequency) of the terms that go with either label beyond chance, by chi-square and lift over all of ``sample``."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -41,7 +43,9 @@ def choose_terms(sample: DataFrame, most: int = MOST_TERMS, least: float = LEAST
     a, b, n = F.col("c1").cast("double"), F.col("c0").cast("double"), float(n0 + n1)
     spread = (a + b) * (n - a - b) * float(n1) * float(n0)
     chi = F.when(spread > 0, n * (a * (n0 - b) - b * (n1 - a)) ** 2 / spread)
-    rows = counts.withColumn("chi", chi).where((F.col("chi") > least) & (a + b >= 3)).orderBy(F.desc("chi"), "term").limit(most).collect()
+    in1, in0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+    lifted = F.greatest(in1, in0) >= LEAST_LIFT * F.least(in1, in0)
+    rows = counts.withColumn("chi", chi).where((F.col("chi") > least) & lifted & (a + b >= 3)).orderBy(F.desc("chi"), "term").limit(most).collect()
     return sorted((bytes(r["term"]), float(np.log((1 + n) / (1 + r["c0"] + r["c1"])) + 1)) for r in rows)
 
 
