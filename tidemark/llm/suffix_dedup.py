@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import stash
 
 THRESHOLD, GRAM = 100, 32
-CHUNK = 1 << 20
-FLUSH_ROWS = 1 << 20
+CHUNK = 1 << 18
+FLUSH_ROWS = 1 << 17
+#: Rows that a task hands to Spark at once.
+OUT_ROWS = 1 << 15
 #: From so many different contexts of a gram in one task on, each window of them goes its own way.
 HOT_CONTEXTS = 64
 REFINE_ROWS = 1 << 15
@@ -132,8 +134,14 @@ def covers(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pd.DataFra
     return rows(COVER, mix(doc.view(np.uint64)).view(np.int64), length, doc, start)
 
 
+def sliced(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in found:
+        for at in range(0, len(df), OUT_ROWS):
+            yield df.iloc[at : at + OUT_ROWS]
+
+
 def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors of all texts of a task. Of equal contexts only the first leaves the task, the others are covered at once."""
+    """Anchors of all texts of a task. Of equal contexts in a stretch of ``FLUSH_ROWS`` only the first goes on, the others are covered at once."""
     held: list[tuple] = []
 
     def flush() -> Iterator[pd.DataFrame]:
@@ -153,17 +161,16 @@ def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     n = 0
     for b in batches:
-        for doc, tag, text in zip(b["doc"], b["tag"], b["text"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
+        for doc, tag, data in zip(b["doc"], b["tag"], b["text"], strict=True):
             for pos, g, c, right in anchors(data):
                 place = (((int(tag) << POS_BITS) + pos) << EXTENT_BITS) + right
                 held.append((g, c, np.full(len(pos), doc, np.int64), place))
                 n += len(pos)
                 if n >= FLUSH_ROWS:
-                    yield from flush()
+                    yield from sliced(flush())
                     n = 0
     if held:
-        yield from flush()
+        yield from sliced(flush())
 
 
 def match_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,7 +299,7 @@ def match_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pack(text: pd.Series) -> pd.Series:
     """Texts as compressed bytes, so that shuffling them takes less disk."""
     press = zstandard.ZstdCompressor(level=3)
-    return text.map(lambda t: press.compress(t.encode("utf-8", "surrogatepass")))
+    return text.map(press.compress)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -332,9 +339,9 @@ def cut_text(packed: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Dat
 
 
 def key_of(doc_id: str, text: str) -> list[Column]:
-    """doc (the id, or the largest long for none), tag (of the text) and the text, null as empty."""
+    """doc (the id, or the largest long for none), tag (of the text) and the bytes of the text, null as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(t).bitwiseAND((1 << TAG_BITS) - 1).alias("_tag"), t.alias("_text")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(t).bitwiseAND((1 << TAG_BITS) - 1).alias("_tag"), t.cast("binary").alias("_text")]
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
