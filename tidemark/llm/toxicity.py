@@ -51,26 +51,21 @@ def choose_terms(sample: DataFrame, most: int = MOST_TERMS, least: float = LEAST
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of labelled examples in blocks of ``BLOCK``, with the largest weight of each term in each block."""
+    """Weights of labelled examples by term, in blocks of ``BLOCK`` examples, with the largest weight of each term in each block."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    weights: np.ndarray  # examples x terms, rows of length one or zero
+    postings: np.ndarray  # terms x examples; the weights of an example have length one or are all zero
     ids: np.ndarray
     labels: np.ndarray
     k: int
 
     def __post_init__(self):
-        blocks = -(-len(self.ids) // BLOCK)
-        self.postings = [[] for _ in range(blocks)]
-        self.most = np.zeros((len(self.terms), blocks))
-        for b in range(blocks):
-            part = self.weights[b * BLOCK : (b + 1) * BLOCK]
-            self.most[:, b] = part.max(0, initial=0.0)
-            self.postings[b] = [(np.flatnonzero(part[:, t]), part[part[:, t] > 0, t]) for t in range(part.shape[1])]
-        silent = ~self.weights.any(1) if len(self.ids) else np.zeros(0, bool)
-        self.base = (self.labels.sum() + 1) / (len(self.labels) + 2)
-        self.silent = (self.labels[silent].sum() + self.base) / (silent.sum() + 1)
+        starts = range(0, len(self.ids), BLOCK)
+        self.most = np.array([self.postings[:, b : b + BLOCK].max(1) for b in starts]).T if len(self.ids) and len(self.terms) else np.zeros((len(self.terms), 0))
+        silent = ~self.postings.any(0) if len(self.ids) else np.zeros(0, bool)
+        base = (self.labels.sum() + 1) / (len(self.labels) + 2)
+        self.silent = (self.labels[silent].sum() + base) / (silent.sum() + 1)
         self.known: dict[tuple, tuple[float, list[int], list[float]]] = {}
 
     def vector(self, text: str | None) -> tuple[tuple[int, int], ...]:
@@ -91,10 +86,7 @@ class BlockMaxIndex:
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or len(numbers) == self.k and bounds[b] < least - 1e-12:
                 break
-            sums = np.zeros(BLOCK)
-            for term, weight in zip(t, q, strict=True):
-                who, own = self.postings[b][term]
-                sums[who] += weight * own
+            sums = q @ self.postings[t, b * BLOCK : (b + 1) * BLOCK]
             hit = np.flatnonzero(sums > 0)
             numbers, cosines = np.concatenate((numbers, hit + b * BLOCK)), np.concatenate((cosines, sums[hit]))
             best = np.lexsort((numbers, -np.round(cosines, 12)))[: self.k]
@@ -103,7 +95,11 @@ class BlockMaxIndex:
         return numbers, cosines
 
     def judge(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Score, and the ids and cosines of the examples it rests on. Votes are weighted by cosine; the share of toxic examples has the weight of a tenth of a vote."""
+        """Score, and the ids and cosines of the examples it rests on.
+
+        Votes are weighted by cosine. The share among examples without any term weighs as much as all votes divided by the number of terms
+        in the text, and a tenth: one term alone is too little evidence.
+        """
         query = self.vector(text)
         if not query or not len(self.ids):
             return float(self.silent), [], []
@@ -111,7 +107,8 @@ class BlockMaxIndex:
             if len(self.known) > 50_000:
                 self.known.clear()
             numbers, cosines = self.nearest(query)
-            score = ((cosines * self.labels[numbers]).sum() + 0.1 * self.base) / (cosines.sum() + 0.1)
+            doubt = cosines.sum() / len(query) + 0.1
+            score = ((cosines * self.labels[numbers]).sum() + doubt * self.silent) / (cosines.sum() + doubt)
             self.known[query] = float(min(1.0, max(0.0, score))), self.ids[numbers].tolist(), cosines.tolist()
         return self.known[query]
 
@@ -132,7 +129,7 @@ def fit(sample: DataFrame, k: int = 15, most: int = MOST_TERMS, least: float = L
         if len(term):
             w = (1 + np.log(np.asarray(n))) * idf[np.asarray(term)]
             weights[row, np.asarray(term)] = w / np.sqrt((w * w).sum())
-    return BlockMaxIndex(at, idf, weights, got["doc_id"].to_numpy(np.int64), got["label"].to_numpy(np.float64), k)
+    return BlockMaxIndex(at, idf, np.ascontiguousarray(weights.T), got["doc_id"].to_numpy(np.int64), got["label"].to_numpy(np.float64), k)
 
 
 def reject(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, k: int = 15) -> DataFrame:
