@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 NEVER = 1 << 60
 #: Words a task remembers before it starts afresh, and the longest that it remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 60_000
 CACHED_BYTES = 256
+#: Token pairs whose boundary a worker remembers.
+CACHE_PAIRS = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,7 +84,7 @@ class TrieEncoder:
     def fits(self, left: int, right: int) -> bool:
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > CACHE_PAIRS:
                 self._fits.clear()
             known = self._fits[left, right] = self.apart(left, right)
         return known

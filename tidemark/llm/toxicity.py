@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.labelled import PER_CLASS, held_out, labelled_sample
 
 #: Terms of the index at most, and the least chi-square (one degree of freedom) of a term with the label.
-MOST_TERMS = 512
+MOST_TERMS = 256
 LEAST_CHI_SQUARE = 30.0
 #: How many times as frequent a term must be in one class as in the other; else any common word passes once the sample is large.
 LEAST_LIFT = 3.0
@@ -104,7 +104,7 @@ class BlockMaxIndex:
         if not query or not len(self.ids):
             return float(self.silent), [], []
         if query not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             numbers, cosines = self.nearest(query)
             doubt = cosines.sum() / len(query) + 0.1
@@ -140,7 +140,9 @@ def reject(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: in
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([sent.value.judge(t)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                yield part.filter(pa.array([sent.value.judge(t)[0] < 0.5 for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 
