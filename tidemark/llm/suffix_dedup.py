@@ -198,37 +198,50 @@ def match_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts of partial anchors, padded to one width, from the texts; for hot grams every window's two hashes instead."""
+    """Contexts of partial anchors, padded to one width, from the texts; for hot grams every window's two hashes instead.
+
+    Of equal windows in a batch only the first goes on, so a window in very many documents is a row or few per batch; the others are covered.
+    """
     unpack, reach = zstandard.ZstdDecompressor(), THRESHOLD - GRAM
+    held, contexts, windows = [], [], []
+
+    def flush() -> Iterator[pd.DataFrame]:
+        if held:
+            g, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pd.DataFrame({"kind": np.int32(PARTIAL), "g": g, "w": np.int64(0), "doc": doc, "place": place, "context": contexts})
+        if windows:
+            g, w, doc, place = (np.concatenate(x) for x in zip(*windows, strict=True))
+            first, later = first_and_rest(doc, place, g, w)
+            yield pd.DataFrame({"kind": np.int32(WINDOW), "g": g[first], "w": w[first], "doc": doc[first], "place": place[first], "context": b""})
+            doc, start, length = merged(doc[later], place[later] >> EXTENT_BITS, np.full(len(later), THRESHOLD, np.int64))
+            yield pd.DataFrame({"kind": np.int32(COVER), "g": mix(doc.view(np.uint64)).view(np.int64), "w": length, "doc": doc, "place": start, "context": b""})
+        held.clear()
+        contexts.clear()
+        windows.clear()
+
+    n = 0
     for b in batches:
-        for doc, tag, packed, wanted in zip(b["doc"], b["tag"], b["packed"], b["wanted"], strict=True):
-            data = unpack.decompress(packed)
-            place = np.array([w["place"] for w in wanted], np.int64)
-            gram, hot = np.array([w["g"] for w in wanted], np.int64), np.array([w["kind"] for w in wanted]) == HOT
-            pos = (place >> EXTENT_BITS) & ((1 << POS_BITS) - 1)
-            found = [bytes(max(0, reach - p)) + data[max(0, p - reach) : p + GRAM + reach] for p in pos[~hot].tolist()]
-            found = [x.ljust(GRAM + 2 * reach, b"\0") for x in found]
-            yield pd.DataFrame({"kind": PARTIAL, "g": gram[~hot], "w": 0, "doc": doc, "place": place[~hot], "context": found})
+        for doc, tag, packed, g, place, kind in zip(b["doc"], b["tag"], b["packed"], b["g"], b["place"], b["kind"], strict=True):
+            data, pos, hot = unpack.decompress(packed), (place >> EXTENT_BITS) & ((1 << POS_BITS) - 1), kind == HOT
+            padded = bytes(reach) + data + bytes(reach)
+            contexts += [padded[p : p + GRAM + 2 * reach] for p in pos[~hot].tolist()]
+            held.append((g[~hot], np.full(int((~hot).sum()), doc, np.int64), place[~hot]))
+            n += len(pos)
             if hot.any():
-                p = pos[hot]
-                starts = np.unique(np.concatenate([np.arange(max(0, x - reach), min(len(data) - THRESHOLD, x) + 1) for x in p.tolist()]))
+                starts = np.unique(np.concatenate([np.arange(max(0, x - reach), min(len(data) - THRESHOLD, x) + 1) for x in pos[hot].tolist()]))
                 for at in range(0, len(starts), CHUNK // 8):
                     some = starts[at : at + CHUNK // 8]
                     bytes_of = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), THRESHOLD)[some]
                     hashes = [mix(np.add.reduce(scheme(s)[0][bytes_of] * scheme(s)[1][:THRESHOLD], axis=1, dtype=np.uint64)).view(np.int64) for s in (3, 4)]
-                    yield pd.DataFrame({"kind": WINDOW, "g": hashes[0], "w": hashes[1], "doc": doc, "place": ((int(tag) << POS_BITS) + some) << EXTENT_BITS, "context": b""})
-
-
-def combine_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of equal windows in a batch only the first goes on, so a window in very many documents is a row or few per batch; the others are covered."""
-    for b in batches:
-        windows = b[b["kind"] == WINDOW]
-        yield b[b["kind"] != WINDOW]
-        if len(windows):
-            first, later = first_and_rest(*(windows[k].to_numpy() for k in ("doc", "place", "g", "w")))
-            yield windows.iloc[first]
-            doc, start, length = merged(windows["doc"].to_numpy()[later], windows["place"].to_numpy()[later] >> EXTENT_BITS, np.full(len(later), THRESHOLD, np.int64))
-            yield pd.DataFrame({"kind": COVER, "g": mix(doc.view(np.uint64)).view(np.int64), "w": length, "doc": doc, "place": start, "context": b""})
+                    windows.append((*hashes, np.full(len(some), doc, np.int64), ((int(tag) << POS_BITS) + some) << EXTENT_BITS))
+                    n += len(some)
+                    if n >= OUT_ROWS:
+                        yield from flush()
+                        n = 0
+            if n >= OUT_ROWS:
+                yield from flush()
+                n = 0
+    yield from flush()
 
 
 def repeated_windows(group: np.ndarray, doc: np.ndarray, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,11 +363,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     schema = "kind int, g long, c long, doc long, place long"
     found = stash(texts.mapInPandas(find_anchors, schema).repartition("g").mapInPandas(match_contexts, schema))
     wanted = found.where(F.col("kind") != COVER).groupBy(F.col("doc").alias("_doc"), F.shiftright("place", POS_BITS + EXTENT_BITS).alias("_tag"))
-    wanted = wanted.agg(F.collect_list(F.struct("g", "place", "kind")).alias("wanted"))
+    wanted = wanted.agg(F.collect_list(F.struct("g", "place", "kind")).alias("w")).select("_doc", "_tag", F.col("w.g").alias("g"), F.col("w.place").alias("place"), F.col("w.kind").alias("kind"))
     packed = texts.select("doc", "tag", F.pandas_udf(pack, "binary")("text").alias("packed"))
-    asked = packed.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc", "tag", "packed", "wanted")
+    asked = packed.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc", "tag", "packed", "g", "place", "kind")
     contexts = asked.mapInPandas(cut_contexts, "kind int, g long, w long, doc long, place long, context binary")
-    contexts = contexts.mapInPandas(combine_windows, contexts.schema)
     last = contexts.repartition("g").sortWithinPartitions("g").mapInPandas(match_windows, "doc long, start long, length long")
     whole = found.where(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("length"))
     at = F.struct(F.col("start").bitwiseAND((1 << POS_BITS) - 1).alias("s"), F.col("length").alias("n"))
