@@ -40,7 +40,7 @@ def resolve(pages: DataFrame, smallest: int = SMALLEST_SHARED) -> DataFrame:
     large = sized.where((F.col("payload_bytes") >= smallest) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = large.where("n > 1").select(F.col("payload_digest").alias("_digest"), "first")
     marked = sized.join(shared, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= smallest), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    again = F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
     return marked.select(*sized.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
