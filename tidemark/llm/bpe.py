@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import small_batches
+
 NEVER = 1 << 60
 #: Words a task remembers before it starts afresh, and the longest that it remembers.
 CACHE_WORDS = 60_000
@@ -173,4 +175,4 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                         if len(w) > CACHED_BYTES:
                             known.pop(w, None)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, schema)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stash
+from tidemark.llm.shared import small_batches, stash
 
 #: Labelled documents of each class that a classifier is fitted on, at most.
 PER_CLASS = 4_096
@@ -28,5 +28,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     for value in (0, 1):
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return stash(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")))

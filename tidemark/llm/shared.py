@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space as the word pattern ``[^\x20\x09-\x0D]+`` leaves it.
 BLANKS = r"[ \x09-\x0D]+"
 
+#: Bytes of rows that a Python worker is handed at once, about; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 _own_folder: list[str] = []
 
 
@@ -32,6 +35,17 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python workers at most ``BATCH_BYTES`` at once, unless a limit is set already.
+
+    Spark's own limit counts rows above all, and a few thousand whole texts are many times a worker's share of memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def words(text: Column) -> Column:
     """The array of a text's words; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

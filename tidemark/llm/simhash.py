@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import smallest_reachable, stash
+from tidemark.llm.shared import small_batches, smallest_reachable, stash
 
 HASH_SEED = 42
 #: Distinct fingerprints that the shared top of the tree is built from, and about how many a shard then holds.
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.int64)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, "doc_id long, fp long")
 
 
 def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:

@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stash
+from tidemark.llm.shared import small_batches, stash
 
 THRESHOLD, GRAM = 100, 32
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 FLUSH_ROWS = 1 << 17
 #: Rows that a task hands to Spark at once.
 OUT_ROWS = 1 << 15
@@ -229,8 +229,8 @@ def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n += len(pos)
             if hot.any():
                 starts = np.unique(np.concatenate([np.arange(max(0, x - reach), min(len(data) - THRESHOLD, x) + 1) for x in pos[hot].tolist()]))
-                for at in range(0, len(starts), CHUNK // 8):
-                    some = starts[at : at + CHUNK // 8]
+                for at in range(0, len(starts), CHUNK // 2):
+                    some = starts[at : at + CHUNK // 2]
                     bytes_of = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), THRESHOLD)[some]
                     hashes = [mix(np.add.reduce(scheme(s)[0][bytes_of] * scheme(s)[1][:THRESHOLD], axis=1, dtype=np.uint64)).view(np.int64) for s in (3, 4)]
                     windows.append((*hashes, np.full(len(some), doc, np.int64), ((int(tag) << POS_BITS) + some) << EXTENT_BITS))
@@ -359,7 +359,7 @@ def key_of(doc_id: str, text: str) -> list[Column]:
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc, tag, starts, lengths) of the stretches to remove, per document that has any; they may overlap and touch."""
-    texts = docs.select(*key_of(doc_id, text)).toDF("doc", "tag", "text").where(F.octet_length("text") >= THRESHOLD)
+    texts = small_batches(docs).select(*key_of(doc_id, text)).toDF("doc", "tag", "text").where(F.octet_length("text") >= THRESHOLD)
     schema = "kind int, g long, c long, doc long, place long"
     found = stash(texts.mapInPandas(find_anchors, schema).repartition("g").mapInPandas(match_contexts, schema))
     wanted = found.where(F.col("kind") != COVER).groupBy(F.col("doc").alias("_doc"), F.shiftright("place", POS_BITS + EXTENT_BITS).alias("_tag"))

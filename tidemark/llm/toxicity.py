@@ -20,6 +20,8 @@ LEAST_CHI_SQUARE = 30.0
 #: How many times as frequent a term must be in one class as in the other; else any common word passes once the sample is large.
 LEAST_LIFT = 3.0
 BLOCK = 64
+#: Results that a worker remembers.
+KNOWN = 4_000
 #: ASCII letters in lower case, digits and bytes from 128 on as they are, all else as white space.
 PLAIN = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else b if b > 127 else 32 for b in range(256))
 
@@ -104,7 +106,7 @@ class BlockMaxIndex:
         if not query or not len(self.ids):
             return float(self.silent), [], []
         if query not in self.known:
-            if len(self.known) > 20_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             numbers, cosines = self.nearest(query)
             doubt = cosines.sum() / len(query) + 0.1
