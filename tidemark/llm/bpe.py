@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import small_batches
 
 NEVER = 1 << 60
-#: Words a task remembers before it starts afresh, and the longest that it remembers.
-CACHE_WORDS = 60_000
+#: Words that each of a task's two generations remembers, and the longest that it remembers.
+CACHE_WORDS = 50_000
 CACHED_BYTES = 256
+#: Every so many bytes of a long word its state is computed before those behind.
+STEP_BYTES = 128
 #: Token pairs whose boundary a worker remembers.
 CACHE_PAIRS = 100_000
 
@@ -35,7 +37,7 @@ class TrieEncoder:
     The encoding of a word's prefix is fixed by its last token alone: what precedes is the encoding of the shorter prefix. So each trie node
     (a prefix) needs just its last token, found from the nodes above it: the one vocabulary entry that ends there, is whole when encoded
     alone, and keeps its boundary with the last token of the prefix before it. Words in sorted order are a depth-first walk of the trie;
-    the states on the path that a word shares with the one before it are kept.
+    the states on the path that a word shares with the one before it are kept, and only those that some word's encoding rests on are computed.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -93,8 +95,19 @@ class TrieEncoder:
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) of each distinct word, in byte order."""
-        ends, fits, longest = self.ends, self.fits, self.longest
-        before, last = b"", []  # last: the last token of each prefix of the word before
+        ends, fits, longest, bytes_of = self.ends, self.fits, self.longest, self.bytes_of
+        before, last = b"", []  # last: the last token of each prefix of the word, -1 where no word has asked for it
+
+        def state(word: bytes, end: int) -> int:
+            token = last[end - 1]
+            if token < 0:
+                for start in range(max(0, end - longest), end):
+                    token = ends.get(word[start:end], -1)
+                    if token >= 0 and (start == 0 or fits(state(word, start), token)):
+                        break
+                last[end - 1] = token
+            return token
+
         for word in sorted(words):
             n, shared = len(word), 0
             top = min(n, len(before))
@@ -104,17 +117,14 @@ class TrieEncoder:
                 while word[shared] == before[shared]:
                     shared += 1
             del last[shared:]
-            for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ends.get(word[start:end])
-                    if token is not None and (start == 0 or fits(last[start - 1], token)):
-                        last.append(token)
-                        break
+            last += [-1] * (n - shared)
+            for end in range(STEP_BYTES, n, STEP_BYTES):
+                state(word, end)  # from the front, so that the states of a very long word do not wait for each other in a deep chain
             ids, end = [], n
             while end:
-                token = last[end - 1]
+                token = state(word, end)
                 ids.append(token)
-                end -= len(self.bytes_of[token])
+                end -= len(bytes_of[token])
             yield word, ids[::-1]
             before = word
 
@@ -145,34 +155,38 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, known = encoder(path, pattern), {}
+        bpe, new, old = encoder(path, pattern), {}, {}
+        kept = (lambda ids: ",".join(map(str, ids))) if digests else tuple
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 cut = [bpe.pieces(t or "") for t in part["text"]]
-                fresh = {w for pieces in map(set, cut) for w in pieces if w not in known}
-                for w in [w for w in fresh if w in bpe.special]:
-                    fresh.discard(w)
-                    known[w] = ([bpe.special[w]], str(bpe.special[w]), bpe.bytes_of[bpe.special[w]])
+                fresh = set()
+                for w in {w for pieces in cut for w in pieces}:
+                    if w in old and w not in new:
+                        new[w] = old[w]
+                    elif w in bpe.special:
+                        new[w] = (kept([bpe.special[w]]), bpe.bytes_of[bpe.special[w]])
+                    elif w not in new:
+                        fresh.add(w)
                 for w, ids in bpe.encode_words(w.encode("utf-8", "surrogatepass") for w in fresh):
-                    known[w.decode("utf-8", "surrogatepass")] = (ids, ",".join(map(str, ids)), b"".join([bpe.bytes_of[i] for i in ids]))
+                    new[w.decode("utf-8", "surrogatepass")] = (kept(ids), b"".join([bpe.bytes_of[i] for i in ids]))
                 rows = []
                 for pieces in cut:
-                    got = [known[w] for w in pieces]
-                    decoded = b"".join([g[2] for g in got]).decode("utf-8", "replace")
+                    got = [new[w] for w in pieces]
+                    decoded = b"".join([g[1] for g in got]).decode("utf-8", "replace")
                     if digests:
-                        joined = ",".join([g[1] for g in got])
+                        joined = ",".join([g[0] for g in got])
                         rows.append((joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                     else:
                         rows.append(([i for g in got for i in g[0]], decoded))
                 out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                else:
-                    for w in fresh:
-                        if len(w) > CACHED_BYTES:
-                            known.pop(w, None)
+                for w in fresh:
+                    if len(w) > CACHED_BYTES:
+                        del new[w]
+                if len(new) > CACHE_WORDS:
+                    old, new = new, {}
 
     return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, schema)
