@@ -110,6 +110,16 @@ def test_toxic_words_are_found(spark):
     assert toxicity.reject(docs, docs).count() == 300
 
 
+def test_every_term_counts(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(20)), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    near = [(1000 + i, t + " unseen", None) for i, t, _ in rows]
+    got = by_id(toxicity.classify(docs.unionByName(spark.createDataFrame(near, docs.schema)), docs))
+    fitted = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert all(got[1000 + i].neighbours[0] == i and got[1000 + i].cosines[0] > 0.99 for i in fitted)
+
+
 # 3
 
 

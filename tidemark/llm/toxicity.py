@@ -1,4 +1,4 @@
-"""Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index, vote."""
+"""Toxicity: the nearest labelled examples by exact TF-IDF cosine over all terms, found in a block-max inverted index, vote."""
 
 from __future__ import annotations
 
@@ -9,19 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import PER_CLASS, held_out, labelled_sample
+from tidemark.llm.labelled import PER_CLASS, held_out, known_labels, labelled_sample
 
-#: Terms of the index at most, and the least chi-square (one degree of freedom) of a term with the label.
-MOST_TERMS = 256
-LEAST_CHI_SQUARE = 30.0
-#: How many times as frequent a term must be in one class as in the other; else any common word passes once the sample is large.
-LEAST_LIFT = 3.0
 BLOCK = 64
-#: Results that a worker remembers.
-KNOWN = 4_000
+#: A term in more than one of so many examples is bounded by block before it is summed; the others are summed at once.
+COMMON = 8
 #: ASCII letters in lower case, digits and bytes from 128 on as they are, all else as white space.
 PLAIN = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else b if b > 127 else 32 for b in range(256))
 
@@ -31,66 +27,88 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(PLAIN).split()
 
 
-def choose_terms(sample: DataFrame, most: int = MOST_TERMS, least: float = LEAST_CHI_SQUARE) -> list[tuple[bytes, float]]:
-    """(term, inverse document frequency) of the terms that go with either label beyond chance, by chi-square and lift over all of ``sample``."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for label, text in zip(b["label"], b["text"], strict=True):
-                found = list(set(tokens(text)))
-                yield pd.DataFrame({"term": pd.Series(found, dtype=object), "label": np.int32(label)})
-
-    n0, n1 = sample.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-    counts = sample.mapInPandas(each, "term binary, label int").groupBy("term").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
-    a, b, n = F.col("c1").cast("double"), F.col("c0").cast("double"), float(n0 + n1)
-    spread = (a + b) * (n - a - b) * float(n1) * float(n0)
-    chi = F.when(spread > 0, n * (a * (n0 - b) - b * (n1 - a)) ** 2 / spread)
-    in1, in0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-    lifted = F.greatest(in1, in0) >= LEAST_LIFT * F.least(in1, in0)
-    rows = counts.withColumn("chi", chi).where((F.col("chi") > least) & lifted & (a + b >= 3)).orderBy(F.desc("chi"), "term").limit(most).collect()
-    return sorted((bytes(r["term"]), float(np.log((1 + n) / (1 + r["c0"] + r["c1"])) + 1)) for r in rows)
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 @dataclass
 class BlockMaxIndex:
-    """Weights of labelled examples by term, in blocks of ``BLOCK`` examples, with the largest weight of each term in each block."""
+    """Weights of labelled examples by term, and for common terms the largest weight in each block of ``BLOCK`` examples."""
 
-    terms: dict[bytes, int]
+    terms: dict[bytes, int] | np.ndarray  # numbers of the terms, or their hashes in ascending order
     idf: np.ndarray
-    postings: np.ndarray  # terms x examples; the weights of an example have length one or are all zero
+    postings: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]  # terms x examples, or (ends of each term, examples, weights); the weights of an example have length one or are all zero
     ids: np.ndarray
     labels: np.ndarray
     k: int
+    prior: float | None = None  # score of a text without any term
 
     def __post_init__(self):
-        starts = range(0, len(self.ids), BLOCK)
-        self.most = np.array([self.postings[:, b : b + BLOCK].max(1) for b in starts]).T if len(self.ids) and len(self.terms) else np.zeros((len(self.terms), 0))
-        silent = ~self.postings.any(0) if len(self.ids) else np.zeros(0, bool)
-        base = (self.labels.sum() + 1) / (len(self.labels) + 2)
-        self.silent = (self.labels[silent].sum() + base) / (silent.sum() + 1)
-        self.known: dict[tuple, tuple[float, list[int], list[float]]] = {}
+        if isinstance(self.terms, dict):
+            own = hashes(list(self.terms))
+            self.order = np.array(list(self.terms.values()), np.int64)[np.argsort(own)]
+            self.terms = np.sort(own)
+        else:
+            self.order = np.arange(len(self.terms))
+        if isinstance(self.postings, np.ndarray):
+            term, who = np.nonzero(self.postings)
+            self.postings = np.bincount(term, minlength=len(self.terms)).cumsum(), who, self.postings[term, who]
+        n = len(self.ids)
+        if self.prior is None:
+            self.prior = (self.labels.sum() + 1) / (n + 2)
+        ends, who, weights = self.postings
+        self.starts, self.ends = np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64)
+        self.who, self.weights = who.astype(np.min_scalar_type(max(n, 1)), copy=False), weights.astype(np.float32, copy=False)
+        common = np.flatnonzero(self.ends - self.starts > n / COMMON)
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        for row, t in enumerate(common):
+            at = slice(self.starts[t], self.ends[t])
+            self.dense[row, self.who[at]] = self.weights[at]
+        self.dense = self.dense.reshape(len(common), self.blocks, BLOCK)
+        self.most = self.dense.max(2, initial=0.0)
+        self.postings = None
 
     def vector(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(term, count) of the index's terms in a text."""
-        at = self.terms
-        return tuple(sorted((at[w], n) for w, n in Counter(w for w in tokens(text) if w in at).items()))
+        counts = Counter(tokens(text))
+        if not counts or not len(self.terms):
+            return ()
+        own = hashes(list(counts))
+        at = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+        known = self.terms[at] == own
+        return tuple(sorted(zip(self.order[at[known]].tolist(), np.fromiter(counts.values(), np.int64, len(counts))[known].tolist(), strict=True)))
 
     def nearest(self, query: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine above zero, ties to the smaller number, and the cosines.
 
-        Blocks come in the order of their bounds; the search ends at the first block whose bound is below the k-th best cosine.
+        Rarer terms are summed over their postings. Common terms bound what they add in each block; blocks come in the order of their bounds,
+        a few at first, and the search ends at the first block whose bound is below the k-th best cosine.
         """
-        t = np.array([x for x, _ in query])
-        q = (1 + np.log([n for _, n in query])) * self.idf[t]
+        t, n = np.array(query, np.int64).T
+        q = (1 + np.log(n)) * self.idf[t]
         q = q / np.sqrt((q * q).sum())
-        bounds = q @ self.most[t]
-        numbers, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(numbers) == self.k and bounds[b] < least - 1e-12:
-                break
-            sums = q @ self.postings[t, b * BLOCK : (b + 1) * BLOCK]
-            hit = np.flatnonzero(sums > 0)
-            numbers, cosines = np.concatenate((numbers, hit + b * BLOCK)), np.concatenate((cosines, sums[hit]))
+        rare = self.row[t] < 0
+        starts, sizes = self.starts[t[rare]], self.ends[t[rare]] - self.starts[t[rare]]
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        sums = np.bincount(self.who[at], self.weights[at] * np.repeat(q[rare], sizes), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        rows, q = self.row[t[~rare]], q[~rare]
+        bounds = sums.max(1) + q @ self.most[rows]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        numbers, cosines, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 8
+        while len(order):
+            if len(numbers) == self.k:
+                order = order[bounds[order] >= least - 1e-12]
+            some, order, step = (order[:step], order[step:], self.blocks) if step < len(order) else (order, order[:0], step)
+            # Whole rows are cheaper to fetch than most of their blocks.
+            rest = self.dense[rows[:, None], some] if len(some) < self.blocks / 4 else self.dense[rows]
+            add = (q @ rest.reshape(len(rows), rest.shape[1] * BLOCK)).reshape(-1, BLOCK)
+            found = (sums[some] + (add if len(some) < self.blocks / 4 else add[some])).ravel()
+            hit = np.flatnonzero(found > max(0.0, least - 1e-12 if len(numbers) == self.k else 0.0))
+            numbers, cosines = np.concatenate((numbers, some[hit // BLOCK] * BLOCK + hit % BLOCK)), np.concatenate((cosines, found[hit]))
             best = np.lexsort((numbers, -np.round(cosines, 12)))[: self.k]
             numbers, cosines = numbers[best], cosines[best]
             least = cosines[-1] if len(cosines) else 0.0
@@ -99,46 +117,61 @@ class BlockMaxIndex:
     def judge(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Score, and the ids and cosines of the examples it rests on.
 
-        Votes are weighted by cosine. The share among examples without any term weighs as much as all votes divided by the number of terms
-        in the text, and a tenth: one term alone is too little evidence.
+        Votes are weighted by cosine. The prior weighs as much as all votes divided by the number of terms in the text, and a tenth.
         """
         query = self.vector(text)
         if not query or not len(self.ids):
-            return float(self.silent), [], []
-        if query not in self.known:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            numbers, cosines = self.nearest(query)
-            doubt = cosines.sum() / len(query) + 0.1
-            score = ((cosines * self.labels[numbers]).sum() + doubt * self.silent) / (cosines.sum() + doubt)
-            self.known[query] = float(min(1.0, max(0.0, score))), self.ids[numbers].tolist(), cosines.tolist()
-        return self.known[query]
-
-
-def fit(sample: DataFrame, k: int = 15, most: int = MOST_TERMS, least: float = LEAST_CHI_SQUARE) -> BlockMaxIndex:
-    """Index of ``sample`` (doc_id, label, text), which has a bounded size: terms by chi-square, weights (1 + log count) * idf, rows of length one."""
-    chosen = choose_terms(sample, most, least)
-    at, idf = {t: k for k, (t, _) in enumerate(chosen)}, np.array([w for _, w in chosen])
+            return float(self.prior), [], []
+        numbers, cosines = self.nearest(query)
+        doubt = cosines.sum() / len(query) + 0.1
+        score = ((cosines * self.labels[numbers]).sum() + doubt * self.prior) / (cosines.sum() + doubt)
+        return float(min(1.0, max(0.0, score))), self.ids[numbers].tolist(), cosines.tolist()
+
+
+def fit(sample: DataFrame, k: int = 15, prior: float | None = None) -> BlockMaxIndex:
+    """Index of all terms of ``sample`` (doc_id, label, text), which has a bounded number of rows; the weights of an example have length one.
+
+    A weight is (1 + log count) * idf * sqrt(1 + chi-square), the latter that of the term with the label over the sample: no term is left out, and
+    those that say nothing about the label keep their plain TF-IDF weight. Terms are known by 64-bit hashes.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pairs = [sorted((at[w], n) for w, n in Counter(w for w in tokens(t) if w in at).items()) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "term": [[t for t, _ in p] for p in pairs], "n": [[n for _, n in p] for p in pairs]})
-
-    got = sample.mapInPandas(each, "doc_id long, label int, term array<int>, n array<int>").toPandas().sort_values("doc_id", ignore_index=True)
-    weights = np.zeros((len(got), len(at)))
-    for row, (term, n) in enumerate(zip(got["term"], got["n"], strict=True)):
-        if len(term):
-            w = (1 + np.log(np.asarray(n))) * idf[np.asarray(term)]
-            weights[row, np.asarray(term)] = w / np.sqrt((w * w).sum())
-    return BlockMaxIndex(at, idf, np.ascontiguousarray(weights.T), got["doc_id"].to_numpy(np.int64), got["label"].to_numpy(np.float64), k)
+            counts = [Counter(tokens(t)) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "size": [len(c) for c in counts], "term": [hashes(list(c)).tobytes() for c in counts], "n": [np.fromiter(c.values(), np.uint32, len(c)).tobytes() for c in counts]})
+
+    # The driver's memory is small: packed columns, narrow types, and nothing kept for longer than it is used.
+    got = sample.mapInPandas(each, "doc_id long, label int, size int, term binary, n binary").toPandas().sort_values("doc_id", ignore_index=True)
+    ids, labels, size = got["doc_id"].to_numpy(np.int64), got["label"].to_numpy(np.float64), len(got)
+    who = np.repeat(np.arange(size, dtype=np.min_scalar_type(max(size, 1))), got["size"].to_numpy(np.int64))
+    found, n = np.frombuffer(b"".join(got.pop("term")), np.uint64), np.frombuffer(b"".join(got.pop("n")), np.uint32)
+    terms = np.unique(found)
+    term = np.searchsorted(terms, found).astype(np.int32)
+    del got, found
+    n1, both = labels.sum(), np.bincount(term, minlength=len(terms)).astype(np.float64)
+    n0, a = size - n1, np.bincount(term[labels[who] == 1], minlength=len(terms))
+    b, spread = both - a, both * (size - both) * n1 * n0
+    chi = np.divide(size * (a * (n0 - b) - b * (n1 - a)) ** 2, spread, out=np.zeros(len(terms)), where=spread > 0)
+    idf = (np.log((1 + size) / (1 + both)) + 1) * np.sqrt(1 + chi)
+    weights = np.log(n)
+    weights += 1
+    weights *= idf[term]
+    weights /= np.sqrt(np.bincount(who, weights * weights, size))[who]
+    order = np.argsort(term, kind="stable")
+    return BlockMaxIndex(terms, idf, (both.cumsum(), who[order], weights.astype(np.float32)[order]), ids, labels, k, prior)
+
+
+def index(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, k: int) -> BlockMaxIndex:
+    """Index of the labelled sample; its prior is the share of toxic ones among all labels that are not held out, as the sample evens out the classes."""
+    toxic, n = known_labels(labels, label, modulus, remainder).agg(F.count_if(F.col("label") == 1), F.count("*")).first()
+    return fit(labelled_sample(docs, labels, label, modulus, remainder, per_class), k, (toxic + 1) / (n + 2))
 
 
 def reject(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, k: int = 15) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that ``classify`` predicts 0 for, all columns as they are, in one pass without a shuffle."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, modulus, remainder, per_class), k))
+    sent = docs.sparkSession.sparkContext.broadcast(index(docs, labels, label, modulus, remainder, per_class, k))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,12 +187,11 @@ def classify(
 ) -> DataFrame:
     """One row (doc_id, held_out, score, predicted, and with ``evidence`` also neighbours, cosines) per row of ``docs`` (doc_id, text).
 
-    The index holds at most ``2 * per_class`` examples and ``MOST_TERMS`` terms and is broadcast; every whole text is scored in one pass
-    without a shuffle. A text without any term of the index, such as a null or empty one, gets the share of toxic ones among such
-    examples. A null doc_id is not held out; without labels every score is a half. Repeated rows are scored each; an empty table gives an
+    The index holds all terms of at most ``2 * per_class`` examples and is broadcast; every whole text is scored in one pass without a
+    shuffle. A text without any term of the index, such as a null or empty one, gets the share of toxic ones among the labels. A null doc_id is not held out; without labels every score is a half. Repeated rows are scored each; an empty table gives an
     empty one. Scores use the text alone.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, modulus, remainder, per_class), k))
+    sent = docs.sparkSession.sparkContext.broadcast(index(docs, labels, label, modulus, remainder, per_class, k))
     schema = "doc_id long, held_out boolean, score double, predicted int" + ", neighbours array<long>, cosines array<double>" * evidence
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
