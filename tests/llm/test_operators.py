@@ -120,6 +120,20 @@ def test_every_term_counts(spark):
     assert all(got[1000 + i].neighbours[0] == i and got[1000 + i].cosines[0] > 0.99 for i in fitted)
 
 
+def test_one_toxic_word_is_enough(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(1000):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(30)]
+        if i % 4 == 0:
+            words[rng.randrange(30)] = rng.choice(["nasty", "vile", "foul", "mean"])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lone = spark.createDataFrame([(5000, "vile", 1), (5001, "Foul!", 1), (5002, "abcd", 0), (5003, "", 0)], docs.schema)
+    got = by_id(toxicity.classify(docs.unionByName(lone), docs))
+    assert all(got[i].predicted == toxic for i, _, toxic in rows + [tuple(r) for r in lone.collect()])
+
+
 # 3
 
 

@@ -18,6 +18,8 @@ from tidemark.llm.labelled import PER_CLASS, held_out, known_labels, labelled_sa
 BLOCK = 64
 #: A term in more than one of so many examples is bounded by block before it is summed; the others are summed at once.
 COMMON = 8
+#: Weight of the prior share of toxic documents among the votes, whose weights are their cosines.
+DOUBT = 0.1
 #: ASCII letters in lower case, digits and bytes from 128 on as they are, all else as white space.
 PLAIN = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else b if b > 127 else 32 for b in range(256))
 
@@ -117,14 +119,13 @@ class BlockMaxIndex:
     def judge(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Score, and the ids and cosines of the examples it rests on.
 
-        Votes are weighted by cosine. The prior weighs as much as all votes divided by the number of terms in the text, and a tenth.
+        Votes are weighted by cosine; the prior has the weight of a tenth of a vote, however many terms a text has.
         """
         query = self.vector(text)
         if not query or not len(self.ids):
             return float(self.prior), [], []
         numbers, cosines = self.nearest(query)
-        doubt = cosines.sum() / len(query) + 0.1
-        score = ((cosines * self.labels[numbers]).sum() + doubt * self.prior) / (cosines.sum() + doubt)
+        score = ((cosines * self.labels[numbers]).sum() + DOUBT * self.prior) / (cosines.sum() + DOUBT)
         return float(min(1.0, max(0.0, score))), self.ids[numbers].tolist(), cosines.tolist()
 
 
