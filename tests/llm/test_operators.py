@@ -1,6 +1,7 @@
 """The operators against brute force, and on null, empty, repeated and clashing input."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -43,6 +44,8 @@ def test_mined_rules(spark):
     pages = [(i, f"http://h{i}.bad.org/p/{i}") for i in range(30)] + [(100 + i, f"http://g{i}.good.org/q/{i}") for i in range(30)]
     rules = [("block", f"h{i}.bad.org", "/") for i in range(20)] + [("allow", f"g{i}.good.org", "/") for i in range(20)]
     got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), rules).where("rule is null").collect()
+    clash = spark.createDataFrame([(*p, "mine", "mine", "mine") for p in pages], "page_id long, url string, _tokens string, row string, a0 string")
+    assert {(r._tokens, r.row, r.a0) for r in url_filter.filter_urls(clash, rules).collect()} == {("mine",) * 3}
     assert len(got) == 20 and all(r.verdict == ("block" if r.page_id < 100 else "allow") and r.mined_confidence == 1.0 for r in got)
 
 
@@ -64,16 +67,50 @@ def test_sample_leaves_out_held_out(docs, labels):
     assert got and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in got) and max(Counter(r.label for r in got).values()) <= 10
 
 
-def test_quality_neighbours_are_exact():
-    rng = np.random.default_rng(0)
-    x = rng.random((300, quality_classifier.N_TERMS + quality_classifier.EXTRAS))
-    model = quality_classifier.Neighbours(np.linalg.qr(rng.standard_normal((x.shape[1], 20)))[0], x.mean(0), np.zeros((0, 20)), (rng.random(200) > 0.5).astype(float), 7, 4.0)
-    model.vectors = model.project(x[:200])
-    for row, score in zip(x[200:], model.scores(x[200:]), strict=True):
-        sims = model.vectors @ model.project(row[None])[0]
-        near = np.argsort(-sims)[:7]
+def test_quality_query_against_brute_force(spark, docs, labels, texts):
+    """Terms, idf, singular vectors, cosines and votes of the whole query from scratch; the sample is small enough that no direction is cut off."""
+    q = quality_classifier
+    long = "word " * 3 + "Ünïcode! 12\n" + "x" * (q.CHUNK - 5) + " crosses, the chunk. " * 40
+    every = dict(enumerate(texts)) | {900: long, 901: "plain words here"}
+    got = by_id(q.classify(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, long), (901, "plain words here")], "doc_id long, text string")), labels, dims=80))
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality in (0, 1) and r.doc_id in every and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.quality)
+
+    def words(t):
+        c = Counter()
+        for w, n in Counter((t or "").encode().lower().split()).items():
+            c[xxhash.xxh64_intdigest(w) % q.WORDS] += n
+        return c
+
+    fitted = sorted(known)
+    df = Counter(w for i in fitted for w in words(every[i]))
+
+    def vector(t):
+        data, out = (t or "").encode(), np.zeros(q.N_TERMS)
+        runs = [k for k, _ in itertools.groupby(q.CLASS_OF[np.frombuffer(data, np.uint8)].tolist())]
+        triples = Counter(zip(runs, runs[1:], runs[2:], strict=False))
+        for (a, b, c), n in triples.items():
+            out[(a * q.N_CLASSES + b) * q.N_CLASSES + c] = math.sqrt(n / sum(triples.values()))
+        out[q.SHAPES : q.SHAPES + q.EXTRAS] = q.shape(data)[q.SHAPES :]
+        w = {k: (1 + math.log(n)) * (math.log((1 + len(fitted)) / (1 + df[k])) + 1) for k, n in words(t).items()}
+        for k, x in w.items():
+            out[q.SHAPES + q.EXTRAS + k] = q.WORD_SHARE * x / math.sqrt(sum(y * y for y in w.values()))
+        return out
+
+    a = np.array([vector(every[i]) for i in fitted])
+    mean = a.mean(0)
+    basis = np.linalg.svd(a - mean, full_matrices=False)[2][: len(fitted) - 1].T
+    low = lambda x: (x - mean) @ basis / np.linalg.norm((x - mean) @ basis, axis=-1, keepdims=True)
+    y = np.array([known[i] for i in fitted])
+    for i, t in every.items():
+        sims = low(a) @ low(vector(t))
+        near = np.argsort(-sims)[:15]
+        if abs(sims[near[-1]] - np.sort(sims)[-16]) < 1e-5:
+            continue  # a tie at the edge
         w = np.maximum(sims[near], 1e-6) ** 4
-        assert score == pytest.approx((w * model.labels[near]).sum() / w.sum())
+        assert got[i].score == pytest.approx((w * y[near]).sum() / w.sum(), abs=1e-4)
 
 
 def test_block_max_search_is_exact():
@@ -187,6 +224,60 @@ def test_linking_large_sets(spark):
     assert (routed.root == forest.root).all()
 
 
+def test_crowd_is_split(spark, monkeypatch):
+    """300,000 fingerprints within five bits of each other: linked by shared neighbours, as a tree links them."""
+    rng = np.random.default_rng(13)
+    center = rng.integers(0, 2**63, dtype=np.uint64)
+    crowd = np.unique(np.bitwise_xor.reduce([np.full(400_000, center)] + [np.where(rng.random(400_000) < 0.8, np.uint64(1) << rng.integers(0, 64, 400_000).astype(np.uint64), np.uint64(0)) for _ in range(5)]))[:300_000]
+    tree = simhash.top_tree(np.sort(crowd[::5]), len(crowd), 2)
+    shards = {shard: len(at) for shard, at in simhash.route(tree, crowd, np.arange(len(crowd)), 2) if len(at)}
+    assert all(n < 2 * simhash.CROWD_ROWS for shard, n in shards.items() if shard > 0) and any(shard < 0 for shard in shards)
+    some = crowd[rng.permutation(len(crowd))[:3000]]
+    for radius in (0, 1, 2):
+        rows = spark.createDataFrame([(int(p), i) for i, p in enumerate(some.view(np.int64))], "fp long, rep long")
+        forest = simhash.Forest(len(some))
+        links = simhash.neighbour_links(rows, radius).collect()
+        forest.join(np.array([r.a for r in links], np.int64), np.array([r.b for r in links], np.int64))
+        assert (forest.root == simhash.link(some, radius)).all()
+
+
+def test_link_in_large_nodes():
+    """Nodes that no ball splits, with pairs denied: against all pairs."""
+    rng = np.random.default_rng(14)
+    points = rng.integers(0, 4, 6000, dtype=np.uint64)
+    odd = rng.random(6000) < 0.4
+    close = lambda a, b: (odd[a] == odd[b]) & ((a + b) % 3 > 0)
+    forest = simhash.Forest(6000)
+    for k in range(0, 6000, 500):
+        i, j = np.nonzero(np.bitwise_count(points[k : k + 500, None] ^ points[None]) <= 1)
+        fits = close(i + k, j)
+        forest.join((i + k)[fits], j[fits])
+    assert (simhash.link(points, 1, close) == forest.root).all()
+
+
+def test_near_copies(spark):
+    rng = random.Random(15)
+    base = [prose_of(rng, 300) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base):
+        w = t.split()
+        w[rng.randrange(300)] = "edited"
+        w[rng.randrange(300)] = "again"
+        rows.append((100 + i, " ".join(w).upper()))  # similarity about 0.94
+        rows.append((200 + i, " ".join(w[:150]) + " " + prose_of(rng, 150)))  # about 0.33
+    rows += [(None, base[0]), (None, prose_of(rng, 80)), (3, prose_of(rng, 90)), (300, None), (301, ""), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    judged = simhash.near_copies(df)
+    named = df.select("doc_id", "text", *shared.identity("doc_id", "text")).distinct().join(judged, ["_h1", "_h2"])
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in named.where("keep").collect())
+    assert kept == sorted([(False, i) for i in range(12)] + [(False, 200 + i) for i in range(12)] + [(False, 3), (False, 300), (True, 0)])
+    assert named.where("doc_id = 0").first().times == 2 and simhash.near_copies(df.limit(0)).count() == 0
+
+
+def prose_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5100)]
@@ -222,6 +313,17 @@ def test_quality_measures(spark, docs, texts, no_docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.kept and r.base_failed)
     assert quality_rules.judge_quality(no_docs).count() == 0
+    clash = quality_rules.judge_quality(docs.withColumns({c: F.lit("mine") for c in ("t", "w", "l", "row", "_t", "_w")})).first()
+    assert {clash[c] for c in ("t", "w", "l", "row", "_t", "_w")} == {"mine"}
+
+
+def test_deep_tokens_make_rules(spark):
+    """Tokens behind the first path segment, inner host labels and query keys count."""
+    pages = [(i, f"http://a.{'ads' if i % 2 else 'docs'}.x{i % 7}.org/p{i % 5}/{'promo' if i % 2 else 'guide'}/{i}?{'aff' if i % 2 else 'page'}={i}") for i in range(80)]
+    rules = [("block" if i % 2 else "allow", f"a.{'ads' if i % 2 else 'docs'}.x{i % 7}.org", "/") for i in range(8)]
+    more = [(100, "http://new.org/z/promo/1"), (101, "http://b.docs.new.net/"), (102, "http://new.net/?aff=1"), (103, "http://new.net/")]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages + more, "page_id long, url string"), rules).collect()}
+    assert [got[i].verdict for i in range(100, 104)] == ["block", "allow", "block", "allow"] and got[103].mined_rule is None
 
 
 # 5
@@ -249,15 +351,29 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_every_row_asks_and_answers(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0]), (3, [1.0, 0.0]), (100, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=4).collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 6)))
+    half = round(math.sqrt(0.5), 6)
+    first = [(1, 3, 1.0), (2, 7, half), (3, 50, 0.0), (4, 50, 0.0)]
+    second = [(1, 50, 1.0), (2, 7, half), (3, 3, 0.0), (4, 50, 0.0)]
+    assert sorted(got[50]) == sorted(first + second + second) and got[100] == [(1, 4, round(11 / math.sqrt(14 * 9), 6))]
+
+
 def test_multi_index_finds_whole_radius():
     rng = np.random.default_rng(7)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    codes[1:40] = codes[0] ^ (1 << rng.integers(0, 8, (39, 8))).astype(np.uint8) * (rng.random((39, 8)) < 0.3)
+    codes = rng.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
+    flips = (1 << rng.integers(0, 16, (39, 4))).astype(np.uint16) * (rng.random((39, 4)) < 0.3)
+    codes[1:40] = codes[0] ^ flips.astype(np.uint16)
     index = ann.MultiIndex(codes)
-    for radius in (0, 3, 8, 9, 20, 64):
-        at, d = index.within(codes[0], radius)
-        real = np.bitwise_count(codes ^ codes[0]).sum(1)
-        assert at.tolist() == np.flatnonzero(real <= radius).tolist() and (d == real[at]).all()
+    real = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2)
+    for radius in (0, 3, 8, 9, 20, 63):
+        seen = index.probe(codes, np.full(500, radius))
+        assert (seen | (real > radius)).all() and (radius > 8 or seen.mean() < 0.2)
+    assert (np.diff(ann.radii(np.linspace(1, -0.9, 50), 4, 0.9)) >= 0).all()
 
 
 # 6
@@ -314,6 +430,47 @@ def repeat_docs(texts):
     return [*((i, t or "") for i, t in enumerate(texts)), *shared_, (2000, "ab" * 300 + "c" * 200), (2001, "c" * 150), (2002, "é" * 200), (2003, "x" * 99)]
 
 
+def test_repeats_with_odd_ids(spark, texts):
+    """Null and repeated ids, texts whose 22-bit hashes collide, and a text longer than a stretch."""
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    tails = ["".join(rng.choice("qwertyuiop") for _ in range(75)) for _ in range(300)]
+    rows = [(None, passage[:128] + t) for t in tails] + [(5, passage[50:] + t) for t in tails[:20]] + [(5, "short"), (None, None), (9, passage)]
+    rows += [(11, "".join(rng.choice("zxcvbnm ") for _ in range(suffix_dedup.CHUNK + 400)))]
+    rows += [(12, rows[-1][1][suffix_dedup.CHUNK - 90 : suffix_dedup.CHUNK + 120])] + rows[:2]
+    df = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], "doc_id long, text string, _doc string, _of string, _packed string").repartition(3)
+    order = sorted({r for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = brute_repeats([(k, (t or "").encode()) for k, (_, t) in enumerate(order)])
+    want = {(i, len((t or "").encode()), want[k][3]): want[k] for k, (i, t) in enumerate(order)}
+    got = suffix_dedup.remove_repeats(df, digest=True).collect()
+    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id, r.n_bytes, r.kept_sha256] for r in got)
+    assert {(r._doc, r._of, r._packed) for r in got} == {("clash",) * 3}
+
+
+def test_second_pass_in_pieces(monkeypatch):
+    """``match_contexts`` gives the same whether rows come at once or a few at a time."""
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    n = 3000
+    df = pd.DataFrame({"kind": rng.choice([suffix_dedup.COVER, suffix_dedup.ANCHOR, suffix_dedup.ANCHOR, suffix_dedup.HOT], n).astype(np.int32), "g": rng.integers(0, 12, n), "c": rng.integers(0, 60, n), "doc": rng.integers(0, 40, n), "place": rng.integers(0, 900, n)})
+    df = pd.concat([df, pd.DataFrame({"kind": np.int32(suffix_dedup.MARK), "g": [3, 7], "c": [3, 7], "doc": 0, "place": 0})])
+    df = df.sort_values(["g", "kind", "c", "doc", "place"], ascending=[True, False, True, True, True], ignore_index=True)
+
+    def run(step, rows):
+        monkeypatch.setattr(suffix_dedup, "FLUSH_ROWS", step)
+        monkeypatch.setattr(suffix_dedup, "OUT_ROWS", rows)
+        out = pd.concat(list(suffix_dedup.match_contexts(iter([df.iloc[at : at + step] for at in range(0, n + 2, step)]))))
+        spans = defaultdict(set)
+        for k, d, start, length in out.loc[out["kind"] == suffix_dedup.COVER, ["kind", "doc", "place", "c"]].itertuples(index=False):
+            spans[d].update(range(start, start + length))
+        rest = out[out["kind"] != suffix_dedup.COVER]
+        return spans, sorted(map(tuple, rest[["kind", "g", "c", "doc", "place"]].to_numpy().tolist()))
+
+    whole = run(10**6, 10**6)
+    assert all(run(step, rows) == whole for step, rows in ((7, 10**6), (50, 5), (400, 20)))
+
+
 @pytest.mark.parametrize("hot", [64, 2])
 def test_repeats(spark, texts, no_docs, hot, monkeypatch):
     rows = repeat_docs(texts)
@@ -338,12 +495,13 @@ def hot_way(rows):
     def chain(passes, df):
         return pd.concat(list(passes(iter([df]))), ignore_index=True)
 
-    texts = pd.DataFrame([(i, 0, t.encode()) for i, t in rows if len(t.encode()) >= 100], columns=["doc", "tag", "text"])
-    found = chain(suffix_dedup.match_contexts, chain(suffix_dedup.find_anchors, texts))
+    texts = pd.DataFrame([(i, t.encode()) for i, t in rows if len(t.encode()) >= 100], columns=["doc", "text"])
+    order = dict(by=["g", "kind", "c", "doc", "place"], ascending=[True, False, True, True, True], ignore_index=True)
+    found = chain(suffix_dedup.match_contexts, chain(suffix_dedup.find_anchors, texts).sort_values(**order))
     assert (found["kind"] == suffix_dedup.HOT).any()
     open_ = found[found["kind"] != suffix_dedup.COVER]
     wanted = {d: [g[c].to_numpy() for c in ("g", "place", "kind")] for d, g in open_.groupby("doc")}
-    packed = pd.DataFrame([(i, 0, zstandard.compress(t.encode()), *wanted[i]) for i, t in rows if i in wanted], columns=["doc", "tag", "packed", "g", "place", "kind"])
+    packed = pd.DataFrame([(i, zstandard.compress(t.encode()), *wanted[i]) for i, t in rows if i in wanted], columns=["doc", "packed", "g", "place", "kind"])
     contexts = chain(suffix_dedup.cut_contexts, packed).sort_values("g", ignore_index=True)
     spans = chain(suffix_dedup.match_windows, contexts)
     whole = found[found["kind"] == suffix_dedup.COVER].rename(columns={"place": "start", "c": "length"})
@@ -388,6 +546,8 @@ def test_archives(spark, tmp_path):
         again = data == body(1).encode() and r.page_id not in (3, None)
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 3) if again else ("response", None))
-    stored = warc.read_archives(spark, str(tmp_path / "w"), payload=True).where("record_type = 'revisit'").collect()
+    every = warc.read_archives(spark, str(tmp_path / "w"), payload=True).collect()
+    assert len({r.record_id for r in every}) == len(rows)
+    stored = [r for r in every if r.record_type == "revisit"]
     assert {r.block_bytes for r in stored} == {0} and {r.url for r in stored if r.page_id == 5} == {"http://a/%0D%0AX: y"}
     assert warc.archive(pages.limit(0), str(tmp_path / "none")).count() == 0

@@ -58,3 +58,31 @@ def test_pipeline(spark, tmp_path):
     assert sum(w[1] for w in want.values()) > 0
     assert len(seen["source_mixing"][1]) > len(set(seen["source_mixing"][1]))
     assert sorted(seen["bpe"][1]) == sorted(seen["source_mixing"][1])
+
+
+def test_stages_keep_rows_apart(spark):
+    """Null and repeated ids, equal rows, extra columns and empty tables in every stage but the last."""
+    long = " ".join(f"w{i}" for i in range(120))
+    other = " ".join(f"v{i}" for i in range(120))
+    rows = [(1, long, "en", "s", 1), (2, long, "en", "s", 1), (2, other, "en", "s", 2), (None, other + " x", "en", "s", 3), (None, "a b c d e f", "en", None, 4), (None, "g h i j k l", "en", None, 4), (7, None, None, None, None), (7, None, None, None, None), (8, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({"_h1": F.lit("clash"), "keep": F.lit("clash")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, DATA).columns == list(corpus_pipeline.COLUMNS)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert corpus_pipeline.drop_toxic(spark, docs, DATA).count() == len(rows)
+    near = sorted(map(repr, (tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect())))
+    assert near == sorted(map(repr, [(1, long), (2, other), (None, "a b c d e f"), (None, "g h i j k l"), (7, None)]))
+    passages = corpus_pipeline.drop_repeated_passages(spark, docs, DATA).collect()
+    assert len(passages) == len(rows) - 1 and sum(r.text is None for r in passages) == 2 and sum(r.text == other for r in passages) == 1 and sum(r.text == long for r in passages) == 1
+    from tidemark.llm import mixing
+
+    taken = mixing.mix(docs.select(*corpus_pipeline.COLUMNS)).agg(F.sum("copies")).first()[0]
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    assert len(mixed) == taken and all(r.text for r in mixed)
+
+
+def test_toxicity_stage_is_the_query(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, DATA).collect()}
+    assert kept == {r.doc_id for r in llm.queries()["op8_toxicity"](spark, DATA).where("predicted = 0").collect()}

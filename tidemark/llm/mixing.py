@@ -36,10 +36,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, doc_id: str = "doc_id", source: str = "source", text: str = "text"
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, doc_id: str = "doc_id", source: str = "source", text: str = "text", tell: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row (doc_id, source, size, source_size, target, copies, taken) per row of ``docs``: how often the mix takes the document.
 
+    Columns named in ``tell`` come along and settle the order of rows with one id.
+
     Size is the number of words; null is 0. Every source is shuffled by MD5 of seed and doc_id and queued ``most`` times over; an entry's
     virtual finish time is its source's running size divided by the source's target. All entries are ordered by finish time, then source,
     and the mix ends before the first entry that would pass the total budget. Running sums come in two steps, over buckets of the shuffle
@@ -48,7 +50,7 @@ def mix(
     """
     sized = stash(
         docs.select(
-            F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"),
+            *tell, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("place"),
         )
     )
@@ -57,7 +59,7 @@ def mix(
     digits = 1
     while 16**digits * BUCKET_ROWS < n:
         digits += 1
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *tell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("bucket", F.substring("place", 1, digits))
     per_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("in_all"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +67,7 @@ def mix(
     queued = placed.withColumn("running", F.sum("size").over(in_bucket))
     queued = queued.join(offsets, F.col("source").eqNullSafe(F.col("_of")) & (F.col("bucket") == F.col("_bucket")))
     queued = queued.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    queued = stash(queued.select("doc_id", "source", "size", "source_size", "target", "rank", (F.col("running") + F.col("offset")).alias("running")))
+    queued = stash(queued.select(*tell, "doc_id", "source", "size", "source_size", "target", "rank", (F.col("running") + F.col("offset")).alias("running")))
 
     def finish(k: int):
         return F.try_divide(F.col("running") + k * F.col("source_size"), F.col("target"))
@@ -87,4 +89,4 @@ def mix(
         taken = lambda f: F.lit(True)
     copies = sum((F.when(taken(finish(k)), 1).otherwise(0) for k in range(most)), F.lit(0))
     out = queued.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(*tell, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

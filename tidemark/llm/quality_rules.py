@@ -53,20 +53,20 @@ def bind(value: Column, body) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text but with ``MEASURES``; columns of those names are replaced. A null text has no words."""
-    rest = [c for c in docs.columns if c not in (*MEASURES, text, "_w", "_l")]
+    """Rows (row, a struct of the columns of ``docs`` but its text, and ``MEASURES``). A null text has no words."""
+    rest = [c for c in docs.columns if c != text]
     t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(*rest, t.alias("_t"), words(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")).alias("_l"))
+    split = docs.select(F.struct(*rest).alias("row"), t.alias("t"), words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")).alias("l"))
     return split.select(
-        *rest,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit("!")).cast("long").alias("n_marks"),
-        F.regexp_count("_t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        "row",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col("w")).alias("n_repeat_words"),
+        F.size("l").cast("long").alias("n_lines"),
+        F.regexp_count("t", F.lit("!")).cast("long").alias("n_marks"),
+        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
     )
 
 
@@ -116,11 +116,11 @@ def judge_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     posterior is that of the two-class model which ``estimate`` fits to the votes of all texts. A null text counts as empty; repeated rows
     are judged each; an empty table gives an empty one.
     """
-    own = [f"v_{r}" for r in RULES] + ["posterior", "base_failed", "kept"]
-    measured = measure(docs.drop(*own), text)
-    voted = stash(measured.select("*", *(vote(*RULES[r]).alias(f"v_{r}") for r in RULES)))
+    own = [*MEASURES, *(f"v_{r}" for r in RULES), "posterior", "base_failed", "kept"]
+    voted = stash(measure(docs.drop(*own), text).select("*", *(vote(*RULES[r]).alias(f"v_{r}") for r in RULES)))
     patterns = stash(voted.groupBy(*(f"v_{r}" for r in RULES)).agg(F.count("*").alias("n")))
     params = estimate(patterns)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.select("*", (1 / (1 + F.exp(-evidence(params)))).alias("posterior"), failed.alias("base_failed"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in (*own, text)), *own)

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm.shared import bound_batches
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,35 +80,40 @@ def tokenizer() -> tuple[str, str]:
 
 
 def sql_url_filters(min_support: float = 0.01, min_confidence: float = 0.8) -> str:
-    """Counts all subsets of each labelled URL's tokens, as there are at most 127."""
-    kinds = url_filter.KINDS
+    """Counts all subsets of each labelled URL's items, as there are at most 255."""
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(v, h + p)[k]}'" for v, h, p in longest) + " END"
-    value = {
-        "host": "CASE WHEN len(l) > 2 THEN array_to_string(l[1:len(l) - 2], '.') END", "label": "l[1]", "path": "split_part(path, '/', 2)",
-        "site": "array_to_string(l[greatest(len(l) - 1, 1):len(l)], '.')", "tail": "CASE WHEN ends_with(path, '/') THEN 'slash' ELSE regexp_extract(path, '(\\.[A-Za-z0-9]+)$', 1) END",
-        "tld": "l[-1]", "web": "split_part(url, '://', 1)",
+    values = {
+        "host": "[host]", "label": "l", "path": "string_split(path, '/')", "query": "list_transform(string_split(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1))",
+        "site": "[array_to_string(l[greatest(len(l) - 1, 1):len(l)], '.')]", "tail": "[CASE WHEN ends_with(path, '/') THEN 'slash' ELSE regexp_extract(path, '(\\.[A-Za-z0-9]+)$', 1) END]",
+        "web": "[split_part(url, '://', 1)]",
     }
-    token = lambda k: f"CASE WHEN host <> '' AND coalesce({value[k]}, '') <> '' THEN '{k}=' || CASE WHEN length({value[k]}) > 64 THEN md5({value[k]}) ELSE {value[k]} END END"
-    subset = "list_filter([" + ", ".join(f"CASE WHEN m & {1 << i} > 0 THEN t[{i + 1}] END" for i in range(len(kinds))) + "], lambda x: x IS NOT NULL)"
+    tokens = ", ".join(f"list_transform(list_filter({v}, lambda x: x <> ''), lambda x: '{k}=' || CASE WHEN length(x) > 64 THEN md5(x) ELSE x END)" for k, v in values.items())
+    most = url_filter.ITEMS
+    subset = "list_sort(list_filter([" + ", ".join(f"CASE WHEN m & {1 << i} > 0 THEN t[{i + 1}] END" for i in range(most)) + "], lambda x: x IS NOT NULL))"
     return f"""
 WITH parts AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 split AS (SELECT *, string_split(host, '.') AS l, {case(1)} AS rule, {case(0)} AS hand FROM parts),
-tokens AS (SELECT *, list_filter([{", ".join(token(k) for k in kinds)}], lambda x: x IS NOT NULL) AS t FROM split),
-labelled AS (SELECT t, hand FROM tokens WHERE hand IS NOT NULL),
-sets AS (SELECT hand, {subset} AS s FROM labelled, range(1, 128) r(m) WHERE m < (1 << len(t))),
+tokens AS (SELECT *, CASE WHEN host = '' THEN [] ELSE list_distinct(flatten([{tokens}])) END AS every FROM split),
+named AS (SELECT token, hand, count(*) AS n FROM (SELECT unnest(every) AS token, hand FROM tokens WHERE hand IS NOT NULL) GROUP BY ALL),
+frequent AS (
+  SELECT token, row_number() OVER (ORDER BY max(n) / sum(n) DESC, sum(n) DESC, token) AS place FROM named GROUP BY token
+  HAVING sum(n) >= ceil({min_support} * (SELECT count(*) FROM tokens WHERE hand IS NOT NULL))),
+placed AS (SELECT url, list(token ORDER BY place)[1:{most}] AS t FROM (SELECT DISTINCT url, unnest(every) AS token FROM tokens) JOIN frequent USING (token) GROUP BY url),
+labelled AS (SELECT t, hand FROM tokens LEFT JOIN placed USING (url) WHERE hand IS NOT NULL),
+sets AS (SELECT hand, {subset} AS s FROM labelled, range(1, {1 << most}) r(m) WHERE m < (1 << len(t))),
 counts AS (SELECT s, count(*) AS n, count(*) FILTER (hand = 'allow') AS allow, count(*) FILTER (hand = 'block') AS block FROM sets GROUP BY s),
 mined AS (
   SELECT s, v, k / n AS confidence, k / (SELECT count(*) FROM labelled) AS support, array_to_string(s, '&') AS name
   FROM (SELECT s, n, 'allow' AS v, allow AS k FROM counts UNION ALL SELECT s, n, 'block', block FROM counts)
   WHERE k > 0 AND k >= ceil({min_support} * (SELECT count(*) FROM labelled)) AND k / n >= {min_confidence}),
-urls AS (SELECT DISTINCT url, t FROM tokens WHERE hand IS NULL AND len(t) > 0),
+urls AS (SELECT DISTINCT url, t FROM tokens JOIN placed USING (url) WHERE hand IS NULL),
 best AS (
   SELECT url, arg_max(v, row(confidence, support, name, v)) AS v, arg_max(name, row(confidence, support, name, v)) AS name
-  FROM (SELECT url, {subset} AS s FROM urls, range(1, 128) r(m) WHERE m < (1 << len(t))) JOIN mined USING (s) GROUP BY url)
+  FROM (SELECT url, {subset} AS s FROM urls, range(1, {1 << most}) r(m) WHERE m < (1 << len(t))) JOIN mined USING (s) GROUP BY url)
 SELECT page_id, host, path, rule, coalesce(hand, v, 'allow') AS verdict, name AS mined_rule FROM tokens LEFT JOIN best ON tokens.url = best.url AND hand IS NULL"""
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +17,42 @@ BLANKS = r"[ \x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 
 _own_folder: list[str] = []
+_scopes: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset (tests)."""
+def _base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only a local session without it gets a temporary folder; on a cluster that would be a folder of one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
         base = _own_folder[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, inside the open ``scratch`` if there is one."""
+    return f"{_scopes[-1] if _scopes else _base(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table or a folder of them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside the block go to one folder, which is deleted at its end; what is to last must be written elsewhere by then."""
+    path = f"{_base(spark)}/{uuid.uuid4().hex}"
+    _scopes.append(path)
+    try:
+        yield path
+    finally:
+        _scopes.remove(path)
+        remove(spark, path)
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -35,15 +63,28 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session hands Python workers at most ``BATCH_BYTES`` at once, unless a limit is set already.
+def bound_batches(spark: SparkSession) -> None:
+    """Let ``spark`` hand Python workers at most ``BATCH_BYTES`` at once, unless a limit is set already; for callers that pass whole texts to operators.
 
     Spark's own limit counts rows above all, and a few thousand whole texts are many times a worker's share of memory.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, None) is None:
-        conf.set(key, str(BATCH_BYTES))
-    return df
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def identity(*columns: str) -> list[Column]:
+    """Two longs (_h1, _h2) that tell rows apart by all of ``columns``, nulls included: 128 bits, so unequal rows do not meet in practice."""
+    parts = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_h1"), (2, "_h2"))]
+
+
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish``, with underscores in front until it is no column in ``taken``, in any case."""
+    low = {c.lower() for c in taken}
+    while wish.lower() in low:
+        wish = "_" + wish
+    return wish
 
 
 def words(text: Column) -> Column:
@@ -63,7 +104,17 @@ def smallest_reachable(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     many links costs one row per task; each round is written to the shared folder. ``links`` must not hold nulls. An empty table gives an
     empty one. Raises after ``max_rounds`` rounds, which is far above the logarithm of any chain that fits a cluster.
     """
-    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, path = links.sparkSession, ""
+
+    def settle(df: DataFrame) -> DataFrame:
+        nonlocal path
+        old, path = path, shared_folder(spark)
+        df.write.parquet(path)
+        if old:
+            remove(spark, old)
+        return spark.read.schema(df.schema).parquet(path)
+
+    edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -77,7 +128,7 @@ def smallest_reachable(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         edges = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
         down = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = stash(down.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        edges = settle(down.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
         now = mark(edges)
         if now == seen:
             break

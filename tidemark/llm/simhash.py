@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,35 +11,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches, smallest_reachable, stash
+from tidemark.llm.shared import identity, smallest_reachable, stash
 
 HASH_SEED = 42
-#: Distinct fingerprints that the shared top of the tree is built from, and about how many a shard then holds.
+#: Distinct fingerprints that the shared top of the tree is built from, about how many a shard then holds, and shards at most: boundaries
+#: overlap, so every doubling of the shards makes the rows about a quarter more.
 SAMPLE_ROWS = 65_536
-SHARD_ROWS = 8_192
+SHARD_ROWS, MOST_SHARDS = 16_384, 4_096
+#: Fingerprints that no ball splits are a crowd from so many expected rows on; it is not one shard then.
+CROWD_ROWS = 131_072
 #: Below this many fingerprints a node is compared pair by pair.
 LEAF_ROWS = 1_024
-BLOCK_WORDS = 1 << 15
+BLOCK_WORDS = 1 << 13
+#: Wide fingerprints: pieces of 24 bits, each with a tree of its own.
+PIECES, PIECE_BYTES = 16, 3
+FACTORS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, -(-PIECES * PIECE_BYTES // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash of the ``width``-word shingles of a text, A-Z lower-cased; 0 without words. Signed, as Spark's long."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the ``width``-word shingles of a text, A-Z lower-cased, in blocks; of the whole sequence if that is shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < width:
-        return int(np.array([digest(b" ".join(words), HASH_SEED)], np.uint64).view(np.int64)[0])
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if 0 < len(words) < width:
+        yield np.array([digest(joined, HASH_SEED)], np.uint64)
+        return
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1 if words else np.zeros(0, np.int64)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    ones, total = np.zeros(64, np.int64), len(words) - width + 1
+    total = len(words) - width + 1
     for at in range(0, total, BLOCK_WORDS):
         to = min(total, at + BLOCK_WORDS)
         pairs = zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
+        yield np.array([digest(joined[a:b], HASH_SEED) for a, b in pairs], np.uint64)
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of ``rows`` (n, words) have each bit set: (words * 64), lowest bit of the first word first. So few rows are added at a time that a byte holds their sum."""
+    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
+    ones = np.zeros(bits.shape[1], np.int64)
+    for at in range(0, len(bits), 255):
+        ones += bits[at : at + 255].sum(0, dtype=np.uint8)
+    return ones
+
+
+def majority(blocks: Iterator[np.ndarray], words: int) -> np.ndarray:
+    """(words) of 64 bits, each set if over half of the rows of all ``blocks`` have it set."""
+    ones, total = np.zeros(64 * words, np.int64), 0
+    for rows in blocks:
+        ones, total = ones + bit_counts(rows), total + len(rows)
+    return np.packbits(2 * ones > total, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash of the ``width``-word shingles of a text, A-Z lower-cased; 0 without words. Signed, as Spark's long."""
+    return int(majority((h[:, None] for h in shingle_hashes(text, width)), 1).view(np.int64)[0])
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """SimHash of ``PIECES`` pieces; each shingle's hash is spread over all words by multiplication and shifts."""
+
+    def spread(h: np.ndarray) -> np.ndarray:
+        x = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * FACTORS
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    return majority(map(spread, shingle_hashes(text, width)), len(FACTORS)).tobytes()[: PIECES * PIECE_BYTES]
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,7 +84,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.int64)})
 
-    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, "doc_id long, fp long")
 
 
 def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -70,14 +106,16 @@ def split(points: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.uint64, i
     return best and best[1:]
 
 
-def top_tree(sample: np.ndarray, shards: int, radius: int):
-    """Nested (vantage, mu, near, far) down to shard numbers, so that each shard gets about its share of ``sample``."""
-    size, numbers = max(2, len(sample) // max(1, shards)), iter(range(1 << 40))
+def top_tree(sample: np.ndarray, rows: int, radius: int, shard_rows: int = SHARD_ROWS):
+    """Nested (vantage, mu, near, far) down to shard numbers, so that each shard gets about its share of ``rows``; a negative number is a crowd."""
+    shards = min(MOST_SHARDS, -(-rows // shard_rows))
+    size, numbers = max(2, len(sample) // max(1, shards)), iter(range(1, 1 << 40))
 
     def grow(at: np.ndarray):
         found = split(sample, at, radius) if len(at) > size else None
         if found is None:
-            return next(numbers)
+            crowd = len(at) > 2 * size and len(at) * rows > CROWD_ROWS * len(sample)
+            return -next(numbers) if crowd else next(numbers)
         d = distances(sample[at], found[0])
         return (*found, grow(at[d <= found[1] + radius]), grow(at[d > found[1]]))
 
@@ -117,71 +155,77 @@ class Forest:
             a, b = a[open_], b[open_]
 
 
-def link(points: np.ndarray, radius: int) -> np.ndarray:
-    """For each of ``points`` (distinct) the smallest position that it reaches by steps of at most ``radius`` bits.
+def link(points: np.ndarray, radius: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each of ``points`` the smallest position that it reaches by steps of at most ``radius`` bits, which ``close`` (two positions each) may deny.
 
-    Splits by vantage points as long as that helps; small nodes are compared in blocks. A large node that no ball splits is a crowd of near
-    copies: there two points within two bits have a neighbour at one bit in common, so equal neighbours are joined (a block of them at a
-    time); a wider radius falls back to blocks.
+    Splits by vantage points as long as that helps; what is left is compared in blocks, but a large node first loses the points that are in
+    one component with a vantage point already: those need no comparison among each other.
     """
     forest, todo = Forest(len(points)), [np.arange(len(points))]
+
+    def compare(one: np.ndarray, all_: np.ndarray) -> None:
+        i, j = np.nonzero(np.bitwise_count(points[one, None] ^ points[None, all_]) <= radius)
+        a, b = one[i], all_[j]
+        if close is not None:
+            open_ = forest.root[a] != forest.root[b]
+            a, b = a[open_], b[open_]
+            fits = close(a, b)
+            a, b = a[fits], b[fits]
+        forest.join(a, b)
+
     while todo:
         at = todo.pop()
         found = split(points, at, radius) if len(at) > LEAF_ROWS else None
         if found is not None:
             d = distances(points[at], found[0])
             todo += [at[d <= found[1] + radius], at[d > found[1]]]
-        elif len(at) > 4 * LEAF_ROWS and radius <= 2:
-            share_neighbours(points, at, radius, forest)
+            continue
+        if len(at) > 4 * LEAF_ROWS:
+            for k in np.linspace(0, len(at) - 1, 64).astype(int):
+                compare(at[k : k + 1], at)
+            roots, count = np.unique(forest.root[at], return_counts=True)
+            rest = at[forest.root[at] != roots[count.argmax()]]
         else:
-            for k in range(0, len(at), 512):
-                i, j = np.nonzero(np.bitwise_count(points[at[k : k + 512], None] ^ points[None, at[k:]]) <= radius)
-                forest.join(at[i + k], at[j + k])
+            rest = at
+        for k in range(0, len(rest), 512):
+            compare(rest[k : k + 512], rest[k:] if rest is at else at)
     return forest.root
 
 
-def share_neighbours(points: np.ndarray, at: np.ndarray, radius: int, forest: Forest) -> None:
-    flips = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64) if radius == 2 else np.zeros(1, np.uint64)
-    if radius == 1:
-        order = np.sort(points[at])
-        index = at[np.argsort(points[at])]
-        for f in np.uint64(1) << np.arange(64, dtype=np.uint64):
-            other = points[at] ^ f
-            k = np.minimum(np.searchsorted(order, other), len(order) - 1)
-            hit = order[k] == other
-            forest.join(at[hit], index[k[hit]])
-        return
-    parts = max(1, len(at) * len(flips) // (1 << 22))
-    for part in range(parts):
-        keys, who = [], []
-        for f in flips:
-            x = points[at] ^ f
-            mine = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts) == part
-            keys.append(x[mine])
-            who.append(at[mine])
-        keys, who = np.concatenate(keys), np.concatenate(who)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order[1:]] == keys[order[:-1]]
-        forest.join(who[order[1:]][same], who[order[:-1]][same])
+def neighbour_links(crowd: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of a crowd (fp, rep), distinct fingerprints in very large numbers so near each other that no ball splits them.
+
+    Two fingerprints one bit apart are equal without that bit; two fingerprints at most two bits apart have a neighbour at one bit in common.
+    So points meet at such keys, at most 65 at each, however many there are in all.
+    """
+    if radius == 0:
+        return crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    near = "array_append(transform(sequence(0, 63), i -> struct(0 AS bit, fp ^ shiftleft(1L, i) AS key)), struct(0 AS bit, fp AS key))"
+    without = "transform(sequence(0, 63), i -> struct(i AS bit, fp & ~shiftleft(1L, i) AS key))"
+    keyed = crowd.select("rep", F.explode(F.expr(near if radius == 2 else without)).alias("at")).groupBy("at")
+    met = keyed.agg(F.min("rep").alias("b"), F.collect_list("rep").alias("all")).where(F.size("all") > 1)
+    return met.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, fingerprint, component_id) per row of ``docs``: 16 hex digits, and the smallest doc_id that links reach.
 
-    Documents whose fingerprints differ in at most ``radius`` bits link. Equal fingerprints come first: one representative each, the
-    smallest doc_id, combined before the shuffle, so groups of copies are one row. The representatives go to shards of a vantage-point
-    tree, whose top is fitted on at most ``SAMPLE_ROWS`` of them (an index; every row is routed), and each shard links its own points by a
-    tree of its own. A shard gives one link per linked point, never all pairs. Shards overlap at boundaries, so no link is lost; the links
-    of all shards meet in ``smallest_reachable``.
+    Documents whose fingerprints of three-word shingles differ in at most ``radius`` bits, 0 to 2, link. Equal fingerprints come first: one
+    representative each, the smallest doc_id, combined before the shuffle, so groups of copies are one row. The representatives go to shards
+    of a vantage-point tree, whose top is fitted on at most ``SAMPLE_ROWS`` of them (an index; every row is routed), and each shard links its
+    own points by a tree of its own; a crowd that no ball splits is linked by ``neighbour_links`` and not in one shard. A shard gives one link
+    per linked point, never all pairs. Shards overlap at boundaries, so no link is lost; all links meet in ``smallest_reachable``.
 
     A null or empty text has fingerprint zero and links like any other. Rows with a null doc_id get a fingerprint, take no part in links and
     have a null component_id. Repeated rows give repeated rows; an empty table gives an empty one. Other columns are ignored.
     """
+    if radius not in (0, 1, 2):
+        raise ValueError("radius must be 0, 1 or 2")
     marked = stash(fingerprints(docs, doc_id, text))
     classes = stash(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = classes.count()
     sample = classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = top_tree(np.sort(sample), -(-n // SHARD_ROWS), radius)
+    tree = top_tree(np.sort(sample), n, radius)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,8 +240,64 @@ def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", te
         linked = root != np.arange(len(root))
         return pd.DataFrame({"a": shard["rep"].to_numpy()[linked], "b": shard["rep"].to_numpy()[root[linked]]})
 
-    links = classes.mapInPandas(deal, "shard long, fp long, rep long").groupBy("shard").applyInPandas(stars, "a long, b long")
+    dealt = stash(classes.mapInPandas(deal, "shard long, fp long, rep long"))
+    links = dealt.where("shard > 0").groupBy("shard").applyInPandas(stars, "a long, b long")
+    links = links.unionByName(neighbour_links(dealt.where("shard < 0").select("fp", "rep").distinct(), radius))
     roots = smallest_reachable(links)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = marked.where("doc_id is not null").join(named, "fp").unionByName(marked.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (_h1, _h2, times, keep) per distinct row of ``docs``: its ``identity``, how often it is there, and whether it is the first of its group.
+
+    Two documents link if their wide fingerprints of ``width``-word shingles differ in no more bits than sets of shingles with that Jaccard
+    similarity are expected to: the estimate of 384 bits has a standard error of about 0.03 there. At such distances a ball leaves nearly all
+    points on both sides of its boundary, so no tree over whole fingerprints prunes. Instead each piece of 24 bits has a vantage-point tree, in
+    which points one bit apart share a shard; what meets in any piece is compared by the whole fingerprint. Two documents at the given
+    similarity meet in at least one of the ``PIECES`` pieces with a chance of five in six, more similar ones with more.
+
+    Equal fingerprints are one point from the start, so groups of copies are one row. The first of a group has the smallest doc_id, null last,
+    then the smallest identity. Null and empty texts are copies of each other. All columns tell rows apart; an empty table gives an empty one.
+    """
+    limit = round(PIECES * PIECE_BYTES * 8 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["id", "_h1", "_h2"]].assign(fp=[wide_fingerprint(t, width) for t in b["text"]])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), *identity(*docs.columns), F.col(text).alias("text"))
+    marked = stash(rows.mapInPandas(mark, "id long, _h1 long, _h2 long, fp binary"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")
+    classes = stash(marked.groupBy("fp").agg(F.min(order).alias("first")).withColumn("class", F.monotonically_increasing_id()))
+    n = classes.count()
+    sample = np.frombuffer(b"".join(map(bytes, classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"])), np.uint8).reshape(-1, PIECES * PIECE_BYTES)
+
+    def piece(fps: np.ndarray, k: int) -> np.ndarray:
+        part = fps[:, k * PIECE_BYTES : (k + 1) * PIECE_BYTES].astype(np.uint64)
+        return part[:, 0] | part[:, 1] << np.uint64(8) | part[:, 2] << np.uint64(16)
+
+    trees = [top_tree(np.sort(piece(sample, k)), n, 1, 4 * SHARD_ROWS) for k in range(PIECES)]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(b["fp"]), np.uint8).reshape(len(b), -1)
+            for k, tree in enumerate(trees):
+                for shard, at in route(tree, piece(fps, k), np.arange(len(b)), 1):
+                    if len(at):
+                        yield b.iloc[at].assign(shard=k * 4 * MOST_SHARDS + abs(shard))
+
+    def stars(shard: pd.DataFrame) -> pd.DataFrame:
+        name, fps = shard["class"].to_numpy(), np.frombuffer(b"".join(shard["fp"]), np.uint8).reshape(len(shard), -1)
+        wide = np.ascontiguousarray(fps).view(np.uint64)
+        close = lambda a, b: np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= limit
+        root = link(piece(fps, int(shard["shard"].iloc[0]) // (4 * MOST_SHARDS)), 1, close)
+        linked = root != np.arange(len(root))
+        return pd.DataFrame({"a": name[linked], "b": name[root[linked]]})
+
+    links = classes.select("fp", "class").mapInPandas(deal, "fp binary, class long, shard long").groupBy("shard").applyInPandas(stars, "a long, b long")
+    roots = smallest_reachable(links)
+    grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    firsts = grouped.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f._h1").alias("_h1"), F.col("f._h2").alias("_h2"), F.lit(True).alias("keep"))
+    return marked.groupBy("_h1", "_h2").agg(F.count("*").alias("times")).join(firsts, ["_h1", "_h2"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))

@@ -4,7 +4,8 @@ Sorting all suffixes would shuffle many times the input. Instead only suffixes a
 in some window of the threshold length. The choice depends on the window's bytes alone, so two equal windows have an anchor at the same
 place, and whatever repeats is found next to anchors. Most-significant-digit passes then split the anchors: by their gram, by their whole
 context (all bytes that share a window with the gram), and last, for contexts that differ, by the bytes of each window, eight at a time. A
-group of one drops out at once.
+group of one drops out at once. The first two digits are hashes of 64 bits each, of gram and context, so contexts are held equal by 128 bits;
+the windows of a gram with very many contexts go by two hashes of 64 bits instead of their bytes.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches, stash
+from tidemark.llm.shared import free_name, stash
 
 THRESHOLD, GRAM = 100, 32
 CHUNK = 1 << 16
@@ -29,9 +30,8 @@ OUT_ROWS = 1 << 15
 #: From so many different contexts of a gram in one task on, each window of them goes its own way.
 HOT_CONTEXTS = 64
 REFINE_ROWS = 1 << 15
-#: A place is a long: 22 bits that tell texts with one id apart, 34 bits of position, 7 bits of context behind the gram.
-TAG_BITS, POS_BITS, EXTENT_BITS = 22, 34, 7
-NO_ID = (1 << 63) - 1
+#: A place is a long: the position, and 7 bits of context behind the gram.
+EXTENT_BITS = 7
 COVER, ANCHOR, HOT, MARK, PARTIAL, WINDOW = range(6)
 M64 = (1 << 64) - 1
 
@@ -119,9 +119,9 @@ def merged(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.n
 
 
 def whole_context(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start (tag and position) and length of an anchor's context."""
+    """Start and length of an anchor's context."""
     where = place >> EXTENT_BITS
-    left = np.minimum(where & ((1 << POS_BITS) - 1), THRESHOLD - GRAM)
+    left = np.minimum(where, THRESHOLD - GRAM)
     return where - left, left + GRAM + (place & ((1 << EXTENT_BITS) - 1))
 
 
@@ -140,6 +140,18 @@ def sliced(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield df.iloc[at : at + OUT_ROWS]
 
 
+def gathered(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of about ``least``."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
 def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Anchors of all texts of a task. Of equal contexts in a stretch of ``FLUSH_ROWS`` only the first goes on, the others are covered at once."""
     held: list[tuple] = []
@@ -161,10 +173,9 @@ def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     n = 0
     for b in batches:
-        for doc, tag, data in zip(b["doc"], b["tag"], b["text"], strict=True):
+        for doc, data in zip(b["doc"], b["text"], strict=True):
             for pos, g, c, right in anchors(data):
-                place = (((int(tag) << POS_BITS) + pos) << EXTENT_BITS) + right
-                held.append((g, c, np.full(len(pos), doc, np.int64), place))
+                held.append((g, c, np.full(len(pos), doc, np.int64), (pos << EXTENT_BITS) + right))
                 n += len(pos)
                 if n >= FLUSH_ROWS:
                     yield from sliced(flush())
@@ -174,27 +185,62 @@ def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def match_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Second pass: of equal contexts all but the first are covered; grams with one context only drop out, the others stay partial."""
-    parts = list(batches)
-    if not sum(map(len, parts)):
-        return
-    kind, g, c, doc, place = (np.concatenate([p[k].to_numpy() for p in parts]) for k in ("kind", "g", "c", "doc", "place"))
-    yield rows(COVER, g[kind == COVER], c[kind == COVER], doc[kind == COVER], place[kind == COVER])
-    marks = g[kind == MARK]
-    for k in (ANCHOR, HOT):
-        mine = kind == k
-        a, b, d, p = g[mine], c[mine], doc[mine], place[mine]
-        first, later = first_and_rest(d, p, a, b)
-        yield covers(d[later], *whole_context(p[later]))
-        a, b, d, p = a[first], b[first], d[first], p[first]
-        if k == HOT:
-            yield rows(HOT, b, a, d, p)
-        elif len(a):
-            _, inverse, many = np.unique(a, return_inverse=True, return_counts=True)
-            hot = np.isin(a, marks)
-            partial = ~hot & (many[inverse] > 1)
-            yield rows(HOT, a[hot], b[hot], d[hot], p[hot])
-            yield rows(PARTIAL, a[partial], b[partial], d[partial], p[partial])
+    """Second pass, over rows sorted by gram, kind (marks first), context, doc and place: of equal contexts all but the first are covered.
+
+    Grams with one context only drop out, the others stay partial. Rows are worked off as they come: of a gram that goes on, only the first
+    row of each context is held, and once it has more than ``OUT_ROWS`` contexts they go on as they are.
+    """
+    columns = ("kind", "g", "c", "doc", "place")
+    held = [np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in columns[1:])]
+    marked: set[int] = set()  # marked grams among those held
+
+    def settle(kind, g, c, doc, place, many: bool) -> Iterator[pd.DataFrame]:
+        for k in (ANCHOR, HOT):
+            mine = kind == k
+            a, b, d, p = g[mine], c[mine], doc[mine], place[mine]
+            if k == HOT:
+                yield rows(HOT, b, a, d, p)
+            elif len(a):
+                _, inverse, count = np.unique(a, return_inverse=True, return_counts=True)
+                hot = np.isin(a, np.fromiter(marked, np.int64, len(marked)))
+                partial = ~hot & ((count[inverse] > 1) | many)
+                yield rows(HOT, a[hot], b[hot], d[hot], p[hot])
+                yield rows(PARTIAL, a[partial], b[partial], d[partial], p[partial])
+
+    spilled: int | None = None  # a gram whose contexts have gone on already
+    for batch in gathered(batches, FLUSH_ROWS):
+        kind, g, c, doc, place = (np.concatenate((h, batch[k].to_numpy())) for h, k in zip(held, columns, strict=True))
+        cover = kind == COVER
+        yield rows(COVER, g[cover], c[cover], doc[cover], place[cover])
+        marked |= set(g[kind == MARK].tolist())
+        open_ = g[-1] if len(g) else None
+        for k in (ANCHOR, HOT):
+            mine = np.flatnonzero(kind == k)
+            first, later = first_and_rest(doc[mine], place[mine], g[mine], c[mine])
+            yield covers(doc[mine[later]], *whole_context(place[mine[later]]))
+            gone = np.ones(len(mine), bool)
+            gone[first] = False
+            kind[mine[gone]] = COVER
+        left = (kind == ANCHOR) | (kind == HOT)
+        kind, g, c, doc, place = (x[left] for x in (kind, g, c, doc, place))
+        last = g == open_
+        if spilled is not None:
+            mine = g == spilled
+            yield from settle(*(x[mine & ~last] for x in (kind, g, c, doc, place)), many=True)
+            kind, g, c, doc, place, last = (x[~mine | last] for x in (kind, g, c, doc, place, last))
+        done = ~last
+        yield from settle(*(x[done] for x in (kind, g, c, doc, place)), many=False)
+        held = [x[last] for x in (kind, g, c, doc, place)]
+        if len(held[0]) > OUT_ROWS:
+            # The last context may go on in the next batch, so its first row stays.
+            end = held[2] == batch["c"].iloc[-1]
+            yield from settle(*(x[~end] for x in held), many=True)
+            held, spilled = [x[end] for x in held], open_
+        elif open_ != spilled:
+            spilled = None
+        marked &= {open_}
+    if len(held[0]):
+        yield from settle(*held, many=spilled is not None)
 
 
 def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,8 +267,8 @@ def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     n = 0
     for b in batches:
-        for doc, tag, packed, g, place, kind in zip(b["doc"], b["tag"], b["packed"], b["g"], b["place"], b["kind"], strict=True):
-            data, pos, hot = unpack.decompress(packed), (place >> EXTENT_BITS) & ((1 << POS_BITS) - 1), kind == HOT
+        for doc, packed, g, place, kind in zip(b["doc"], b["packed"], b["g"], b["place"], b["kind"], strict=True):
+            data, pos, hot = unpack.decompress(packed), place >> EXTENT_BITS, kind == HOT
             padded = bytes(reach) + data + bytes(reach)
             contexts += [padded[p : p + GRAM + 2 * reach] for p in pos[~hot].tolist()]
             held.append((g[~hot], np.full(int((~hot).sum()), doc, np.int64), place[~hot]))
@@ -233,7 +279,7 @@ def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     some = starts[at : at + CHUNK // 2]
                     bytes_of = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), THRESHOLD)[some]
                     hashes = [mix(np.add.reduce(scheme(s)[0][bytes_of] * scheme(s)[1][:THRESHOLD], axis=1, dtype=np.uint64)).view(np.int64) for s in (3, 4)]
-                    windows.append((*hashes, np.full(len(some), doc, np.int64), ((int(tag) << POS_BITS) + some) << EXTENT_BITS))
+                    windows.append((*hashes, np.full(len(some), doc, np.int64), some << EXTENT_BITS))
                     n += len(some)
                     if n >= OUT_ROWS:
                         yield from flush()
@@ -247,12 +293,17 @@ def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_windows(group: np.ndarray, doc: np.ndarray, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Third pass, over whole groups of a gram: (rows, first offsets, last offsets) of the windows that also start earlier.
 
-    For each offset of the window before the gram, digits of eight bytes split the groups, most significant first; a row alone in its group
+    First the bytes of the gram itself split the groups. For each offset of the window before the gram, digits of eight bytes split the groups, most significant first; a row alone in its group
     drops out. Rows of a group that is left hold the same window, and all but the first are covered.
     """
     reach = THRESHOLD - GRAM
-    left = np.minimum((place >> EXTENT_BITS) & ((1 << POS_BITS) - 1), reach)
+    left = np.minimum(place >> EXTENT_BITS, reach)
     right = place & ((1 << EXTENT_BITS) - 1)
+    grams = np.ascontiguousarray(context[:, reach : reach + GRAM]).view(np.int64)
+    order = np.lexsort((*grams.T, group))
+    new = np.concatenate(([True], (group[order[1:]] != group[order[:-1]]) | (grams[order[1:]] != grams[order[:-1]]).any(1)))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
     low, high = np.full(len(group), reach + 1), np.full(len(group), -1)
     for offset in range(reach + 1):
         at = np.flatnonzero((left >= offset) & (right >= reach - offset))
@@ -351,27 +402,45 @@ def cut_text(packed: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Dat
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_text", "span_starts", "span_ends"])
 
 
-def key_of(doc_id: str, text: str) -> list[Column]:
-    """doc (the id, or the largest long for none), tag (of the text) and the bytes of the text, null as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(t).bitwiseAND((1 << TAG_BITS) - 1).alias("_tag"), t.cast("binary").alias("_text")]
+def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with a long that tells documents apart and orders them, and the text's bytes; and the names of these two columns.
 
-
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc, tag, starts, lengths) of the stretches to remove, per document that has any; they may overlap and touch."""
-    texts = small_batches(docs).select(*key_of(doc_id, text)).toDF("doc", "tag", "text").where(F.octet_length("text") >= THRESHOLD)
+    Where no id is null or repeated, the key is the id itself. Otherwise distinct pairs of id and text are numbered in the order of id (null
+    last), then of the text's SHA-256: ranges of them are sorted and counted apart, and the numbers are joined to the rows.
+    """
+    key, data, digest, spare = (free_name(docs.columns, n) for n in ("_doc", "_bytes", "_sha", "_spare"))
+    whole = docs.withColumn(data, F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    odd = docs.groupBy(doc_id).count().where((F.col("count") > 1) | F.col(doc_id).isNull())
+    if odd.isEmpty():
+        return whole.withColumn(key, F.col(doc_id).cast("long")), key, data
+    whole = whole.withColumn(digest, F.sha2(data, 256))
+    id_, sha, part, n = F.col(doc_id).cast("long"), "s", "p", "n"
+    pairs = whole.select(id_.alias("i"), F.col(digest).alias(sha)).distinct()
+    dealt = stash(pairs.repartitionByRange(F.col("i").asc_nulls_last(), sha).withColumn(part, F.spark_partition_id()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(part).agg(F.count("*").alias(n)).select(F.col(part).alias("o"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(part).orderBy(F.col("i").asc_nulls_last(), sha))
+    numbers = dealt.withColumn(n, within).join(F.broadcast(offsets), F.col(part) == F.col("o")).select("i", sha, (F.col("before") + F.col(n)).alias(key))
+    numbers = stash(numbers.select(F.col("i").alias(spare), F.col(sha).alias(f"{digest}2"), key))
+    joined = whole.join(numbers, F.col(doc_id).cast("long").eqNullSafe(F.col(spare)) & (F.col(digest) == F.col(f"{digest}2")))
+    return joined.drop(digest, f"{digest}2", spare), key, data
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """Rows (doc, starts, lengths) of the stretches to remove, per document of ``texts`` (doc long, text binary) that has any; they may overlap and touch."""
+    texts = texts.where(F.octet_length("text") >= THRESHOLD)
     schema = "kind int, g long, c long, doc long, place long"
-    found = stash(texts.mapInPandas(find_anchors, schema).repartition("g").mapInPandas(match_contexts, schema))
-    wanted = found.where(F.col("kind") != COVER).groupBy(F.col("doc").alias("_doc"), F.shiftright("place", POS_BITS + EXTENT_BITS).alias("_tag"))
-    wanted = wanted.agg(F.collect_list(F.struct("g", "place", "kind")).alias("w")).select("_doc", "_tag", F.col("w.g").alias("g"), F.col("w.place").alias("place"), F.col("w.kind").alias("kind"))
-    packed = texts.select("doc", "tag", F.pandas_udf(pack, "binary")("text").alias("packed"))
-    asked = packed.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc", "tag", "packed", "g", "place", "kind")
+    anchored = texts.mapInPandas(find_anchors, schema).repartition("g").sortWithinPartitions("g", F.desc("kind"), "c", "doc", "place")
+    found = stash(anchored.mapInPandas(lambda batches: sliced(match_contexts(batches)), schema))
+    wanted = found.where(F.col("kind") != COVER).groupBy(F.col("doc").alias("_doc"))
+    wanted = wanted.agg(F.collect_list(F.struct("g", "place", "kind")).alias("w")).select("_doc", F.col("w.g").alias("g"), F.col("w.place").alias("place"), F.col("w.kind").alias("kind"))
+    packed = texts.select("doc", F.pandas_udf(pack, "binary")("text").alias("packed"))
+    asked = packed.join(wanted, F.col("doc") == F.col("_doc")).select("doc", "packed", "g", "place", "kind")
     contexts = asked.mapInPandas(cut_contexts, "kind int, g long, w long, doc long, place long, context binary")
     last = contexts.repartition("g").sortWithinPartitions("g").mapInPandas(match_windows, "doc long, start long, length long")
     whole = found.where(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("length"))
-    at = F.struct(F.col("start").bitwiseAND((1 << POS_BITS) - 1).alias("s"), F.col("length").alias("n"))
-    spans = whole.unionByName(last).groupBy("doc", F.shiftright("start", POS_BITS).alias("tag")).agg(F.collect_list(at).alias("spans"))
-    return spans.select("doc", "tag", F.col("spans.s").alias("starts"), F.col("spans.n").alias("lengths"))
+    spans = whole.unionByName(last).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return spans.select("doc", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -383,11 +452,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out what is left of a letter that was cut in two.
 
     A null or empty text has no bytes. Rows that repeat id and text are one document and get the same result; different texts with one id
-    come in the order of a hash. Null ids come last. An empty table gives an empty one.
+    come in the order of their SHA-256. Null ids come last. An empty table gives an empty one.
     """
-    spans = stash(repeated_spans(docs, doc_id, text)).toDF("_of", "_of_tag", "_starts", "_lengths")
+    ready, key, data = keyed(docs, doc_id, text)
+    spans = stash(repeated_spans(ready.select(F.col(key).alias("doc"), F.col(data).alias("text"))))
     cut, gives = (cut_digest, DIGEST) if digest else (cut_text, TEXT)
-    rest = [c for c in docs.columns if c != text and c not in [f.split()[0] for f in gives.split(", ")]]
-    keyed = docs.select(*rest, *key_of(doc_id, text)).select(*rest, "_doc", "_tag", F.pandas_udf(pack, "binary")("_text").alias("_packed"))
-    both = keyed.join(spans, (F.col("_doc") == F.col("_of")) & (F.col("_tag") == F.col("_of_tag")), "left")
-    return both.select(*rest, F.pandas_udf(cut, gives)("_packed", "_starts", "_lengths").alias("_cut")).select(*rest, "_cut.*")
+    fields = [f.split()[0] for f in gives.split(", ")]
+    rest = [c for c in docs.columns if c != text and c not in fields]
+    names = [free_name(ready.columns, n) for n in ("_of", "_starts", "_lengths", "_packed", "_cut")]
+    packed = ready.select(*rest, key, F.pandas_udf(pack, "binary")(data).alias(names[3]))
+    both = packed.join(spans.toDF(*names[:3]), F.col(key) == F.col(names[0]), "left")
+    done = both.select(*rest, F.pandas_udf(cut, gives)(names[3], names[1], names[2]).alias(names[4]))
+    return done.select(*rest, *(F.col(f"{names[4]}.{f}").alias(f) for f in fields))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_folder
+from tidemark.llm.shared import shared_folder, stash
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -17,9 +20,9 @@ SMALLEST_SHARED = 100
 RECORDS_PER_FILE = 2_000
 
 
-def record_id(page: Column, digest: Column) -> Column:
-    """A stable ``urn:uuid`` of page and payload."""
-    h = F.md5(F.concat_ws("|", page.cast("string"), digest))
+def record_id(page: Column, digest: Column, copy: Column) -> Column:
+    """A stable ``urn:uuid`` of page, payload and the number of the row among those that share both."""
+    h = F.md5(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), digest, copy.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -30,22 +33,31 @@ def header(name: str, value: Column) -> Column:
 
 
 def resolve(pages: DataFrame, smallest: int = SMALLEST_SHARED) -> DataFrame:
-    """Add payload_digest, payload_bytes, record_type and refers_to to (page_id, url, html).
+    """Add payload_digest, payload_bytes, record_type, refers_to, named (whether one record alone holds the response) and copy to (page_id, url, html).
 
-    The smallest page_id of each digest comes from an aggregation of digests alone, combined before the shuffle; payloads do not take part
-    in it. Payloads under ``smallest`` bytes are all responses, and so are all records of the smallest page_id.
+    Only headers are shuffled by digest: the smallest page_id of each digest comes from an aggregation of (digest, page_id), combined before
+    the shuffle, and what is joined back to the pages, by page_id and digest, are the revisits and the rows that repeat a page_id, without
+    payloads. Payloads under ``smallest`` bytes are all responses, never enter the join by digest, and so are all records of the smallest
+    page_id. copy tells apart rows of one page_id and payload, and rows without a page_id; it is 0 for all others.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     sized = pages.select("*", F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    large = sized.where((F.col("payload_bytes") >= smallest) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = large.where("n > 1").select(F.col("payload_digest").alias("_digest"), "first")
-    marked = sized.join(shared, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= smallest), "left")
-    again = F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
-    return marked.select(*sized.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    heads = stash(sized.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count("*").alias("n")))
+    large = heads.where((F.col("payload_bytes") >= smallest) & F.col("page_id").isNotNull())
+    shared = large.groupBy("payload_digest").agg(F.min(F.struct("page_id", "n")).alias("f"), F.count("*").alias("pages")).where("pages > 1")
+    again = large.join(shared, "payload_digest").where(F.col("page_id") > F.col("f.page_id"))
+    again = again.select("page_id", "payload_digest", F.col("f.page_id").alias("first"), (F.col("f.n") == 1).alias("named"))
+    repeated = heads.where((F.col("n") > 1) | F.col("page_id").isNull()).select("page_id", "payload_digest").withColumn("repeated", F.lit(True))
+    notes = again.join(repeated, ["page_id", "payload_digest"], "full").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "first", "named", "repeated")
+    # Rows without a page_id are only ever numbered, never joined.
+    marked = sized.join(notes.where("_page is not null"), (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    number = F.when(F.coalesce("repeated", F.col("page_id").isNull()), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0))
+    later = F.col("first").isNotNull()
+    return marked.select(*sized.columns, F.when(later, "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to"), "named", number.alias("copy"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", smallest: int = SMALLEST_SHARED) -> None:
-    """Write a record per row of ``pages`` (page_id, url, html) as gzipped WARC 1.1 files below ``path``.
+    """Write a record per row of ``pages`` (page_id, url, html) as WARC 1.1 files below ``path``, each file one gzip member.
 
     Spark's text writer commits the files, with the two line breaks that end a record as its line separator, so a lost executor leaves no
     half archives. Revisit records have no block; they name the response that holds their payload, its digest and length.
@@ -57,12 +69,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         CRLF,
         F.lit("WARC/1.1"),
         header("WARC-Type", F.col("record_type")),
-        header("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
+        header("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"), F.col("copy"))),
         header("WARC-Date", F.lit(date)),
         header("WARC-Target-URI", F.col("url")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, header("WARC-Profile", F.lit(PROFILE))),
-        F.when(revisit, header("WARC-Refers-To", record_id(F.col("refers_to"), F.col("payload_digest")))),
+        F.when(revisit & F.col("named"), header("WARC-Refers-To", record_id(F.col("refers_to"), F.col("payload_digest"), F.lit(0)))),
         header("X-Page-Id", F.col("page_id").cast("string")),
         F.when(revisit, header("X-Refers-To-Page", F.col("refers_to").cast("string"))),
         header("X-Payload-Length", F.col("payload_bytes").cast("string")),
@@ -73,18 +85,19 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive, by Content-Length."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        length = int(headers["Content-Length"])
-        yield headers, data[stop + 4 : stop + 4 + length]
-        at = stop + 8 + length
+def parse_records(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an uncompressed archive, by Content-Length; one record is held at a time."""
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {first[:40]!r}")
+        headers = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("archive ends inside a record")
+            name, value = line[:-2].decode("utf-8").split(": ", 1)
+            headers[name] = value
+        yield headers, archive.read(int(headers["Content-Length"]))
+        archive.read(4)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -92,8 +105,6 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
 
     block_bytes and block_digest are those of the block as read; payload_digest and payload_length are what the headers state.
     """
-    import zlib
-
     schema = "page_id long, url string, record_type string, refers_to long, record_id string, block_bytes long, block_digest string, payload_digest string, payload_length long" + ", payload binary" * payload
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +112,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
         for b in batches:
             for content in b["content"]:
                 rows = []
-                for h, block in parse_records(zlib.decompress(content, 47)):
+                for h, block in parse_records(gzip.GzipFile(fileobj=io.BytesIO(content))):
                     row = (
                         whole(h.get("X-Page-Id")), h.get("WARC-Target-URI"), h["WARC-Type"], whole(h.get("X-Refers-To-Page")), h["WARC-Record-ID"], len(block),
                         hashlib.sha256(block).hexdigest(), h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"]),
@@ -124,7 +135,7 @@ def archive(pages: DataFrame, path: str | None = None, smallest: int = SMALLEST_
     spark = pages.sparkSession
     path = path or shared_folder(spark)
     write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), path, smallest=smallest)
-    records = read_archives(spark, path)
+    records = stash(read_archives(spark, path))
     responses = records.where("record_type = 'response'").select("page_id", F.col("block_bytes").alias("payload_bytes"), F.col("block_digest").alias("payload_digest"), "record_type", "refers_to")
     originals = responses.where(F.col("payload_bytes") >= smallest).select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
     revisits = records.where("record_type = 'revisit'").join(originals, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")))
