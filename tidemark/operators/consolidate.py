@@ -10,6 +10,7 @@ from tidemark import schema as S
 from tidemark.functions import scalars as X
 from tidemark.operators.filters import live
 from tidemark.operators.graph import cut
+from tidemark.operators.vectors import cosines
 
 
 def stats(records: DataFrame, as_of: Column) -> DataFrame:
@@ -27,36 +28,13 @@ def consolidation_candidates(records: DataFrame, min_access: int = S.CLUSTER_ACC
     return live(records).where((F.col("tier") == "episodic") & (F.col("access_count") >= min_access))
 
 
-def similar_pairs(records: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
+def similar_pairs(records: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, b), a < b, of records whose cosine is at least ``threshold``.
 
-    Every pair has to be compared, as cosine at these thresholds has no exact index. Records are dealt to blocks and each pair of blocks is
-    one group, so a task holds two blocks and not the table; only pairs that pass leave it.
+    Records meet in blocks of a bounded number of rows, so a task holds two blocks and not the table; only pairs that pass leave it.
     """
-    dealt = records.select("id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    keyed = dealt.select("id", "v", "block", others).select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return keyed.groupBy("i", "j").applyInPandas(_pairs_within(threshold), "a long, b long")
-
-
-def _pairs_within(threshold: float):
-    import numpy as np
-
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, same in part.groupby(part["v"].map(len)):
-            x, ids, block = np.array(same["v"].to_list(), np.float64), same["id"].to_numpy(), same["block"].to_numpy()
-            norms = np.sqrt((x * x).sum(1)) if x.size else np.zeros(len(x))
-            unit = np.divide(x, norms[:, None], out=np.zeros_like(x), where=norms[:, None] > 0)
-            lone = part["i"].iloc[0] == part["j"].iloc[0]
-            for at in range(0, len(ids), 1024):
-                p, q = np.nonzero(unit[at : at + 1024] @ unit.T >= threshold)
-                p = p + at
-                keep = (ids[p] < ids[q]) & ((block[p] != block[q]) | lone)
-                found.append(pd.DataFrame({"a": ids[p[keep]], "b": ids[q[keep]]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return pairs
+    one, two = (records.select(F.col("id").alias(k), F.col("embedding").alias("v")) for k in "ab")
+    return cosines(one, two, threshold).where("a < b").select("a", "b")
 
 
 def components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -74,13 +52,46 @@ def components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
     return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
 
 
-def greedy_clusters(pairs: DataFrame, blocks_of: DataFrame | None = None) -> DataFrame:
+def greedy_clusters(pairs: DataFrame, most_pairs: int = 1 << 20) -> DataFrame:
     """Rows (cluster_id, id): scan ids in order; each one not taken starts a cluster, and later ones join if they pair with every member; no singletons.
 
-    A record's fate depends only on its own connected component of the pair graph, so components are scanned apart; only pairs are shipped.
+    A record's fate depends only on its own connected component of the pair graph, so components of up to ``most_pairs`` pairs are scanned
+    apart, in one task each. Larger ones go by ``cluster_rounds``, which gives the same clusters and never holds a component.
     """
-    marked = pairs.join((blocks_of if blocks_of is not None else components(pairs)).withColumnRenamed("id", "a"), "a")
-    return marked.groupBy("component").applyInPandas(_scan, "cluster_id long, id long")
+    marked = cut(pairs.join(components(pairs).withColumnRenamed("id", "a"), "a"))
+    large = cut(marked.groupBy("component").count().where(F.col("count") > most_pairs).select("component"))
+    small = marked.join(large, "component", "left_anti").groupBy("component").applyInPandas(_scan, "cluster_id long, id long")
+    return small if large.isEmpty() else small.unionByName(cluster_rounds(marked.join(large, "component", "left_semi").select("a", "b")))
+
+
+def cluster_rounds(pairs: DataFrame) -> DataFrame:
+    """The clusters of ``greedy_clusters`` by joins alone.
+
+    A record without a smaller open neighbour starts a cluster for sure. All such seeds grow at once: a seed's next member is its smallest
+    candidate, the common open neighbours of its members; where seeds want the same record, the smallest takes it and the others wait, as the
+    scan would have asked that seed first. When no candidate is left, seeds and members leave the graph and the next seeds start. Every step
+    is written, and takes as many joins as before however large the component is.
+    """
+    near = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    open_, found = near, None
+    while not open_.isEmpty():
+        seeds = open_.groupBy("a").agg(F.min("b").alias("low")).where("a < low").select(F.col("a").alias("seed"))
+        wanted = cut(open_.join(seeds, F.col("a") == F.col("seed")).select("seed", F.col("b").alias("x")))
+        gone = cut(seeds.select(F.col("seed").alias("id")))
+        while not wanted.isEmpty():
+            first = wanted.groupBy("seed").agg(F.min("x").alias("x"))
+            asked = wanted.groupBy("x").agg(F.min("seed").alias("seed"))
+            won = cut(first.join(asked, ["seed", "x"]))
+            found = won if found is None else found.unionByName(won)
+            gone = gone.unionByName(won.select(F.col("x").alias("id")))
+            left = wanted.join(won.select("x"), "x", "left_anti").join(won.select("seed", F.col("x").alias("new")), "seed", "left")
+            fits = left.join(near.toDF("new", "x").withColumn("_near", F.lit(True)), ["new", "x"], "left")
+            wanted = cut(fits.where("new is null or _near").select("seed", "x"))
+        gone = cut(gone)
+        open_ = cut(open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    if found is None:
+        return pairs.select(F.col("a").alias("cluster_id"), F.col("b").alias("id")).limit(0)
+    return found.select(F.col("seed").alias("cluster_id"), F.col("x").alias("id")).unionByName(found.select(F.col("seed").alias("cluster_id"), F.col("seed").alias("id")).distinct())
 
 
 def _scan(part: pd.DataFrame) -> pd.DataFrame:
@@ -149,21 +160,22 @@ def consolidate(records: DataFrame, summaries: DataFrame, members: DataFrame, as
 def prune(records: DataFrame, edges: DataFrame, as_of: Column, least: float = S.PRUNE_RETENTION, tier: str | None = None) -> DataFrame:
     """Rows (id, action) of live records below the retention: tombstone those a consolidates edge points to, delete the others.
 
-    Records go in id order and a deletion takes its edges along, so an edge from a smaller id that is itself deleted does not count. Chains
-    of such edges settle in a few rounds.
+    Records go in id order and a deletion takes its edges along, so an edge from a smaller id that is itself deleted does not count. A chain
+    of such edges takes as many rounds as the logarithm of its length.
     """
     weak = live(records).where(X.retention(F.col("last_accessed_at"), F.col("stability"), as_of) < least)
     weak = (weak.where(F.col("tier") == tier) if tier else weak).select("id")
     into = edges.where("type = 'consolidates'").select("from_id", "to_id").distinct().join(weak.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
     # Only edges that go up in id between weak records can lose their source first.
     rising = cut(into.where("from_id < to_id").join(weak.withColumnRenamed("id", "from_id"), "from_id", "left_semi"))
-    firm = into.join(rising, ["from_id", "to_id"], "left_anti").select(F.col("to_id").alias("id")).distinct()
-    kept = cut(firm)
-    while True:
-        more = rising.join(kept.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct()
-        new = cut(more.join(kept, "id", "left_anti"))
-        if new.isEmpty():
-            break
-        kept = cut(kept.unionByName(new))
+    kept = cut(into.join(rising, ["from_id", "to_id"], "left_anti").select(F.col("to_id").alias("id")).distinct())
+    # Every round reaches twice as far: what is kept spreads along edges, and open records inherit the edges of those above them.
+    while not rising.isEmpty():
+        new = rising.join(kept.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
+        kept = cut(kept.unionByName(new).distinct())
+        still = rising.join(kept.withColumnRenamed("id", "to_id"), "to_id", "left_anti").join(kept.withColumnRenamed("id", "from_id"), "from_id", "left_anti")
+        still = cut(still.select("from_id", "to_id"))
+        above = still.select(F.col("from_id").alias("top"), F.col("to_id").alias("from_id"))
+        rising = cut(still.join(above, "from_id").select(F.col("top").alias("from_id"), "to_id").distinct())
     marked = weak.join(kept.withColumn("_kept", F.lit(True)), "id", "left")
     return marked.select("id", F.when(F.coalesce("_kept", F.lit(False)), "tombstone").otherwise("delete").alias("action"))

@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions import scalars as X
 from tidemark.operators import graph
+from tidemark.operators.vectors import cosines
 
 
 def near_entities(probes: DataFrame, entities: DataFrame, least: float) -> DataFrame:
     """Rows (probe_id, entity_id, sim, place): entities at or above ``least`` for each of ``probes`` (probe_id, vector), most similar first, then id.
 
-    ``probes`` are the entities of one batch of records or the hints of one request and are broadcast.
+    The vectors meet in blocks, so neither side has to be small.
     """
-    pairs = entities.select(F.col("id").alias("entity_id"), "embedding").join(F.broadcast(probes.select("probe_id", "vector")))
-    close = pairs.select("probe_id", "entity_id", X.cosine(F.col("vector"), F.col("embedding")).alias("sim")).where(F.col("sim") >= least)
+    asked = probes.select(F.col("probe_id").cast("long").alias("a"), F.col("vector").alias("v"))
+    pairs = cosines(asked, entities.select(F.col("id").alias("b"), F.col("embedding").alias("v")), least)
+    close = pairs.select(F.col("a").alias("probe_id"), F.col("b").alias("entity_id"), "sim")
     return close.withColumn("place", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("sim"), "entity_id")))
 
 
 def resolve(extracted: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows (probe_id, decision, entity_id): exact for a candidate of the same name, else merge with the first at 0.85 or more, else llm-needed if any is at 0.70, else distinct."""
     near = near_entities(extracted, entities, S.ENTITY_AMBIGUOUS).join(entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("_name")), "entity_id")
-    named = near.join(F.broadcast(extracted.select("probe_id", F.lower("name").alias("_own"))), "probe_id")
+    named = near.join(extracted.select("probe_id", F.lower("name").alias("_own")), "probe_id")
     best = named.groupBy("probe_id").agg(
         F.min(F.when(F.col("_name") == F.col("_own"), F.struct("place", "entity_id"))).alias("exact"), F.min(F.when(F.col("sim") >= S.ENTITY_MERGE, F.struct("place", "entity_id"))).alias("merge"),
         F.min(F.struct("place", "entity_id")).alias("any"),
@@ -85,12 +87,11 @@ def enrich(results: DataFrame, query: DataFrame, links: DataFrame, entities: Dat
 
     The entity nearest to the query is selected, then the shortest path from any of ``seeds`` (from_id, seed_order) to it.
     """
-    top = F.broadcast(results.where(F.col("position") <= S.ENRICHED_ROWS).select("query_id", "id").join(query, "query_id"))
+    top = results.where(F.col("position") <= S.ENRICHED_ROWS).select("query_id", "id").join(query, "query_id")
     linked = links.select(F.col("id").alias("link_id"), "record_id", "entity_id").join(top, F.col("record_id") == F.col("id"))
     scored = linked.join(entities.select(F.col("id").alias("entity_id"), "embedding"), "entity_id").withColumn("sim", X.cosine(F.col("vector"), F.col("embedding")))
     chosen = scored.groupBy("query_id", "id").agg(F.max(F.struct("sim", (-F.col("link_id")).alias("l"), "entity_id")).alias("b")).select("query_id", "id", F.col("b.entity_id").alias("selected_id"))
-    pairs = chosen.select(F.col("selected_id").alias("to_id")).distinct().join(F.broadcast(seeds.select("from_id")))
-    paths = graph.nearest_seed(graph.shortest_paths(edges, pairs, max_hops), seeds)
+    paths = graph.from_nearest_seed(edges, seeds, chosen.select(F.col("selected_id").alias("to_id")).distinct(), max_hops)
     joined = chosen.join(paths, F.col("selected_id") == F.col("to_id"), "left").drop("to_id")
     return joined.withColumn("reliability", graph.reliability(F.col("hops")))
 

@@ -14,10 +14,12 @@ _own: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset) and read it again."""
+    """Write an intermediate table to the folder of ``spark.checkpoint.dir`` and read it again; only a local session may leave that unset."""
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tidemark-"))
         base = _own[0]
@@ -46,32 +48,64 @@ def neighbors(edges: DataFrame, entities: DataFrame, starts: DataFrame, depth: i
     return seen.where("hops > 0").join(entities.select("id"), "id", "left_semi").select("start_id", "id", "hops")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.PATH_HOPS) -> DataFrame:
-    """Rows (from_id, to_id, hops, path array<bigint>) for the reachable ``pairs`` (from_id, to_id).
+def visits(edges: DataFrame, starts: DataFrame, max_hops: int) -> list[DataFrame]:
+    """For each hop the nodes (from_id, node, parent, visit) that a breadth-first search from each of ``starts`` (from_id) meets then for the first time.
 
-    Breadth first, weights ignored; each node keeps the parent that is visited first, by the visit order of parents and then edge ids. A pair
-    of one node with itself is a path of no hops. A hop is one join; frontiers are written after each, and pairs that are done drop out.
+    Weights are ignored; each node keeps the parent that is visited first, by the visit order of parents and then edge ids. A hop is one join
+    and one written table; paths are not carried along.
     """
-    max_hops = max(1, min(S.MOST_PATH_HOPS, max_hops))
-    open_pairs = pairs.select("from_id", "to_id").distinct()
-    done = open_pairs.where("from_id = to_id").select("from_id", "to_id", F.lit(0).alias("hops"), F.array("from_id").alias("path"))
-    open_pairs = cut(open_pairs.where("from_id <> to_id"))
-    frontier = open_pairs.select("from_id", F.col("from_id").alias("node"), F.lit(1).cast("bigint").alias("visit"), F.array("from_id").alias("path")).distinct()
-    seen = frontier.select("from_id", "node")
+    at = starts.select("from_id", F.col("from_id").alias("node"), F.lit(None).cast("bigint").alias("parent"), F.lit(1).cast("bigint").alias("visit")).distinct()
+    found = [cut(at)]
     step = edges.select(F.col("id").alias("edge"), F.col("from_id").alias("node"), F.col("to_id").alias("next"))
-    for hop in range(1, max_hops + 1):
-        reached = frontier.join(step, "node").groupBy("from_id", "next").agg(F.min(F.struct("visit", "edge", "path")).alias("best"))
-        fresh = reached.join(seen.withColumnRenamed("node", "next"), ["from_id", "next"], "left_anti")
+    for _ in range(max_hops):
+        seen = found[0].select("from_id", F.col("node").alias("next"))
+        for earlier in found[1:]:
+            seen = seen.unionByName(earlier.select("from_id", F.col("node").alias("next")))
+        reached = found[-1].join(step, "node").groupBy("from_id", "next").agg(F.min(F.struct("visit", "edge", "node")).alias("best"))
+        fresh = reached.join(seen, ["from_id", "next"], "left_anti")
         order = Window.partitionBy("from_id").orderBy("best.visit", "best.edge")
-        frontier = cut(fresh.select("from_id", F.col("next").alias("node"), F.row_number().over(order).cast("bigint").alias("visit"), F.array_append("best.path", F.col("next")).alias("path")))
-        found = frontier.join(open_pairs.withColumnRenamed("to_id", "node"), ["from_id", "node"]).select("from_id", F.col("node").alias("to_id"), F.lit(hop).alias("hops"), "path")
-        done = cut(done.unionByName(found))
-        open_pairs = cut(open_pairs.join(done.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti"))
-        seen = cut(seen.unionByName(frontier.select("from_id", "node")))
-        frontier = frontier.join(open_pairs.select("from_id").distinct(), "from_id", "left_semi")
-        if frontier.isEmpty():
+        new = cut(fresh.select("from_id", F.col("next").alias("node"), F.col("best.node").alias("parent"), F.row_number().over(order).cast("bigint").alias("visit")))
+        if new.isEmpty():
             break
-    return done
+        found.append(new)
+    return found
+
+
+def met(found: list[DataFrame], pairs: DataFrame) -> DataFrame:
+    """Rows (from_id, to_id, hops) of ``pairs`` that ``visits`` reached."""
+    every = found[0].select("from_id", F.col("node").alias("to_id"), F.lit(0).alias("hops"))
+    for hop, nodes in enumerate(found[1:], 1):
+        every = every.unionByName(nodes.select("from_id", F.col("node").alias("to_id"), F.lit(hop).alias("hops")))
+    return pairs.select("from_id", "to_id").distinct().join(every, ["from_id", "to_id"])
+
+
+def path_lengths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.PATH_HOPS) -> DataFrame:
+    """Rows (from_id, to_id, hops) for the reachable ``pairs`` (from_id, to_id); 0 for a pair of one node with itself."""
+    return met(visits(edges, pairs.select("from_id").distinct(), max(1, min(S.MOST_PATH_HOPS, max_hops))), pairs)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.PATH_HOPS) -> DataFrame:
+    """Rows (from_id, to_id, hops, path array<bigint>) for the reachable ``pairs`` (from_id, to_id), by breadth-first ``visits``.
+
+    A pair of one node with itself is a path of no hops. Paths are put together at the end, for the pairs that were found, from parent to parent.
+    """
+    found = visits(edges, pairs.select("from_id").distinct(), max(1, min(S.MOST_PATH_HOPS, max_hops)))
+    paths = met(found, pairs).select("from_id", "to_id", "hops", F.array("to_id").alias("path"))
+    for hop in range(len(found) - 1, 0, -1):
+        up = found[hop].select(F.col("from_id").alias("_from"), F.col("node").alias("_node"), "parent")
+        here = (F.col("hops") >= hop) & (F.col("from_id") == F.col("_from")) & (F.element_at("path", 1) == F.col("_node"))
+        paths = paths.join(up, here, "left").select("from_id", "to_id", "hops", F.when(F.col("parent").isNotNull(), F.array_prepend("path", F.col("parent"))).otherwise(F.col("path")).alias("path"))
+    return paths
+
+
+def from_nearest_seed(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_hops: int = S.PATH_HOPS) -> DataFrame:
+    """``nearest_seed`` of each of ``targets`` (to_id): a search from each seed meets targets as it goes, no table of all seeds with all targets is made."""
+    found = visits(edges, seeds.select("from_id").distinct(), max(1, min(S.MOST_PATH_HOPS, max_hops)))
+    every = found[0].select("from_id", "node")
+    for nodes in found[1:]:
+        every = every.unionByName(nodes.select("from_id", "node"))
+    pairs = every.join(targets.withColumnRenamed("to_id", "node"), "node", "left_semi").select("from_id", F.col("node").alias("to_id"))
+    return nearest_seed(shortest_paths(edges, pairs, max_hops), seeds)
 
 
 def reliability(hops):
@@ -81,6 +115,6 @@ def reliability(hops):
 
 def nearest_seed(paths: DataFrame, seeds: DataFrame) -> DataFrame:
     """Of each target's ``paths`` from ``seeds`` (from_id, seed_order) the shortest, the first seed on ties."""
-    joined = paths.join(F.broadcast(seeds), "from_id")
+    joined = paths.join(seeds, "from_id")
     best = joined.groupBy("to_id").agg(F.min(F.struct("hops", "seed_order", "from_id", "path")).alias("b"))
     return best.select("to_id", F.col("b.from_id").alias("origin_id"), F.col("b.hops").alias("hops"), F.col("b.path").alias("path"))

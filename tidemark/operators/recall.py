@@ -12,6 +12,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators.filters import RecallOptions, live, predicate
 from tidemark.operators.graph import cut
 from tidemark.operators.ranking import positions
+from tidemark.operators.vectors import cosines
 
 
 @dataclass
@@ -39,13 +40,14 @@ def check_model(records: DataFrame, model_id: str) -> None:
 
 
 def score(records: DataFrame, queries: DataFrame, as_of: Column, *keep: str) -> DataFrame:
-    """Rows (query_id, id, sim, ret, and columns to ``keep``) of each query (query_id, vector) with each record: a theta join with a broadcast of the queries.
+    """Rows (query_id, id, sim, ret, and columns to ``keep``) of each query (query_id, vector) with each record: block products of both sides.
 
-    ``queries`` are the vectors of one request or batch, at most a few thousand by contract of the callers, not a table that grows with the records.
+    Ranks run over all candidates, so every pair comes out.
     """
-    pairs = records.select("id", *keep, "embedding", X.retention(F.col("last_accessed_at"), F.col("stability"), as_of).alias("ret"))
-    pairs = pairs.join(F.broadcast(queries.select("query_id", "vector")))
-    return pairs.select("query_id", "id", X.cosine(F.col("vector"), F.col("embedding")).alias("sim"), "ret", *keep)
+    ret = X.retention(F.col("last_accessed_at"), F.col("stability"), as_of).alias("ret")
+    asked = queries.select(F.col("query_id").cast("long").alias("a"), F.col("vector").alias("v"))
+    pairs = cosines(asked, records.select(F.col("id").alias("b"), F.col("embedding").alias("v"), ret, *keep))
+    return pairs.select(F.col("a").alias("query_id"), F.col("b").alias("id"), "sim", "ret", *keep)
 
 
 def spread(ranked: DataFrame, edges: DataFrame, records: DataFrame, as_of: Column) -> DataFrame:
@@ -53,7 +55,7 @@ def spread(ranked: DataFrame, edges: DataFrame, records: DataFrame, as_of: Colum
 
     Targets rank by first visit: the hit's rank, then the edge's id. Contradicting edges reach a target but carry no score.
     """
-    seeds = F.broadcast(ranked.where(F.col("semantic_rank") <= S.SEMANTIC_SEEDS).select("query_id", F.col("id").alias("seed"), "sim", "semantic_rank"))
+    seeds = ranked.where(F.col("semantic_rank") <= S.SEMANTIC_SEEDS).select("query_id", F.col("id").alias("seed"), "sim", "semantic_rank")
     out = edges.where(F.col("type").isin(*S.EDGE_TYPES)).join(seeds, F.col("from_id") == F.col("seed"))
     carried = F.when(F.col("type").isin(*S.SPREADING_TYPES), F.col("sim") * X.retention(F.col("last_accessed_at"), F.col("stability"), as_of) * S.ASSOCIATIVE_SCORE)
     reached = out.groupBy("query_id", F.col("to_id").alias("id")).agg(
@@ -111,7 +113,7 @@ def recall(records: DataFrame, edges: DataFrame, queries: DataFrame, options: Re
         lists = lists.unionByName(more)
 
     outside = everyone.select("query_id", "id", F.col("ret").alias("_ret"))
-    beside = F.broadcast(reached.select("query_id", "id")).join(outside, ["query_id", "id"])
+    beside = reached.select("query_id", "id").join(outside, ["query_id", "id"])
     joined = ranked.join(reached, ["query_id", "id"], "full").join(beside, ["query_id", "id"], "left")
     terms = [F.coalesce(X.rrf(F.col(c)), F.lit(0.0)) for c in ("semantic_rank", "temporal_rank", "assoc_rank", "entity_rank")]
     inside = F.col("semantic_rank").isNotNull()
@@ -140,7 +142,7 @@ def recall(records: DataFrame, edges: DataFrame, queries: DataFrame, options: Re
     if o.min_results:
         have = queries.select("query_id").join(shown.groupBy("query_id").agg(F.count("*").alias("_have")), "query_id", "left")
         below = fused.where((F.col("effective_score") < o.threshold) & (F.col("sim") > S.TOP_UP_COSINE))
-        below = below.join(F.broadcast(have.where(F.coalesce("_have", F.lit(0)) < o.min_results)), "query_id")
+        below = below.join(have.where(F.coalesce("_have", F.lit(0)) < o.min_results), "query_id")
         by_score = Window.partitionBy("query_id").orderBy(F.desc("effective_score"), F.col("semantic_rank").asc_nulls_last(), "assoc_rank")
         more = below.withColumn("_place", F.row_number().over(by_score)).where(F.col("_place") <= o.min_results - F.coalesce("_have", F.lit(0)))
         more = cut(more.withColumn("injected", F.lit(0)).withColumn("section", F.lit(1)).drop("_have"))
@@ -166,7 +168,7 @@ def recall(records: DataFrame, edges: DataFrame, queries: DataFrame, options: Re
 
     # The first of the whole order, before the limit, sets the scale of the fused scores; a limit keeps it.
     top = results.where("section = 0").groupBy("query_id").agg(F.min_by("rrf_score", "position").alias("_top"))
-    again = results.where("section = 0").join(F.broadcast(top), "query_id").withColumn("_near", F.array_contains("strategies", "associative"))
+    again = results.where("section = 0").join(top, "query_id").withColumn("_near", F.array_contains("strategies", "associative"))
     on_graph = again.join(reached.select("query_id", "id", F.lit(True).alias("_reached")), ["query_id", "id"], "left")
     share = F.when(F.col("_top") > 0, F.col("rrf_score") / F.col("_top")).otherwise(1.0) * F.when(F.coalesce("_reached", F.lit(False)), S.ASSOCIATIVE_STRENGTHEN).otherwise(1.0)
     record_updates = on_graph.select(

@@ -445,23 +445,23 @@ def pending_ttl(insights):
 
 
 @query(
-    """, walk AS (SELECT id AS start_id, id, 0 AS hops FROM entities WHERE type = 'supplier' AND id % 10 = 1 UNION SELECT start_id, to_id, hops + 1 FROM walk JOIN entity_edges ON from_id = walk.id WHERE hops < 3)
+    """, walk AS (SELECT id AS start_id, id, 0 AS hops FROM entities WHERE type = 'supplier' UNION SELECT start_id, to_id, hops + 1 FROM walk JOIN entity_edges ON from_id = walk.id WHERE hops < 3)
 SELECT start_id, id, min(hops) AS hops FROM walk WHERE id <> start_id AND id IN (SELECT id FROM entities) GROUP BY start_id, id""",
     ("entities", "entity_edges"),
 )
 def entity_neighbors(ents, edges):
-    return graph.neighbors(edges, ents, ents.where("type = 'supplier' and id % 10 = 1").select(F.col("id").alias("start_id")), 3)
+    return graph.neighbors(edges, ents, ents.where("type = 'supplier'").select(F.col("id").alias("start_id")), 3)
 
 
 @query(
-    """, walk AS (SELECT id AS start_id, id, 0 AS hops FROM entities WHERE type = 'supplier' AND id % 10 = 1 UNION SELECT start_id, to_id, hops + 1 FROM walk JOIN entity_edges ON from_id = walk.id WHERE hops < 10)
-SELECT start_id AS from_id, id AS to_id, min(hops) AS hops, CASE WHEN min(hops) <= 5 THEN 'ok' ELSE 'degraded' END AS reliability FROM walk WHERE id IN (SELECT id FROM entities WHERE type IN ('supplier', 'region') AND id % 3 = 0) GROUP BY start_id, id""",
-    ("entities", "entity_edges"),
+    """, walk AS (SELECT DISTINCT from_id AS start_id, from_id AS id, 0 AS hops FROM supplier_pairs UNION SELECT start_id, to_id, hops + 1 FROM walk JOIN entity_edges ON from_id = walk.id WHERE hops < 10),
+least AS (SELECT start_id AS from_id, id AS to_id, min(hops) AS hops FROM walk GROUP BY ALL)
+SELECT from_id, to_id, hops, CASE WHEN hops <= 5 THEN 'ok' ELSE 'degraded' END AS reliability FROM supplier_pairs JOIN least USING (from_id, to_id)""",
+    ("supplier_pairs", "entity_edges"),
 )
-def entity_path_length(ents, edges):
-    starts = ents.where("type = 'supplier' and id % 10 = 1").select(F.col("id").alias("from_id"))
-    ends = ents.where("type in ('supplier', 'region') and id % 3 = 0").select(F.col("id").alias("to_id"))
-    found = graph.shortest_paths(edges, starts.join(F.broadcast(ends)))
+def entity_path_length(pairs, edges):
+    """From the supplier of each order's first line to that of its second."""
+    found = graph.path_lengths(edges, pairs)
     return found.select("from_id", "to_id", "hops", graph.reliability(F.col("hops")).alias("reliability"))
 
 
@@ -483,7 +483,7 @@ def entity_by_embedding(ents, queries):
 
 #: Extracted entities: copies of suppliers, some renamed, some with a vector turned away.
 EXTRACTED = """, extracted AS (SELECT id AS probe_id, CASE WHEN id % 3 = 0 THEN upper(name) ELSE name || ' ltd' END AS name,
-  list_transform(embedding, lambda x, i: x + CASE WHEN i <= 32 AND id % 4 > 1 THEN (id % 4) * 0.06::FLOAT ELSE 0 END) AS vector FROM entities WHERE type = 'supplier' AND id % 2 = 0)"""
+  list_transform(embedding, lambda x, i: x + CASE WHEN i <= 32 AND id % 4 > 1 THEN (id % 4) * 0.06::FLOAT ELSE 0 END) AS vector FROM entities WHERE type = 'supplier')"""
 SQL_PARTS["entity_resolution"] = EXTRACTED
 
 
@@ -496,7 +496,7 @@ SELECT probe_id, CASE WHEN bool_or(same) THEN 'exact' WHEN max(sim) >= 0.85 THEN
 )
 def entity_resolution(ents):
     turned = F.transform("embedding", lambda x, i: x + F.when((i < 32) & (F.col("id") % 4 > 1), ((F.col("id") % 4) * F.lit(0.06).cast("float")).cast("float")).otherwise(F.lit(0.0).cast("float")))
-    some = ents.where("type = 'supplier' and id % 2 = 0").select(F.col("id").alias("probe_id"), F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" ltd"))).alias("name"), turned.alias("vector"))
+    some = ents.where("type = 'supplier'").select(F.col("id").alias("probe_id"), F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" ltd"))).alias("name"), turned.alias("vector"))
     return entities.resolve(some, ents)
 
 

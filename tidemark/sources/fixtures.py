@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-02-01 00:00:00"
-QUERY_IDS = (1, 7, 42)
 SESSION, CATEGORY = "session-1", "world_fact"
 
 
@@ -43,7 +42,7 @@ SELECT vec_id AS id, vec_id AS from_id, (vec_id * 7 + 3) % n AS to_id,
   CASE vec_id % 4 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'elaborates' WHEN 2 THEN 'contradicts' ELSE 'consolidates' END AS type,
   CAST(1 + vec_id % 10 AS DOUBLE) AS stability, @BACK(DAY, (vec_id * 5) % 20) AS last_accessed_at, TIMESTAMP '2024-01-01 00:00:00' AS created_at
 FROM embeddings, (SELECT count(*) AS n FROM embeddings) c""",
-    "queries": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id IN (1, 7, 42)",
+    "queries": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0",
     "entities": """
 SELECT id, lower(name) AS name, type, embedding, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM (
   SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name, 'region' AS type FROM region
@@ -61,6 +60,9 @@ UNION ALL SELECT CAST(10000000 + s_suppkey AS BIGINT), CAST(1000 + s_suppkey AS
 SELECT e.vec_id AS id, x.id AS entity_id, e.vec_id AS record_id, TIMESTAMP '2024-01-01 00:00:00' AS created_at
 FROM embeddings e, (SELECT count(*) AS n, min(s_suppkey) AS m FROM supplier) c JOIN entities x ON x.type = 'supplier' AND x.id = 1000 + m + e.vec_id % n
 WHERE e.vec_id % 3 <> 0""",
+    "supplier_pairs": """
+SELECT DISTINCT CAST(1000 + a.l_suppkey AS BIGINT) AS from_id, CAST(1000 + b.l_suppkey AS BIGINT) AS to_id
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2""",
     "insights": """
 SELECT CAST(event_id AS @STR) AS id, concat(event_type, ' by user ', CAST(user_id AS @STR)) AS summary, concat('/ctx/', CAST(event_id AS @STR), '.txt') AS context_file,
   @ARRAY(event_type, concat('user:', CAST(user_id AS @STR)), CASE event_id % 50 WHEN 0 THEN 'permanently_skipped' WHEN 1 THEN 'llm_rate_limited' ELSE 'observation' END) AS tags,
@@ -105,7 +107,7 @@ NEEDS = {"links": ("entities",)}
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One memory table over the data in ``sf_dir``."""
-    base = ("embeddings", "documents", "events", "region", "nation", "supplier", "customer", "conversations")
+    base = ("embeddings", "documents", "events", "region", "nation", "supplier", "customer", "conversations", "lineitem")
     text = spark_sql(name)
     frames = {t: read(spark, sf_dir, t) for t in base if f" {t}" in text} | {n: view(spark, sf_dir, n) for n in NEEDS.get(name, ())}
     text = text.replace("{", "{{").replace("}", "}}")
