@@ -63,8 +63,38 @@ def test_greedy_clusters(spark):
         if len(members) > 1:
             taken.update(members)
             want |= {(seed, m) for m in members}
-    got = {(r.cluster_id, r.id) for r in consolidate.greedy_clusters(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == want
+    for most in (1 << 20, 60, 0):
+        got = {(r.cluster_id, r.id) for r in consolidate.greedy_clusters(spark.createDataFrame(pairs, "a long, b long"), most).collect()}
+        assert got == want
+
+
+def test_prune_long_chains(spark):
+    # Two chains of 40: one hangs on a record that stays, the other on one that goes.
+    records = spark.createDataFrame([record(i, stability=0.1) for i in range(1, 81)] + [record(100, stability=365.0)], S.RECORDS)
+    links = [(i, i + 1) for i in range(1, 40)] + [(i, i + 1) for i in range(41, 80)] + [(100, 1), (3, 45)]
+    edges = spark.createDataFrame([(k, a, b, "consolidates", 1.0, None, None) for k, (a, b) in enumerate(links)], S.EDGES)
+    got = {r.id: r.action for r in consolidate.prune(records, edges, F.lit(datetime(2024, 2, 1))).collect()}
+    assert got == {i: "tombstone" if i < 41 or i > 44 else "delete" for i in range(1, 81)}
+
+
+def test_block_cosines(spark, monkeypatch):
+    from tidemark.operators import vectors
+
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0])]
+    one, two = (spark.createDataFrame(rows, f"{k} long, v array<double>") for k in "ab")
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    want = {}
+    for i, x in rows:
+        for j, y in rows:
+            known = x is not None and y is not None
+            want[i, j] = None if not known else 0.0 if len(x) != len(y) or not dot(x, x) * dot(y, y) else dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+    for rows_at_once in (2048, 7):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", rows_at_once)
+        got = {(r.a, r.b): r.sim for r in vectors.cosines(one, two.withColumn("more", F.lit("m"))).collect()}
+        assert got.keys() == want.keys() and all(v is None and got[k] is None or got[k] == pytest.approx(v) for k, v in want.items())
+        near = {(r.a, r.b) for r in vectors.cosines(one, two, 0.5).collect()}
+        assert near == {k for k, v in want.items() if v is not None and v >= 0.5}
 
 
 def record(i, **more):

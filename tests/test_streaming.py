@@ -27,9 +27,9 @@ def test_budget(spark, tmp_path):
 
 
 def test_compression(spark, tmp_path):
-    phases = spark.createDataFrame([(1, i, 30, 100) for i in range(4)], "conv_id long, seq long, tokens long, max_tokens long")
-    got = drained(stream.compressed(stream_of(spark, phases, str(tmp_path / "p"))), "phases").orderBy("seq").collect()
-    assert [(r.held, r.given_up) for r in got] == [(30, None), (60, None), (60, 30), (60, 30)]
+    phases = spark.createDataFrame([(1, i, 30, 10, 100) for i in range(4)] + [(2, 0, 80, 5, 100)], "conv_id long, seq long, tokens long, short long, max_tokens long")
+    got = drained(stream.compressed(stream_of(spark, phases, str(tmp_path / "p"))), "phases").orderBy("conv_id", "seq").collect()
+    assert [(r.held, r.compressed) for r in got] == [(30, False), (60, False), (70, True), (80, True), (5, True)]
 
 
 def test_salience(spark, tmp_path):

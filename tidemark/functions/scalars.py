@@ -85,7 +85,7 @@ def entity_text(name: Column, kind: Column) -> Column:
 
 
 def valid_session_id(session: Column) -> Column:
-    return session.rlike("^[0-9A-Za-z][0-9A-Za-z_-]{0,127}$")
+    return session.rlike(r"^[0-9A-Za-z][0-9A-Za-z_-]{0,127}\z")
 
 
 def excerpt(text: Column) -> Column:
@@ -123,11 +123,10 @@ def has_entity(entities: Column, name: str | None, kind: str | None) -> Column:
 
 
 def merge_metadata(old: Column, patch: Column) -> Column:
-    """Shallow merge of two JSON objects, the patch winning, keys in order."""
-    raw = "map<string,string>"
-    kept = F.map_filter(F.from_json(old, raw), lambda k, v: ~F.array_contains(F.map_keys(F.from_json(patch, raw)), k))
-    entries = F.array_sort(F.map_entries(F.map_concat(kept, F.from_json(patch, raw))))
-    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    """Shallow merge of two JSON objects as JSON, the patch winning; values keep their types."""
+    raw = "map<string,variant>"
+    kept = F.map_filter(F.from_json(old, raw), lambda k, v: ~F.map_contains_key(F.from_json(patch, raw), k))
+    return F.to_json(F.map_concat(kept, F.from_json(patch, raw)))
 
 
 def clamp(x: Column) -> Column:

@@ -11,6 +11,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators.filters import live
 from tidemark.operators.graph import cut
 from tidemark.operators.vectors import cosines
+from tidemark.sources.store import number_rows
 
 
 def stats(records: DataFrame, as_of: Column) -> DataFrame:
@@ -137,6 +138,13 @@ def gate(summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summaries.where(sure), summaries.where(~sure)
 
 
+def pending(unsure: DataFrame, members: DataFrame, now: Column) -> DataFrame:
+    """Rows for the list of pending consolidations; the id is a hash of what they would consolidate, so it stays the same from cycle to cycle."""
+    sources = members.groupBy("cluster_id").agg(F.array_sort(F.collect_list("id")).alias("source_ids"))
+    name = F.concat(F.lit("pending-"), F.sha2(F.array_join(F.col("source_ids").cast("array<string>"), ","), 256))
+    return unsure.join(sources, "cluster_id").select(name.alias("pending_id"), "summary", "confidence", "source_ids", "preserved_facts", "uncertainties", now.alias("created_at"))
+
+
 def consolidate(records: DataFrame, summaries: DataFrame, members: DataFrame, as_of: Column, next_id: int, deflate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new records, new edges, source updates) of ``summaries`` (cluster_id, summary, confidence, preserved_facts, uncertainties) of ``members`` (cluster_id, id).
 
@@ -145,7 +153,7 @@ def consolidate(records: DataFrame, summaries: DataFrame, members: DataFrame, as
     """
     sources = members.join(live(records), "id")
     facts = sources.groupBy("cluster_id").agg(F.max("importance").alias("importance"), F.max("stability").alias("top"), F.array_sort(F.collect_list("id")).alias("source_ids"))
-    joined = summaries.join(facts, "cluster_id").withColumn("id", F.lit(next_id - 1).cast("long") + F.row_number().over(Window.orderBy("cluster_id")))
+    joined = cut(number_rows(summaries.join(facts, "cluster_id"), "cluster_id", next_id - 1))
     new = joined.select(
         "id", "cluster_id", F.col("summary").alias("data"), F.lit("semantic").alias("tier"), "importance", (F.col("top") * (1 + S.CONSOLIDATION_GAIN * F.col("confidence"))).alias("stability"),
         F.to_json(F.struct("confidence", F.col("preserved_facts").alias("preservedFacts"), "uncertainties", F.col("source_ids").alias("sourceIds"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("consolidatedAt"))).alias("metadata"),
@@ -169,13 +177,12 @@ def prune(records: DataFrame, edges: DataFrame, as_of: Column, least: float = S.
     # Only edges that go up in id between weak records can lose their source first.
     rising = cut(into.where("from_id < to_id").join(weak.withColumnRenamed("id", "from_id"), "from_id", "left_semi"))
     kept = cut(into.join(rising, ["from_id", "to_id"], "left_anti").select(F.col("to_id").alias("id")).distinct())
-    # Every round reaches twice as far: what is kept spreads along edges, and open records inherit the edges of those above them.
+    # Every round reaches twice as far: what is kept spreads along edges, then each edge takes the place of two in a row.
     while not rising.isEmpty():
         new = rising.join(kept.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
         kept = cut(kept.unionByName(new).distinct())
-        still = rising.join(kept.withColumnRenamed("id", "to_id"), "to_id", "left_anti").join(kept.withColumnRenamed("id", "from_id"), "from_id", "left_anti")
-        still = cut(still.select("from_id", "to_id"))
-        above = still.select(F.col("from_id").alias("top"), F.col("to_id").alias("from_id"))
-        rising = cut(still.join(above, "from_id").select(F.col("top").alias("from_id"), "to_id").distinct())
+        above = rising.select(F.col("from_id").alias("top"), F.col("to_id").alias("from_id"))
+        twice = rising.join(above, "from_id").select(F.col("top").alias("from_id"), "to_id").distinct()
+        rising = cut(twice.join(kept.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
     marked = weak.join(kept.withColumn("_kept", F.lit(True)), "id", "left")
     return marked.select("id", F.when(F.coalesce("_kept", F.lit(False)), "tombstone").otherwise("delete").alias("action"))

@@ -9,6 +9,7 @@ from tidemark import schema as S
 from tidemark.functions import scalars as X
 from tidemark.operators import graph
 from tidemark.operators.vectors import cosines
+from tidemark.sources.store import number_rows
 
 
 def near_entities(probes: DataFrame, entities: DataFrame, least: float) -> DataFrame:
@@ -45,7 +46,7 @@ def settle(resolved: DataFrame, verdicts: DataFrame) -> DataFrame:
 def persist(plan: DataFrame, extracted: DataFrame, edges: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new entities, record links, edges by id) of a settled ``plan``; names in lower case, edges (record_id, from_name, to_name, type) within a record, unresolved ones dropped."""
     own = plan.join(extracted, "probe_id")
-    new = own.where("action = 'insert'").withColumn("_id", F.lit(next_id - 1).cast("long") + F.row_number().over(Window.orderBy("probe_id")))
+    new = number_rows(own.where("action = 'insert'"), "probe_id", next_id - 1).withColumnRenamed("id", "_id")
     added = new.select(F.col("_id").alias("id"), F.lower("name").alias("name"), "type", F.col("vector").alias("embedding"))
     ids = own.join(new.select("probe_id", "_id"), "probe_id", "left").select("record_id", F.lower("name").alias("name"), F.coalesce("entity_id", "_id").alias("entity_id"))
     named = ids.dropDuplicates(["record_id", "name"])
@@ -54,6 +55,12 @@ def persist(plan: DataFrame, extracted: DataFrame, edges: DataFrame, next_id: in
     return added, ids.select("record_id", "entity_id").distinct(), low.join(a, ["record_id", "from_name"]).join(b, ["record_id", "to_name"]).select("from_id", "to_id", "type").distinct()
 
 
+def totals(records: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: records processed, entities inserted and reused by a settled ``plan``."""
+    n = plan.agg(F.count_if(F.col("action") == "insert").alias("entities_inserted"), F.count_if(F.col("action") == "reuse").alias("entities_reused"))
+    return records.agg(F.count("*").alias("records_processed")).crossJoin(n)  # one row each
+
+
 def entities_for_records(links: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows (record_id, entity_id, name, type); a repeated link repeats the row."""
     return links.select("record_id", "entity_id").join(entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id")
@@ -79,7 +86,7 @@ def union_entities(lists: DataFrame) -> DataFrame:
 def hint_seeds(hints: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows (from_id, seed_order): distinct entities at 0.75 or more for ``hints`` (probe_id, vector), in hint order, then by similarity."""
     near = near_entities(hints, entities, S.HINT_SIMILARITY).groupBy("entity_id").agg(F.min(F.struct("probe_id", "place")).alias("first"))
-    return near.select(F.col("entity_id").alias("from_id"), F.row_number().over(Window.orderBy("first")).cast("long").alias("seed_order"))
+    return number_rows(near, "first", 0).select(F.col("entity_id").alias("from_id"), F.col("id").alias("seed_order"))
 
 
 def enrich(results: DataFrame, query: DataFrame, links: DataFrame, entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = S.PATH_HOPS) -> DataFrame:

@@ -58,6 +58,12 @@ def live(records: DataFrame) -> DataFrame:
     return records.where(~F.col("tombstoned"))
 
 
+def lookup(records: DataFrame, ids: list[int]) -> DataFrame:
+    """The records with these ids; of a tombstone only its id, that it is one, and since when."""
+    some = records.where(F.col("id").isin(*ids))
+    return some.select(*(c if c in ("id", "tombstoned", "tombstoned_at") else F.when(~F.col("tombstoned"), F.col(c)).alias(c) for c in records.columns))
+
+
 def predicate(o: RecallOptions) -> Column:
     parts = [F.lit(True)]
     if o.tier:

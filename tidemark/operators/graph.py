@@ -13,9 +13,8 @@ from tidemark import schema as S
 _own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the folder of ``spark.checkpoint.dir`` and read it again; only a local session may leave that unset."""
-    spark: SparkSession = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; only a local session may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,16 +22,31 @@ def cut(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tidemark-"))
         base = _own[0]
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to a fresh folder and read it again."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """``edges`` with those of ``new`` whose (from_id, to_id, type) is not there yet, each once, the smallest id of repeats."""
+def touching(edges: DataFrame, ids: list[int]) -> DataFrame:
+    """Edges from or to one of ``ids``."""
+    return edges.where(F.col("from_id").isin(*ids) | F.col("to_id").isin(*ids))
+
+
+def new_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of ``new`` whose (from_id, to_id, type) is not in ``edges`` yet, each once, the smallest id of repeats."""
     key = ["from_id", "to_id", "type"]
     once = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("_n = 1").drop("_n")
-    return edges.unionByName(once.join(edges.select(*key), key, "left_anti").select(*edges.columns))
+    return once.join(edges.select(*key), key, "left_anti").select(*edges.columns)
+
+
+def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """``edges`` and ``new_edges``."""
+    return edges.unionByName(new_edges(edges, new))
 
 
 def neighbors(edges: DataFrame, entities: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:

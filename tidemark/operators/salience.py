@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import scalars as X
+from tidemark.sources.store import number_rows
+
+HOUR_MS = 3_600_000
 
 
 def select_batch(insights: DataFrame, failures: DataFrame | None = None, size: int = S.BATCH_SIZE) -> DataFrame:
@@ -34,17 +40,69 @@ def actions(insights: DataFrame, scores: DataFrame, related: DataFrame) -> DataF
     )
 
 
+def spend(state: tuple[int | None, int, int], ms: int) -> tuple[tuple[int | None, int, int], str]:
+    """One call at ``ms`` milliseconds: the new (start of the hour, calls in it, number of the hour from 0) and the call's mode.
+
+    An hour starts at the first call after the one before has ended.
+    """
+    start, used, hour = state
+    if start is None or ms - start >= HOUR_MS:
+        start, used, hour = ms, 0, hour + (start is not None)
+    used += 1
+    return (start, used, hour), "limited" if used > S.HOURLY_CALLS else "low_cost" if used > S.LOW_COST_CALLS else "normal"
+
+
+def related(results: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (id, related array of (id, data)): of recall ``results`` for ``asked`` (query_id, id, mode) the first ones, fewer in low-cost mode."""
+    most = F.when(F.col("mode") == "low_cost", S.RELATED_LOW_COST).otherwise(S.RELATED_ROWS)
+    near = results.select("query_id", "position", "id", "data").join(asked.select("query_id", F.col("id").alias("insight_id"), "mode"), "query_id").where(F.col("position") <= most)
+    listed = near.groupBy("insight_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "data"))).alias("l"))
+    return listed.select(F.col("insight_id").alias("id"), F.transform("l", lambda r: F.struct(r["id"].alias("id"), r["data"].alias("data"))).alias("related"))
+
+
 def budget(calls: DataFrame) -> DataFrame:
-    """Per insight (id, ts) of an hour of calls: its number in the hour that starts with the first call, and whether it is low-cost or over the limit.
+    """Rows (id, process, hour, call, mode) of calls (id, process, ts): the number of the call in its hour, and whether it is low-cost or over the limit.
+
+    A process's calls are scanned in order with a state of three numbers, so they lie in one task but never in its memory.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        process, state = None, (None, 0, 0)
+        for b in batches:
+            rows = []
+            for name, id_, ms in zip(b["process"], b["id"], b["ms"], strict=True):
+                if name != process:
+                    process, state = name, (None, 0, 0)
+                state, mode = spend(state, ms)
+                rows.append((id_, name, state[2], state[1], mode))
+            yield pd.DataFrame(rows, columns=["id", "process", "hour", "call", "mode"])
+
+    ordered = calls.select("process", "id", F.unix_millis("ts").alias("ms")).repartition("process").sortWithinPartitions("process", "ms", "id")
+    return ordered.mapInPandas(scan, "id string, process string, hour long, call long, mode string")
+
 
-    Hours start at the first call after the one before has ended; with calls sorted by time an hour's start is the running state, so calls are
-    numbered per hour of the fixed grid from each process's first call.
+def promoted(acted: DataFrame, insights: DataFrame, as_of: Column, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """(records, edges) that ``actions`` lead to: a record for each insert and relate, with what it came from as metadata, and an edge for each relate.
+
+    Records take ids from ``next_id`` in the order of the insights' ids; an edge to a record that does not exist is left to the caller to drop.
     """
-    start = Window.partitionBy("process")
-    hour = F.floor((F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(start)) / F.lit(3_600_000_000))
-    numbered = calls.withColumn("hour", hour).withColumn("call", F.row_number().over(Window.partitionBy("process", "hour").orderBy("ts", "id")))
-    mode = F.when(F.col("call") > S.HOURLY_CALLS, "limited").when(F.col("call") > S.LOW_COST_CALLS, "low_cost").otherwise("normal")
-    return numbered.select("id", "process", F.col("hour").cast("bigint").alias("hour"), F.col("call").cast("bigint").alias("call"), mode.alias("mode"))
+    new = acted.where("action in ('insert', 'relate')").join(insights.select("id", "summary"), "id")
+    new = number_rows(new.withColumnRenamed("id", "insight_id"), "insight_id", next_id - 1).withColumnsRenamed({"id": "record_id", "insight_id": "id"})
+    metadata = F.to_json(F.struct(F.lit("salience").alias("source"), F.col("id").alias("insightId"), "tags", "entities"))
+    records = new.select(
+        F.col("record_id").alias("id"), F.col("summary").alias("data"), metadata.alias("metadata"), "tier", "importance", "stability", as_of.alias("last_accessed_at"), F.lit(0).alias("access_count"),
+        as_of.alias("created_at"), F.lit(False).alias("tombstoned"), F.lit(None).cast("timestamp").alias("tombstoned_at"), F.col("summary").alias("episode_summary"),
+    )
+    edges = new.where("action = 'relate' and target_id is not null")
+    return records, edges.select(F.col("record_id").alias("from_id"), F.col("target_id").alias("to_id"), F.col("edge_type").alias("type"), "stability")
+
+
+def tags_after(tags: Column, outcome: Column) -> Column:
+    """Tags of an insight after a cycle with ``outcome`` limited, failed or done: limited and failed add theirs, a third failure one more; done drops the mark of the limit."""
+    failures = F.size(F.filter(tags, lambda t: t == S.FAILED_TAG)) + 1
+    none = F.array().cast("array<string>")
+    failed = F.concat(tags, F.array(F.lit(S.FAILED_TAG)), F.when(failures >= S.MAX_FAILURES, F.array(F.lit("permanently_skipped"))).otherwise(none))
+    return F.when(outcome == "limited", F.array_append(tags, "llm_rate_limited")).when(outcome == "failed", failed).when(outcome == "done", F.array_remove(tags, "llm_rate_limited")).otherwise(tags)
 
 
 def failure_tags(attempts: DataFrame) -> DataFrame:
@@ -73,12 +131,44 @@ def cycle_counters(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("cycles"), total("processed").alias("processed"), total("failures").alias("failures"), total("llm_calls").alias("llm_calls"), (total("llm_calls") * S.TOKENS_PER_CALL).alias("estimated_tokens"))
 
 
-def phase_tokens(phases: DataFrame, max_tokens: int) -> DataFrame:
-    """Per phase its tokens, the running sum in its conversation, and whether that reaches the share at which context is compressed."""
+def compress(state: tuple[int, list[tuple[int, int]]], tokens: int, short: int, most: int) -> tuple[tuple[int, list[tuple[int, int]]], bool]:
+    """One more phase: the new (tokens held, whole phases as pairs of tokens and tokens of their summary) and whether a phase was compressed.
+
+    If the tokens reach the share of ``most``, the oldest whole phase, which may be the new one, gives way to its summary; one at a time.
+    """
+    held, whole = state[0] + tokens, [*state[1], (tokens, short)]
+    full = held / most >= S.COMPRESSION_RATIO
+    if full:
+        (old, new), whole = whole[0], whole[1:]
+        held += new - old
+    return (held, whole), full
+
+
+def sized_phases(phases: DataFrame, summary: Column) -> DataFrame:
+    """Rows (conv_id, seq, tokens, short): tokens of each phase and of its ``summary``."""
     size = X.tokens(X.render_phase(F.col("tool_call"), F.col("tool_result"), F.col("agent_reaction")))
-    running = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    with_size = phases.select("conv_id", "seq", size.cast("bigint").alias("tokens")).withColumn("running", F.sum("tokens").over(running))
-    return with_size.withColumn("compress", F.col("running") / F.lit(float(max_tokens)) >= S.COMPRESSION_RATIO)
+    return phases.select("conv_id", "seq", size.cast("bigint").alias("tokens"), X.tokens(summary).cast("bigint").alias("short"))
+
+
+def phase_tokens(phases: DataFrame, summary: Column, max_tokens: int) -> DataFrame:
+    """Rows (conv_id, seq, tokens, held, compressed): after each phase, the tokens held in its conversation and whether a phase was compressed.
+
+    Conversations are scanned in order; a task holds one conversation's whole phases as numbers.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conv, state = None, (0, [])
+        for b in batches:
+            rows = []
+            for c, seq, tokens, short in zip(b["conv_id"], b["seq"], b["tokens"], b["short"], strict=True):
+                if c != conv:
+                    conv, state = c, (0, [])
+                state, done = compress(state, tokens, short, max_tokens)
+                rows.append((c, seq, tokens, state[0], done))
+            yield pd.DataFrame(rows, columns=["conv_id", "seq", "tokens", "held", "compressed"])
+
+    sized = sized_phases(phases, summary).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "tokens", "short")
+    return sized.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInPandas(scan, "conv_id long, seq long, tokens long, held long, compressed boolean")
 
 
 def purge_pending(pending: DataFrame, as_of: Column, hours: float = S.PENDING_HOURS) -> DataFrame:

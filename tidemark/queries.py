@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions import scalars as X
 from tidemark.operators import consolidate, entities, graph, recall, salience, serialize
-from tidemark.operators.filters import RecallOptions, candidates, live
-from tidemark.sources import fixtures, store
+from tidemark.operators.filters import RecallOptions, candidates, live, lookup
+from tidemark.sources import fixtures, store, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,7 +92,8 @@ TOP_UP = sql_results(0.45, 12, 60)
 SQL_PARTS |= {k: SCORED for k in ("cosine_topk", "effective_score")}
 SQL_PARTS |= {k: RANKED for k in ("rank_semantic", "rank_temporal", "rank_entity")}
 SQL_PARTS |= {"rank_associative": REACHED, "rrf_fusion": FUSED, "decay_events": FUSED, "edge_strengthen_updates": FUSED, "superseded_lookup": SUPERSEDERS}
-SQL_PARTS |= {k: RESULTS for k in ("recall_full", "strengthen_updates", "relevance_serialize", "context_merge", "context_boost", "companion_injection")}
+SQL_PARTS |= {k: RESULTS for k in ("recall_full", "strengthen_updates", "relevance_serialize", "context_merge", "context_boost", "companion_injection", "recall_enrichment")}
+SQL_PARTS["related_lookup"] = sql_results(0.05, 0, 3)
 SQL_PARTS |= {"recall_topup": TOP_UP}
 
 
@@ -113,7 +114,7 @@ def live_scan(records):
 
 @query("SELECT id, tombstoned, CASE WHEN NOT tombstoned THEN data END AS data, tombstoned_at FROM records WHERE id IN (37, 38)", ("records",))
 def point_lookup(records):
-    return records.where(F.col("id").isin(37, 38)).select("id", "tombstoned", F.when(~F.col("tombstoned"), F.col("data")).alias("data"), "tombstoned_at")
+    return lookup(records, [37, 38]).select("id", "tombstoned", "data", "tombstoned_at")
 
 
 @query("SELECT id, created_at, tier FROM records WHERE NOT tombstoned ORDER BY created_at DESC, id LIMIT 20", ("records",))
@@ -140,9 +141,9 @@ def filter_entity_exists(records):
     return live(records).where(X.has_entity(X.entities_of(F.col("metadata")), "LABEL1", " Concept ")).select("id")
 
 
-@query("SELECT id, regexp_matches(session_id, '^[0-9A-Za-z][0-9A-Za-z_-]{0,127}$') AS valid, regexp_matches('-' || session_id, '^[0-9A-Za-z][0-9A-Za-z_-]{0,127}$') AS prefixed FROM records", ("records",))
+@query("SELECT id, regexp_matches(session_id, '^[0-9A-Za-z][0-9A-Za-z_-]{0,127}$') AS valid, regexp_matches('-' || session_id, '^[0-9A-Za-z][0-9A-Za-z_-]{0,127}$') AS prefixed, regexp_matches(session_id || chr(10), '^[0-9A-Za-z][0-9A-Za-z_-]{0,127}$') AS broken FROM records", ("records",))
 def session_id_valid(records):
-    return records.select("id", X.valid_session_id(F.col("session_id")).alias("valid"), X.valid_session_id(F.concat(F.lit("-"), "session_id")).alias("prefixed"))
+    return records.select("id", X.valid_session_id(F.col("session_id")).alias("valid"), X.valid_session_id(F.concat(F.lit("-"), "session_id")).alias("prefixed"), X.valid_session_id(F.concat("session_id", F.lit("\n"))).alias("broken"))
 
 
 def _insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +172,14 @@ def delete_cascade(records, edges):
     return total(kept, "records").unionByName(total(linked, "edges"))
 
 
-@query("""SELECT id, x.key, CASE WHEN x.key = 'confidence' THEN '0.25' ELSE 'patched' END AS value FROM records, (SELECT unnest(['confidence', 'source']) AS key) x WHERE NOT tombstoned""", ("records",))
+@query(
+    """SELECT id, k AS key, json_extract(m, '$."' || k || '"')::VARCHAR AS value FROM (
+  SELECT id, m, unnest(json_keys(m)) AS k FROM (SELECT id, json_merge_patch(metadata, '{"confidence": 0.25, "source": "patched"}') AS m FROM records WHERE NOT tombstoned))""",
+    ("records",),
+)
 def metadata_patch(records):
-    merged = live(records).select("id", F.explode(X.merge_metadata(F.col("metadata"), F.lit('{"confidence": 0.25, "source": "patched"}'))).alias("e"))
-    return merged.select("id", "e.key", "e.value").where("key in ('confidence', 'source')")
+    merged = live(records).select("id", F.explode(F.from_json(X.merge_metadata(F.col("metadata"), F.lit('{"confidence": 0.25, "source": "patched"}')), "map<string,variant>")))
+    return merged.select("id", "key", F.to_json("value").alias("value"))
 
 
 @query("SELECT id, CASE WHEN id % 6 = 0 THEN 99.5 ELSE stability END AS stability, CASE WHEN id % 6 = 0 THEN access_count + 1 ELSE access_count END AS access_count FROM records", ("records",))
@@ -185,7 +190,7 @@ def stability_update(records):
 
 @query("SELECT e.id, from_id, to_id, type FROM edges e WHERE from_id = 3 OR to_id = 3", ("edges",))
 def edge_lookup(edges):
-    return edges.where("from_id = 3 or to_id = 3").select("id", "from_id", "to_id", "type")
+    return graph.touching(edges, [3]).select("id", "from_id", "to_id", "type")
 
 
 @query("SELECT x.id AS from_id, x.id * 2 AS to_id, 1 + 9 * r.importance AS stability FROM records x JOIN records r ON r.id = x.id WHERE x.id * 2 IN (SELECT id FROM records)", ("records",))
@@ -196,7 +201,12 @@ def relate_edges(records):
 
 @query("SELECT sum(id)::BIGINT AS ids, count(*) AS n, count(*) FILTER (tombstoned) AS tombstoned FROM records", ("records",))
 def snapshot_fork(records):
-    return graph.cut(records).agg(F.sum("id").alias("ids"), F.count("*").alias("n"), F.count_if("tombstoned").alias("tombstoned"))
+    base = graph.scratch_path(records.sparkSession)
+    whole = store.Store(records.sparkSession, f"{base}/a")
+    whole.commit(records=records)
+    fork = whole.fork(f"{base}/b")
+    whole.commit(records=records.limit(0))
+    return fork.read("records").agg(F.sum("id").alias("ids"), F.count("*").alias("n"), F.count_if("tombstoned").alias("tombstoned"))
 
 
 # Scores and ranked lists
@@ -366,7 +376,7 @@ def stm_stats(insights):
 
 PAIRS = f"SELECT a.id AS a, b.id AS b FROM cands a JOIN cands b ON a.id < b.id AND {sql_cosine('a.embedding', 'b.embedding')} >= 0.3"
 CANDS = ", cands AS (SELECT id, embedding, created_at FROM records WHERE NOT tombstoned AND tier = 'episodic' AND access_count >= 2)"
-SQL_PARTS |= {k: CANDS for k in ("similarity_pairs", "consolidation_candidates")}
+SQL_PARTS |= {k: CANDS for k in ("similarity_pairs", "consolidation_candidates", "greedy_clusters")}
 
 
 @query("SELECT id FROM cands", ("records",))
@@ -379,7 +389,16 @@ def similarity_pairs(records):
     return consolidate.similar_pairs(consolidate.consolidation_candidates(records), 0.3)
 
 
-@query(None, ("records",))
+@query(
+    f""", pairs AS ({PAIRS}), p AS (SELECT list(a * 10000000 + b) AS near, list_sort(list_distinct(list_concat(list(a), list(b)))) AS ids FROM pairs),
+scan AS (SELECT []::BIGINT[] AS members, ids AS rest FROM p UNION ALL
+  SELECT members, list_filter(rest[2:], lambda x: NOT list_contains(members, x)) FROM (
+    SELECT rest, list_reduce(list_transform(list_filter(rest[2:], lambda x: list_contains(near, rest[1] * 10000000 + x)), lambda x: [x]),
+      lambda m, y: CASE WHEN len(list_filter(m, lambda z: NOT list_contains(near, z * 10000000 + y[1]))) = 0 THEN list_concat(m, y) ELSE m END, [rest[1]]) AS members
+    FROM scan, p WHERE len(rest) > 0))
+SELECT members[1] AS cluster_id, unnest(members) AS id FROM scan WHERE len(members) > 1""",
+    ("records",),
+)
 def greedy_clusters(records):
     return consolidate.greedy_clusters(consolidate.similar_pairs(consolidate.consolidation_candidates(records), 0.3))
 
@@ -484,20 +503,46 @@ def entity_by_embedding(ents, queries):
 #: Extracted entities: copies of suppliers, some renamed, some with a vector turned away.
 EXTRACTED = """, extracted AS (SELECT id AS probe_id, CASE WHEN id % 3 = 0 THEN upper(name) ELSE name || ' ltd' END AS name,
   list_transform(embedding, lambda x, i: x + CASE WHEN i <= 32 AND id % 4 > 1 THEN (id % 4) * 0.06::FLOAT ELSE 0 END) AS vector FROM entities WHERE type = 'supplier')"""
-SQL_PARTS["entity_resolution"] = EXTRACTED
+RESOLVED = EXTRACTED + f""", near AS (SELECT x.probe_id, e.id AS entity_id, lower(e.name) = lower(x.name) AS same, {sql_cosine('x.vector', 'e.embedding')} AS sim FROM extracted x, entities e WHERE {sql_cosine('x.vector', 'e.embedding')} >= 0.7),
+placed AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, entity_id) AS p FROM near),
+resolved AS (SELECT probe_id, CASE WHEN bool_or(same) THEN 'exact' WHEN max(sim) >= 0.85 THEN 'merge' WHEN count(sim) > 0 THEN 'llm-needed' ELSE 'distinct' END AS decision,
+  coalesce(arg_min(entity_id, p) FILTER (same), arg_min(entity_id, p)) AS entity_id FROM extracted LEFT JOIN placed USING (probe_id) GROUP BY probe_id)"""
+SQL_PARTS |= {k: RESOLVED for k in ("entity_resolution", "entity_persist", "extraction_totals")}
+
+
+def _extracted(ents):
+    turned = F.transform("embedding", lambda x, i: x + F.when((i < 32) & (F.col("id") % 4 > 1), ((F.col("id") % 4) * F.lit(0.06).cast("float")).cast("float")).otherwise(F.lit(0.0).cast("float")))
+    return ents.where("type = 'supplier'").select(F.col("id").alias("probe_id"), F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" ltd"))).alias("name"), turned.alias("vector"))
+
+
+def _settled(ents):
+    """Even probes' open cases are the same entity."""
+    resolved = entities.resolve(_extracted(ents), ents)
+    return entities.settle(resolved, ents.select(F.col("id").alias("probe_id"), (F.col("id") % 2 == 0).alias("same")))
+
+
+@query("SELECT * FROM resolved", ("entities",))
+def entity_resolution(ents):
+    return entities.resolve(_extracted(ents), ents)
 
 
 @query(
-    f""", near AS (SELECT x.probe_id, e.id AS entity_id, lower(e.name) = lower(x.name) AS same, {sql_cosine('x.vector', 'e.embedding')} AS sim FROM extracted x, entities e WHERE {sql_cosine('x.vector', 'e.embedding')} >= 0.7),
-placed AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, entity_id) AS p FROM near)
-SELECT probe_id, CASE WHEN bool_or(same) THEN 'exact' WHEN max(sim) >= 0.85 THEN 'merge' WHEN count(sim) > 0 THEN 'llm-needed' ELSE 'distinct' END AS decision,
-  coalesce(arg_min(entity_id, p) FILTER (same), arg_min(entity_id, p)) AS entity_id FROM extracted LEFT JOIN placed USING (probe_id) GROUP BY probe_id""",
+    """SELECT 9999999 + row_number() OVER (ORDER BY probe_id) AS id, lower(name) AS name FROM resolved JOIN extracted USING (probe_id) WHERE decision = 'distinct' OR decision = 'llm-needed' AND probe_id % 2 = 1""",
     ("entities",),
 )
-def entity_resolution(ents):
-    turned = F.transform("embedding", lambda x, i: x + F.when((i < 32) & (F.col("id") % 4 > 1), ((F.col("id") % 4) * F.lit(0.06).cast("float")).cast("float")).otherwise(F.lit(0.0).cast("float")))
-    some = ents.where("type = 'supplier'").select(F.col("id").alias("probe_id"), F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" ltd"))).alias("name"), turned.alias("vector"))
-    return entities.resolve(some, ents)
+def entity_persist(ents):
+    named = _extracted(ents).withColumns({"record_id": F.col("probe_id"), "type": F.lit("supplier")})
+    none = named.select("record_id", F.col("name").alias("from_name"), F.col("name").alias("to_name"), "type").limit(0)
+    return entities.persist(_settled(ents), named, none, 10_000_000)[0].select("id", "name")
+
+
+@query(
+    """SELECT count(*) AS records_processed, count(*) FILTER (decision = 'distinct' OR decision = 'llm-needed' AND probe_id % 2 = 1) AS entities_inserted,
+  count(*) FILTER (decision IN ('exact', 'merge') OR decision = 'llm-needed' AND probe_id % 2 = 0) AS entities_reused FROM resolved""",
+    ("entities",),
+)
+def extraction_totals(ents):
+    return entities.totals(_extracted(ents), _settled(ents))
 
 
 @query(
@@ -519,7 +564,16 @@ def hint_seeds(queries, ents):
     return entities.hint_seeds(queries.withColumnRenamed("query_id", "probe_id"), ents)
 
 
-@query(None, ("records", "edges", "queries", "links", "entities", "entity_edges"))
+@query(
+    f""", top AS (SELECT query_id, id FROM results WHERE position <= 3),
+linked AS (SELECT t.query_id, t.id, l.id AS link_id, entity_id, {sql_cosine('q.vector', 'e.embedding')} AS near FROM top t JOIN queries q USING (query_id) JOIN links l ON l.record_id = t.id JOIN entities e ON e.id = l.entity_id),
+chosen AS (SELECT query_id, id, arg_min(entity_id, row(-near, link_id)) AS selected_id FROM linked GROUP BY query_id, id),
+seeds AS (SELECT id AS from_id, row_number() OVER (ORDER BY id) AS seed_order FROM entities WHERE type = 'supplier' QUALIFY seed_order <= 3),
+walk AS (SELECT from_id AS start_id, from_id AS id, 0 AS hops FROM seeds UNION SELECT start_id, to_id, hops + 1 FROM walk JOIN entity_edges ON from_id = walk.id WHERE hops < 10),
+best AS (SELECT w.id AS to_id, arg_min(start_id, row(hops, seed_order)) AS origin_id, min(hops) AS hops FROM walk w JOIN seeds ON from_id = start_id GROUP BY w.id)
+SELECT query_id, c.id, selected_id, origin_id, hops, CASE WHEN coalesce(hops, 0) <= 5 THEN 'ok' ELSE 'degraded' END AS reliability FROM chosen c LEFT JOIN best ON to_id = selected_id""",
+    ("records", "edges", "queries", "links", "entities", "entity_edges"),
+)
 def recall_enrichment(records, edges, queries, links, ents, entity_edges):
     seeds = ents.where("type = 'supplier'").select(F.col("id").alias("from_id"), F.row_number().over(recall.Window.orderBy("id")).alias("seed_order")).where("seed_order <= 3")
     enriched = entities.enrich(_lists(records, edges, queries).results, queries, links, ents, entity_edges, seeds)
@@ -562,14 +616,47 @@ def salience_actions(insights, scores):
     return acted.select("id", "action", "tier", F.round("importance", 6).alias("importance"), "target_id", "edge_type", F.array_join("tags", ",").alias("tags"))
 
 
+@query("SELECT query_id AS id, string_agg(id::VARCHAR, ',' ORDER BY position) AS related FROM results WHERE query_id % 100 = 0 OR position = 1 GROUP BY query_id", RECALL_VIEWS)
+def related_lookup(records, edges, queries):
+    """Every second query is asked in low-cost mode."""
+    asked = queries.select("query_id", F.col("query_id").alias("id"), F.when(F.col("query_id") % 100 == 0, "normal").otherwise("low_cost").alias("mode"))
+    found = salience.related(_lists(records, edges, queries, RecallOptions(threshold=0.05, limit=S.RELATED_ROWS)).results, asked)
+    return found.select("id", F.array_join(F.col("related.id").cast("array<string>"), ",").alias("related"))
+
+
+PARSED = """, parsed AS (SELECT insight_id AS id, json_extract_string(raw, '$.action') AS a, greatest(least(1, json_extract_string(raw, '$.importanceScore')::DOUBLE), least(1, coalesce(json_extract_string(raw, '$.goalRelevance')::DOUBLE, 0))) AS imp,
+  json_extract_string(raw, '$.targetId')::BIGINT AS target, json_extract_string(raw, '$.edgeType') AS edge FROM llm_scores),
+promoted AS (SELECT 999999 + row_number() OVER (ORDER BY id) AS record_id, id, summary, imp, a = 'relate' AND target IS NOT NULL AS relates, target, CASE WHEN edge = 'likes' THEN 'elaborates' ELSE edge END AS edge
+  FROM parsed JOIN insights USING (id) WHERE a IN ('insert', 'relate'))"""
+SQL_PARTS |= {k: PARSED for k in ("salience_records", "salience_edges")}
+
+
+def _promoted(insights, scores):
+    acted = salience.actions(insights, scores, insights.select("id", F.lit(0).alias("n")).limit(0))
+    return salience.promoted(acted, insights, fixtures.as_of(), 1_000_000)
+
+
+@query("SELECT record_id AS id, summary AS data, 'salience' AS source, id AS insight_id, CASE WHEN NOT relates AND imp >= 0.7 THEN 'semantic' ELSE 'episodic' END AS tier, round(1 + 9 * imp, 6) AS stability FROM promoted", ("insights", "llm_scores"))
+def salience_records(insights, scores):
+    part = lambda p: F.get_json_object("metadata", f"$.{p}")
+    return _promoted(insights, scores)[0].select("id", "data", part("source").alias("source"), part("insightId").alias("insight_id"), "tier", F.round("stability", 6).alias("stability"))
+
+
+@query("SELECT record_id AS from_id, target AS to_id, edge AS type FROM promoted WHERE relates", ("insights", "llm_scores"))
+def salience_edges(insights, scores):
+    return _promoted(insights, scores)[1].select("from_id", "to_id", "type")
+
+
 @query(
-    """SELECT id, process, hour, call, CASE WHEN call > 200 THEN 'limited' WHEN call > 150 THEN 'low_cost' ELSE 'normal' END AS mode FROM (
-  SELECT id, process, hour, row_number() OVER (PARTITION BY process, hour ORDER BY ts, id) AS call FROM (
-    SELECT id, 'salience' AS process, ts, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) // 3600000000 AS hour FROM (SELECT id, TIMESTAMP '2024-01-01' + to_seconds(id::BIGINT * 9 % 86400) AS ts FROM insights)))""",
+    """, calls AS (SELECT id, TIMESTAMP '2024-01-01' + to_seconds((id::BIGINT * 9 + id::BIGINT // 3000 * 1500) % 86400) AS ts FROM insights),
+hours AS (SELECT 0 AS hour, min(ts) AS start FROM calls UNION ALL
+  SELECT * FROM (SELECT hour + 1, (SELECT min(ts) FROM calls WHERE ts >= hours.start + INTERVAL 1 HOUR) AS start FROM hours) WHERE start IS NOT NULL)
+SELECT id, 'salience' AS process, hour, call, CASE WHEN call > 200 THEN 'limited' WHEN call > 150 THEN 'low_cost' ELSE 'normal' END AS mode FROM (
+  SELECT id, hour, row_number() OVER (PARTITION BY hour ORDER BY ts, id) AS call FROM (SELECT id, ts, max(hour) AS hour FROM calls JOIN hours ON start <= ts GROUP BY ALL))""",
     ("insights",),
 )
 def rate_budget(insights):
-    at = F.timestamp_add("SECOND", (F.col("id").cast("bigint") * 9 % 86400).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    at = F.timestamp_add("SECOND", ((F.col("id").cast("bigint") * 9 + F.floor(F.col("id").cast("bigint") / 3000) * 1500) % 86400).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     return salience.budget(insights.select("id", F.lit("salience").alias("process"), at.alias("ts")))
 
 
@@ -591,18 +678,22 @@ def mark_processed(insights):
 
 
 @query(
-    """SELECT conv_id, seq, tokens, running, running / 500.0::DOUBLE >= 0.7 AS compress FROM (
-  SELECT conv_id, seq, tokens, sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (
-    SELECT conv_id, seq, ceil(length(concat_ws(chr(10), tool_call, tool_result, agent_reaction)) / 4.0::DOUBLE)::BIGINT AS tokens FROM phases))""",
+    """, sized AS (SELECT conv_id::BIGINT AS conv_id, seq::BIGINT AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS n, ceil(length(concat_ws(chr(10), tool_call, tool_result, agent_reaction)) / 4.0::DOUBLE)::BIGINT AS tokens,
+  ceil(length(left(tool_result, 40)) / 4.0::DOUBLE)::BIGINT AS short FROM phases),
+run AS (SELECT DISTINCT conv_id, 0::BIGINT AS seq, 0::BIGINT AS n, 0::BIGINT AS tokens, 0::BIGINT AS held, 0::BIGINT AS given, false AS compressed FROM sized UNION ALL
+  SELECT s.conv_id, s.seq, s.n, s.tokens, CASE WHEN (held + s.tokens) / 500.0::DOUBLE >= 0.7 THEN held + s.tokens - o.tokens + o.short ELSE held + s.tokens END,
+    CASE WHEN (held + s.tokens) / 500.0::DOUBLE >= 0.7 THEN given + 1 ELSE given END, (held + s.tokens) / 500.0::DOUBLE >= 0.7
+  FROM run JOIN sized s ON s.conv_id = run.conv_id AND s.n = run.n + 1 JOIN sized o ON o.conv_id = run.conv_id AND o.n = run.given + 1)
+SELECT conv_id, seq, tokens, held, compressed FROM run WHERE n > 0""",
     ("phases",),
 )
 def phase_tokens(phases):
-    return salience.phase_tokens(phases, 500)
+    return salience.phase_tokens(phases, F.substring("tool_result", 1, 40), 500)
 
 
 @query("SELECT id, 'agent:a1,run:r-' || id || ',observation' AS tags FROM insights", ("insights",))
 def afferent_tags(insights):
-    return insights.select("id", F.array_join(F.array(F.lit("agent:a1"), F.concat(F.lit("run:r-"), "id"), F.lit("observation")), ",").alias("tags"))
+    return insights.select("id", F.array_join(text.observation_tags(F.lit("a1"), F.concat(F.lit("r-"), "id")), ",").alias("tags"))
 
 
 @query("SELECT id, CASE WHEN importance >= 0.7 THEN 'high' WHEN importance >= 0.5 THEN 'medium' ELSE 'low' END AS relevance, strftime(created_at, '%Y-%m-%d') AS recorded_on, array_to_string(from_json(json_extract(metadata, '$.tags'), '[\"VARCHAR\"]'), ',') AS tags FROM records", ("records",))

@@ -13,6 +13,8 @@ ENTITY_EDGES = "id BIGINT, from_id BIGINT, to_id BIGINT, type STRING, weight DOU
 LINKS = "id BIGINT, entity_id BIGINT, record_id BIGINT, created_at TIMESTAMP"
 INSIGHTS = "id STRING, summary STRING, context_file STRING, tags ARRAY<STRING>, ts TIMESTAMP, processed BOOLEAN, safe_to_delete BOOLEAN"
 PENDING = "pending_id STRING, summary STRING, confidence DOUBLE, source_ids ARRAY<BIGINT>, preserved_facts ARRAY<STRING>, uncertainties ARRAY<STRING>, created_at TIMESTAMP"
+EVENTS = "name STRING, at TIMESTAMP, payload STRING"
+BUDGETS = "process STRING, start TIMESTAMP, used BIGINT"
 ENTITY_LIST = "ARRAY<STRUCT<name: STRING, type: STRING>>"
 
 # Fixed values of the memory model.
@@ -37,6 +39,8 @@ SPREAD_DAYS = 30
 FALSE_MEMORY_CONFIDENCE = 0.5
 HOURLY_CALLS, LOW_COST_CALLS = 200, 150
 BATCH_SIZE, PENDING_TRIGGER, MAX_FAILURES = 10, 10, 3
+RELATED_ROWS, RELATED_LOW_COST = 3, 1
+EXTRACTION_LEASE_S, SALIENCE_CADENCE_S, CONSOLIDATION_CADENCE_S = 60, 300, 3600
 TOKENS_PER_CALL = 500
 PROMOTION_IMPORTANCE = 0.7
 ENTITY_MERGE, ENTITY_AMBIGUOUS = 0.85, 0.70
