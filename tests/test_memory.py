@@ -124,3 +124,37 @@ def test_prompts(spark):
     assert "- [id:7] old" in r[0] and "x" * 200 in r[0] and "x" * 201 not in r[0] and "[id:" not in r[1]
     assert "Episode 1" in r[2] and f"{now:%Y-%m-%d}T00:00:00.000Z" in r[2] and '[0] Extracted: "Ann" (person) | Existing: "anne" (id: 3)' in r[3] and "- Ann (person)" in r[4]
     assert "x" * 200 in prompts.system("coder", "x" * 300, "idle") and "Agent state: odd." in prompts.system(state="odd")
+
+
+def test_retries_and_files(spark, tmp_path):
+    from tidemark.operators import salience
+
+    calls = []
+
+    def flaky(df):
+        calls.append(df.count())
+        good = F.when(F.col("id") == "a", "x").when((F.col("id") == "b") & F.lit(len(calls) > 1), "y")
+        return df.select(F.col("id").alias("insight_id"), good.alias("raw"))
+
+    got = salience.retried(flaky)(spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p")], "id string, prompt string")).collect()
+    assert calls == [3, 2, 1] and {(r.insight_id, r.raw, r.attempts) for r in got} == {("a", "x", 1), ("b", "y", 2), ("c", None, 3)}
+    folder = tmp_path / "ctx" / "s1"
+    folder.mkdir(parents=True)
+    for name in ("old", "named", "free"):
+        (folder / f"{name}.ctx").write_text("t")
+    memory = Memory(spark, str(tmp_path / "m"), embed, "toy")
+    rows = [("1", "s", f"file:{folder}/named.ctx", [], datetime(2024, 1, 1), False, None), ("2", "s", f"file:{folder}/free.ctx", [], datetime(2024, 1, 1), True, True)]
+    memory.log_insights(spark.createDataFrame(rows, S.INSIGHTS))
+    assert memory.clean_context() == 1 and memory.prune_context(str(tmp_path / "ctx"), 1, datetime(2099, 1, 1)) == 1
+    assert [p.name for p in folder.iterdir() if p.suffix == ".ctx"] == ["named.ctx"]
+
+
+def test_schedule(spark, tmp_path):
+    from tidemark.streaming import salience_stream as stream
+
+    runs = []
+    assert stream.schedule(spark, 0, lambda: runs.append(1), str(tmp_path / "c")) is None
+    q = stream.schedule(spark, 1, lambda: runs.append(1), str(tmp_path / "c"))
+    q.awaitTermination(8)
+    q.stop()
+    assert runs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import scalars as X
+from tidemark.operators.graph import cut
 from tidemark.sources.store import number_rows
 
 HOUR_MS = 3_600_000
@@ -23,6 +24,21 @@ def select_batch(insights: DataFrame, failures: DataFrame | None = None, size: i
     return ready.orderBy("ts", "id").limit(size)
 
 
+def retried(score: Callable[[DataFrame], DataFrame], times: int = S.SCORE_ATTEMPTS) -> Callable[[DataFrame], DataFrame]:
+    """A scorer that asks ``score`` (id, prompt -> insight_id, raw) again for what it gave no answer to, ``times`` in all: (insight_id, raw, attempts)."""
+
+    def ask(asked: DataFrame) -> DataFrame:
+        open_, done = asked, None
+        for attempt in range(1, times + 1):
+            got = cut(open_.select("id").join(score(open_).select(F.col("insight_id").alias("id"), "raw"), "id", "left"))
+            answered = got.where(F.col("raw").isNotNull() | F.lit(attempt == times)).select(F.col("id").alias("insight_id"), "raw", F.lit(attempt).alias("attempts"))
+            done = answered if done is None else done.unionByName(answered)
+            open_ = open_.join(got.where("raw is null").select("id"), "id", "left_semi")
+        return done
+
+    return ask
+
+
 def actions(insights: DataFrame, scores: DataFrame, related: DataFrame) -> DataFrame:
     """What each scored insight leads to: (id, action, tier, importance, stability, target_id, edge_type, tags, entities).
 

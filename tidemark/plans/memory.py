@@ -257,6 +257,14 @@ class Memory:
 
     def consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float = S.PROCESS_SIMILARITY) -> None:
         """Cluster, split by time, summarise with ``summarise`` (cluster_id, id, data, ... -> cluster_id, summary, confidence, preserved_facts, uncertainties); unsure ones wait."""
+        if not self.store.acquire("consolidation", 2 * S.CONSOLIDATION_CADENCE_S, as_of):
+            return
+        try:
+            self._consolidate(summarise, as_of, similarity)
+        finally:
+            self.store.release("consolidation")
+
+    def _consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float) -> None:
         records, now = self.store.read("records"), self._at(as_of)
         pool = consolidate.consolidation_candidates(records)
         clusters = consolidate.greedy_clusters(consolidate.similar_pairs(pool, similarity))
@@ -266,6 +274,7 @@ class Memory:
         summaries = graph.cut(summarise(members.join(pool, "id")))
         sure, unsure = consolidate.gate(summaries)
         self._write_summaries(records, sure, members, now, consolidate.pending(unsure, members, now))
+        self.store.commit(append={"events": self._event("consolidation:end", as_of, {"clusters": sure.count(), "pending": unsure.count()})})
 
     def _write_summaries(self, records: DataFrame, summaries: DataFrame, members: DataFrame, now: Column, waiting: DataFrame | None = None, pending: DataFrame | None = None) -> None:
         """Commit the records, edges and halved stabilities of ``summaries``, with what waits or what is left waiting."""
@@ -305,6 +314,14 @@ class Memory:
         })
         return plan.agg(F.count("*").alias("pruned")).join(live(self.store.read("records")).agg(F.count("*").alias("remaining")))
 
+    def clean_context(self) -> int:
+        """Delete the context files whose insights allow it; returns how many."""
+        return text.delete_files(text.deletable_files(self.store.read("insights")).withColumnRenamed("context_file", "path"))
+
+    def prune_context(self, folder: str, days: float, as_of: datetime) -> int:
+        """Delete context files of at least ``days`` that no open insight names; returns how many."""
+        return text.delete_files(text.stale_files(text.context_files(self.spark, folder), self.store.read("insights"), self._at(as_of), days))
+
     def stats(self, as_of: datetime, files: DataFrame | None = None) -> DataFrame:
         """One row: records, open insights, totals of past cycles from the event log, and with ``files`` the context folder's."""
         now, events = self._at(as_of), self.store.read("events")

@@ -61,6 +61,15 @@ def deletable_files(insights: DataFrame) -> DataFrame:
     return insights.where(F.coalesce("safe_to_delete", F.lit(False))).select("context_file").distinct()
 
 
+def delete_files(files: DataFrame) -> int:
+    """Delete the files named in ``files`` (path), one by one; those that are gone already do not count. Returns how many were deleted."""
+    spark, n = files.sparkSession, 0
+    for row in files.select("path").distinct().toLocalIterator():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row.path)
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False))
+    return n
+
+
 def parse_requests(lines: DataFrame) -> DataFrame:
     """Rows (id, type, payload) of JSON lines (value), batch or stream; malformed lines and unknown types are dropped."""
     parsed = lines.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.payload").alias("payload"))
