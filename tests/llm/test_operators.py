@@ -147,6 +147,44 @@ def test_toxic_words_are_found(spark):
     assert toxicity.reject(docs, docs).count() == 300
 
 
+def test_toxicity_query_against_brute_force(spark, docs, labels, texts):
+    """Terms, weights, cosines and votes of the whole query from scratch."""
+    every = dict(enumerate(texts)) | {900: "alpha " * 20000 + "omega", 901: "unseen words only"}
+    more = spark.createDataFrame([(i, every[i]) for i in (900, 901)], "doc_id long, text string")
+    got = by_id(toxicity.classify(docs.select("doc_id", "text").unionByName(more), labels))
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    prior = (sum(known.values()) + 1) / (len(known) + 2)
+    fitted = sorted(set(known) & set(every))
+
+    def terms(t):
+        return Counter(bytes(c if c > 127 or chr(c).isalnum() else 32 for c in (t or "").encode()).lower().split())
+
+    counts, n = {i: terms(every[i]) for i in fitted}, len(fitted)
+    n1 = sum(known[i] for i in fitted)
+    idf = {}
+    for w in {w for c in counts.values() for w in c}:
+        both, a = sum(w in c for c in counts.values()), sum(w in counts[i] and known[i] for i in fitted)
+        b, spread = both - a, both * (n - both) * n1 * (n - n1)
+        chi = n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / spread if spread else 0.0
+        idf[w] = (math.log((1 + n) / (1 + both)) + 1) * math.sqrt(1 + chi)
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * idf[w] for w, k in c.items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(c) for i, c in counts.items()}
+    for i, t in every.items():
+        q = vector(terms(t))
+        sims = {e: sum(x * v.get(w, 0.0) for w, x in q.items()) for e, v in examples.items()}
+        near = sorted((e for e in sims if sims[e] > 1e-9), key=lambda e: (-round(sims[e], 6), e))[:15]
+        want = prior if not q else (sum(sims[e] * known[e] for e in near) + toxicity.DOUBT * prior) / (sum(sims[e] for e in near) + toxicity.DOUBT)
+        assert got[i].score == pytest.approx(want, abs=1e-3) and len(got[i].neighbours) == len(near)
+
+
 def test_every_term_counts(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(20)), int(i % 4 == 0)) for i in range(200)]

@@ -27,21 +27,26 @@ START = {"good": 0.8, "bad_if_good": 0.02, "bad_if_bad": 0.4, "good_if_good": 0.
 def repeat_words(array_of_words: Column) -> Column:
     """How many words lie in a three-word window that occurs twice or more, the first time included."""
 
+    same = lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])
+
     def covered(marked: Column) -> Column:
         places = F.filter(
             marked,
-            lambda e, i: ((i > 0) & (F.get(marked, i - 1)["h"] == e["h"])) | F.coalesce(F.get(marked, i + 1)["h"] == e["h"], F.lit(False)),
+            lambda e, i: ((i > 0) & same(F.get(marked, i - 1), e)) | F.coalesce(same(F.get(marked, i + 1), e), F.lit(False)),
         )
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("total"))
         step = lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(3), p - a["last"])).alias("total"))
         return F.aggregate(F.sort_array(F.transform(places, lambda e: e["i"])), start, step, lambda a: a["total"])
 
-    def of_hashes(h: Column) -> Column:
-        marked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(bind(marked, covered))
-
     def of_words(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - 3)
+
+        def of_hashes(h: Column) -> Column:
+            # Hashes show whether any window may occur twice; then windows are told apart by their words.
+            window = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+            marked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), window(i).alias("g"), i.alias("i"))))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(bind(marked, covered))
+
         return bind(F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))), of_hashes)
 
     return F.when(F.size(array_of_words) < 3, 0).otherwise(bind(array_of_words, of_words)).cast("long")
