@@ -462,5 +462,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = [free_name(ready.columns, n) for n in ("_of", "_starts", "_lengths", "_packed", "_cut")]
     packed = ready.select(*rest, key, F.pandas_udf(pack, "binary")(data).alias(names[3]))
     both = packed.join(spans.toDF(*names[:3]), F.col(key) == F.col(names[0]), "left")
-    done = both.select(*rest, F.pandas_udf(cut, gives)(names[3], names[1], names[2]).alias(names[4]))
+    # Called non-deterministic so that a filter on its result does not run it a second time, in workers of its own.
+    cutter = F.pandas_udf(cut, gives).asNondeterministic()
+    done = both.select(*rest, cutter(names[3], names[1], names[2]).alias(names[4]))
     return done.select(*rest, *(F.col(f"{names[4]}.{f}").alias(f) for f in fields))
