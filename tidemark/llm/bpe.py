@@ -56,6 +56,7 @@ class TrieEncoder:
             if whole not in self.rank:
                 self.rank[whole], self.parts[whole] = r, (vocab[a], vocab[b])
         self.longest = max(map(len, self.id_of))
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self._whole: dict[int, bool] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         for token in sorted(vocab.values(), key=lambda t: self.rank.get(t, -1)):
@@ -94,16 +95,23 @@ class TrieEncoder:
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) of each distinct word, in byte order."""
-        ends, fits, longest, bytes_of = self.ends, self.fits, self.longest, self.bytes_of
+        find, fits, known, longest, size_of = self.ends.get, self.fits, self._fits, self.longest, self.size_of
         before, last = b"", []  # last: the last token of each prefix of the word, -1 where no word has asked for it
 
         def state(word: bytes, end: int) -> int:
             token = last[end - 1]
             if token < 0:
-                for start in range(max(0, end - longest), end):
-                    token = ends.get(word[start:end], -1)
-                    if token >= 0 and (start == 0 or fits(state(word, start), token)):
-                        break
+                for start in range(end - longest if end > longest else 0, end):
+                    token = find(word[start:end])
+                    if token is not None:
+                        if not start:
+                            break
+                        left = last[start - 1]
+                        if left < 0:
+                            left = state(word, start)
+                        fit = known.get((left, token))
+                        if fit or (fit is None and fits(left, token)):
+                            break
                 last[end - 1] = token
             return token
 
@@ -123,7 +131,7 @@ class TrieEncoder:
             while end:
                 token = state(word, end)
                 ids.append(token)
-                end -= len(bytes_of[token])
+                end -= size_of[token]
             yield word, ids[::-1]
             before = word
 
