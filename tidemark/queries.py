@@ -63,8 +63,8 @@ FUSED = REACHED + SUPERSEDERS + """, fused AS (
   FROM ranked r FULL JOIN reached a USING (query_id, id) JOIN scored s USING (query_id, id) LEFT JOIN superseders USING (id))"""
 
 
-def sql_results(threshold: float, min_results: int, limit: int) -> str:
-    """CTEs up to ``results`` of a recall without filters."""
+def sql_results(threshold: float, min_results: int, limit: int, key: str = "eff") -> str:
+    """CTEs up to ``results`` of a recall without filters, in the order of ``key``."""
 
     def brought(name: str, rows: str, shown: str, order: str) -> str:
         return f""", {name}_named AS (SELECT query_id, {order} AS o, unnest(by_ids) AS id, unnest(range(len(by_ids))) AS p FROM {rows} WHERE len(by_ids) > 0),
@@ -83,7 +83,7 @@ all_shown AS (SELECT query_id, id FROM shown UNION ALL SELECT query_id, id FROM
         + brought("late", "more", "all_shown", "place")
         + f""", every AS (SELECT * FROM shown UNION ALL SELECT query_id, id, eff, rrf, by_ids, semantic_rank, assoc_rank, 0, 1, place FROM more
   UNION ALL SELECT query_id, id, eff, 0, NULL, NULL, NULL, injected, 2, injected FROM late),
-results AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY section, place, CASE WHEN section = 0 THEN eff END DESC, semantic_rank NULLS LAST, assoc_rank NULLS LAST, injected) AS position FROM every) WHERE position <= {limit})"""
+results AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY section, place, CASE WHEN section = 0 THEN {key} END DESC, semantic_rank NULLS LAST, assoc_rank NULLS LAST, injected) AS position FROM every JOIN (SELECT id, importance, stability, last_accessed_at FROM records) USING (id)) WHERE position <= {limit})"""
     )
 
 
@@ -94,6 +94,8 @@ SQL_PARTS |= {k: RANKED for k in ("rank_semantic", "rank_temporal", "rank_entity
 SQL_PARTS |= {"rank_associative": REACHED, "rrf_fusion": FUSED, "decay_events": FUSED, "edge_strengthen_updates": FUSED, "superseded_lookup": SUPERSEDERS}
 SQL_PARTS |= {k: RESULTS for k in ("recall_full", "strengthen_updates", "relevance_serialize", "context_merge", "context_boost", "companion_injection", "recall_enrichment")}
 SQL_PARTS["related_lookup"] = sql_results(0.05, 0, 3)
+SORTED = {"importance": "importance", "recency": "last_accessed_at", "stability": "stability"}
+SQL_PARTS |= {f"recall_by_{k}": sql_results(0.05, 6, 60, key) for k, key in SORTED.items()} | {"recall_strategies": sql_results(0.05, 6, 60)}
 SQL_PARTS |= {"recall_topup": TOP_UP}
 
 
@@ -289,6 +291,18 @@ def recall_topup(records, edges, queries):
     return _results(_lists(records, edges, queries, RecallOptions(threshold=0.45, min_results=12, limit=60)))
 
 
+for _sort in SORTED:
+    query(_RESULT_SQL, RECALL_VIEWS, f"recall_by_{_sort}")(lambda records, edges, queries, sort=_sort: _results(_lists(records, edges, queries, RecallOptions(threshold=0.05, min_results=6, limit=60, sort=sort))))
+
+
+@query(
+    """SELECT query_id, position, id, CASE WHEN injected > 0 THEN 'companion' ELSE concat_ws(',', CASE WHEN semantic_rank IS NOT NULL THEN 'semantic,temporal' END, CASE WHEN assoc_rank IS NOT NULL THEN 'associative' END) END AS strategies FROM results""",
+    RECALL_VIEWS,
+)
+def recall_strategies(records, edges, queries):
+    return _lists(records, edges, queries).results.select("query_id", F.col("position").cast("long").alias("position"), "id", F.array_join("strategies", ",").alias("strategies"))
+
+
 @query("SELECT id, array_to_string(by_ids, ',') AS superseding_ids FROM superseders", ("edges",))
 def superseded_lookup(edges):
     return recall.superseders(edges, fixtures.as_of()).select("id", F.array_join(F.col("superseding_ids").cast("array<string>"), ",").alias("superseding_ids"))
@@ -421,6 +435,16 @@ def temporal_split(records):
     return consolidate.temporal_split(_grouped(records), 10)
 
 
+@query(
+    f"""SELECT cluster_id, part, id FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id, part) AS members FROM (SELECT cluster_id, CASE WHEN wide AND n >= cut THEN 1 ELSE 0 END AS part, id FROM (
+  SELECT *, max(created_at) OVER c - min(created_at) OVER c > INTERVAL 10 DAYS AS wide, first_value(n) OVER (PARTITION BY cluster_id ORDER BY gap DESC NULLS LAST, n) AS cut FROM (
+    SELECT cluster_id, id, created_at, row_number() OVER t AS n, epoch_us(created_at) - lag(epoch_us(created_at)) OVER t AS gap FROM ({GROUPED}) WINDOW t AS (PARTITION BY cluster_id ORDER BY created_at, id)) WINDOW c AS (PARTITION BY cluster_id)))) WHERE members >= 12""",
+    ("records",),
+)
+def large_clusters(records):
+    return consolidate.large_parts(consolidate.temporal_split(_grouped(records), 10), 12)
+
+
 def _consolidated(records):
     members = _grouped(records).select("cluster_id", "id")
     summaries = members.select("cluster_id").distinct().select(
@@ -484,6 +508,14 @@ def entity_path_length(pairs, edges):
     return found.select("from_id", "to_id", "hops", graph.reliability(F.col("hops")).alias("reliability"))
 
 
+@query("SELECT id + 50000000 AS id, from_id, to_id, 'near' AS type FROM entity_edges WHERE id % 2 = 0", ("entity_edges",))
+def edge_insert(edges):
+    """Every edge again and, for even ids, a second time as another type, all of it twice."""
+    again = edges.withColumn("type", F.when(F.col("id") % 2 == 0, "near").otherwise(F.col("type")))
+    new = again.withColumn("id", F.col("id") + 50_000_000).unionByName(again.withColumn("id", F.col("id") + 60_000_000))
+    return graph.new_edges(edges, new).select("id", "from_id", "to_id", "type")
+
+
 @query("SELECT record_id, entity_id, name, type FROM links JOIN entities e ON e.id = entity_id", ("links", "entities"))
 def entities_for_record(links, ents):
     return entities.entities_for_records(links, ents)
