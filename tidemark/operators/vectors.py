@@ -43,8 +43,8 @@ def cosines(left: DataFrame, right: DataFrame, least: float | None = None) -> Da
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         (p, p_size, p_norm), (q, q_size, q_norm) = matrix(x["v"]), matrix(y["v"])
         width = min(p.shape[1], q.shape[1])
-        found = []
-        for k, a in enumerate(x["a"]):
+        rows, sims = [], []
+        for k in range(len(x)):
             at = np.arange(len(y))
             if least is not None:
                 at = np.flatnonzero((q[:, :width] @ p[k, :width] >= (least - 1e-9) * p_norm[k] * q_norm) & (q_size >= 0)) if p_size[k] >= 0 else at[:0]
@@ -55,9 +55,11 @@ def cosines(left: DataFrame, right: DataFrame, least: float | None = None) -> Da
                 at, sim = at[sim >= least], sim[sim >= least]
             else:
                 sim[(q_size[at] < 0) | (p_size[k] < 0)] = np.nan
-            found.append(y.iloc[at].drop(columns=["v", "i", "j"]).assign(a=a, sim=sim))
-        out = pd.concat(found) if found else y.iloc[:0].assign(a=0, sim=0.0)
-        out["sim"] = out["sim"].astype(object).where(out["sim"].notna(), None) if least is None else out["sim"]
+            rows.append(at)
+            sims.append(sim)
+        count = [len(r) for r in rows]
+        at, sim = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0), *sims])
+        out = y[["b", *(f.name for f in more)]].iloc[at].assign(a=np.repeat(x["a"].to_numpy(), count), sim=np.where(np.isnan(sim), None, sim.astype(object)) if np.isnan(sim).any() else sim)
         return out[["a", "b", "sim", *(f.name for f in more)]]
 
     return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(cell, schema)
