@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm import ann, bpe, decontamination, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 from tidemark.llm.shared import bound_batches
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -72,6 +72,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a window of a benchmark item, and the items."""
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def tokenizer() -> tuple[str, str]:
     """Vocabulary file and pre-token pattern of the queries."""
     import public_tokenizers
@@ -178,13 +184,31 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, coalesc
 FROM queued q LEFT JOIN mixed m ON q.rank = m.rank AND q.running = m.running AND q.place = m.place AND q.size > 0"""
 
 
+SQL_DECONTAMINATION = """
+WITH lower AS (
+  SELECT 'item' AS kind, item_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
+  UNION ALL SELECT 'doc', doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents),
+split AS (SELECT kind, id, list_filter(regexp_split_to_array(coalesce(t, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM lower),
+grams AS (
+  SELECT DISTINCT id AS item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM split WHERE kind = 'item' AND len(w) > 0)),
+windows AS (
+  SELECT id AS doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, (SELECT DISTINCT n FROM grams) WHERE kind = 'doc')),
+hits AS (SELECT doc_id, i, n, item_id FROM windows JOIN grams USING (n, gram)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM split LEFT JOIN covered ON id = covered.doc_id LEFT JOIN named ON id = named.doc_id WHERE kind = 'doc'"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filters, op2_quality_classifier, op3_simhash_near_dedup, op4_quality_rules, op5_multi_index_hashing, op6_source_mixing,
-        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc,
+        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc, op13_decontamination,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": sql_url_filters(), "op4_quality_rules": sql_quality_rules(), "op6_source_mixing": SQL_SOURCE_MIXING}
+    return {"op1_url_filters": sql_url_filters(), "op4_quality_rules": sql_quality_rules(), "op6_source_mixing": SQL_SOURCE_MIXING, "op13_decontamination": SQL_DECONTAMINATION}
