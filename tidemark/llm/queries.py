@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontamination, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm import ann, bpe, decontamination, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
 from tidemark.llm.shared import bound_batches
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -72,6 +72,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every vector on the first components of the covariance of all."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of a benchmark item, and the items."""
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -205,7 +210,7 @@ FROM split LEFT JOIN covered ON id = covered.doc_id LEFT JOIN named ON id = name
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filters, op2_quality_classifier, op3_simhash_near_dedup, op4_quality_rules, op5_multi_index_hashing, op6_source_mixing,
-        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc, op13_decontamination,
+        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc, op12_embedding_whitening, op13_decontamination,
     )
     return {f.__name__: f for f in found}
 
