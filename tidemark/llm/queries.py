@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontamination, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
+from tidemark.llm import ann, bpe, decontamination, mixing, quality_classifier, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_filter, warc, whitening
 from tidemark.llm.shared import bound_batches
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -72,6 +72,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the number of words one edit away, the commoner form and the root of each."""
+    return spelling.group_spellings(table(spark, sf_dir, "documents").select("doc_id", "text"), slip_every=97)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened values of every vector on the first components of the covariance of all."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
@@ -189,6 +194,43 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, coalesc
 FROM queued q LEFT JOIN mixed m ON q.rank = m.rank AND q.running = m.running AND q.place = m.place AND q.size > 0"""
 
 
+def sql_crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 of a SQL expression: four bits at a time, the low ones of each byte first, with the 16 remainders of the polynomial."""
+
+    def remainder(bits: int) -> int:
+        for _ in range(4):
+            bits = bits >> 1 ^ (0xEDB88320 if bits & 1 else 0)
+        return bits
+
+    remainders, ones = [remainder(k) for k in range(16)], "4294967295::BIGINT"
+    digit = f"strpos('0123456789abcdef', lower(substr(hex(encode({text})), (i + 1 - 2 * (i % 2) + 1)::INT, 1))) - 1"
+    step = f"lambda a, x: xor(a >> 4, list_extract({remainders}::BIGINT[], (xor(a, x) & 15) + 1))"
+    return f"xor(list_reduce(list_transform(range(2 * octet_length(encode({text}))), lambda i: {digit}), {step}, {ones}), {ones})"
+
+
+def sql_spelling_variants() -> str:
+    """Pairs meet at what is left when either loses a letter."""
+    return f"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (SELECT run, k, {sql_crc32("doc_id || ':' || run")} AS h FROM each),
+words AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.cut = b.word),
+near AS (SELECT word, count(*) AS n_near, max(n) AS best_n, min(other) FILTER (n = most) AS best FROM (SELECT *, max(n) OVER (PARTITION BY word) AS most FROM pairs) GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+led AS (
+  WITH RECURSIVE r AS (SELECT word, word AS at FROM formed UNION ALL SELECT r.word, f.form FROM r JOIN formed f ON r.at = f.word WHERE f.form IS NOT NULL)
+  SELECT r.word, r.at AS root FROM r JOIN formed f ON r.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN led USING (word)"""
+
+
 SQL_DECONTAMINATION = """
 WITH lower AS (
   SELECT 'item' AS kind, item_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
@@ -210,10 +252,10 @@ FROM split LEFT JOIN covered ON id = covered.doc_id LEFT JOIN named ON id = name
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filters, op2_quality_classifier, op3_simhash_near_dedup, op4_quality_rules, op5_multi_index_hashing, op6_source_mixing,
-        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc, op12_embedding_whitening, op13_decontamination,
+        op7_suffix_array_dedup, op8_toxicity, op9_bpe, op10_warc, op11_spelling_variants, op12_embedding_whitening, op13_decontamination,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": sql_url_filters(), "op4_quality_rules": sql_quality_rules(), "op6_source_mixing": SQL_SOURCE_MIXING, "op13_decontamination": SQL_DECONTAMINATION}
+    return {"op1_url_filters": sql_url_filters(), "op4_quality_rules": sql_quality_rules(), "op6_source_mixing": SQL_SOURCE_MIXING, "op11_spelling_variants": sql_spelling_variants(), "op13_decontamination": SQL_DECONTAMINATION}
