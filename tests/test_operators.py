@@ -97,6 +97,32 @@ def test_block_cosines(spark, monkeypatch):
         assert near == {k for k, v in want.items() if v is not None and v >= 0.5}
 
 
+def test_pruned_cosines(spark, monkeypatch):
+    """Clusters on the sphere, crowds of equal vectors, other lengths: the same pairs as without cells, from a small share of all pairs."""
+    import numpy as np
+
+    from tidemark.operators import vectors
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 24))
+    near = (centres[rng.integers(0, 30, 900)] + 0.25 * rng.standard_normal((900, 24))).tolist()
+    rows = list(enumerate(near + [near[0]] * 150)) + [(2000, None), (2001, [0.0] * 24), (2002, [1.0, 2.0]), (2003, [2.0, 4.0]), (2004, [])]
+    one, two = (spark.createDataFrame(rows, f"{k} long, v array<double>") for k in "ab")
+    every = np.array([v for _, v in rows[:1050]])
+    unit = every / np.sqrt((every * every).sum(1))[:, None]
+    for size, share in ((64, 0.25), (100_000, 1.0)):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", size)
+        for least in (0.6, 0.85):
+            want = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= least), strict=True)} | {(a, b) for a in (2002, 2003) for b in (2002, 2003)}
+            assert {(r.a, r.b) for r in vectors.cosines(one, two, least).collect()} == want
+        assert vectors.share_met(one, two, 0.85) <= share
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    assert vectors.cosines(one.limit(0), two, 0.85).count() == vectors.cosines(one, two.limit(0), 0.85).count() == 0
+    again = two.unionByName(two.withColumn("b", F.col("b") + 10_000))
+    copies = lambda right: vectors.dealt(one, right, 0.85)[0].select("a", "cell").distinct().count() / 1050
+    assert copies(again) < 2 * copies(two)  # a vector meets what is near it, however many cells there are
+
+
 def record(i, **more):
     base = dict(
         id=i, data="d", metadata="{}", embedding=[1.0, 0.0], embedding_model_id="m", embedding_dimensions=2, tier="episodic", importance=0.5, stability=5.0, last_accessed_at=datetime(2024, 1, 1),

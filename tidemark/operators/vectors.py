@@ -1,14 +1,24 @@
-"""Cosines between two sets of vectors, block by block."""
+"""Cosines between two sets of vectors: all of them block by block, or those above a bound by cells that lie near enough."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+
+from tidemark.operators.graph import cut
 
 #: Rows of either side that a task holds at once, about.
 BLOCK_ROWS = 2_048
+#: Bytes of vectors that the cells' centres are chosen from, cells for each block of rows (small ones lie farther apart), and cells at most.
+SAMPLE_BYTES, CELLS_PER_BLOCK, MOST_CELLS = 32 << 20, 4, 4_096
+#: Angles are compared with so much room, far above the error of an arc cosine.
+ROOM = 1e-6
 
 
 def blocks_of(rows: DataFrame) -> int:
@@ -25,41 +35,238 @@ def matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, size, np.sqrt((out * out).sum(1))
 
 
+def exact(p: tuple, i: np.ndarray, q: tuple, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows ``i`` of one matrix with rows ``j`` of another, summed row by row, so that equal vectors have equal cosines; NaN for a null."""
+    (p, p_size, p_norm), (q, q_size, q_norm) = p, q
+    width, scale = min(p.shape[1], q.shape[1]), p_norm[i] * q_norm[j]
+    real = (p_size[i] == q_size[j]) & (scale > 0)
+    sim = np.divide((q[j, :width] * p[i, :width]).sum(1), scale, out=np.zeros(len(scale)), where=real)
+    sim[(q_size[j] < 0) | (p_size[i] < 0)] = np.nan
+    return sim
+
+
+@pandas_udf(DoubleType())
+def cosine_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The cosine of each two vectors as ``cosines`` has it; null for a null vector."""
+    at = np.arange(len(a))
+    sim = exact(matrix(a), at, matrix(b), at)
+    return pd.Series(np.where(np.isnan(sim), None, sim.astype(object)))
+
+
+def meet(left: DataFrame, right: DataFrame, schema: str, cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``cell`` of every block of ``left`` (a, v, ...) with every block of ``right`` (b, v, ...), as one table.
+
+    Both sides are dealt to blocks of a bounded number of rows by a hash of the id, and each pair of blocks is one group, so neither side is
+    ever broadcast or held whole.
+    """
+    n, m = blocks_of(left), blocks_of(right)
+    one = left.select("*", F.pmod(F.xxhash64("a"), F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    two = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64("b"), F.lit(m)).alias("j"))
+    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(cell, schema)
+
+
+def doubles(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("v", F.col("v").cast("array<double>"))
+
+
+def pairs_above(x: pd.DataFrame, y: pd.DataFrame, least: float, more: list[str]) -> pd.DataFrame:
+    """Rows of a block pair with a cosine of at least ``least``: one product of both blocks, then exact sums for what is near or above."""
+    p, q = matrix(x["v"]), matrix(y["v"])
+    width = min(p[0].shape[1], q[0].shape[1])
+    close = p[0][:, :width] @ q[0][:, :width].T >= (least - 1e-9) * p[2][:, None] * q[2][None, :]
+    i, j = np.nonzero(close & (p[1] >= 0)[:, None] & (q[1] >= 0)[None, :])
+    sim = exact(p, i, q, j)
+    i, j, sim = i[sim >= least], j[sim >= least], sim[sim >= least]
+    return y[["b", *more]].iloc[j].assign(a=x["a"].to_numpy()[i], sim=sim)[["a", "b", "sim", *more]]
+
+
 def cosines(left: DataFrame, right: DataFrame, least: float | None = None) -> DataFrame:
     """Rows (a, b, sim, and the further columns of ``right``) of ``left`` (a long, v) and ``right`` (b long, v, ...).
 
-    sim is the cosine in double precision: 0 for a zero vector or unequal lengths, null for a null vector. ``least`` leaves out what is below
-    it, or null. Every pair is compared, as cosine has no exact index at such thresholds: both sides are dealt to blocks of a bounded number of
-    rows by a hash of the id, and each pair of blocks is one group, so neither side is ever broadcast or held whole. Pairs near ``least`` and
-    all that are given come from sums row by row, so that equal vectors have equal cosines.
+    sim is the cosine in double precision: 0 for a zero vector or unequal lengths, null for a null vector. Without ``least`` every pair comes
+    out, from ``meet``. With it, what is below it or null is left out, and only vectors meet whose cells are near enough (``dealt``).
     """
-    n, m = blocks_of(left), blocks_of(right)
     more = [f for f in right.schema.fields if f.name not in ("b", "v")]
-    double = F.col("v").cast("array<double>").alias("v")
-    one = left.select("a", double, F.pmod(F.xxhash64("a"), F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    two = right.select("b", double, *(f.name for f in more), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64("b"), F.lit(m)).alias("j"))
+    names = [f.name for f in more]
     schema = ", ".join(["a long", "b long", "sim double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in more)])
+    left, right = doubles(left.select("a", "v")), doubles(right)
+    if least is not None and least > 0:
+        one, two, _ = dealt(left, right, least)
+        return one.groupBy("cell", "i", "j").cogroup(two.groupBy("cell", "i", "j")).applyInPandas(lambda x, y: pairs_above(x, y, least, names), schema)
+    if least is not None:
+        return meet(left, right, schema, lambda x, y: pairs_above(x, y, least, names))
 
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        (p, p_size, p_norm), (q, q_size, q_norm) = matrix(x["v"]), matrix(y["v"])
-        width = min(p.shape[1], q.shape[1])
-        rows, sims = [], []
-        for k in range(len(x)):
-            at = np.arange(len(y))
-            if least is not None:
-                at = np.flatnonzero((q[:, :width] @ p[k, :width] >= (least - 1e-9) * p_norm[k] * q_norm) & (q_size >= 0)) if p_size[k] >= 0 else at[:0]
-            scale = p_norm[k] * q_norm[at]
-            real = (p_size[k] == q_size[at]) & (scale > 0)
-            sim = np.divide((q[at, :width] * p[k, :width]).sum(1), scale, out=np.zeros(len(at)), where=real)
-            if least is not None:
-                at, sim = at[sim >= least], sim[sim >= least]
-            else:
-                sim[(q_size[at] < 0) | (p_size[k] < 0)] = np.nan
-            rows.append(at)
-            sims.append(sim)
-        count = [len(r) for r in rows]
-        at, sim = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0), *sims])
-        out = y[["b", *(f.name for f in more)]].iloc[at].assign(a=np.repeat(x["a"].to_numpy(), count), sim=np.where(np.isnan(sim), None, sim.astype(object)) if np.isnan(sim).any() else sim)
-        return out[["a", "b", "sim", *(f.name for f in more)]]
+        p, q = matrix(x["v"]), matrix(y["v"])
+        i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+        sim = np.concatenate([np.zeros(0), *(exact(p, np.full(len(y), k), q, np.arange(len(y))) for k in range(len(x)))])
+        out = y[["b", *names]].iloc[j].assign(a=x["a"].to_numpy()[i], sim=np.where(np.isnan(sim), None, sim.astype(object)) if np.isnan(sim).any() else sim)
+        return out[["a", "b", "sim", *names]]
 
-    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(cell, schema)
+    return meet(left, right, schema, cell)
+
+
+class Cells:
+    """A tree of cells of the unit sphere: every inner node has two centres, and a vector lies on the side of the nearer.
+
+    ``centres`` (nodes by entries), ``children`` (nodes by 2, -1 for a leaf) and, when ``radii`` are known, the largest angle between a node's
+    centre and a vector below it. A leaf is a cell; node 0 is the whole sphere.
+    """
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.centres, self.children = [np.zeros(sample.shape[1])], [[-1, -1]]
+        self.radii: np.ndarray | None = None
+        open_ = [(0, sample)]
+        while open_ and len(self.centres) < 2 * cells - 1:
+            node, rows = open_.pop(0)  # breadth first, so that cells are of like size
+            if len(rows) >= 2 and (halves := self._halve(rows)):
+                self.children[node] = [len(self.centres), len(self.centres) + 1]
+                for centre, part in halves:
+                    open_.append((len(self.centres), part))
+                    self.centres.append(centre)
+                    self.children.append([-1, -1])
+            open_.sort(key=lambda x: -len(x[1]))
+        self.centres, self.children = np.array(self.centres), np.array(self.children)
+
+    @staticmethod
+    def _halve(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Two centres that are far apart, moved twice to the means of what is nearest; none if all rows point one way."""
+        one = rows[(rows @ rows[0]).argmin()]
+        two = rows[(rows @ one).argmin()]
+        if one @ two > 1 - 1e-12:
+            return None
+        for _ in range(3):
+            first = rows @ one >= rows @ two
+            if first.all() or not first.any():
+                return None
+            halves = [(one, rows[first]), (two, rows[~first])]
+            means = [part.sum(0) for _, part in halves]
+            norms = [np.sqrt(m @ m) for m in means]
+            if min(norms) < 1e-9:
+                break
+            one, two = means[0] / norms[0], means[1] / norms[1]
+        return halves
+
+    def homes(self, unit: np.ndarray) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """The cell of each unit vector, and the nodes on the way to it with the angle to each one's centre."""
+        cell = np.zeros(len(unit), np.int64)
+        nodes, angles = [[] for _ in unit], [[] for _ in unit]
+        open_ = [(0, np.arange(len(unit)))]
+        while open_:
+            node, at = open_.pop()
+            one, two = self.children[node]
+            if one < 0 or not len(at):
+                cell[at] = node
+                continue
+            near = unit[at] @ self.centres[[one, two]].T
+            side = (near[:, 0] < near[:, 1]).astype(int)
+            for k, child in enumerate((one, two)):
+                part = at[side == k]
+                for i, angle in zip(part.tolist(), np.arccos(np.clip(near[side == k, k], -1, 1)).tolist(), strict=True):
+                    nodes[i].append(int(child))
+                    angles[i].append(angle)
+                open_.append((child, part))
+        return cell, nodes, angles
+
+    def reached(self, unit: np.ndarray, angle: float) -> list[list[int]]:
+        """The cells that can hold a vector within ``angle`` of each unit vector.
+
+        By the triangle inequality a node is too far if its centre is farther than its radius and ``angle``, and if the other centre is nearer
+        by more than twice ``angle``: a vector within ``angle`` would lie on the other side.
+        """
+        out: list[list[int]] = [[] for _ in unit]
+        open_ = [(0, np.arange(len(unit)))]
+        while open_:
+            node, at = open_.pop()
+            one, two = self.children[node]
+            if not len(at):
+                continue
+            if one < 0:
+                for i in at.tolist():
+                    out[i].append(int(node))
+                continue
+            far = np.arccos(np.clip(unit[at] @ self.centres[[one, two]].T, -1, 1))
+            for k, child in enumerate((one, two)):
+                ok = (far[:, k] - self.radii[child] <= angle + ROOM) & (far[:, k] - far[:, 1 - k] <= 2 * angle + ROOM)
+                open_.append((child, at[ok]))
+        return out
+
+
+def units(vectors: pd.Series) -> np.ndarray:
+    out, _, norm = matrix(vectors)
+    return out / norm[:, None]
+
+
+def dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides with (cell, i, j), so that rows with a cosine of at least ``least`` above 0 meet in one group; and the rows of either side per cell.
+
+    Centres come from a bounded sample of ``right``; every row of it lies in one cell, and the cells' true radii are found over all rows.
+    A row of ``left`` goes to the cells that can hold a vector at an angle of arccos(``least``), so cells that are too far never meet, and a
+    row is copied as often as its own neighbourhood has cells, not as the table has. A cell with more rows than a task should hold is cut
+    into blocks of ``BLOCK_ROWS``. Vectors of different lengths have cells of their own; null and zero vectors cannot reach ``least`` and are
+    left out. How much is pruned is up to the data: clusters part well, while vectors spread evenly over many dimensions are nearly all in
+    reach of each other.
+    """
+    real = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)) * F.coalesce(x, F.lit(0.0))) > 0
+    left, right = left.where(real), right.where(real)
+    angle, session = float(np.arccos(min(1.0, least))), left.sparkSession
+    sizes = right.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    width, total = (sizes["n"], right.count()) if sizes else (0, 0)
+    cells = min(MOST_CELLS, CELLS_PER_BLOCK * -(-total // BLOCK_ROWS)) if total > BLOCK_ROWS else 1
+    own = "a long, v array<double>"
+    theirs = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in right.schema.fields)
+    if cells > 1:
+        rows = right.where(F.size("v") == width).select("v", "b").orderBy(F.xxhash64("b"), "b").limit(max(2, SAMPLE_BYTES // (8 * width)))
+        tree = Cells(units(rows.toPandas()["v"]), cells)
+        shared = session.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for y in batches:
+                cell, nodes, angles = np.full(len(y), 0), [[] for _ in range(len(y))], [[] for _ in range(len(y))]
+                at = np.flatnonzero(y["v"].map(len).to_numpy() == width)
+                if len(at):
+                    found, n, a = shared.value.homes(units(y["v"].iloc[at]))
+                    cell[at] = found
+                    for k, i in enumerate(at.tolist()):
+                        nodes[i], angles[i] = n[k], a[k]
+                yield y.assign(cell=cell, nodes=nodes, angles=angles)
+
+        placed = cut(right.mapInPandas(place, f"{theirs}, cell long, nodes array<int>, angles array<double>"))
+        far = placed.select(F.explode(F.arrays_zip("nodes", "angles")).alias("z")).groupBy("z.nodes").agg(F.max("z.angles").alias("r"))
+        radii = np.full(len(tree.centres), -10.0)  # nothing reaches a node without rows
+        for r in far.collect():  # two rows per cell at most
+            radii[r.nodes] = r.r
+        tree.radii = radii
+        ready = session.sparkContext.broadcast(tree)
+
+        def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                goals = [[0]] * len(x)
+                at = np.flatnonzero(x["v"].map(len).to_numpy() == width)
+                if len(at):
+                    for k, found in zip(at.tolist(), ready.value.reached(units(x["v"].iloc[at]), angle), strict=True):
+                        goals[k] = found
+                yield x.assign(goals=goals)
+
+        gone = left.mapInPandas(reach, f"{own}, goals array<long>").withColumn("cell", F.explode("goals")).drop("goals")
+        two = placed.drop("nodes", "angles")
+    else:
+        gone, two = left.withColumn("cell", F.lit(0).cast("long")), right.withColumn("cell", F.lit(0).cast("long"))
+    # Node 0 is no cell of its own once it is halved: there the rows of other lengths meet, told apart by their length.
+    tell: Column = F.when((F.col("cell") == 0) & (F.size("v") != width), -F.size("v").cast("long")).otherwise(F.col("cell"))
+    one, two = cut(gone.withColumn("cell", tell)), two.withColumn("cell", tell)
+    per = one.groupBy("cell").agg(F.count("*").alias("lefts")).join(two.groupBy("cell").agg(F.count("*").alias("rights")), "cell")
+    per = cut(per)
+    parts = per.select("cell", F.ceil(F.col("lefts") / BLOCK_ROWS).cast("int").alias("n"), F.ceil(F.col("rights") / BLOCK_ROWS).cast("int").alias("m"))
+    one, two = one.join(parts, "cell"), two.join(parts, "cell")
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = one.withColumn("i", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).withColumn("j", span("m")).drop("n", "m")
+    two = two.withColumn("j", F.pmod(F.xxhash64("b"), F.col("m")).cast("int")).withColumn("i", span("n")).drop("n", "m")
+    return one, two, per
+
+
+def share_met(left: DataFrame, right: DataFrame, least: float) -> float:
+    """Of all pairs of ``left`` and ``right``, the share whose cells ``dealt`` brings together."""
+    per = dealt(doubles(left.select("a", "v")), doubles(right), least)[2]
+    met = per.agg(F.sum(F.col("lefts") * F.col("rights"))).first()[0] or 0
+    return met / max(1, left.count() * right.count())

@@ -313,7 +313,8 @@ def companion_injection(records, edges, queries):
     r = _lists(records, edges, queries, RecallOptions(threshold=0.05))
     passing = r.fused.where("effective_score >= 0.05")
     order = [F.coalesce("semantic_rank", F.lit(2**31 - 1)).alias("a"), F.coalesce("assoc_rank", F.lit(2**31 - 1)).alias("b")]
-    brought = recall.companions(passing, passing, recall.score(live(records), queries, fixtures.as_of()), order)
+    everyone = recall.score(live(records), queries, fixtures.as_of())
+    brought = recall.companions(passing, passing, lambda pairs: everyone.join(pairs, ["query_id", "id"], "left_semi"), order)
     return brought.select("query_id", "id", _r(F.col("sim") * F.col("ret")).alias("effective_score"), F.col("injected").cast("long").alias("injected"))
 
 
