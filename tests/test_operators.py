@@ -48,6 +48,55 @@ def test_shortest_paths(spark):
         assert {t: p for (f, t), p in got.items() if f == s} == want
 
 
+def test_both_ends_search(spark):
+    """Lengths and paths of all pairs, parallel edges, loops and hubs included, and that a start stops once its pairs are found."""
+    rng = random.Random(9)
+    edges = [(i, rng.randrange(30), rng.randrange(30)) for i in range(45)] + [(100 + i, i % 30, 31) for i in range(30)] + [(200 + i, 31, 40 + i) for i in range(20)] + [(300, 40, 90), (301, 90, 91), (302, 91, 92)]
+    df = spark.createDataFrame(edges, "id long, from_id long, to_id long")
+    nodes = [*range(30), 31, 40, 59, 90, 92]
+    pairs = [(s, t) for s in nodes for t in nodes] + [(0, 999), (999, 0), (None, 1)]
+    ask = spark.createDataFrame(pairs, "from_id long, to_id long")
+    for hops in (10, 3):
+        want = {(s, t): p for s in nodes for t, p in (model_paths(edges, s, hops) | {s: [s]}).items() if t in nodes}
+        assert {(r.from_id, r.to_id): r.hops for r in graph.path_lengths(df, ask, hops).collect()} == {k: len(p) - 1 for k, p in want.items()}
+        assert {(r.from_id, r.to_id): r.path for r in graph.shortest_paths(df, ask, hops).collect()} == want
+    near = graph.meet_in_the_middle(df, spark.createDataFrame([(0, 31), (1, 92)], "from_id long, to_id long"), 10)
+    assert all(level.where("from_id = 0").isEmpty() for level in near.ahead[2:]) and len(near.ahead) + len(near.back) - 2 == 5
+    seeds = spark.createDataFrame([(3, 2), (0, 1), (7, 3)], "from_id long, seed_order int")
+    got = {r.to_id: (r.origin_id, r.path) for r in graph.from_nearest_seed(df, seeds, spark.createDataFrame([(t,) for t in nodes], "to_id long")).collect()}
+    best = {}
+    for order, s in enumerate((0, 3, 7)):
+        for t, p in (model_paths(edges, s, 10) | {s: [s]}).items():
+            if t in nodes and (t not in best or (len(p), order) < best[t][0]):
+                best[t] = ((len(p), order), (s, p))
+    assert got == {t: b[1] for t, b in best.items()}
+
+
+def test_counted_ranks(spark, monkeypatch):
+    """Results with a limit have the fused scores of the full lists, with ties, null and zero vectors, filters and an entity list."""
+    from tidemark.operators import vectors
+    from tidemark.operators.filters import RecallOptions
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    rng = random.Random(6)
+    vector = lambda: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]
+    rows = [record(i, embedding=None if i % 19 == 0 else vector(), stability=rng.choice([1.0, 40.0, 300.0]), tier=rng.choice(["episodic", "semantic"]), metadata='{"entities": [{"name": "ann", "type": "person"}]}' if i % 3 else "{}") for i in range(1, 91)]
+    records = spark.createDataFrame(rows, S.RECORDS)
+    edges = spark.createDataFrame([(i, rng.randrange(1, 91), rng.randrange(1, 91), rng.choice(S.EDGE_TYPES), 50.0, datetime(2024, 1, 20), None) for i in range(60)], S.EDGES)
+    queries = spark.createDataFrame([(q, vector()) for q in range(5)], "query_id long, vector array<float>")
+    for more in ({}, {"tier": "episodic"}, {"entity_name": "ann"}):
+        options = lambda limit: RecallOptions(threshold=0.3, min_results=8, limit=limit, **more)  # noqa: B023, E731
+        cols = ["query_id", "position", "id", "effective_score", "rrf_score", "strategies", "superseding_ids", "section"]
+        free = recall.recall(records, edges, queries, options(None), F.lit(datetime(2024, 2, 1)))
+        want = [tuple(map(str, r)) for r in free.results.orderBy("query_id", "position").select(cols).collect()]
+        got = recall.recall(records, edges, queries, options(1000), F.lit(datetime(2024, 2, 1))).results.orderBy("query_id", "position").select(cols).collect()
+        assert [tuple(map(str, r)) for r in got] == want and len(want) > 40
+        fused = {(r.query_id, r.id): r.rrf_score for r in free.fused.collect()}
+        assert all(r.rrf_score == pytest.approx(fused[r.query_id, r.id]) for r in got if "companion" not in r.strategies)
+        few = recall.recall(records, edges, queries, options(3), F.lit(datetime(2024, 2, 1))).results.orderBy("query_id", "position").select(cols).collect()
+        assert [tuple(map(str, r)) for r in few] == [w for w in want if int(w[1]) <= 3]
+
+
 def test_greedy_clusters(spark):
     rng = random.Random(3)
     pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(120)})

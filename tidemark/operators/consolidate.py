@@ -50,6 +50,8 @@ def components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
         labels = new.select("a", "label")
         if new.where("label <> old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
 
 

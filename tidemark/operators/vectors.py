@@ -192,40 +192,39 @@ class Cells:
         return out
 
 
-def units(vectors: pd.Series) -> np.ndarray:
-    out, _, norm = matrix(vectors)
-    return out / norm[:, None]
-
-
 def dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both sides with (cell, i, j), so that rows with a cosine of at least ``least`` above 0 meet in one group; and the rows of either side per cell.
 
     Centres come from a bounded sample of ``right``; every row of it lies in one cell, and the cells' true radii are found over all rows.
     A row of ``left`` goes to the cells that can hold a vector at an angle of arccos(``least``), so cells that are too far never meet, and a
     row is copied as often as its own neighbourhood has cells, not as the table has. A cell with more rows than a task should hold is cut
-    into blocks of ``BLOCK_ROWS``. Vectors of different lengths have cells of their own; null and zero vectors cannot reach ``least`` and are
-    left out. How much is pruned is up to the data: clusters part well, while vectors spread evenly over many dimensions are nearly all in
+    into blocks of ``BLOCK_ROWS``. Vectors of different lengths have cells of their own, as null and zero vectors have, which cannot reach
+    ``least``. How much is pruned is up to the data: clusters part well, while vectors spread evenly over many dimensions are nearly all in
     reach of each other.
     """
-    real = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)) * F.coalesce(x, F.lit(0.0))) > 0
-    left, right = left.where(real), right.where(real)
     angle, session = float(np.arccos(min(1.0, least))), left.sparkSession
     sizes = right.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width, total = (sizes["n"], right.count()) if sizes else (0, 0)
     cells = min(MOST_CELLS, CELLS_PER_BLOCK * -(-total // BLOCK_ROWS)) if total > BLOCK_ROWS else 1
     own = "a long, v array<double>"
+
+    def usable(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, the places of vectors of the common length that are not zero, and norms."""
+        rows, size, norm = matrix(vectors)
+        return rows[:, :width], np.flatnonzero((size == width) & (norm > 0)), norm
+
     theirs = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in right.schema.fields)
     if cells > 1:
-        rows = right.where(F.size("v") == width).select("v", "b").orderBy(F.xxhash64("b"), "b").limit(max(2, SAMPLE_BYTES // (8 * width)))
-        tree = Cells(units(rows.toPandas()["v"]), cells)
+        rows, kept, norms = usable(right.select("v", "b").orderBy(F.xxhash64("b"), "b").limit(max(2, SAMPLE_BYTES // (8 * width))).toPandas()["v"])
+        tree = Cells(rows[kept] / norms[kept, None], cells)
         shared = session.sparkContext.broadcast(tree)
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for y in batches:
                 cell, nodes, angles = np.full(len(y), 0), [[] for _ in range(len(y))], [[] for _ in range(len(y))]
-                at = np.flatnonzero(y["v"].map(len).to_numpy() == width)
+                rows, at, norms = usable(y["v"])
                 if len(at):
-                    found, n, a = shared.value.homes(units(y["v"].iloc[at]))
+                    found, n, a = shared.value.homes(rows[at] / norms[at, None])
                     cell[at] = found
                     for k, i in enumerate(at.tolist()):
                         nodes[i], angles[i] = n[k], a[k]
@@ -242,9 +241,9 @@ def dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, D
         def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 goals = [[0]] * len(x)
-                at = np.flatnonzero(x["v"].map(len).to_numpy() == width)
+                rows, at, norms = usable(x["v"])
                 if len(at):
-                    for k, found in zip(at.tolist(), ready.value.reached(units(x["v"].iloc[at]), angle), strict=True):
+                    for k, found in zip(at.tolist(), ready.value.reached(rows[at] / norms[at, None], angle), strict=True):
                         goals[k] = found
                 yield x.assign(goals=goals)
 
