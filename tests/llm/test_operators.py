@@ -49,6 +49,22 @@ def test_mined_rules(spark):
     assert len(got) == 20 and all(r.verdict == ("block" if r.page_id < 100 else "allow") and r.mined_confidence == 1.0 for r in got)
 
 
+def test_rules_keep_their_confidence(spark):
+    """A token in all URLs cannot become a rule because busier URLs have more tokens; pairs that only repeat a token are no rules."""
+    pages = [(i, f"http://b{i}.x.org/") for i in range(20)] + [(100 + i, f"http://a{i}.y.org/" + "/".join(f"s{k}" for k in range(12)) + "?u=1&v=2&w=3") for i in range(20)] + [(200, "http://new.z.org/q"), (201, "http://new.z.org/s9"), (202, "http://new.x.org/")]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in pages], "page_id long, url string, Host string")
+    rules = [("block", f"b{i}.x.org", "/") for i in range(20)] + [("allow", f"a{i}.y.org", "/") for i in range(20)]
+    got = url_filter.filter_urls(df, rules)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence"]
+    got = {r.page_id: r for r in got.collect()}
+    assert got[200].mined_rule is None and got[200].verdict == "allow"
+    assert (got[201].verdict, got[201].mined_rule, got[201].mined_confidence) == ("allow", "path=s9", 1.0)
+    assert got[202].verdict == "block"
+    labelled = spark.createDataFrame([(["a", "b", "c"], "allow")] * 6 + [(["a", "c"], "block")] * 5 + [(["b", "d"], "block")] * 4 + [(["a", "b"], "allow")] * 2, "items array<string>, verdict string")
+    mined = {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in url_filter.mine_rules(labelled, 0.1, 0.7, 3).collect()}
+    assert mined == {(("a", "b"), "allow"): (1.0, 8 / 17), (("d",), "block"): (1.0, 4 / 17), (("b", "c"), "allow"): (1.0, 6 / 17)}
+
+
 # 2 and 8
 
 

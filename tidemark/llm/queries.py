@@ -96,7 +96,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def sql_url_filters(min_support: float = 0.01, min_confidence: float = 0.8) -> str:
-    """Counts all subsets of each labelled URL's items, as there are at most 255."""
+    """Counts every frequent token and every two of them over whole rows."""
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(v, h + p)[k]}'" for v, h, p in longest) + " END"
@@ -106,30 +106,31 @@ def sql_url_filters(min_support: float = 0.01, min_confidence: float = 0.8) -> s
         "web": "[split_part(url, '://', 1)]",
     }
     tokens = ", ".join(f"list_transform(list_filter({v}, lambda x: x <> ''), lambda x: '{k}=' || CASE WHEN length(x) > 64 THEN md5(x) ELSE x END)" for k, v in values.items())
-    most = url_filter.ITEMS
-    subset = "list_sort(list_filter([" + ", ".join(f"CASE WHEN m & {1 << i} > 0 THEN t[{i + 1}] END" for i in range(most)) + "], lambda x: x IS NOT NULL))"
     return f"""
 WITH parts AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 split AS (SELECT *, string_split(host, '.') AS l, {case(1)} AS rule, {case(0)} AS hand FROM parts),
 tokens AS (SELECT *, CASE WHEN host = '' THEN [] ELSE list_distinct(flatten([{tokens}])) END AS every FROM split),
-named AS (SELECT token, hand, count(*) AS n FROM (SELECT unnest(every) AS token, hand FROM tokens WHERE hand IS NOT NULL) GROUP BY ALL),
-frequent AS (
-  SELECT token, row_number() OVER (ORDER BY max(n) / sum(n) DESC, sum(n) DESC, token) AS place FROM named GROUP BY token
-  HAVING sum(n) >= ceil({min_support} * (SELECT count(*) FROM tokens WHERE hand IS NOT NULL))),
-placed AS (SELECT url, list(token ORDER BY place)[1:{most}] AS t FROM (SELECT DISTINCT url, unnest(every) AS token FROM tokens) JOIN frequent USING (token) GROUP BY url),
-labelled AS (SELECT t, hand FROM tokens LEFT JOIN placed USING (url) WHERE hand IS NOT NULL),
-sets AS (SELECT hand, {subset} AS s FROM labelled, range(1, {1 << most}) r(m) WHERE m < (1 << len(t))),
-counts AS (SELECT s, count(*) AS n, count(*) FILTER (hand = 'allow') AS allow, count(*) FILTER (hand = 'block') AS block FROM sets GROUP BY s),
-mined AS (
-  SELECT s, v, k / n AS confidence, k / (SELECT count(*) FROM labelled) AS support, array_to_string(s, '&') AS name
-  FROM (SELECT s, n, 'allow' AS v, allow AS k FROM counts UNION ALL SELECT s, n, 'block', block FROM counts)
-  WHERE k > 0 AND k >= ceil({min_support} * (SELECT count(*) FROM labelled)) AND k / n >= {min_confidence}),
-urls AS (SELECT DISTINCT url, t FROM tokens JOIN placed USING (url) WHERE hand IS NULL),
+labelled AS (SELECT row_number() OVER () AS k, every, hand FROM tokens WHERE hand IS NOT NULL),
+need AS (SELECT count(*) AS n, ceil({min_support} * count(*)) AS least FROM labelled),
+named AS (SELECT k, hand, unnest(every) AS token FROM labelled),
+frequent AS (SELECT token FROM named GROUP BY token HAVING count(*) >= (SELECT least FROM need)),
+kept AS MATERIALIZED (SELECT k, hand, token FROM named JOIN frequent USING (token)),
+ones AS (SELECT token AS a, count(*) AS n, count(*) FILTER (hand = 'allow') AS allow, count(*) FILTER (hand = 'block') AS block FROM kept GROUP BY token),
+twos AS (
+  SELECT x.token AS a, y.token AS b, count(*) AS n, count(*) FILTER (x.hand = 'allow') AS allow, count(*) FILTER (x.hand = 'block') AS block
+  FROM kept x JOIN kept y ON x.k = y.k AND x.token < y.token GROUP BY ALL),
+counts AS (
+  SELECT a, NULL AS b, a AS name, n, allow, block FROM ones UNION ALL
+  SELECT t.a, t.b, t.a || '&' || t.b, t.n, t.allow, t.block FROM twos t JOIN ones p ON p.a = t.a JOIN ones q ON q.a = t.b WHERE t.n < p.n AND t.n < q.n),
+mined AS MATERIALIZED (
+  SELECT a, b, name, v, m / counts.n AS confidence, m / need.n AS support
+  FROM (SELECT *, 'allow' AS v, allow AS m FROM counts UNION ALL SELECT *, 'block', block FROM counts) counts, need WHERE m > 0 AND m >= least AND m / counts.n >= {min_confidence}),
+urls AS (SELECT DISTINCT url, every FROM tokens WHERE hand IS NULL),
 best AS (
   SELECT url, arg_max(v, row(confidence, support, name, v)) AS v, arg_max(name, row(confidence, support, name, v)) AS name
-  FROM (SELECT url, {subset} AS s FROM urls, range(1, {1 << most}) r(m) WHERE m < (1 << len(t))) JOIN mined USING (s) GROUP BY url)
+  FROM (SELECT url, every, unnest(every) AS a FROM urls) JOIN mined USING (a) WHERE b IS NULL OR list_contains(every, b) GROUP BY url)
 SELECT page_id, host, path, rule, coalesce(hand, v, 'allow') AS verdict, name AS mined_rule FROM tokens LEFT JOIN best ON tokens.url = best.url AND hand IS NULL"""
 
 
