@@ -328,6 +328,39 @@ def test_near_copies(spark):
     assert named.where("doc_id = 0").first().times == 2 and simhash.near_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("offers, leaf", [(2, 1024), (1, 8)])
+def test_near_copies_are_exact(spark, monkeypatch, offers, leaf):
+    """Similarities all around 0.8, and a crowd around one text: no link below it, and nearly all above; with one offer and small leaves it takes rounds."""
+    monkeypatch.setattr(simhash, "OFFERS", offers), monkeypatch.setattr(simhash, "LEAF_ROWS", leaf)
+    rng = random.Random(16)
+    rows = []
+    for i in range(60):
+        w = prose_of(rng, 250).split()
+        rows.append((10 * i, " ".join(w)))
+        edited = list(w)
+        for k in rng.sample(range(250), 2 + i % 7):  # similarity about 0.92 to 0.7
+            edited[k] = "edited"
+        rows.append((10 * i + 1, " ".join(edited)))
+    w = prose_of(rng, 250).split()
+    for i in range(120):
+        edited = list(w)
+        for k in rng.sample(range(250), 1 + i % 4):
+            edited[k] = f"e{i}"
+        rows.append((2000 + i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in df.select("doc_id", *shared.identity("doc_id", "text")).join(simhash.near_copies(df).where("keep"), ["_h1", "_h2"]).collect()}
+    sets = [(i, set(simhash.shingle_set(t, 5).tolist())) for i, t in rows]
+    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if len(x & y) >= 0.8 * len(x | y)]
+    near = defaultdict(set)
+    for i, j in links:
+        near[i].add(j), near[j].add(i)
+    dropped = {i for i, _ in rows} - kept
+    assert all(near[i] for i in dropped)
+    want = sum(1 for i, _ in rows[:120] if i % 10 and near[i])
+    assert sum(i < 1000 for i in dropped) >= 0.9 * want > 20
+    assert len([i for i in kept if i >= 2000]) == 1
+
+
 def prose_of(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
 

@@ -23,9 +23,17 @@ CROWD_ROWS = 131_072
 #: Below this many fingerprints a node is compared pair by pair.
 LEAF_ROWS = 1_024
 BLOCK_WORDS = 1 << 13
-#: Wide fingerprints: pieces of 24 bits, each with a tree of its own.
-PIECES, PIECE_BYTES = 16, 3
-FACTORS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, -(-PIECES * PIECE_BYTES // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Wide fingerprints: pieces of 24 bits, each with a tree of its own, and bytes by which what meets in a piece is told apart.
+PIECES, PIECE_BYTES, CHECK_BYTES = 24, 3, 16
+FACTORS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, (PIECES * PIECE_BYTES + CHECK_BYTES) // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Standard deviations of the bits that differ, by which candidates may be farther apart than their similarity lets expect.
+SIGMAS = 2.5
+#: Partners that a document offers for the exact check in the first round; every later round offers two times as many more.
+OFFERS = 2
+#: Points of a large leaf that all others are compared with first.
+PIVOTS = 64
+#: Rows of three longs that are broadcast, at most.
+BROADCAST_ROWS = 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -66,15 +74,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(majority((h[:, None] for h in shingle_hashes(text, width)), 1).view(np.int64)[0])
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """SimHash of ``PIECES`` pieces; each shingle's hash is spread over all words by multiplication and shifts."""
+def wide_fingerprint(hashes: Callable[[], Iterator[np.ndarray]]) -> bytes:
+    """SimHash of all pieces and the check bits; each shingle's hash is spread over all words by multiplication and shifts."""
 
     def spread(h: np.ndarray) -> np.ndarray:
         x = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * FACTORS
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
-    return majority(map(spread, shingle_hashes(text, width)), len(FACTORS)).tobytes()[: PIECES * PIECE_BYTES]
+    return majority(map(spread, hashes()), len(FACTORS)).tobytes()
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,30 +262,91 @@ def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def offers(points: np.ndarray, check: np.ndarray, label: np.ndarray, limit: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of positions of one shard, and whether some are left for a later round.
+
+    Candidates are at most one bit apart in the piece (``points``) and at most ``limit`` bits in ``check``. Each point numbers its candidates at
+    smaller positions, nearest first, and offers those from number ``start`` up to ``stop`` that are not of its label. In a large leaf the
+    first round compares all with a few pivots only; later ones compare what is not of the commonest label with all, from the first number.
+    """
+    pairs, more, todo = [], False, [np.arange(len(points))]
+
+    def choose(one: np.ndarray, all_: np.ndarray, window: tuple[int, int], earlier: bool = False) -> None:
+        nonlocal more
+        near = np.bitwise_count(points[one, None] ^ points[None, all_]) <= 1
+        near &= one[:, None] > all_[None, :] if earlier else one[:, None] != all_[None, :]
+        i, j = np.nonzero(near)
+        far = np.bitwise_count(check[one[i]] ^ check[all_[j]]).sum(1, dtype=np.int64)
+        a, b, far = one[i][far <= limit], all_[j][far <= limit], far[far <= limit]
+        order = np.lexsort((b, far, a))
+        a, b = a[order], b[order]
+        firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        number = np.arange(len(a)) - np.repeat(firsts, np.diff(np.r_[firsts, len(a)]))
+        open_ = label[a] != label[b]
+        taken = open_ & (number >= window[0]) & (number < window[1])
+        more |= bool((open_ & (number >= window[1])).any())
+        pairs.append(np.stack([a[taken], b[taken]]))
+
+    while todo:
+        at = todo.pop()
+        found = split(points, at, 1) if len(at) > LEAF_ROWS else None
+        if found is not None:
+            d = distances(points[at], found[0])
+            todo += [at[d <= found[1] + 1], at[d > found[1]]]
+            continue
+        if len(at) > 4 * LEAF_ROWS:
+            if not start:
+                choose(at, at[np.linspace(0, len(at) - 1, PIVOTS).astype(int)], (0, stop))
+                more = True
+                continue
+            labels, count = np.unique(label[at], return_counts=True)
+            rest = at[label[at] != labels[count.argmax()]]
+            for k in range(0, len(rest), 512):
+                choose(rest[k : k + 512], at, (0, stop))
+            continue
+        for k in range(0, len(at), 512):
+            part = at[k : k + 512]
+            choose(part, at[: np.searchsorted(at, part[-1], "right")], (start, stop), True)
+    got = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+    return got[0], got[1], more
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (_h1, _h2, times, keep) per distinct row of ``docs``: its ``identity``, how often it is there, and whether it is the first of its group.
 
-    Two documents link if their wide fingerprints of ``width``-word shingles differ in no more bits than sets of shingles with that Jaccard
-    similarity are expected to: the estimate of 384 bits has a standard error of about 0.03 there. At such distances a ball leaves nearly all
-    points on both sides of its boundary, so no tree over whole fingerprints prunes. Instead each piece of 24 bits has a vantage-point tree, in
-    which points one bit apart share a shard; what meets in any piece is compared by the whole fingerprint. Two documents at the given
-    similarity meet in at least one of the ``PIECES`` pieces with a chance of five in six, more similar ones with more.
+    Two documents link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more, which is checked on the sets
+    themselves. Pairs to check come from wide fingerprints. At such distances a ball leaves nearly all points on both sides of its boundary, so
+    no tree over whole fingerprints prunes; instead each piece of 24 bits has a vantage-point tree, in which points one bit apart share a
+    shard. What meets in a piece is a candidate if the check bits differ in no more than the similarity lets expect, and ``SIGMAS`` standard
+    deviations. Two documents at 0.8 meet in at least one of the pieces with a chance of 0.92, at 0.85 of 0.98.
+
+    Each document offers its nearest candidates, whose sets are compared by a join; documents that this links are one group, and only
+    candidates of different groups are offered in the next round, more of them, until none is left. So a large group of copies
+    links by a few pairs each, and yet no candidate pair that would link two groups stays unchecked.
 
-    Equal fingerprints are one point from the start, so groups of copies are one row. The first of a group has the smallest doc_id, null last,
+    Equal sets of shingles are one point from the start, so groups of copies are one row. The first of a group has the smallest doc_id, null last,
     then the smallest identity. Null and empty texts are copies of each other. All columns tell rows apart; an empty table gives an empty one.
     """
-    limit = round(PIECES * PIECE_BYTES * 8 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = CHECK_BYTES * 8
+    limit = round(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p)))
+    body = PIECES * PIECE_BYTES
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["id", "_h1", "_h2"]].assign(fp=[wide_fingerprint(t, width) for t in b["text"]])
+            prints, sets = [], []
+            for t in b["text"]:
+                blocks = list(shingle_hashes(t, width))
+                prints.append(wide_fingerprint(lambda blocks=blocks: iter(blocks)))
+                sets.append(xxhash.xxh3_128_digest(np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks])).tobytes()))
+            yield b[["id", "_h1", "_h2"]].assign(fp=prints, grams=sets)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), *identity(*docs.columns), F.col(text).alias("text"))
-    marked = stash(rows.mapInPandas(mark, "id long, _h1 long, _h2 long, fp binary"))
+    marked = stash(rows.mapInPandas(mark, "id long, _h1 long, _h2 long, fp binary, grams binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")
-    classes = stash(marked.groupBy("fp").agg(F.min(order).alias("first")).withColumn("class", F.monotonically_increasing_id()))
+    classes = stash(marked.groupBy("grams").agg(F.min(order).alias("first"), F.min("fp").alias("fp")).withColumn("class", F.monotonically_increasing_id()))
     n = classes.count()
-    sample = np.frombuffer(b"".join(map(bytes, classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"])), np.uint8).reshape(-1, PIECES * PIECE_BYTES)
+    sample = np.frombuffer(b"".join(map(bytes, classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"])), np.uint8).reshape(-1, body + CHECK_BYTES)
 
     def piece(fps: np.ndarray, k: int) -> np.ndarray:
         part = fps[:, k * PIECE_BYTES : (k + 1) * PIECE_BYTES].astype(np.uint64)
@@ -283,21 +357,62 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.frombuffer(b"".join(b["fp"]), np.uint8).reshape(len(b), -1)
+            tail = np.ascontiguousarray(fps[:, body:]).view(np.int64)
             for k, tree in enumerate(trees):
-                for shard, at in route(tree, piece(fps, k), np.arange(len(b)), 1):
+                points = piece(fps, k)
+                for shard, at in route(tree, points, np.arange(len(b)), 1):
                     if len(at):
-                        yield b.iloc[at].assign(shard=k * 4 * MOST_SHARDS + abs(shard))
-
-    def stars(shard: pd.DataFrame) -> pd.DataFrame:
-        name, fps = shard["class"].to_numpy(), np.frombuffer(b"".join(shard["fp"]), np.uint8).reshape(len(shard), -1)
-        wide = np.ascontiguousarray(fps).view(np.uint64)
-        close = lambda a, b: np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= limit
-        root = link(piece(fps, int(shard["shard"].iloc[0]) // (4 * MOST_SHARDS)), 1, close)
-        linked = root != np.arange(len(root))
-        return pd.DataFrame({"a": name[linked], "b": name[root[linked]]})
-
-    links = classes.select("fp", "class").mapInPandas(deal, "fp binary, class long, shard long").groupBy("shard").applyInPandas(stars, "a long, b long")
-    roots = smallest_reachable(links)
+                        yield pd.DataFrame({"piece": k, "shard": abs(shard), "point": points[at].astype(np.int64), "c1": tail[at, 0], "c2": tail[at, 1], "class": b["class"].to_numpy()[at]})
+
+    own = "piece int, shard long, point long, c1 long, c2 long, class long"
+    dealt = classes.select("fp", "class").mapInPandas(deal, own)
+    labels: DataFrame | None = None
+    links, start, stop = None, 0, OFFERS
+    def offering(start: int, stop: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def offer(shard: pd.DataFrame) -> pd.DataFrame:
+            shard = shard.sort_values("class", ignore_index=True)
+            check = np.ascontiguousarray(shard[["c1", "c2"]].to_numpy(np.int64)).view(np.uint64)
+            name = shard["class"].to_numpy(np.int64)
+            a, b, more = offers(shard["point"].to_numpy(np.int64).view(np.uint64), check, shard["label"].to_numpy(np.int64), limit, start, stop)
+            out = pd.DataFrame({"a": np.maximum(name[a], name[b]), "b": np.minimum(name[a], name[b])}).drop_duplicates()
+            out["piece"], out["shard"] = -1, -1
+            left = pd.DataFrame({"a": [-1], "b": [-1], "piece": shard["piece"].iloc[:1], "shard": shard["shard"].iloc[:1]}) if more else out[:0]
+            return pd.concat([out, left])
+
+        return offer
+
+    while True:
+        here = dealt.withColumn("label", F.col("class")) if labels is None else dealt.join(labels, "class")
+        met = stash(here.groupBy("piece", "shard").applyInPandas(offering(start, stop), "a long, b long, piece int, shard long"))
+        pairs = met.where("a >= 0").select("a", "b").distinct()
+        new = stash(verified(rows, classes, pairs, width, similarity))
+        links = new if links is None else links.unionByName(new)
+        roots = smallest_reachable(links)
+        left = met.where("a < 0").select("piece", "shard").distinct()
+        if left.isEmpty():
+            break
+        labels = stash(classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("label")))
+        dealt = stash(dealt.join(left, ["piece", "shard"]).select("piece", "shard", "point", "c1", "c2", "class"))
+        start, stop = stop, 3 * stop
     grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f._h1").alias("_h1"), F.col("f._h2").alias("_h2"), F.lit(True).alias("keep"))
     return marked.groupBy("_h1", "_h2").agg(F.count("*").alias("times")).join(firsts, ["_h1", "_h2"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+
+
+def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ``classes`` whose sets of shingles have at least that Jaccard similarity; only texts in a pair are read again."""
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(len(b)):
+                yield pd.DataFrame({"class": b["class"].iloc[k : k + 1], "grams": [shingle_set(b["text"].iloc[k], width).view(np.int64)]})
+
+    pairs = stash(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    first = stash(classes.join(needed, "class", "left_semi").select("class", F.col("first._h1").alias("_h1"), F.col("first._h2").alias("_h2")))
+    if first.count() <= BROADCAST_ROWS:  # or all texts would be shuffled to find these
+        first = F.broadcast(first)
+    texts = rows.select("_h1", "_h2", "text").join(first, ["_h1", "_h2"]).dropDuplicates(["class"]).select("class", "text")
+    sets = stash(texts.mapInPandas(grams, "class long, grams array<long>"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("same", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
