@@ -1,7 +1,7 @@
 """Graph, clustering and store against plain Python models."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +97,31 @@ def test_counted_ranks(spark, monkeypatch):
         assert [tuple(map(str, r)) for r in few] == [w for w in want if int(w[1]) <= 3]
 
 
+def test_budget_by_doubling(spark):
+    """Bursts, gaps of hours and days, equal times and several processes against a scan."""
+    from tidemark.operators import salience
+
+    rng = random.Random(8)
+    base = datetime(2024, 1, 1)
+    rows = []
+    for p in ("a", "b", "c"):
+        t = 0
+        for k in range(700 if p == "a" else 60):
+            t += rng.choice([0, 0, 1, 7_000, 40_000, 3_599_999, 3_600_000]) if p != "c" else rng.choice([5_000_000, 90_000_000, 1_800_000])
+            rows.append((p, f"{k:04}", base + timedelta(milliseconds=t)))
+    rows += [("d", f"{k:04}", base + timedelta(milliseconds=k % 3)) for k in range(230)]
+    want = {}
+    for p in "abcd":
+        state = (None, 0, 0)
+        for _, i, ts in sorted((r for r in rows if r[0] == p), key=lambda r: (r[2], r[1])):
+            state, mode = salience.spend(state, round((ts - base).total_seconds() * 1000))
+            want[p, i] = (state[2], state[1], mode)
+    calls = spark.createDataFrame([*rows, ("e", "0", None)], "process string, id string, ts timestamp")
+    got = {(r.process, r.id): (r.hour, r.call, r["mode"]) for r in salience.budget(calls).collect()}
+    assert got == want | {("e", "0"): (None, None, None)}
+    assert salience.budget(calls.limit(0)).count() == 0
+
+
 def test_greedy_clusters(spark):
     rng = random.Random(3)
     pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(120)})

@@ -1,9 +1,11 @@
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.streaming import salience_stream as stream
+from tidemark.streaming import state
 
 
 def stream_of(spark, df, path):
@@ -39,3 +41,56 @@ def test_salience(spark, tmp_path):
     q = stream.run_salience(stream_of(spark, insights, str(tmp_path / "i")), score, lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [(r.id, r.action, r.tier, r.tags) for r in seen] == [("1", "insert", "semantic", ["a"])]
+
+
+def until(spark, name, wanted, seconds=90):
+    """Rows of a memory sink as soon as ``wanted`` holds for them, or at the end of the time."""
+    end = time.time() + seconds
+    while time.time() < end:
+        rows = spark.table(name).collect()
+        if wanted(rows):
+            return rows
+        time.sleep(0.5)
+    return spark.table(name).collect()
+
+
+def test_count_trigger(spark, tmp_path):
+    """Nine open insights are not due, ten are, repeated rows count once, and processed ones count no more."""
+    schema, folder = "scope string, id string, processed boolean", str(tmp_path / "in")
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    put([("nine", str(i), False) for i in range(9)] + [("ten", str(i), False) for i in range(10)] + [("nine", "0", False)])
+    q = state.due(spark.readStream.schema(schema).parquet(folder), check_ms=500).writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert {tuple(r) for r in until(spark, "due", bool)} == {("ten", 10)}
+        put([("ten", "3", True), ("ten", "99", True), ("nine", "9", False), ("nine", "10", False)])
+        assert {tuple(r) for r in until(spark, "due", lambda rows: any(r.scope == "nine" for r in rows))} == {("ten", 10), ("nine", 11)}
+        seen = sum(r.scope == "ten" for r in spark.table("due").collect())
+        until(spark, "due", lambda rows: len(rows) > seen + 6)
+        assert sum(r.scope == "ten" for r in spark.table("due").collect()) == seen  # nine of them are open now
+    finally:
+        q.stop()
+    ran = []
+    q = state.run_when_due(state.due(spark.readStream.schema(schema).parquet(folder), least=9, check_ms=200), ran.append, str(tmp_path / "cp2"))
+    end = time.time() + 60
+    while not ran and time.time() < end:
+        time.sleep(0.5)
+    q.stop()
+    assert ran and set(ran[0]) <= {"nine", "ten"}
+
+
+def test_pending_with_time_to_live(spark, tmp_path):
+    schema, folder = f"pending_id string, seq long, action string, {state.Waiting.FIELDS}", str(tmp_path / "in")
+    whole = lambda i, n: (i, n, "add", f"s{i}", 0.4, [1, 2], ["f"], ["u"])
+    ask = lambda i, n, action: (i, n, action, None, None, None, None, None)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    put([whole("a", 1), whole("b", 2), whole("c", 3), ask("b", 4, "discard"), ask("x", 5, "approve"), whole("d", 6), ask("d", 7, "approve")])
+    source = spark.readStream.schema(schema).parquet(folder)
+    q = state.approved(source, 4 / 3600).writeStream.format("memory").queryName("approved").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert [r.pending_id for r in until(spark, "approved", bool)] == ["d"]
+        time.sleep(5)
+        put([ask("a", 8, "approve"), ask("b", 9, "approve"), whole("e", 10), ask("e", 11, "approve")])
+        rows = until(spark, "approved", lambda rows: len(rows) > 1)
+        assert [(r.pending_id, r.summary, r.source_ids) for r in rows] == [("d", "sd", [1, 2]), ("e", "se", [1, 2])]
+    finally:
+        q.stop()

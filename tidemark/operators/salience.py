@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -76,25 +76,68 @@ def related(results: DataFrame, asked: DataFrame) -> DataFrame:
     return listed.select(F.col("insight_id").alias("id"), F.transform("l", lambda r: F.struct(r["id"].alias("id"), r["data"].alias("data"))).alias("related"))
 
 
+def hour_starts(calls: DataFrame) -> DataFrame:
+    """Rows (process, start, hour) of calls (process, ms): the calls at which a process's hours begin, numbered from 0.
+
+    An hour begins at the first call, and then at the first call an hour or more after the last beginning. Each call points to the first one at
+    least an hour later. Calls lie in slots of an hour, so that one is in the next slot, or is the first of a later one: no window is larger than
+    a slot. From the first call on the chain of pointers is found by doubling: what is marked jumps, and every pointer then reaches twice as
+    far, so a chain of n hours takes the logarithm of n rounds, each a join and a written table.
+    """
+    slot = lambda ms: F.floor(F.col(ms) / HOUR_MS)
+    at = cut(calls.select("process", "ms").distinct().withColumn("slot", slot("ms")))
+    firsts = at.groupBy("process", "slot").agg(F.min("ms").alias("first"))
+    later = firsts.withColumn("later", F.lead("first").over(Window.partitionBy("process").orderBy("slot")))
+    firsts = later.withColumn("next_slot", F.lead("slot").over(Window.partitionBy("process").orderBy("slot")))  # a row an hour
+    # A call and the probe of another, an hour after it, lie in one slot; a probe takes the first call from it on.
+    probes = at.select("process", F.col("ms").alias("from"), (F.col("ms") + HOUR_MS).alias("ms"), (F.col("slot") + 1).alias("slot"), F.lit(True).alias("probe"))
+    both = at.select("process", F.lit(None).cast("long").alias("from"), "ms", "slot", F.lit(False).alias("probe")).unionByName(probes)
+    onward = Window.partitionBy("process", "slot").orderBy(F.col("ms").desc(), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("to", F.min(F.when(~F.col("probe"), F.col("ms"))).over(onward)).where("probe")
+    of = firsts.select("process", F.col("slot").alias("own"), "later", "next_slot")
+    jumps = found.join(of, (found["process"] == of["process"]) & (found["slot"] == of["own"] + 1)).select(found["process"], "from", "slot", "to", "later", "next_slot")
+    # The next slot with calls may be the probe's own, in which all were too early: then it is the first of the one after.
+    after = firsts.select("process", F.col("slot").alias("s"), F.col("later").alias("beyond"))
+    jumps = jumps.join(after, (jumps["process"] == after["process"]) & (jumps["slot"] == after["s"]), "left").select(
+        jumps["process"], "from", F.coalesce("to", F.when(F.col("next_slot") == F.col("slot"), F.col("beyond")).otherwise(F.col("later"))).alias("to")
+    )
+    jumps = cut(jumps.where("to is not null"))
+    marked = cut(at.groupBy("process").agg(F.min("ms").alias("start")))
+    while not jumps.isEmpty():
+        reached = marked.join(jumps.withColumnRenamed("from", "start"), ["process", "start"]).select("process", F.col("to").alias("start"))
+        marked = cut(marked.unionByName(reached).distinct())
+        twice = jumps.join(jumps.select("process", F.col("from").alias("to"), F.col("to").alias("far")), ["process", "to"])
+        jumps = cut(twice.select("process", "from", F.col("far").alias("to")))
+    return marked.withColumn("hour", F.row_number().over(Window.partitionBy("process").orderBy("start")).cast("long") - 1)  # a row an hour
+
+
 def budget(calls: DataFrame) -> DataFrame:
     """Rows (id, process, hour, call, mode) of calls (id, process, ts): the number of the call in its hour, and whether it is low-cost or over the limit.
 
-    A process's calls are scanned in order with a state of three numbers, so they lie in one task but never in its memory.
+    Hours come from ``hour_starts``. A call's number is that of its second in the hour, from counts by second, and its own in the second, so
+    neither a process nor an hour has to lie in one task. A null time has no hour, call or mode.
     """
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        process, state = None, (None, 0, 0)
-        for b in batches:
-            rows = []
-            for name, id_, ms in zip(b["process"], b["id"], b["ms"], strict=True):
-                if name != process:
-                    process, state = name, (None, 0, 0)
-                state, mode = spend(state, ms)
-                rows.append((id_, name, state[2], state[1], mode))
-            yield pd.DataFrame(rows, columns=["id", "process", "hour", "call", "mode"])
-
-    ordered = calls.select("process", "id", F.unix_millis("ts").alias("ms")).repartition("process").sortWithinPartitions("process", "ms", "id")
-    return ordered.mapInPandas(scan, "id string, process string, hour long, call long, mode string")
+    timed = cut(calls.select("process", "id", F.unix_millis("ts").alias("ms")))
+    starts = cut(hour_starts(timed.where("ms is not null")))
+    slot = lambda ms: F.floor(ms / HOUR_MS)
+    # At most one hour begins in a slot, so a call is in that one or in the last that began in an earlier slot.
+    begun = starts.select("process", slot(F.col("start")).alias("slot"), "start", "hour")
+    slots = timed.select("process", slot(F.col("ms")).alias("slot")).distinct().join(begun, ["process", "slot"], "left")
+    before = Window.partitionBy("process").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("last", F.max(F.struct("start", "hour")).over(before))  # a row an hour
+    placed = timed.withColumn("slot", slot(F.col("ms"))).join(slots, ["process", "slot"], "left")
+    here = F.col("start").isNotNull() & (F.col("ms") >= F.col("start"))
+    placed = placed.select("process", "id", "ms", F.when(here, F.struct("start", "hour")).otherwise(F.col("last")).alias("h")).select("process", "id", "ms", "h.start", "h.hour")
+    placed = cut(placed.withColumn("second", F.floor((F.col("ms") - F.col("start")) / 1000)))
+    sizes = placed.groupBy("process", "hour", "second").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("process", "hour").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("process", "hour", "second", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))  # at most 3,600 rows an hour
+    own = F.row_number().over(Window.partitionBy("process", "hour", "second").orderBy("ms", "id"))
+    numbered = placed.where("ms is not null").withColumn("own", own).join(offsets, ["process", "hour", "second"])
+    call = F.col("own") + F.col("before")
+    mode = F.when(call > S.HOURLY_CALLS, "limited").when(call > S.LOW_COST_CALLS, "low_cost").otherwise("normal")
+    none = placed.where("ms is null").select("id", "process", F.lit(None).cast("long").alias("hour"), F.lit(None).cast("long").alias("call"), F.lit(None).cast("string").alias("mode"))
+    return numbered.select("id", "process", "hour", call.cast("long").alias("call"), mode.alias("mode")).unionByName(none)
 
 
 def promoted(acted: DataFrame, insights: DataFrame, as_of: Column, next_id: int) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,11 @@
-"""Structured Streaming: insights are scored and promoted in micro-batches; budgets and triggers are keyed state."""
+"""Structured Streaming: insights are scored and promoted in micro-batches; budgets are keyed state."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark import schema as S
 from tidemark.operators import salience
 
+
 def spend(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One process's hourly budget, as ``salience.budget`` counts it."""
     now = state.get if state.exists else (None, 0, 0)
@@ -82,15 +83,3 @@ def schedule(spark: SparkSession, seconds: int, action: Callable[[], object], ch
 def log_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of events (name, at, payload) to an event log that any reader may follow; a repeated batch is written once."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def pending_by_window(insights: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
-    """Open insights per event-time window, late ones within the watermark."""
-    timed = insights.where(~F.col("processed")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", size)).agg(F.count("*").alias("pending"))
-
-
-def due(pending: DataFrame) -> DataFrame:
-    """Windows in which the running number of open insights reaches the trigger."""
-    order = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pending.withColumn("running", F.sum("pending").over(order)).where(F.col("running") >= S.PENDING_TRIGGER)
