@@ -113,6 +113,87 @@ def test_pending_and_commits(spark, tmp_path):
         memory.clear_processed()
 
 
+def test_consolidation_cycle(spark, tmp_path):
+    """Retry, hourly budget, pruning and files in one leased run; stale pending ones go first."""
+    now = datetime(2024, 1, 2)
+    apart = lambda df: df.withColumn("embedding", F.when(F.col("data") == "same", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>"))
+    memory = Memory(spark, str(tmp_path / "m"), apart, "toy")
+    schema = "data string, tier string, importance double, session_id string, category string, metadata string"
+    memory.insert(spark.createDataFrame([(d, "episodic", 0.5, "s1", None, None) for d in ["same"] * 4 + ["other one"] * 3 + ["x"]], schema), now)
+    records = memory.store.read("records")
+    weak = records.withColumn("access_count", F.when(F.col("data") == "x", 0).otherwise(2)).withColumn("stability", F.when(F.col("data") == "x", 0.01).otherwise(F.col("stability")))
+    file = tmp_path / "done.ctx"
+    file.write_text("t")
+    old = spark.createDataFrame([("stale", "s", 0.1, [1], [], [], datetime(2023, 12, 1))], S.PENDING)
+    memory.store.commit(records=weak, pending=old, insights=spark.createDataFrame([("1", "s", f"file:{file}", [], now, True, True)], S.INSIGHTS))
+    asked = []
+
+    def told(df):
+        """Says nothing the first time, and then one sure and one unsure summary."""
+        names = sorted(r.data for r in df.select("data").distinct().collect())
+        asked.append(names)
+        sure = F.when(F.col("data") == "same", 0.9).otherwise(0.2)
+        once = df.groupBy("cluster_id").agg(F.min("data").alias("data"))
+        return once.select("cluster_id", F.when(F.lit(len(asked) > 1), "sum").alias("summary"), sure.alias("confidence"), F.array(F.lit("f")).alias("preserved_facts"), F.array(F.lit("u")).alias("uncertainties"))
+
+    later = datetime(2024, 1, 3)
+    assert memory.store.acquire("consolidation", 60, later) and memory.consolidate(told, later) == {} and not asked
+    memory.store.release("consolidation")
+    got = memory.cycle(None, told, later, "consolidation")["consolidation"]
+    assert got == {"clusters": 1, "pending": 1, "pruned": 1, "files": 1, "calls": 4} and asked == [["other one", "same"]] * 2
+    assert not file.exists() and [r.pending_id == "stale" for r in memory.pending().collect()] == [False]
+    events = {r.name: json.loads(r.payload) for r in memory.store.read("events").collect()}
+    assert events["consolidation:end"] == got and events["consolidation:false-memory-risk"]["confidence"] == 0.2
+    assert memory.store.read("budgets").where("process = 'consolidation'").first().used == 4
+    memory.store.commit(budgets=spark.createDataFrame([("consolidation", later, 200)], S.BUDGETS))
+    assert memory.consolidate(told, datetime(2024, 1, 3, 0, 59)) == {} and memory.consolidate(told, datetime(2024, 1, 3, 1)) != {}
+    with pytest.raises(ValueError):
+        memory.cycle(None, told, later, "nothing")
+
+
+def test_context_of_a_cycle(spark, tmp_path):
+    """Excerpts and the agent's state reach the scorer, low-cost mode quotes no file; contexts end with the session's newest files; imports go item by item."""
+    now = datetime(2024, 1, 2)
+    memory = Memory(spark, str(tmp_path / "m"), lambda df: embed(df).withColumn("embedding", F.when(~F.col("data").startswith("bad"), F.col("embedding"))), "toy", "coder", "writes code")
+    folder = tmp_path / "ctx" / "s1"
+    folder.mkdir(parents=True)
+    (folder / "a.ctx").write_text("quoted " + "y" * 300)
+    rows = [("1", "a one", f"{folder}/a.ctx", [], datetime(2024, 1, 1), False, None), ("2", "a two", f"{folder}/gone.ctx", [], datetime(2024, 1, 1), False, None), ("3", "a three", None, [], datetime(2024, 1, 1), False, None)]
+    memory.log_insights(spark.createDataFrame(rows, S.INSIGHTS))
+    seen = {}
+
+    def score(df):
+        seen.update({r.id: (r.prompt, r.system) for r in df.collect()})
+        return df.select(F.col("id").alias("insight_id"), F.lit(None).cast("string").alias("raw"), F.lit(3).alias("attempts"))
+
+    memory.set_agent_state("focused")
+    memory.run_salience(score, now)
+    assert "quoted " + "y" * 193 in seen["1"][0] and "y" * 194 not in seen["1"][0] and "quoted" not in seen["2"][0] + seen["3"][0]
+    assert all("focused" in s and "coder" in s for _, s in seen.values())
+    memory.store.commit(budgets=spark.createDataFrame([("salience", now, 170)], S.BUDGETS))
+    memory.run_salience(score, now)
+    assert "quoted" not in seen["1"][0]
+    texts = spark.createDataFrame([(1, "one;bad two;three; ;bad"), (2, " ")], "id long, text string")
+    assert memory.import_text(texts, lambda t: F.split(t, ";"), "s1", now) == {"inserted": 2, "skipped": 2}
+    assert memory.import_text(texts.limit(0), lambda t: F.split(t, ";"), "s1", now) == {"inserted": 0, "skipped": 0}
+    assert {r.data for r in memory.store.read("records").collect()} == {"one", "three"}
+    query = memory.store.read("records").where("data = 'one'").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    for k in range(4):
+        (folder / f"f{k}.ctx").write_text(f"file {k}")
+        __import__("os").utime(folder / f"f{k}.ctx", (2e9 + k, 2e9 + k))
+    told = memory.context(query, "s1", None, now, str(tmp_path / "ctx")).first().context
+    assert told.endswith("\n\n===\n\nfile 3\n\n---\n\nfile 2\n\n---\n\nfile 1") and told.startswith("### episodic record")
+    other = Memory(spark, str(tmp_path / "m"), embed, "another")
+    assert other.recall_session(query, "s1", now).isEmpty() and not memory.recall_session(query, "s1", now).isEmpty()
+    got = memory.recall(query, now)
+    assert [f.simpleString() for f in other.recall_session(query, "s1", now).schema] == [f.simpleString() for f in got.schema]
+    link = spark.createDataFrame([(1, 5, got.first().id, now), (2, 4, got.first().id, now)], S.LINKS)
+    known = spark.createDataFrame([(4, "ann", "person", [1.0, 0.0], now), (5, "bob", "person", [0.0, 1.0], now)], S.ENTITIES)
+    memory.store.commit(links=link, entities=known)
+    rich = memory.enrich(got, query, spark.createDataFrame([(4, 1)], "from_id long, seed_order int")).collect()
+    assert len(rich) == got.count() and [e.name for e in rich[0].entities] == ["bob", "ann"] and sum(r.entities is None for r in rich) == len(rich) - 1
+
+
 def test_prompts(spark):
     from tidemark.functions import prompts
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +136,23 @@ def large_parts(split: DataFrame, least: int = S.PROCESS_CLUSTER_SIZE) -> DataFr
     return sized.where(F.col("_n") >= least).drop("_n")
 
 
+def retried(summarise: Callable[[DataFrame], DataFrame], rows: DataFrame, times: int = S.SUMMARY_ATTEMPTS) -> tuple[DataFrame, int]:
+    """(summaries, calls): what ``summarise`` (cluster_id, ... -> cluster_id, summary, ...) says of each cluster of ``rows``, asked again for those without a summary, ``times`` in all.
+
+    Each cluster asked for is a call. A cluster that stays without an answer has no row.
+    """
+    open_, done, calls = rows, None, 0
+    for _ in range(times):
+        asked = open_.select("cluster_id").distinct().count()
+        if not asked:
+            break
+        calls += asked
+        said = cut(summarise(open_).where("summary is not null").dropDuplicates(["cluster_id"]))
+        done = said if done is None else done.unionByName(said)
+        open_ = open_.join(said.select("cluster_id"), "cluster_id", "left_anti")
+    return (cut(summarise(rows.limit(0))) if done is None else done), calls
+
+
 def gate(summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(summaries to store, pending ones): a confidence below one half waits for approval."""
     sure = F.col("confidence") >= S.FALSE_MEMORY_CONFIDENCE

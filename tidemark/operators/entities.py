@@ -103,3 +103,10 @@ def enrich(results: DataFrame, query: DataFrame, links: DataFrame, entities: Dat
     return joined.withColumn("reliability", graph.reliability(F.col("hops")))
 
 
+def with_entities(results: DataFrame, enriched: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every row of ``results``, with the context that ``enrich`` found and the linked entities (id, name, type) in the order of their links; null for the others."""
+    top = enriched.select("query_id", F.col("id").alias("record_id"))
+    listed = links.select(F.col("id").alias("link_id"), "record_id", "entity_id").join(top, "record_id").join(entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id")
+    lists = listed.groupBy("query_id", F.col("record_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("link_id", "entity_id", "name", "type"))).alias("l"))
+    named = lists.select("query_id", "id", F.transform("l", lambda e: F.struct(e["entity_id"].alias("id"), e["name"].alias("name"), e["type"].alias("type"))).alias("entities"))
+    return results.join(enriched.join(named, ["query_id", "id"], "left"), ["query_id", "id"], "left")

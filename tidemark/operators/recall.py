@@ -19,6 +19,14 @@ from tidemark.operators.ranking import positions
 from tidemark.operators.vectors import cosine_of, cosines, exact, matrix, meet
 
 
+#: Columns of results.
+RESULTS = (
+    "query_id BIGINT, position INT, id BIGINT, effective_score DOUBLE, rrf_score DOUBLE, is_superseded BOOLEAN, superseding_ids ARRAY<BIGINT>, strategies ARRAY<STRING>, confidence DOUBLE, "
+    "section INT, data STRING, metadata STRING, tier STRING, importance DOUBLE, stability DOUBLE, last_accessed_at TIMESTAMP, access_count INT, created_at TIMESTAMP, session_id STRING, "
+    "category STRING, sim DOUBLE, ret DOUBLE"
+)
+
+
 class Recall:
     """The parts of a recall. ``results`` is what the caller sees; updates are written only if recall strengthens.
 

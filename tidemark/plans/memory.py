@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -25,11 +25,16 @@ class Memory:
     """Layered memory of one or many sessions.
 
     ``embed`` takes rows with a text column ``data`` and adds ``embedding``, on the executors; ``model_id`` names its model. Every method
-    that depends on time takes ``as_of``; nothing reads the clock.
+    that depends on time takes ``as_of``; nothing reads the clock. ``kind`` and ``purpose`` describe the agent to the scorer.
     """
 
-    def __init__(self, spark: SparkSession, path: str, embed: Embed, model_id: str):
+    def __init__(self, spark: SparkSession, path: str, embed: Embed, model_id: str, kind: str | None = None, purpose: str | None = None):
         self.spark, self.store, self.embed, self.model_id, self.closed = spark, st.Store(spark, path), embed, model_id, False
+        self.kind, self.purpose, self.state = kind, purpose, None
+
+    def set_agent_state(self, state: str | None) -> None:
+        """What the agent does now (see ``prompts.STATES``), which the scorer's system prompt names from the next cycle on."""
+        self.state = state
 
     def _at(self, as_of: datetime):
         return F.lit(as_of)
@@ -47,8 +52,9 @@ class Memory:
     def run_salience(self, score: Callable[[DataFrame], DataFrame], as_of: datetime, extract: Callable | None = None, verdict: Callable | None = None) -> dict:
         """One salience cycle under its lease; returns (processed, failures, llm_calls), or nothing if the lease is taken.
 
-        The oldest open insights are scored by ``score`` (id, prompt -> insight_id, raw, attempts; a null raw is a failure) within the hourly budget. Their
-        prompts name the memories that recall relates to them, fewer when calls run low. Inserts and relates become records and edges, outcomes
+        The oldest open insights are scored by ``score`` (id, prompt, system -> insight_id, raw, attempts; a null raw is a failure) within the hourly budget.
+        Their prompts name the memories that recall relates to them and quote the beginning of their context files; when calls run low, fewer
+        memories and no file. Inserts and relates become records and edges, outcomes
         become tags, and all of it is one commit with the budget and the events. With ``extract`` an entity extraction follows.
         """
         now, store = self._at(as_of), self.store
@@ -63,7 +69,9 @@ class Memory:
             open_ = batch.where("mode <> 'limited'")
             related = graph.cut(self._related(open_, records, store.read("edges"), as_of))
             asked = open_.join(related, "id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<struct<id:bigint,data:string>>")))
-            scores = graph.cut(score(asked.select("id", prompts.scoring(F.col("summary"), F.col("related")).alias("prompt"))))
+            asked = asked.join(self._excerpts(open_), "id", "left")
+            told = prompts.system(self.kind, self.purpose, self.state)
+            scores = graph.cut(score(asked.select("id", prompts.scoring(F.col("summary"), F.col("related"), F.col("excerpt")).alias("prompt"), F.lit(told).alias("system"))))
             good = scores.where("raw is not null")
             acted = graph.cut(salience.actions(open_, good.select("insight_id", "raw"), asked.select("id", F.size("related").alias("n"))))
             new, edges = salience.promoted(acted, open_, now, store.next_id("records"))
@@ -106,6 +114,12 @@ class Memory:
         got = recall.recall(records, edges, asked.select("query_id", F.col("embedding").alias("vector")), RecallOptions(limit=S.RELATED_ROWS, strengthen=False), self._at(as_of)).results
         return salience.related(got, asked)
 
+    def _excerpts(self, open_: DataFrame) -> DataFrame:
+        """Rows (id, excerpt) of insights whose context file is there, outside of low-cost mode; the executors read the files."""
+        normal = open_.where("mode = 'normal' and context_file is not null").select("id", F.col("context_file").alias("name"))
+        files = text.named_files(self.spark, [r.name for r in normal.select("name").distinct().collect()])  # a batch of ten
+        return normal.join(files, "name").select("id", F.nullif(X.excerpt(F.col("text")), F.lit("")).alias("excerpt"))
+
     def _event(self, name: str, as_of: datetime, payload: dict) -> DataFrame:
         return self.spark.createDataFrame([(name, as_of, json.dumps(payload))], S.EVENTS)
 
@@ -163,19 +177,27 @@ class Memory:
 
     def insert(self, rows: DataFrame, as_of: datetime) -> int:
         """Insert (data, tier, importance, session_id, category, metadata) all or none; returns the version. A semantic row without a confidence gets 1."""
+        return self._insert(self.embed(rows), as_of)
+
+    def _insert(self, rows: DataFrame, as_of: datetime) -> int:
         now = self._at(as_of)
         known = F.get_json_object("metadata", "$.confidence").isNotNull() | (F.col("tier") != "semantic")
         patched = X.merge_metadata(F.coalesce("metadata", F.lit("{}")), F.lit('{"confidence": 1}'))
-        full = st.number_rows(rows.withColumn("_o", F.xxhash64("data", "session_id")), "_o", self.store.next_id("records") - 1)
-        full = self.embed(full).select(
+        full = st.number_rows(rows.withColumn("_o", F.xxhash64("data", "session_id")), "_o", self.store.next_id("records") - 1).select(
             "id", "data", F.when(known, F.coalesce("metadata", F.lit("{}"))).otherwise(patched).alias("metadata"), "embedding", "tier", "importance", X.initial_stability(F.col("importance")).alias("stability"),
             now.alias("last_accessed_at"), F.lit(0).alias("access_count"), now.alias("created_at"), "session_id", "category",
         )
         return self.store.commit(append={"records": self._whole(full)})
 
-    def import_text(self, texts: DataFrame, extract, session_id: str, as_of: datetime) -> int:
+    def import_text(self, texts: DataFrame, extract, session_id: str, as_of: datetime) -> dict:
+        """Insert what ``extract`` finds in ``texts``, item by item: an item to which the model gives no vector is left out. Returns how many were inserted and skipped."""
         found = text.import_text(texts, extract)
-        return self.insert(found.select("data", F.lit("episodic").alias("tier"), F.lit(0.0).alias("importance"), F.lit(session_id).alias("session_id"), F.lit(None).cast("string").alias("category"), F.lit("{}").alias("metadata")), as_of)
+        rows = found.select("data", F.lit("episodic").alias("tier"), F.lit(0.0).alias("importance"), F.lit(session_id).alias("session_id"), F.lit(None).cast("string").alias("category"), F.lit("{}").alias("metadata"))
+        seen = Observation()
+        made = graph.cut(self.embed(rows).observe(seen, F.count("*").alias("items"), F.count("embedding").alias("inserted")))
+        if seen.get["inserted"]:
+            self._insert(made.where("embedding is not null"), as_of)
+        return {"inserted": seen.get["inserted"], "skipped": seen.get["items"] - seen.get["inserted"]}
 
     def get(self, record_id: int) -> DataFrame:
         """The record, or of a tombstone only that it is one and since when."""
@@ -235,18 +257,30 @@ class Memory:
         return got.results
 
     def recall_session(self, queries: DataFrame, session_id: str, as_of: datetime, options: RecallOptions | None = None) -> DataFrame:
-        return self.recall(queries, as_of, replace(options or RecallOptions(), session_id=session_id, strengthen=False, min_results=0))
+        """Recall within a session; no rows if the stored vectors are of another model."""
+        own = replace(options or RecallOptions(), session_id=session_id, strengthen=False, min_results=0)
+        try:
+            return self.recall(queries, as_of, own)
+        except recall.ModelMismatch:
+            return self.spark.createDataFrame([], recall.RESULTS)
 
-    def context(self, queries: DataFrame, session_id: str, category: str | None, as_of: datetime) -> DataFrame:
-        """Text of the merged recalls of ``queries``, the first of which may give five records and the others two."""
+    def context(self, queries: DataFrame, session_id: str, category: str | None, as_of: datetime, folder: str | None = None) -> DataFrame:
+        """One row with the text of the merged recalls of ``queries``, the first of which may give five records and the others two; then the session's newest context files in ``folder``."""
         results = self.recall(queries, as_of, RecallOptions(min_results=1, strengthen=False, limit=S.CONTEXT_ROWS)).withColumnRenamed("query_id", "list_no")
         first = queries.agg(F.min("query_id").alias("f"))
         rows = results.crossJoin(first).where((F.col("list_no") == F.col("f")) | (F.col("position") <= S.CONTEXT_SECONDARY_ROWS))
-        return serialize.context_text(serialize.merge_context(rows, session_id, category))
+        told = serialize.context_text(serialize.merge_context(rows, session_id, category))
+        if folder is None:
+            return told
+        recent = text.files_text(text.recent_files(text.context_files(self.spark, folder).where(F.col("session_id") == session_id)))
+        parts = F.filter(F.array("context", "files"), lambda p: p != "")
+        return told.crossJoin(recent).select(F.array_join(parts, "\n\n===\n\n").alias("context"))  # one row each
 
     def enrich(self, results: DataFrame, query: DataFrame, seeds: DataFrame) -> DataFrame:
+        """Every result, the first three that link to entities with these and the path from ``seeds``."""
         read = self.store.read
-        return entities.enrich(results, query, read("links"), read("entities"), read("entity_edges"), seeds)
+        found = entities.enrich(results, query, read("links"), read("entities"), read("entity_edges"), seeds)
+        return entities.with_entities(results, found, read("links"), read("entities"))
 
     def find_entity_path(self, pairs: DataFrame, max_hops: int = S.PATH_HOPS) -> DataFrame:
         """Shortest paths (from_id, to_id, hops, path, reliability) between entities."""
@@ -255,26 +289,51 @@ class Memory:
 
     # Maintenance
 
-    def consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float = S.PROCESS_SIMILARITY) -> None:
-        """Cluster, split by time, summarise with ``summarise`` (cluster_id, id, data, ... -> cluster_id, summary, confidence, preserved_facts, uncertainties); unsure ones wait."""
+    def consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float = S.PROCESS_SIMILARITY) -> dict:
+        """One consolidation cycle under its lease: cluster and summarise, prune, delete context files; returns counts, or nothing if the lease is taken or the hour's calls are used up.
+
+        ``summarise`` (cluster_id, id, data, ... -> cluster_id, summary, confidence, preserved_facts, uncertainties) is asked twice for a cluster at
+        most, and each time counts as a call. Unsure summaries wait for approval and are told as an event.
+        """
         if not self.store.acquire("consolidation", 2 * S.CONSOLIDATION_CADENCE_S, as_of):
-            return
+            return {}
         try:
-            self._consolidate(summarise, as_of, similarity)
+            start, used = self._budget("consolidation", as_of)
+            if used >= S.HOURLY_CALLS:
+                return {}
+            report, calls, events = self._consolidate(summarise, as_of, similarity)
+            report |= {"pruned": self.prune(as_of).first()["pruned"], "files": self.clean_context(), "calls": calls}
+            budgets = self.store.read("budgets").where("process <> 'consolidation'").unionByName(self.spark.createDataFrame([("consolidation", start, used + calls)], S.BUDGETS))
+            self.store.commit(append={"events": events.unionByName(self._event("consolidation:end", as_of, report))}, budgets=graph.cut(budgets))
+            return report
         finally:
             self.store.release("consolidation")
 
-    def _consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float) -> None:
+    def _consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float) -> tuple[dict, int, DataFrame]:
         records, now = self.store.read("records"), self._at(as_of)
         pool = consolidate.consolidation_candidates(records)
         clusters = consolidate.greedy_clusters(consolidate.similar_pairs(pool, similarity))
         timed = clusters.join(pool.select("id", "created_at"), "id")
         parts = graph.cut(consolidate.large_parts(consolidate.temporal_split(timed)))
         members = parts.select((F.col("cluster_id") * 2 + F.col("part")).alias("cluster_id"), "id")
-        summaries = graph.cut(summarise(members.join(pool, "id")))
+        summaries, calls = consolidate.retried(summarise, members.join(pool, "id"))
         sure, unsure = consolidate.gate(summaries)
-        self._write_summaries(records, sure, members, now, consolidate.pending(unsure, members, now))
-        self.store.commit(append={"events": self._event("consolidation:end", as_of, {"clusters": sure.count(), "pending": unsure.count()})})
+        waiting = graph.cut(consolidate.pending(unsure, members, now))
+        self._write_summaries(records, sure, members, now, waiting)
+        risky = waiting.select(F.lit("consolidation:false-memory-risk").alias("name"), now.alias("at"), F.to_json(F.struct("pending_id", "confidence", "source_ids")).alias("payload"))
+        return {"clusters": sure.count(), "pending": waiting.count()}, calls, risky
+
+    def cycle(self, score: Callable[[DataFrame], DataFrame], summarise: Callable[[DataFrame], DataFrame], as_of: datetime, target: str = "all") -> dict:
+        """Drop what has waited too long, then run the salience cycle, the consolidation cycle or (``target="all"``) both; returns their reports."""
+        if target not in ("salience", "consolidation", "all"):
+            raise ValueError(f"target is {target!r}")
+        self.purge_pending(as_of)
+        reports = {}
+        if target != "consolidation":
+            reports["salience"] = self.run_salience(score, as_of)
+        if target != "salience":
+            reports["consolidation"] = self.consolidate(summarise, as_of)
+        return reports
 
     def _write_summaries(self, records: DataFrame, summaries: DataFrame, members: DataFrame, now: Column, waiting: DataFrame | None = None, pending: DataFrame | None = None) -> None:
         """Commit the records, edges and halved stabilities of ``summaries``, with what waits or what is left waiting."""

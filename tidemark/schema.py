@@ -40,7 +40,7 @@ FALSE_MEMORY_CONFIDENCE = 0.5
 HOURLY_CALLS, LOW_COST_CALLS = 200, 150
 BATCH_SIZE, PENDING_TRIGGER, MAX_FAILURES = 10, 10, 3
 RELATED_ROWS, RELATED_LOW_COST = 3, 1
-SCORE_ATTEMPTS = 3
+SCORE_ATTEMPTS, SUMMARY_ATTEMPTS = 3, 2
 EXTRACTION_LEASE_S, SALIENCE_CADENCE_S, CONSOLIDATION_CADENCE_S = 60, 300, 3600
 TOKENS_PER_CALL = 500
 PROMOTION_IMPORTANCE = 0.7

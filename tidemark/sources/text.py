@@ -40,12 +40,32 @@ def context_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", session.alias("session_id"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), F.col("content").cast("string").alias("text"))
 
 
+def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows (name, text) of those of a few ``paths`` that exist, read on the executors; any store that Spark reads will do."""
+    found = []
+    for name in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at) and fs.getFileStatus(at).isFile():
+            found.append((name, fs.getFileStatus(at).getPath().toString()))
+    if not found:
+        return spark.createDataFrame([], "name string, text string")
+    read = spark.read.format("binaryFile").load([path for _, path in found]).select("path", F.col("content").cast("string").alias("text"))
+    return spark.createDataFrame(found, "name string, path string").join(read, "path").select("name", "text")
+
+
 def recent_files(files: DataFrame, limit: int = S.CONTEXT_FILES) -> DataFrame:
     """The newest ``limit`` files of each session."""
     newest = Window.partitionBy("session_id").orderBy(F.desc("modified"), "path")
     return files.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
 
 
+def files_text(files: DataFrame) -> DataFrame:
+    """One row with the texts of context files, the newest first."""
+    listed = files.agg(F.array_sort(F.collect_list(F.struct((-F.col("modified").cast("double")).alias("age"), "path", "text"))).alias("_l"))
+    return listed.select(F.array_join(F.col("_l.text"), "\n\n---\n\n").alias("files"))
+
+
 def disk_stats(files: DataFrame, as_of: Column) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.max(as_of.cast("double") - F.col("modified").cast("double")).alias("oldest_age_s"))
 
