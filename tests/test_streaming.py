@@ -94,3 +94,32 @@ def test_pending_with_time_to_live(spark, tmp_path):
         assert [(r.pending_id, r.summary, r.source_ids) for r in rows] == [("d", "sd", [1, 2]), ("e", "se", [1, 2])]
     finally:
         q.stop()
+
+
+def test_requests_are_answered(spark, tmp_path):
+    """All nine types in one batch, bad ones beside good ones; a second batch sees what the first wrote."""
+    import json
+
+    from tests.test_memory import embed
+    from tidemark.plans.memory import Memory
+    from tidemark.streaming.requests import Router, serve
+
+    memory = Memory(spark, str(tmp_path / "m"), embed, "toy")
+    told = lambda df: df.select("cluster_id").distinct().select("cluster_id", F.lit("s").alias("summary"), F.lit(0.9).alias("confidence"), F.array(F.lit("f")).alias("preserved_facts"), F.array(F.lit("u")).alias("uncertainties"))
+    score = lambda df: df.select(F.col("id").alias("insight_id"), F.lit('{"action": "skip", "importanceScore": 0.1}').alias("raw"), F.lit(1).alias("attempts"))
+    router = Router(memory, lambda: datetime(2024, 1, 2), lambda t: F.split(t, ";"), score, told)
+    asked = [
+        ("1", "logInsight", {"summary": "seen", "tags": ["t"]}), ("2", "logInsight", {"tags": []}), ("3", "insertMemory", {"data": "first", "options": {"tier": "semantic", "importance": 0.5}}), ("4", "insertMemory", {}),
+        ("5", "importText", {"text": "second;third"}), ("6", "recall", {"query": "first", "options": {"limit": 2, "threshold": 0.1}}), ("7", "recall", {"query": "third"}), ("8", "recall", {}), ("9", "getContext", {"query": "first"}),
+        ("10", "getContext", {}), ("11", "getStats", {}), ("12", "getRecent", {"limit": 2}), ("13", "consolidate", {"target": "amygdala"}), ("14", "fork", {"outputPath": str(tmp_path / "fork")}), ("15", "unknown", {}),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([json.dumps({"id": i, "type": t, "payload": p}) for i, t, p in asked] + ["broken"]))
+    serve(spark.readStream.text(str(tmp_path / "in")), router, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(300)
+    got = {r.id: r for r in spark.read.schema("id string, ok boolean, result string, error string").json(str(tmp_path / "out" / "0")).collect()}
+    assert set(got) == {str(k) for k in range(1, 15)} and {i for i, r in got.items() if not r.ok} == {"2", "4", "8", "10"}, got
+    assert json.loads(got["5"].result) == {"inserted": 2, "skipped": 0} and json.loads(got["11"].result)["total"] == 3
+    first = json.loads(got["6"].result)
+    assert len(first) == 2 and first[0]["data"] == "first" and json.loads(got["7"].result)[0]["data"] == "third"
+    assert "KeyError" in got["10"].error and len(json.loads(got["12"].result)) == 2 and json.loads(got["13"].result)["salience"]["processed"] == 1
+    assert Memory(spark, str(tmp_path / "fork"), embed, "toy").store.read("records").count() == 3 and "semantic record" in got["9"].result
