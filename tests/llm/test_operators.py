@@ -65,6 +65,17 @@ def test_rules_keep_their_confidence(spark):
     assert mined == {(("a", "b"), "allow"): (1.0, 8 / 17), (("d",), "block"): (1.0, 4 / 17), (("b", "c"), "allow"): (1.0, 6 / 17)}
 
 
+def test_names_in_any_case_and_texts_alone(spark):
+    """Columns that differ from an operator's own in case only are replaced, and a table may have nothing but texts."""
+    df = spark.createDataFrame([(1, "word " * 60, "mine", "mine"), (2, None, "mine", "mine")], "doc_id long, text string, Kept string, N_bytes string")
+    judged = quality_rules.judge_quality(df)
+    assert [c for c in judged.columns if c.lower() in ("kept", "n_bytes")] == ["N_bytes", "kept"] and {r.kept for r in judged.collect()} == {False}
+    cut = suffix_dedup.remove_repeats(df, digest=True)
+    assert "N_bytes" not in cut.columns and {r.n_bytes for r in cut.collect()} == {300, 0}
+    alone = df.select("text")
+    assert quality_rules.judge_quality(alone).count() == 2
+
+
 # 2 and 8
 
 

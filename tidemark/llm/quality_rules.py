@@ -61,7 +61,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (row, a struct of the columns of ``docs`` but its text, and ``MEASURES``). A null text has no words."""
     rest = [c for c in docs.columns if c != text]
     t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(F.struct(*rest).alias("row"), t.alias("t"), words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")).alias("l"))
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), *([] if rest else [F.lit(True).alias("none")]))  # an empty struct cannot be written
+    split = docs.select(row.alias("row"), t.alias("t"), words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")).alias("l"))
     return split.select(
         "row",
         F.size("w").cast("long").alias("n_words"),
@@ -115,7 +116,7 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
 
 
 def judge_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``MEASURES``, votes v_<rule>, posterior, base_failed and kept (columns of those names are replaced).
+    """``docs`` without its text, with ``MEASURES``, votes v_<rule>, posterior, base_failed and kept (columns of those names, in any case, are replaced).
 
     base_failed: under 50 words, or over half of the words in repeated windows. kept: not base_failed and a posterior of 0.5 or more. The
     posterior is that of the two-class model which ``estimate`` fits to the votes of all texts. A null text counts as empty; repeated rows
@@ -128,4 +129,4 @@ def judge_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.select("*", (1 / (1 + F.exp(-evidence(params)))).alias("posterior"), failed.alias("base_failed"))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
-    return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in (*own, text)), *own)
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own and c != text), *own)

@@ -447,7 +447,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Remove each byte that a ``THRESHOLD``-byte string covers which also starts earlier: in a smaller doc_id, or further left in the same one.
 
     Every row of ``docs`` without its text, but with n_bytes, n_removed, n_spans, kept (bytes), kept_text, span_starts and span_ends, or with
-    ``digest`` kept_sha256 in place of the last four; columns of these names are replaced, others stay. All strings are judged on the input,
+    ``digest`` kept_sha256 in place of the last four; columns of these names, in any case, are replaced, others stay. All strings are judged on the input,
     so which copy stays does not depend on what else goes. Texts are compared as UTF-8 bytes and never across documents; kept_text leaves
     out what is left of a letter that was cut in two.
 
@@ -458,7 +458,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = stash(repeated_spans(ready.select(F.col(key).alias("doc"), F.col(data).alias("text"))))
     cut, gives = (cut_digest, DIGEST) if digest else (cut_text, TEXT)
     fields = [f.split()[0] for f in gives.split(", ")]
-    rest = [c for c in docs.columns if c != text and c not in fields]
+    rest = [c for c in docs.columns if c != text and c.lower() not in fields]
     names = [free_name(ready.columns, n) for n in ("_of", "_starts", "_lengths", "_packed", "_cut")]
     packed = ready.select(*rest, key, F.pandas_udf(pack, "binary")(data).alias(names[3]))
     both = packed.join(spans.toDF(*names[:3]), F.col(key) == F.col(names[0]), "left")
