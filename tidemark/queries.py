@@ -92,7 +92,7 @@ TOP_UP = sql_results(0.45, 12, 60)
 SQL_PARTS |= {k: SCORED for k in ("cosine_topk", "effective_score")}
 SQL_PARTS |= {k: RANKED for k in ("rank_semantic", "rank_temporal", "rank_entity")}
 SQL_PARTS |= {"rank_associative": REACHED, "rrf_fusion": FUSED, "decay_events": FUSED, "edge_strengthen_updates": FUSED, "superseded_lookup": SUPERSEDERS}
-SQL_PARTS |= {k: RESULTS for k in ("recall_full", "strengthen_updates", "relevance_serialize", "context_merge", "context_boost", "companion_injection", "recall_enrichment")}
+SQL_PARTS |= {k: RESULTS for k in ("recall_full", "recall_entities", "strengthen_updates", "relevance_serialize", "context_merge", "context_boost", "companion_injection", "recall_enrichment")}
 SQL_PARTS["related_lookup"] = sql_results(0.05, 0, 3)
 SORTED = {"importance": "importance", "recency": "last_accessed_at", "stability": "stability"}
 SQL_PARTS |= {f"recall_by_{k}": sql_results(0.05, 6, 60, key) for k, key in SORTED.items()} | {"recall_strategies": sql_results(0.05, 6, 60)}
@@ -509,6 +509,19 @@ def entity_path_length(pairs, edges):
     return found.select("from_id", "to_id", "hops", graph.reliability(F.col("hops")).alias("reliability"))
 
 
+@query(
+    """, walk AS (SELECT DISTINCT from_id AS start_id, from_id AS id, 0 AS hops, []::BIGINT[] AS taken, [from_id] AS nodes FROM supplier_pairs UNION ALL
+  SELECT start_id, e.to_id, hops + 1, list_append(taken, e.id), list_append(nodes, e.to_id) FROM walk JOIN entity_edges e ON e.from_id = walk.id WHERE hops < 10 AND NOT list_contains(nodes, e.to_id))
+SELECT p.from_id, p.to_id, min(hops)::BIGINT AS hops, arg_min(array_to_string(nodes, ','), row(hops, taken)) AS path
+FROM supplier_pairs p JOIN walk ON start_id = p.from_id AND walk.id = p.to_id GROUP BY p.from_id, p.to_id""",
+    ("supplier_pairs", "entity_edges"),
+)
+def entity_paths(pairs, edges):
+    """The shortest path itself, of several the one with the smallest edge ids in order."""
+    found = graph.shortest_paths(edges, pairs)
+    return found.select("from_id", "to_id", F.col("hops").cast("long").alias("hops"), F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 @query("SELECT id + 50000000 AS id, from_id, to_id, 'near' AS type FROM entity_edges WHERE id % 2 = 0", ("entity_edges",))
 def edge_insert(edges):
     """Every edge again and, for even ids, a second time as another type, all of it twice."""
@@ -613,6 +626,19 @@ def recall_enrichment(records, edges, queries, links, ents, entity_edges):
     return enriched.select("query_id", "id", "selected_id", "origin_id", "hops", "reliability")
 
 
+@query(
+    """SELECT query_id, r.id, CASE WHEN position <= 3 THEN names END AS names FROM results r LEFT JOIN (
+  SELECT record_id, string_agg(name, ',' ORDER BY l.id) AS names FROM links l JOIN entities e ON e.id = entity_id GROUP BY record_id) ON record_id = r.id""",
+    ("records", "edges", "queries", "links", "entities"),
+)
+def recall_entities(records, edges, queries, links, ents):
+    """Every result, the first three with the entities that they link to."""
+    results = _lists(records, edges, queries).results
+    top = results.where(F.col("position") <= S.ENRICHED_ROWS).select("query_id", "id").join(links.select(F.col("record_id").alias("id")).distinct(), "id")
+    named = entities.with_entities(results.select("query_id", "id"), top, links, ents)
+    return named.select("query_id", "id", F.array_join("entities.name", ",").alias("names"))
+
+
 # Short-term insights
 
 
