@@ -28,8 +28,9 @@ PIECES, PIECE_BYTES, CHECK_BYTES = 24, 3, 16
 FACTORS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, (PIECES * PIECE_BYTES + CHECK_BYTES) // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Standard deviations of the bits that differ, by which candidates may be farther apart than their similarity lets expect.
 SIGMAS = 2.5
-#: Partners that a document offers for the exact check in the first round; every later round offers two times as many more.
-OFFERS = 2
+#: Partners that a document offers for the exact check in the first round, and how many times as many each later round goes up to: what is
+#: linked by then is not offered again.
+OFFERS, MORE = 2, 16
 #: Points of a large leaf that all others are compared with first.
 PIVOTS = 64
 #: Rows of three longs that are broadcast, at most.
@@ -74,7 +75,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(majority((h[:, None] for h in shingle_hashes(text, width)), 1).view(np.int64)[0])
 
 
-def wide_fingerprint(hashes: Callable[[], Iterator[np.ndarray]]) -> bytes:
+def wide_fingerprint(hashes: Callable[[], Iterator[np.ndarray]]) -> np.ndarray:
     """SimHash of all pieces and the check bits; each shingle's hash is spread over all words by multiplication and shifts."""
 
     def spread(h: np.ndarray) -> np.ndarray:
@@ -82,7 +83,7 @@ def wide_fingerprint(hashes: Callable[[], Iterator[np.ndarray]]) -> bytes:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
-    return majority(map(spread, hashes()), len(FACTORS)).tobytes()
+    return majority(map(spread, hashes()), len(FACTORS)).view(np.int64)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -311,14 +312,20 @@ def offers(points: np.ndarray, check: np.ndarray, label: np.ndarray, limit: int,
     return got[0], got[1], more
 
 
+def farthest(bits: int, similarity: float) -> int:
+    """Bits of a fingerprint of that many in which texts of the similarity may differ: as expected, and ``SIGMAS`` standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p)))
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (_h1, _h2, times, keep) per distinct row of ``docs``: its ``identity``, how often it is there, and whether it is the first of its group.
 
     Two documents link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more, which is checked on the sets
     themselves. Pairs to check come from wide fingerprints. At such distances a ball leaves nearly all points on both sides of its boundary, so
     no tree over whole fingerprints prunes; instead each piece of 24 bits has a vantage-point tree, in which points one bit apart share a
-    shard. What meets in a piece is a candidate if the check bits differ in no more than the similarity lets expect, and ``SIGMAS`` standard
-    deviations. Two documents at 0.8 meet in at least one of the pieces with a chance of 0.92, at 0.85 of 0.98.
+    shard. What meets in a piece is a candidate if the check bits, and before the sets are compared all bits, differ in no more than the
+    similarity lets expect (``farthest``). Two documents at 0.8 meet in at least one of the pieces with a chance of 0.92, at 0.85 of 0.98.
 
     Each document offers its nearest candidates, whose sets are compared by a join; documents that this links are one group, and only
     candidates of different groups are offered in the next round, more of them, until none is left. So a large group of copies
@@ -327,10 +334,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
     Equal sets of shingles are one point from the start, so groups of copies are one row. The first of a group has the smallest doc_id, null last,
     then the smallest identity. Null and empty texts are copies of each other. All columns tell rows apart; an empty table gives an empty one.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = CHECK_BYTES * 8
-    limit = round(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p)))
-    body = PIECES * PIECE_BYTES
+    limit, body = farthest(CHECK_BYTES * 8, similarity), PIECES * PIECE_BYTES
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -342,11 +346,15 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
             yield b[["id", "_h1", "_h2"]].assign(fp=prints, grams=sets)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), *identity(*docs.columns), F.col(text).alias("text"))
-    marked = stash(rows.mapInPandas(mark, "id long, _h1 long, _h2 long, fp binary, grams binary"))
+    marked = stash(rows.mapInPandas(mark, "id long, _h1 long, _h2 long, fp array<long>, grams binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")
     classes = stash(marked.groupBy("grams").agg(F.min(order).alias("first"), F.min("fp").alias("fp")).withColumn("class", F.monotonically_increasing_id()))
     n = classes.count()
-    sample = np.frombuffer(b"".join(map(bytes, classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"])), np.uint8).reshape(-1, body + CHECK_BYTES)
+
+    def as_bytes(fps: pd.Series) -> np.ndarray:
+        return np.array(fps.to_list(), np.int64).reshape(-1, len(FACTORS)).view(np.uint8)
+
+    sample = as_bytes(classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"])
 
     def piece(fps: np.ndarray, k: int) -> np.ndarray:
         part = fps[:, k * PIECE_BYTES : (k + 1) * PIECE_BYTES].astype(np.uint64)
@@ -356,7 +364,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = np.frombuffer(b"".join(b["fp"]), np.uint8).reshape(len(b), -1)
+            fps = as_bytes(b["fp"])
             tail = np.ascontiguousarray(fps[:, body:]).view(np.int64)
             for k, tree in enumerate(trees):
                 points = piece(fps, k)
@@ -386,14 +394,15 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
         met = stash(here.groupBy("piece", "shard").applyInPandas(offering(start, stop), "a long, b long, piece int, shard long"))
         pairs = met.where("a >= 0").select("a", "b").distinct()
         new = stash(verified(rows, classes, pairs, width, similarity))
-        links = new if links is None else links.unionByName(new)
-        roots = smallest_reachable(links)
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = smallest_reachable(links)
         left = met.where("a < 0").select("piece", "shard").distinct()
         if left.isEmpty():
             break
         labels = stash(classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("label")))
         dealt = stash(dealt.join(left, ["piece", "shard"]).select("piece", "shard", "point", "c1", "c2", "class"))
-        start, stop = stop, 3 * stop
+        start, stop = stop, MORE * stop
     grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f._h1").alias("_h1"), F.col("f._h2").alias("_h2"), F.lit(True).alias("keep"))
     return marked.groupBy("_h1", "_h2").agg(F.count("*").alias("times")).join(firsts, ["_h1", "_h2"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
@@ -407,7 +416,10 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
             for k in range(len(b)):
                 yield pd.DataFrame({"class": b["class"].iloc[k : k + 1], "grams": [shingle_set(b["text"].iloc[k], width).view(np.int64)]})
 
-    pairs = stash(pairs)
+    prints, bits = classes.select("class", "fp"), 64 * len(FACTORS)
+    far = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    near = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").where(far <= farthest(bits, similarity))
+    pairs = stash(near.select("a", "b"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     first = stash(classes.join(needed, "class", "left_semi").select("class", F.col("first._h1").alias("_h1"), F.col("first._h2").alias("_h2")))
     if first.count() <= BROADCAST_ROWS:  # or all texts would be shuffled to find these
