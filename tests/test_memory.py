@@ -1,4 +1,5 @@
 import json
+import pathlib
 from datetime import datetime
 
 import pytest
@@ -137,6 +138,8 @@ def test_consolidation_cycle(spark, tmp_path):
         return once.select("cluster_id", F.when(F.lit(len(asked) > 1), "sum").alias("summary"), sure.alias("confidence"), F.array(F.lit("f")).alias("preserved_facts"), F.array(F.lit("u")).alias("uncertainties"))
 
     later = datetime(2024, 1, 3)
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
     assert memory.store.acquire("consolidation", 60, later) and memory.consolidate(told, later) == {} and not asked
     memory.store.release("consolidation")
     got = memory.cycle(None, told, later, "consolidation")["consolidation"]
@@ -145,6 +148,7 @@ def test_consolidation_cycle(spark, tmp_path):
     events = {r.name: json.loads(r.payload) for r in memory.store.read("events").collect()}
     assert events["consolidation:end"] == got and events["consolidation:false-memory-risk"]["confidence"] == 0.2
     assert memory.store.read("budgets").where("process = 'consolidation'").first().used == 4
+    assert set(shared.iterdir()) == before  # no intermediate table is left
     memory.store.commit(budgets=spark.createDataFrame([("consolidation", later, 200)], S.BUDGETS))
     assert memory.consolidate(told, datetime(2024, 1, 3, 0, 59)) == {} and memory.consolidate(told, datetime(2024, 1, 3, 1)) != {}
     with pytest.raises(ValueError):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,10 +15,11 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 
 _own: list[str] = []
+_open = threading.local()
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only a local session may leave that unset."""
+def _base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,7 +27,26 @@ def scratch_path(spark: SparkSession) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tidemark-"))
         base = _own[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, inside this thread's open ``scratch`` if there is one."""
+    scopes = getattr(_open, "scopes", [])
+    return f"{scopes[-1] if scopes else _base(spark)}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside the block, in this thread, are deleted at its end; nothing lazy that reads them may leave it."""
+    path = f"{_base(spark)}/{uuid.uuid4().hex}"
+    _open.scopes = [*getattr(_open, "scopes", []), path]
+    try:
+        yield
+    finally:
+        _open.scopes = _open.scopes[:-1]
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

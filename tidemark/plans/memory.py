@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,17 @@ from tidemark.sources import text
 Embed = Callable[[DataFrame], DataFrame]
 
 
+def cleans_up(method: Callable) -> Callable:
+    """Delete the intermediate tables of a method that returns plain values when it ends."""
+
+    @wraps(method)
+    def inner(self: Memory, *args, **kwargs):
+        with graph.scratch(self.spark):
+            return method(self, *args, **kwargs)
+
+    return inner
+
+
 class Memory:
     """Layered memory of one or many sessions.
 
@@ -49,6 +61,7 @@ class Memory:
     def clear_processed(self) -> None:
         self.store.commit(insights=self.store.read("insights").where(~F.col("processed")))
 
+    @cleans_up
     def run_salience(self, score: Callable[[DataFrame], DataFrame], as_of: datetime, extract: Callable | None = None, verdict: Callable | None = None) -> dict:
         """One salience cycle under its lease; returns (processed, failures, llm_calls), or nothing if the lease is taken.
 
@@ -129,6 +142,7 @@ class Memory:
         extra = {"embedding_model_id": F.lit(self.model_id), "embedding_dimensions": F.size("embedding"), "tombstoned": F.lit(False), "session_id": F.lit("legacy")}
         return rows.withColumns({c: extra.get(c, F.lit(None)).cast(t) for c, t in schema.items() if c not in rows.columns}).select(*schema)
 
+    @cleans_up
     def extract_entities(self, extract: Callable, verdict: Callable | None, as_of: datetime) -> dict:
         """Extract entities of the live records that have none linked, under a lease of a minute; returns totals, or nothing if the lease is taken.
 
@@ -175,6 +189,7 @@ class Memory:
 
     # Records
 
+    @cleans_up
     def insert(self, rows: DataFrame, as_of: datetime) -> int:
         """Insert (data, tier, importance, session_id, category, metadata) all or none; returns the version. A semantic row without a confidence gets 1."""
         return self._insert(self.embed(rows), as_of)
@@ -189,6 +204,7 @@ class Memory:
         )
         return self.store.commit(append={"records": self._whole(full)})
 
+    @cleans_up
     def import_text(self, texts: DataFrame, extract, session_id: str, as_of: datetime) -> dict:
         """Insert what ``extract`` finds in ``texts``, item by item: an item to which the model gives no vector is left out. Returns how many were inserted and skipped."""
         found = text.import_text(texts, extract)
@@ -229,6 +245,7 @@ class Memory:
         self.embed, self.model_id = embed, model_id
         return n
 
+    @cleans_up
     def delete(self, ids: DataFrame) -> None:
         ids = graph.cut(ids.select("id").distinct())
         none = self.store.read
@@ -289,6 +306,7 @@ class Memory:
 
     # Maintenance
 
+    @cleans_up
     def consolidate(self, summarise: Callable[[DataFrame], DataFrame], as_of: datetime, similarity: float = S.PROCESS_SIMILARITY) -> dict:
         """One consolidation cycle under its lease: cluster and summarise, prune, delete context files; returns counts, or nothing if the lease is taken or the hour's calls are used up.
 
@@ -343,6 +361,7 @@ class Memory:
         append = {"records": self._whole(self.embed(new)), "edges": linked} | ({} if waiting is None else {"pending": waiting})
         self.store.commit(append=append, change={"records": (halves, ("id",), lambda rows: st.apply_updates(rows, halves))}, **({} if pending is None else {"pending": pending}))
 
+    @cleans_up
     def approve_pending(self, pending_id: str, as_of: datetime) -> bool:
         """Consolidate what waits under ``pending_id`` and take it off the list; false if nothing does."""
         waits = graph.cut(self.pending().where(F.col("pending_id") == pending_id))
@@ -356,9 +375,11 @@ class Memory:
     def pending(self) -> DataFrame:
         return self.store.read("pending")
 
+    @cleans_up
     def discard_pending(self, pending_id: str) -> None:
         self.store.commit(pending=graph.cut(self.pending().where(F.col("pending_id") != pending_id)))
 
+    @cleans_up
     def purge_pending(self, as_of: datetime) -> None:
         self.store.commit(pending=graph.cut(salience.purge_pending(self.pending(), self._at(as_of))))
 

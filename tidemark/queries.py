@@ -621,7 +621,8 @@ SELECT query_id, c.id, selected_id, origin_id, hops, CASE WHEN coalesce(hops, 0)
     ("records", "edges", "queries", "links", "entities", "entity_edges"),
 )
 def recall_enrichment(records, edges, queries, links, ents, entity_edges):
-    seeds = ents.where("type = 'supplier'").select(F.col("id").alias("from_id"), F.row_number().over(recall.Window.orderBy("id")).alias("seed_order")).where("seed_order <= 3")
+    first = ents.where("type = 'supplier'").select("id").orderBy("id").limit(3)
+    seeds = first.select(F.col("id").alias("from_id"), F.row_number().over(recall.Window.orderBy("id")).alias("seed_order"))
     enriched = entities.enrich(_lists(records, edges, queries).results, queries, links, ents, entity_edges, seeds)
     return enriched.select("query_id", "id", "selected_id", "origin_id", "hops", "reliability")
 
