@@ -65,6 +65,20 @@ def test_rules_keep_their_confidence(spark):
     assert mined == {(("a", "b"), "allow"): (1.0, 8 / 17), (("d",), "block"): (1.0, 4 / 17), (("b", "c"), "allow"): (1.0, 6 / 17)}
 
 
+def test_rules_of_any_length(spark):
+    """Only all four tokens tell these verdicts apart; a rule that a shorter one covers is not mined."""
+    rows = [([t for t in "abcd" if t != gone], "allow") for gone in "abcd"] * 10 + [(list("dcba"), "block")] * 10 + [(["q"], "x" * 200), (["q", "z"], "x" * 200)] * 10
+    labelled = spark.createDataFrame(rows, "items array<string>, verdict string")
+    mined = {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in url_filter.mine_rules(labelled, 0.1, 0.9).collect()}
+    assert mined == {(("a", "b", "c", "d"), "block"): (1.0, 10 / 70), (("q",), "x" * 200): (1.0, 20 / 70), (("z",), "x" * 200): (1.0, 10 / 70)}
+    pages = [(i, f"http://h{i}.org/" + "/".join(r[0])) for i, r in enumerate(rows[:50])] + [(100, "http://new.org/a/b/c/d"), (101, "http://new.org/a/b/c")]
+    rules = [(r[1], f"h{i}.org", "/") for i, r in enumerate(rows[:50])]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined_rule) for r in url_filter.filter_urls(df, rules, "url", 0.1, 0.9).where("rule is null").collect()}
+    assert got == {100: ("block", "path=a&path=b&path=c&path=d"), 101: ("allow", None)}
+    assert url_filter.mine_rules(labelled.limit(0)).count() == 0
+
+
 def test_names_in_any_case_and_texts_alone(spark):
     """Columns that differ from an operator's own in case only are replaced, and a table may have nothing but texts."""
     df = spark.createDataFrame([(1, "word " * 60, "mine", "mine"), (2, None, "mine", "mine")], "doc_id long, text string, Kept string, N_bytes string")
