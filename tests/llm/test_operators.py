@@ -173,6 +173,27 @@ def test_block_max_search_is_exact():
         assert numbers.tolist() == want and np.allclose(cosines, sims[want])
 
 
+def test_groups_of_queries_find_what_each_finds():
+    """Common and rare terms, copies of examples, more queries than a group holds; the group a query is in changes no bit of its cosines."""
+    rng = np.random.default_rng(2)
+    n, terms = 700, [f"t{i}" for i in range(400)]
+    w = rng.random((n, 400)) * (rng.random((n, 400)) < np.where(np.arange(400) < 20, 0.5, 0.03))
+    w[n // 2 :] = w[: n - n // 2]
+    w /= np.sqrt((w * w).sum(1))[:, None]
+    index = toxicity.BlockMaxIndex({t.encode(): i for i, t in enumerate(terms)}, rng.random(400) + 1, np.ascontiguousarray(w.T), np.arange(n), (rng.random(n) > 0.5).astype(float), 15)
+    texts = [" ".join(rng.choice(terms, rng.integers(1, 60))) for _ in range(toxicity.GROUP + 20)]
+    queries = index.vectors(texts)
+    for query, (numbers, cosines) in zip(queries, index.nearest_all(queries), strict=True):
+        q = np.zeros(400)
+        q[query[:, 0]] = (1 + np.log(query[:, 1])) * index.idf[query[:, 0]]
+        sims = w.astype(np.float32).astype(float) @ (q / np.sqrt((q * q).sum()))
+        assert numbers.tolist() == sorted(np.flatnonzero(sims > 1e-15), key=lambda i: (-round(sims[i], 12), i))[:15] and np.allclose(cosines, sims[numbers])
+        alone = index.nearest(query)
+        assert (alone[0] == numbers).all() and (alone[1] == cosines).all()
+    judged = list(index.judge_all([None, *texts, "", "unknown"]))
+    assert judged[0] == judged[-1] == judged[-2] == (index.prior, [], []) and len(judged) == len(texts) + 3
+
+
 def test_toxic_words_are_found(spark):
     rng = random.Random(2)
     rows = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,9 @@ from tidemark.llm.labelled import PER_CLASS, held_out, known_labels, labelled_sa
 BLOCK = 64
 #: A term in more than one of so many examples is bounded by block before it is summed; the others are summed at once.
 COMMON = 8
+#: Texts whose words are looked up together, and queries whose common terms are summed together.
+TEXTS, GROUP = 256, 64
+POSTING = np.dtype([("who", np.uint32), ("weight", np.float32)])
 #: Weight of the prior share of toxic documents among the votes, whose weights are their cosines.
 DOUBT = 0.1
 #: ASCII letters in lower case, digits and bytes from 128 on as they are, all else as white space.
@@ -60,73 +63,100 @@ class BlockMaxIndex:
             self.prior = (self.labels.sum() + 1) / (n + 2)
         ends, who, weights = self.postings
         self.starts, self.ends = np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64)
-        self.who, self.weights = who.astype(np.min_scalar_type(max(n, 1)), copy=False), weights.astype(np.float32, copy=False)
         common = np.flatnonzero(self.ends - self.starts > n / COMMON)
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.blocks = -(-n // BLOCK)
-        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        dense = np.zeros((len(common), self.blocks * BLOCK))
         for row, t in enumerate(common):
             at = slice(self.starts[t], self.ends[t])
-            self.dense[row, self.who[at]] = self.weights[at]
-        self.dense = self.dense.reshape(len(common), self.blocks, BLOCK)
-        self.most = self.dense.max(2, initial=0.0)
-        self.postings = None
-
-    def vector(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """(term, count) of the index's terms in a text."""
-        counts = Counter(tokens(text))
-        if not counts or not len(self.terms):
-            return ()
-        own = hashes(list(counts))
-        at = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
-        known = self.terms[at] == own
-        return tuple(sorted(zip(self.order[at[known]].tolist(), np.fromiter(counts.values(), np.int64, len(counts))[known].tolist(), strict=True)))
-
-    def nearest(self, query: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest cosine above zero, ties to the smaller number, and the cosines.
-
-        Rarer terms are summed over their postings. Common terms bound what they add in each block; blocks come in the order of their bounds,
-        a few at first, and the search ends at the first block whose bound is below the k-th best cosine.
+            dense[row, who[at]] = weights[at].astype(np.float32, copy=False)
+        dense = dense.reshape(len(common), self.blocks, BLOCK)
+        self.most = dense.max(2, initial=0.0)
+        self.dense = np.ascontiguousarray(dense.transpose(1, 0, 2))
+        # Example and weight of a posting lie side by side, so that a list is copied at one go.
+        packed = np.empty(len(who), POSTING)
+        packed["who"], packed["weight"] = who, weights
+        self.packed, self.postings = packed.view(np.int64), None
+
+    def vectors(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """For each text its rows (term, count) of the index's terms, in their order; every distinct word of all texts is looked up once."""
+        counts = [Counter(tokens(t)) for t in texts]
+        words = list(set().union(*counts)) if len(self.terms) else []
+        if not words:
+            return [np.zeros((0, 2), np.int64) for _ in counts]
+        own = hashes(words)
+        asked = np.argsort(own)  # neighbours in the sorted terms are looked up one after the other
+        at = np.empty(len(words), np.int64)
+        at[asked] = np.minimum(np.searchsorted(self.terms, own[asked]), len(self.terms) - 1)
+        place = dict(zip(words, np.where(self.terms[at] == own, self.order[at], -1).tolist(), strict=True))
+        found = []
+        for c in counts:
+            pairs = np.empty((len(c), 2), np.int64)
+            pairs[:, 0], pairs[:, 1] = np.fromiter(map(place.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+            pairs = pairs[pairs[:, 0] >= 0]
+            found.append(pairs[np.argsort(pairs[:, 0])])
+        return found
+
+    def vector(self, text: str | None) -> np.ndarray:
+        """Rows (term, count) of the index's terms in a text."""
+        return self.vectors([text])[0]
+
+    def nearest(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest_all`` of one query."""
+        return next(self.nearest_all([query]))
+
+    def nearest_all(self, queries: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ``k`` examples of largest cosine above zero, ties to the smaller number, and the cosines.
+
+        Rarer terms are summed over their postings. Common terms bound what they add in each block. As they take nothing away, the k-th largest
+        sum of blocks so far is a lower bound of the k-th best cosine: what common terms add is only computed for blocks that some
+        query of a group can need, as one product for the group, which always has the same shape.
         """
-        t, n = np.array(query, np.int64).T
-        q = (1 + np.log(n)) * self.idf[t]
-        q = q / np.sqrt((q * q).sum())
-        rare = self.row[t] < 0
-        starts, sizes = self.starts[t[rare]], self.ends[t[rare]] - self.starts[t[rare]]
-        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        sums = np.bincount(self.who[at], self.weights[at] * np.repeat(q[rare], sizes), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        rows, q = self.row[t[~rare]], q[~rare]
-        bounds = sums.max(1) + q @ self.most[rows]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        numbers, cosines, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 8
-        while len(order):
-            if len(numbers) == self.k:
-                order = order[bounds[order] >= least - 1e-12]
-            some, order, step = (order[:step], order[step:], self.blocks) if step < len(order) else (order, order[:0], step)
-            # Whole rows are cheaper to fetch than most of their blocks.
-            rest = self.dense[rows[:, None], some] if len(some) < self.blocks / 4 else self.dense[rows]
-            add = (q @ rest.reshape(len(rows), rest.shape[1] * BLOCK)).reshape(-1, BLOCK)
-            found = (sums[some] + (add if len(some) < self.blocks / 4 else add[some])).ravel()
-            hit = np.flatnonzero(found > max(0.0, least - 1e-12 if len(numbers) == self.k else 0.0))
-            numbers, cosines = np.concatenate((numbers, some[hit // BLOCK] * BLOCK + hit % BLOCK)), np.concatenate((cosines, found[hit]))
-            best = np.lexsort((numbers, -np.round(cosines, 12)))[: self.k]
-            numbers, cosines = numbers[best], cosines[best]
-            least = cosines[-1] if len(cosines) else 0.0
-        return numbers, cosines
-
-    def judge(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Score, and the ids and cosines of the examples it rests on.
+        for at in range(0, len(queries), GROUP):
+            some = queries[at : at + GROUP]
+            sums, common = np.zeros((len(some), self.blocks, BLOCK)), np.zeros((GROUP, len(self.most)))
+            need = np.zeros(self.blocks, bool)
+            for own, total, query in zip(common, sums, some, strict=False):
+                t, n = query[:, 0], query[:, 1]
+                q = (1 + np.log(n)) * self.idf[t]
+                q = q / np.sqrt((q * q).sum())
+                rare = self.row[t] < 0
+                starts, ends = self.starts[t[rare]], self.ends[t[rare]]
+                if len(starts):
+                    met = np.concatenate([self.packed[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]).view(POSTING)
+                    total[:] = np.bincount(met["who"], met["weight"] * np.repeat(q[rare], ends - starts), total.size).reshape(total.shape)
+                rows, q = self.row[t[~rare]], q[~rare]
+                own[rows] = q
+                most = total.max(1)
+                need |= most + q @ self.most[rows] > max(0.0, self.least(most) - 2e-12)
+            for b in np.flatnonzero(need):
+                sums[:, b] += (common @ self.dense[b])[: len(some)]
+            for total in sums:
+                numbers = np.flatnonzero(total > max(0.0, self.least(total.max(1)) - 2e-12))
+                cosines = total.ravel()[numbers]
+                best = np.lexsort((numbers, -np.round(cosines, 12)))[: self.k]
+                yield numbers[best], cosines[best]
+
+    def least(self, most: np.ndarray) -> float:
+        """The k-th largest of the blocks' largest sums: so many examples have no less; 0 for fewer blocks."""
+        return float(np.partition(most, -self.k)[-self.k]) if len(most) >= self.k else 0.0
+
+    def judge_all(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+        """For each text its score, and the ids and cosines of the examples it rests on.
 
         Votes are weighted by cosine; the prior has the weight of a tenth of a vote, however many terms a text has.
         """
-        query = self.vector(text)
-        if not query or not len(self.ids):
-            return float(self.prior), [], []
-        numbers, cosines = self.nearest(query)
-        score = ((cosines * self.labels[numbers]).sum() + DOUBT * self.prior) / (cosines.sum() + DOUBT)
-        return float(min(1.0, max(0.0, score))), self.ids[numbers].tolist(), cosines.tolist()
+        for at in range(0, len(texts), TEXTS):
+            queries = self.vectors(texts[at : at + TEXTS])
+            found = self.nearest_all([q for q in queries if len(q)])
+            for query in queries:
+                if not len(query):
+                    yield float(self.prior), [], []
+                    continue
+                numbers, cosines = next(found)
+                score = ((cosines * self.labels[numbers]).sum() + DOUBT * self.prior) / (cosines.sum() + DOUBT)
+                yield float(min(1.0, max(0.0, score))), self.ids[numbers].tolist(), cosines.tolist()
 
 
 def fit(sample: DataFrame, k: int = 15, prior: float | None = None) -> BlockMaxIndex:
@@ -176,9 +206,9 @@ def reject(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: in
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                yield part.filter(pa.array([sent.value.judge(t)[0] < 0.5 for t in part.column("text").to_pylist()], pa.bool_()))
+            for at in range(0, len(b), TEXTS):
+                part = b.slice(at, TEXTS)
+                yield part.filter(pa.array([j[0] < 0.5 for j in sent.value.judge_all(part.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 
@@ -197,7 +227,7 @@ def classify(
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            judged = [sent.value.judge(t) for t in b["text"]]
+            judged = list(sent.value.judge_all(b["text"].tolist()))
             score = np.array([j[0] for j in judged], np.float64)
             out = pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
             if evidence:
