@@ -663,6 +663,8 @@ def test_bpe_like_the_library(spark, docs, texts, no_docs):
         want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         assert tuple(digests[i])[1:] == want
     assert bpe.encode(no_docs, path, public_tokenizers.PATTERN).count() == 0
+    plain = bpe.encode(df, path, public_tokenizers.PATTERN, decode=False)
+    assert plain.columns == ["doc_id", "ids"] and {i: r.ids for i, r in by_id(plain).items()} == {i: r.ids for i, r in got.items()}
 
 
 # 10

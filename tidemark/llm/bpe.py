@@ -6,7 +6,9 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 NEVER = 1 << 60
 #: Words that each of a task's two generations remembers, and the longest that it remembers.
-CACHE_WORDS = 50_000
+CACHE_WORDS = 100_000
 CACHED_BYTES = 256
 #: Every so many bytes of a long word its state is computed before those behind.
 STEP_BYTES = 128
@@ -129,7 +131,9 @@ class TrieEncoder:
                 state(word, end)  # from the front, so that the states of a very long word do not wait for each other in a deep chain
             ids, end = [], n
             while end:
-                token = state(word, end)
+                token = last[end - 1]
+                if token < 0:
+                    token = state(word, end)
                 ids.append(token)
                 end -= size_of[token]
             yield word, ids[::-1]
@@ -151,49 +155,64 @@ def encoder(path: str, pattern: str) -> TrieEncoder:
     return TrieEncoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, decode: bool = True) -> DataFrame:
     """Encode and decode whole texts: rows (doc_id, ids array<int>, decoded), or with ``digests`` (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     ``path`` is a vocabulary file and must exist on every executor. The string of a special token becomes its id. The distinct words of a
     batch that the task has not met before are encoded in one walk of their trie; a task remembers a bounded number of words.
-    decoded joins the bytes of the ids, bytes that are no UTF-8 replaced. A null text counts as empty: no ids, an empty decoded text.
-    Repeated rows are encoded each; other columns are dropped; an empty table gives an empty one. No row is shuffled.
+    decoded joins the bytes of the ids, bytes that are no UTF-8 replaced; without ``decode`` there is no such column, unless digests are asked
+    for. A null text counts as empty: no ids, an empty decoded text. Repeated rows are encoded each; other columns are dropped; an empty table
+    gives an empty one. No row is shuffled.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
+    decode = decode or digests
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>" + ", decoded string" * decode
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, new, old = encoder(path, pattern), {}, {}
-        kept = (lambda ids: ",".join(map(str, ids))) if digests else tuple
+        bpe = encoder(path, pattern)
+        # The ids and the decoded text of each known word. Flat values in two tables: nothing for the garbage collector to follow.
+        ids, texts, old_ids, old_texts = {}, {}, {}, {}
+        kept = (lambda got: ",".join(map(str, got))) if digests else tuple
+
+        def know(word: str, got: list[int]) -> None:
+            ids[word] = kept(got)
+            if decode:
+                # A word is whole characters, so it is decoded as it is within its text.
+                plain = b"".join([bpe.bytes_of[i] for i in got]).decode("utf-8", "replace")
+                texts[word] = plain.encode() if digests else word if plain == word else plain
+
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 cut = [bpe.pieces(t or "") for t in part["text"]]
-                fresh = set()
-                for w in {w for pieces in cut for w in pieces}:
-                    if w in old and w not in new:
-                        new[w] = old[w]
+                fresh = []
+                for w in set().union(*cut).difference(ids):
+                    if w in old_ids:
+                        ids[w] = old_ids[w]
+                        if decode:
+                            texts[w] = old_texts[w]
                     elif w in bpe.special:
-                        new[w] = (kept([bpe.special[w]]), bpe.bytes_of[bpe.special[w]])
-                    elif w not in new:
-                        fresh.add(w)
-                for w, ids in bpe.encode_words(w.encode("utf-8", "surrogatepass") for w in fresh):
-                    new[w.decode("utf-8", "surrogatepass")] = (kept(ids), b"".join([bpe.bytes_of[i] for i in ids]))
-                rows = []
-                for pieces in cut:
-                    got = [new[w] for w in pieces]
-                    decoded = b"".join([g[1] for g in got]).decode("utf-8", "replace")
-                    if digests:
-                        joined = ",".join([g[0] for g in got])
-                        rows.append((joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                        know(w, [bpe.special[w]])
                     else:
-                        rows.append(([i for g in got for i in g[0]], decoded))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
+                        fresh.append(w)
+                fresh.sort()  # code points and their bytes have the same order
+                for w, (_, got) in zip(fresh, bpe.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True):
+                    know(w, got)
+                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy()})
+                if digests:
+                    joined = [",".join(map(ids.__getitem__, pieces)) for pieces in cut]
+                    out["n_tokens"] = [j.count(",") + 1 if j else 0 for j in joined]
+                    out["ids_sha256"] = [hashlib.sha256(j.encode()).hexdigest() for j in joined]
+                    out["decoded_sha256"] = [hashlib.sha256(b"".join(map(texts.__getitem__, pieces))).hexdigest() for pieces in cut]
+                else:
+                    out["ids"] = pd.Series([np.fromiter(chain.from_iterable(map(ids.__getitem__, pieces)), np.int32) for pieces in cut], dtype=object)
+                    if decode:
+                        out["decoded"] = ["".join(map(texts.__getitem__, pieces)) for pieces in cut]
                 yield out
                 for w in fresh:
                     if len(w) > CACHED_BYTES:
-                        del new[w]
-                if len(new) > CACHE_WORDS:
-                    old, new = new, {}
+                        del ids[w]
+                        texts.pop(w, None)
+                if len(ids) > CACHE_WORDS:
+                    ids, texts, old_ids, old_texts = {}, {}, ids, texts
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, schema)
