@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -642,6 +644,25 @@ def hot_way(rows):
     return {int(d): sum(b - a for a, b in suffix_dedup.unite(g["start"].to_numpy(), g["length"].to_numpy())) for d, g in both.groupby("doc")}
 
 
+def test_workers_give_memory_back(spark):
+    """What a task frees between small pieces that it keeps goes back to the system; the C library by itself would hold all 160 MB."""
+    shared.bound_batches(spark)
+
+    def each(batches):
+        resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+        for _ in batches:
+            first = np.ones(1 << 20)
+            del first
+            before, large, small = resident(), [], []
+            for _ in range(20):
+                large.append(np.ones(1 << 20))
+                small.append(bytes(100_000))
+            large.clear()
+            yield pd.DataFrame({"mb": [resident() - before]})
+
+    assert spark.range(1).coalesce(1).mapInPandas(each, "mb long").first().mb < 40
+
+
 # 9
 
 
