@@ -688,6 +688,36 @@ def test_bpe_like_the_library(spark, docs, texts, no_docs):
     assert plain.columns == ["doc_id", "ids"] and {i: r.ids for i, r in by_id(plain).items()} == {i: r.ids for i, r in got.items()}
 
 
+def test_plain_pattern_splits_like_regex():
+    import regex
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    plain, whole, rng = bpe.plain_pattern(pattern), regex.compile(pattern), random.Random(4)
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    mixed = ["".join(rng.choice([rng.choice(every), rng.choice(every[:400]), " ", "\n", "\x1c", "\x85", "\u3000", "a", "7", "'s"]) for _ in range(50)) for _ in range(2_000)]
+    for text in [every, " ".join(every), *mixed]:
+        assert plain.findall(text) == whole.findall(text)
+    for other in (r"\w+", r"[\S]", r"\p{Lu}+", r"a++", r"(?i:a)", r"[a--b]"):
+        assert bpe.plain_pattern(other) is None
+
+
+def test_few_lookups_a_token():
+    """Only lengths that some entry with the same last bytes has are tried."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder, asked = bpe.TrieEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), []
+
+    class Counted(dict):
+        def get(self, key, *other):
+            asked.append(key)
+            return super().get(key, *other)
+
+    encoder.ends = Counted(encoder.ends)
+    rng = random.Random(8)
+    words = {b" " + "".join(rng.choice(["th", "ing", "er", "ea", "keit", "ción", "ble"]) for _ in range(rng.randint(3, 6))).encode() for _ in range(500)}
+    tokens = sum(len(ids) for _, ids in encoder.encode_words(words))
+    assert len(asked) < 3.5 * tokens
+
+
 # 10
 
 
