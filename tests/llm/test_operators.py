@@ -409,6 +409,54 @@ def test_near_copies_are_exact(spark, monkeypatch, offers, leaf):
     assert len([i for i in kept if i >= 2000]) == 1
 
 
+def test_meetings():
+    """Candidates by halves of a piece against brute force, one by one and where so many meet that pivots go first."""
+    rng = np.random.default_rng(17)
+    value = np.concatenate([rng.integers(0, 1 << 24, 40), rng.integers(0, 1 << 24, 3).repeat(60)])
+    value[40:] ^= np.where(rng.random(180) < 0.7, 1 << rng.integers(0, 24, 180), 0)
+    check = rng.integers(0, 1 << 63, (4, 2), dtype=np.uint64)[rng.integers(0, 4, len(value))]
+    brute = simhash.Forest(len(value))
+    a, b = np.nonzero((np.bitwise_count(value[:, None] ^ value) <= 1) & (np.bitwise_count(check[:, None] ^ check).sum(2) <= 30))
+    brute.join(a, b)
+    for most in (1 << 20, 50, 1):
+        forest = simhash.Forest(len(value))
+        for half, turned in enumerate((value, (value & 4095) << 12 | value >> 12)):
+            order = np.argsort(code := (half << 24) + turned)
+            root = simhash.meetings(code[order], check[order], 30, most)
+            forest.join(order, order[root])
+        assert (forest.root == brute.root).all()
+
+
+@pytest.mark.parametrize("block, offers", [(128, 16), (16, 2), (8, 0)])
+def test_near_copies_of_a_crowd(spark, monkeypatch, block, offers):
+    """A crowd around one text, of which about half links: no table has more rows than a few for each document, and blocks lose no link."""
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", block), monkeypatch.setattr(simhash, "OFFERS", offers)
+    rows_of, stash = [], simhash.stash
+
+    def counted(df):
+        rows_of.append((out := stash(df)).count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", counted)
+    rng = random.Random(18)
+    w, rows = prose_of(rng, 150).split(), []
+    for i in range(150):
+        edited = list(w)
+        for k in rng.sample(range(150), 1 + i % 6):
+            edited[k] = f"e{i}"
+        rows.append((i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = df.select("doc_id", *shared.identity("doc_id", "text"))
+    kept = {r.doc_id for r in keys.join(simhash.near_copies(df).where("keep"), ["_h1", "_h2"]).collect()}
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    forest = simhash.Forest(len(rows))
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)]
+    forest.join(*np.array(links).T)
+    assert kept == set(forest.root.tolist()) and 10 < len(kept) < 140
+    if offers:  # or each pair of blocks has links of its own
+        assert max(rows_of) <= 2 * len(rows)
+
+
 def prose_of(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
 

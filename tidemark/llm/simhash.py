@@ -28,13 +28,15 @@ PIECES, PIECE_BYTES, CHECK_BYTES = 24, 3, 16
 FACTORS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, (PIECES * PIECE_BYTES + CHECK_BYTES) // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Standard deviations of the bits that differ, by which candidates may be farther apart than their similarity lets expect.
 SIGMAS = 2.5
-#: Partners that a document offers for the exact check in the first round, and how many times as many each later round goes up to: what is
-#: linked by then is not offered again.
-OFFERS, MORE = 2, 16
-#: Points of a large leaf that all others are compared with first.
-PIVOTS = 64
-#: Rows of three longs that are broadcast, at most.
-BROADCAST_ROWS = 1 << 20
+#: Two values of a piece that differ in one bit at most are equal in one of its halves, of so many bits.
+HALF_BITS = 4 * PIECE_BYTES
+#: Rows that a task joins at once by their pieces; from so many pairs on that meet at one half, pivots are compared first.
+MEET_ROWS, MANY_PAIRS = 1 << 17, 1 << 20
+#: Documents whose sets of shingles a task compares with each other at once, and how many a larger crowd offers to all its blocks first: what these
+#: link needs no comparison between blocks.
+BLOCK_DOCS, OFFERS = 128, 16
+#: Rows of five longs that are broadcast, at most.
+BROADCAST_ROWS = 1 << 19
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -263,53 +265,79 @@ def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def offers(points: np.ndarray, check: np.ndarray, label: np.ndarray, limit: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of positions of one shard, and whether some are left for a later round.
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``code``, some ``MEET_ROWS`` at a time, so that those that share a half of a piece stay together."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= MEET_ROWS:
+            part = pd.concat(held, ignore_index=True)
+            keys = part["code"].to_numpy() >> HALF_BITS
+            open_ = int(np.searchsorted(keys, keys[-1]))
+            if open_:
+                yield part.iloc[:open_]
+            held = [part.iloc[open_:]]
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
 
-    Candidates are at most one bit apart in the piece (``points``) and at most ``limit`` bits in ``check``. Each point numbers its candidates at
-    smaller positions, nearest first, and offers those from number ``start`` up to ``stop`` that are not of its label. In a large leaf the
-    first round compares all with a few pivots only; later ones compare what is not of the commonest label with all, from the first number.
+
+def meetings(code: np.ndarray, check: np.ndarray, limit: int, many_pairs: int = MANY_PAIRS) -> np.ndarray:
+    """For each point the smallest position that candidates reach from it; points are in the order of ``code``, groups are whole.
+
+    A code is piece and half, the bits of that half, by which points were dealt, and the bits of the other one, by which they are looked up here.
+    Candidates are at most one bit apart in the piece and at most ``limit`` bits in ``check``. Where very many pairs meet, ``link`` compares them.
     """
-    pairs, more, todo = [], False, [np.arange(len(points))]
-
-    def choose(one: np.ndarray, all_: np.ndarray, window: tuple[int, int], earlier: bool = False) -> None:
-        nonlocal more
-        near = np.bitwise_count(points[one, None] ^ points[None, all_]) <= 1
-        near &= one[:, None] > all_[None, :] if earlier else one[:, None] != all_[None, :]
-        i, j = np.nonzero(near)
-        far = np.bitwise_count(check[one[i]] ^ check[all_[j]]).sum(1, dtype=np.int64)
-        a, b, far = one[i][far <= limit], all_[j][far <= limit], far[far <= limit]
-        order = np.lexsort((b, far, a))
-        a, b = a[order], b[order]
-        firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-        number = np.arange(len(a)) - np.repeat(firsts, np.diff(np.r_[firsts, len(a)]))
-        open_ = label[a] != label[b]
-        taken = open_ & (number >= window[0]) & (number < window[1])
-        more |= bool((open_ & (number >= window[1])).any())
-        pairs.append(np.stack([a[taken], b[taken]]))
+    forest, key, n = Forest(len(code)), code >> HALF_BITS, len(code)
+    met, pairs = [], np.zeros(n, np.int64)
+    for flip in (0, *(1 << k for k in range(HALF_BITS))):
+        # Equal pieces meet at both halves, and count at the first.
+        rows = np.flatnonzero(code & flip if flip else ~(code >> 2 * HALF_BITS) & 1)
+        low = np.searchsorted(code, code[rows] ^ flip, "left")
+        count = (np.searchsorted(code, code[rows] ^ flip, "right") if flip else rows) - low
+        some = count > 0
+        met.append((rows[some], low[some], count[some]))
+        pairs[rows] += count
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], n]
+    crowded = np.add.reduceat(pairs, starts) > many_pairs if n else np.zeros(0, bool)
+    alone = np.repeat(~crowded, ends - starts)
+    near = lambda a, b: np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64) <= limit
+    for rows, low, count in met:
+        rows, low, count = (x[alone[rows]] for x in (rows, low, count))
+        upto = np.cumsum(count)
+        for at in range(0, int(upto[-1]) if len(upto) else 0, many_pairs):
+            k = np.arange(at, min(at + many_pairs, int(upto[-1])))
+            of = np.searchsorted(upto, k, "right")
+            a, b = rows[of], low[of] + k - (upto[of] - count[of])
+            fits = near(a, b)
+            forest.join(a[fits], b[fits])
+    for s, e in zip(starts[crowded].tolist(), ends[crowded].tolist(), strict=True):
+        points = (code[s:e] & ((1 << HALF_BITS) - 1)).astype(np.uint64)
+        forest.root[s:e] = s + link(points, 1, lambda a, b, s=s: near(s + a, s + b))
+    return forest.root
 
-    while todo:
-        at = todo.pop()
-        found = split(points, at, 1) if len(at) > LEAF_ROWS else None
-        if found is not None:
-            d = distances(points[at], found[0])
-            todo += [at[d <= found[1] + 1], at[d > found[1]]]
-            continue
-        if len(at) > 4 * LEAF_ROWS:
-            if not start:
-                choose(at, at[np.linspace(0, len(at) - 1, PIVOTS).astype(int)], (0, stop))
-                more = True
-                continue
-            labels, count = np.unique(label[at], return_counts=True)
-            rest = at[label[at] != labels[count.argmax()]]
-            for k in range(0, len(rest), 512):
-                choose(rest[k : k + 512], at, (0, stop))
-            continue
-        for k in range(0, len(at), 512):
-            part = at[k : k + 512]
-            choose(part, at[: np.searchsorted(at, part[-1], "right")], (start, stop), True)
-    got = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
-    return got[0], got[1], more
+
+def link_sets(sets: list[np.ndarray], label: np.ndarray, similarity: float, one: np.ndarray | None = None, rest: np.ndarray | None = None) -> np.ndarray:
+    """For each set the smallest position that it reaches by equal labels and by sets of that Jaccard similarity.
+
+    Compared are all sets with each other, or those at positions ``one`` with those at positions ``rest``, unless they are linked already.
+    """
+    size, forest = np.array(list(map(len, sets)), np.int64), Forest(len(sets))
+    _, first, same = np.unique(label, return_index=True, return_inverse=True)
+    forest.join(np.arange(len(sets)), first[same])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    inside = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=0), bool)
+    for i in range(len(sets)) if one is None else one.tolist():
+        other = np.arange(i) if one is None else rest
+        other = other[(forest.root[other] != forest.root[i]) & (np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9) & (size[other] > 0)]
+        if len(other):
+            inside[ids[i]] = True
+            both = np.add.reduceat(inside[np.concatenate([ids[j] for j in other.tolist()])], np.r_[0, np.cumsum(size[other])[:-1]], dtype=np.int64)
+            inside[ids[i]] = False
+            fits = both >= similarity * (size[i] + size[other] - both) - 1e-9
+            forest.join(np.full(int(fits.sum()), i), other[fits])
+    return forest.root
 
 
 def farthest(bits: int, similarity: float) -> int:
@@ -322,14 +350,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
     """One row (_h1, _h2, times, keep) per distinct row of ``docs``: its ``identity``, how often it is there, and whether it is the first of its group.
 
     Two documents link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more, which is checked on the sets
-    themselves. Pairs to check come from wide fingerprints. At such distances a ball leaves nearly all points on both sides of its boundary, so
-    no tree over whole fingerprints prunes; instead each piece of 24 bits has a vantage-point tree, in which points one bit apart share a
-    shard. What meets in a piece is a candidate if the check bits, and before the sets are compared all bits, differ in no more than the
-    similarity lets expect (``farthest``). Two documents at 0.8 meet in at least one of the pieces with a chance of 0.92, at 0.85 of 0.98.
+    themselves. What to check comes from wide fingerprints. At such distances a ball leaves nearly all points on both sides of its boundary, so
+    no tree over whole fingerprints prunes; instead each of their pieces of 24 bits is looked up: values one bit apart are equal in one half of the
+    piece, so a document is dealt twice for each piece, however many there are in all. What meets is a candidate if the check bits differ in no more
+    than the similarity lets expect (``farthest``). Two documents at 0.8 meet in at least one of the pieces with a chance of 0.92, at 0.85 of 0.98.
 
-    Each document offers its nearest candidates, whose sets are compared by a join; documents that this links are one group, and only
-    candidates of different groups are offered in the next round, more of them, until none is left. So a large group of copies
-    links by a few pairs each, and yet no candidate pair that would link two groups stays unchecked.
+    What candidates connect is a crowd, and only documents of crowds are read again. In a crowd all sets are compared, a block of ``BLOCK_DOCS`` by
+    itself first, together with some documents that all blocks get. What is then not in the crowd's largest group is compared with all others,
+    block by block. So no table of pairs is made, and yet no pair of a crowd that would link two groups stays unchecked.
 
     Equal sets of shingles are one point from the start, so groups of copies are one row. The first of a group has the smallest doc_id, null last,
     then the smallest identity. Null and empty texts are copies of each other. All columns tell rows apart; an empty table gives an empty one.
@@ -349,82 +377,91 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id
     marked = stash(rows.mapInPandas(mark, "id long, _h1 long, _h2 long, fp array<long>, grams binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")
     classes = stash(marked.groupBy("grams").agg(F.min(order).alias("first"), F.min("fp").alias("fp")).withColumn("class", F.monotonically_increasing_id()))
-    n = classes.count()
+    times = stash(marked.groupBy("_h1", "_h2").agg(F.count("*").alias("times")))
 
     def as_bytes(fps: pd.Series) -> np.ndarray:
         return np.array(fps.to_list(), np.int64).reshape(-1, len(FACTORS)).view(np.uint8)
 
-    sample = as_bytes(classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"])
-
     def piece(fps: np.ndarray, k: int) -> np.ndarray:
-        part = fps[:, k * PIECE_BYTES : (k + 1) * PIECE_BYTES].astype(np.uint64)
-        return part[:, 0] | part[:, 1] << np.uint64(8) | part[:, 2] << np.uint64(16)
-
-    trees = [top_tree(np.sort(piece(sample, k)), n, 1, 4 * SHARD_ROWS) for k in range(PIECES)]
+        part = fps[:, k * PIECE_BYTES : (k + 1) * PIECE_BYTES].astype(np.int64)
+        return part[:, 0] | part[:, 1] << 8 | part[:, 2] << 16
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = as_bytes(b["fp"])
+            fps, low = as_bytes(b["fp"]), (1 << HALF_BITS) - 1
             tail = np.ascontiguousarray(fps[:, body:]).view(np.int64)
-            for k, tree in enumerate(trees):
-                points = piece(fps, k)
-                for shard, at in route(tree, points, np.arange(len(b)), 1):
-                    if len(at):
-                        yield pd.DataFrame({"piece": k, "shard": abs(shard), "point": points[at].astype(np.int64), "c1": tail[at, 0], "c2": tail[at, 1], "class": b["class"].to_numpy()[at]})
-
-    own = "piece int, shard long, point long, c1 long, c2 long, class long"
-    dealt = classes.select("fp", "class").mapInPandas(deal, own)
-    labels: DataFrame | None = None
-    links, start, stop = None, 0, OFFERS
-    def offering(start: int, stop: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def offer(shard: pd.DataFrame) -> pd.DataFrame:
-            shard = shard.sort_values("class", ignore_index=True)
-            check = np.ascontiguousarray(shard[["c1", "c2"]].to_numpy(np.int64)).view(np.uint64)
-            name = shard["class"].to_numpy(np.int64)
-            a, b, more = offers(shard["point"].to_numpy(np.int64).view(np.uint64), check, shard["label"].to_numpy(np.int64), limit, start, stop)
-            out = pd.DataFrame({"a": np.maximum(name[a], name[b]), "b": np.minimum(name[a], name[b])}).drop_duplicates()
-            out["piece"], out["shard"] = -1, -1
-            left = pd.DataFrame({"a": [-1], "b": [-1], "piece": shard["piece"].iloc[:1], "shard": shard["shard"].iloc[:1]}) if more else out[:0]
-            return pd.concat([out, left])
-
-        return offer
-
-    while True:
-        here = dealt.withColumn("label", F.col("class")) if labels is None else dealt.join(labels, "class")
-        met = stash(here.groupBy("piece", "shard").applyInPandas(offering(start, stop), "a long, b long, piece int, shard long"))
-        pairs = met.where("a >= 0").select("a", "b").distinct()
-        new = stash(verified(rows, classes, pairs, width, similarity))
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = smallest_reachable(links)
-        left = met.where("a < 0").select("piece", "shard").distinct()
-        if left.isEmpty():
-            break
-        labels = stash(classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("label")))
-        dealt = stash(dealt.join(left, ["piece", "shard"]).select("piece", "shard", "point", "c1", "c2", "class"))
-        start, stop = stop, MORE * stop
+            for k in range(PIECES):
+                value = piece(fps, k)
+                for half, turned in enumerate((value, (value & low) << HALF_BITS | value >> HALF_BITS)):
+                    yield pd.DataFrame({"code": ((2 * k + half << 2 * HALF_BITS) + turned).astype(np.int32), "c1": tail[:, 0], "c2": tail[:, 1], "class": b["class"]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches):
+            check = np.ascontiguousarray(b[["c1", "c2"]].to_numpy(np.int64)).view(np.uint64)
+            root, name = meetings(b["code"].to_numpy(np.int64), check, limit), b["class"].to_numpy()
+            least = name.copy()  # pieces that find the same group then give the same links
+            np.minimum.at(least, root, name)
+            least = least[root]
+            yield pd.DataFrame({"a": name[name != least], "b": least[name != least]})
+
+    dealt = classes.select("fp", "class").mapInPandas(deal, "code int, c1 long, c2 long, class long")
+    dealt = dealt.repartition(F.shiftright("code", HALF_BITS)).sortWithinPartitions("code")
+    links = linked_sets(rows, classes, smallest_reachable(dealt.mapInPandas(meet, "a long, b long")), not times.where("times > 1").isEmpty(), width, similarity)
+    roots = smallest_reachable(links)
     grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f._h1").alias("_h1"), F.col("f._h2").alias("_h2"), F.lit(True).alias("keep"))
-    return marked.groupBy("_h1", "_h2").agg(F.count("*").alias("times")).join(firsts, ["_h1", "_h2"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+    return times.join(firsts, ["_h1", "_h2"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
 
 
-def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) of ``classes`` whose sets of shingles have at least that Jaccard similarity; only texts in a pair are read again."""
+def linked_sets(rows: DataFrame, classes: DataFrame, crowds: DataFrame, repeated: bool, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) of ``classes`` that join all sets of shingles of that Jaccard similarity in a crowd (node, root); only texts in crowds are read again.
+
+    ``repeated`` says that rows may be there more than once.
+    """
+    crowds = stash(crowds)
+    sizes = crowds.groupBy("root").agg(F.count("*").alias("n"))
+    members = classes.join(crowds.join(sizes, "root"), F.col("class") == F.col("node"))
+    members = stash(members.select("class", F.col("root").alias("crowd"), "n", F.col("first._h1").alias("_h1"), F.col("first._h2").alias("_h2")))
+    total = members.count()
+    if total <= BROADCAST_ROWS:  # or all texts would be shuffled to find these
+        members = F.broadcast(members)
+    texts = rows.select("_h1", "_h2", "text").join(members, ["_h1", "_h2"]).select("class", "crowd", "n", "text")
+    if repeated:
+        texts = texts.dropDuplicates(["class"])
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(len(b)):
-                yield pd.DataFrame({"class": b["class"].iloc[k : k + 1], "grams": [shingle_set(b["text"].iloc[k], width).view(np.int64)]})
-
-    prints, bits = classes.select("class", "fp"), 64 * len(FACTORS)
-    far = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    near = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").where(far <= farthest(bits, similarity))
-    pairs = stash(near.select("a", "b"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    first = stash(classes.join(needed, "class", "left_semi").select("class", F.col("first._h1").alias("_h1"), F.col("first._h2").alias("_h2")))
-    if first.count() <= BROADCAST_ROWS:  # or all texts would be shuffled to find these
-        first = F.broadcast(first)
-    texts = rows.select("_h1", "_h2", "text").join(first, ["_h1", "_h2"]).dropDuplicates(["class"]).select("class", "text")
-    sets = stash(texts.mapInPandas(grams, "class long, grams array<long>"))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
+            yield b[["class", "crowd", "n"]].assign(grams=[shingle_set(t, width).view(np.int64) for t in b["text"]])
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, crowd in tile.groupby("crowd"):
+            crowd = crowd.sort_values("class", ignore_index=True)
+            name, sides = crowd["class"].to_numpy(), [np.flatnonzero(crowd["side"] == k) for k in (1, 2)]
+            label = crowd["label"].to_numpy()
+            root = link_sets(crowd["grams"].to_list(), label, similarity, *(sides if len(sides[0]) else ()))
+            head = np.unique(label, return_index=True)[1]  # what has its label is linked to it already
+            linked = head[name[head] != name[root[head]]]
+            found.append(pd.DataFrame({"a": name[linked], "b": name[root[linked]]}))
+        return pd.concat(found)
+
+    sets = stash(texts.mapInPandas(grams, "class long, crowd long, n long, grams array<long>"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_DOCS)
+    own = lambda n: F.pmod(F.xxhash64("class"), blocks(n))
+    all_ = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
+    large = F.col("n") > BLOCK_DOCS
+    # Small crowds share tiles; of a large one, some documents are in all its tiles.
+    place = F.when(large, F.col("crowd")).otherwise(F.pmod(F.xxhash64("crowd"), F.lit(-(-total // BLOCK_DOCS) or 1)))
+    at = F.when(large & (F.pmod(F.xxhash64(F.lit(1), "class"), F.col("n")) < OFFERS), all_("n")).otherwise(F.array(F.when(large, own("n")).otherwise(F.lit(-1))))
+    tiles = sets.select(place.alias("place"), F.explode(at).alias("at"), "crowd", "class", F.col("class").alias("label"), F.lit(0).alias("side"), "grams")
+    links = stash(tiles.groupBy("place", "at").applyInPandas(compare, "a long, b long"))
+    some = stash(sets.where(large).select("class", "crowd", "n"))
+    if some.isEmpty():
+        return links
+    roots = smallest_reachable(links)
+    some = stash(some.join(roots, F.col("class") == F.col("node"), "left").select("class", "crowd", "n", F.coalesce("root", "class").alias("label")))
+    groups = some.groupBy("crowd", "label").agg(F.count("*").alias("k")).groupBy("crowd").agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("left"))
+    open_ = some.join(groups.where("left > 0"), "crowd").join(sets.select("class", "grams"), "class")
+    rest = open_.select("crowd", F.explode(all_("left")).alias("p"), own("n").alias("q"), "class", "label", F.lit(2).alias("side"), "grams")
+    one = open_.where("label <> most").select("crowd", own("left").alias("p"), F.explode(all_("n")).alias("q"), "class", "label", F.lit(1).alias("side"), "grams")
+    return links.unionByName(stash(rest.unionByName(one).groupBy("crowd", "p", "q").applyInPandas(compare, "a long, b long")))

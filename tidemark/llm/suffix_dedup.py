@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import free_name, stash
+from tidemark.llm.shared import free_name, stash, stash_alone
 
 THRESHOLD, GRAM = 100, 32
 CHUNK = 1 << 16
@@ -455,7 +455,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     come in the order of their SHA-256. Null ids come last. An empty table gives an empty one.
     """
     ready, key, data = keyed(docs, doc_id, text)
-    spans = stash(repeated_spans(ready.select(F.col(key).alias("doc"), F.col(data).alias("text"))))
+    spans = stash_alone(docs.sparkSession, lambda: repeated_spans(ready.select(F.col(key).alias("doc"), F.col(data).alias("text"))))
     cut, gives = (cut_digest, DIGEST) if digest else (cut_text, TEXT)
     fields = [f.split()[0] for f in gives.split(", ")]
     rest = [c for c in docs.columns if c != text and c.lower() not in fields]
