@@ -97,6 +97,31 @@ def test_counted_ranks(spark, monkeypatch):
         assert [tuple(map(str, r)) for r in few] == [w for w in want if int(w[1]) <= 3]
 
 
+def test_all_blocks_meet(spark, monkeypatch):
+    """Every pair comes out and ranks are right when both sides have several blocks and the shuffle keeps its partitions."""
+    from tidemark.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(4)
+        one, two = (spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(4)]) for i in range(n)], f"{k} long, v array<float>") for k, n in (("a", 50), ("b", 120)))
+        assert {(r.a, r.b) for r in vectors.cosines(one, two).collect()} == {(a, b) for a in range(50) for b in range(120)}
+        asked, pool = one.toDF("query_id", "vector"), two.toDF("id", "embedding").withColumns({"ret": F.lit(1.0), "named": F.lit(False)})
+        found = recall.survivors(pool, asked, 0.5, 0)
+        ranks = recall.count_ranks(pool, asked, found)
+        want = vectors.cosines(one, two).collect()
+        order = {a: [b for _, b in sorted((-r.sim, r.b) for r in want if r.a == a)] for a in range(50)}
+        got = {(r.query_id, r.id): r.semantic_rank for r in ranks.collect()}
+        assert {(r.a, r.b) for r in want if r.sim >= 0.5} <= set(got)
+        assert all(order[a].index(b) + 1 == n for (a, b), n in got.items())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_budget_by_doubling(spark):
     """Bursts, gaps of hours and days, equal times and several processes against a scan."""
     from tidemark.operators import salience
