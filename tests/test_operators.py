@@ -167,6 +167,33 @@ def test_greedy_clusters(spark):
         assert got == want
 
 
+def test_pairs_without_copies(spark, monkeypatch):
+    """Evenly spread vectors, which no cells part, are written once and not once for each cell; the pairs are those of all products."""
+    import numpy as np
+
+    from tidemark.operators import vectors
+
+    for name, value in (("BLOCK_ROWS", 64), ("PACK_ROWS", 100), ("PART_ROWS", 300)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    written = []
+    cut = vectors.cut
+    monkeypatch.setattr(vectors, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rng = np.random.default_rng(3)
+    every = rng.standard_normal((700, 32)).astype(np.float32)
+    every[5], every[6] = every[4], every[4] * 2
+    rows = [*enumerate(every.tolist()), (1000, None), (1001, [0.0] * 32), (1002, [1.0, 2.0]), (1003, [2.0, 4.0]), (1004, []), (1005, [1.0, float("nan")]), (1006, [None, 1.0])]
+    unit = every.astype(float) / np.sqrt((every.astype(float) ** 2).sum(1))[:, None]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.3), strict=True)} | {(a, b) for a in (1002, 1003) for b in (1002, 1003)}
+    for kind in ("float", "double"):
+        one, two = spark.createDataFrame(rows, f"a long, v array<{kind}>"), spark.createDataFrame(rows, "b long, v array<float>")
+        written.clear()
+        assert sorted((r.a, r.b) for r in vectors.cosines(one, two, 0.3).collect()) == sorted(want)
+        assert sum(w.count() for w in written) <= 1400
+    records = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = sorted(tuple(r) for r in consolidate.similar_pairs(records, 0.3).collect())
+    assert got == sorted((a, b) for a, b in want if a < b)
+
+
 def test_prune_long_chains(spark):
     # Two chains of 40: one hangs on a record that stays, the other on one that goes.
     records = spark.createDataFrame([record(i, stability=0.1) for i in range(1, 81)] + [record(100, stability=365.0)], S.RECORDS)

@@ -37,7 +37,7 @@ def similar_pairs(records: DataFrame, threshold: float) -> DataFrame:
     Records meet in blocks of a bounded number of rows, so a task holds two blocks and not the table; only pairs that pass leave it.
     """
     one, two = (records.select(F.col("id").alias(k), F.col("embedding").alias("v")) for k in "ab")
-    return cosines(one, two, threshold).where("a < b").select("a", "b")
+    return cosines(one, two, threshold, once=True).select("a", "b")
 
 
 def components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:

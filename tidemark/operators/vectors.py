@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, FloatType
 
 from tidemark.operators.graph import cut
 
@@ -17,6 +19,10 @@ from tidemark.operators.graph import cut
 BLOCK_ROWS = 2_048
 #: Bytes of vectors that the cells' centres are chosen from, cells for each block of rows (small ones lie farther apart), and cells at most.
 SAMPLE_BYTES, CELLS_PER_BLOCK, MOST_CELLS = 32 << 20, 4, 4_096
+#: Rows and bytes of vectors that are packed in one row, rows of a partition of these, and cosines that a task holds at once.
+PACK_ROWS, PACK_BYTES, PART_ROWS, SLICE = 2_048, 1 << 20, 8_192, 1 << 20
+#: Cells are used if a sample of vectors meets less than this share of all pairs and is copied less often.
+MOST_MET, MOST_COPIES, PROBES = 0.25, 8, 1_024
 #: Angles are compared with so much room, far above the error of an arc cosine.
 ROOM = 1e-6
 
@@ -80,13 +86,132 @@ def pairs_above(x: pd.DataFrame, y: pd.DataFrame, least: float, more: list[str])
     return y[["b", *more]].iloc[j].assign(a=x["a"].to_numpy()[i], sim=sim)[["a", "b", "sim", *more]]
 
 
-def cosines(left: DataFrame, right: DataFrame, least: float | None = None) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (block, size, ids, vs) that hold many vectors of ``rows`` (an id, v) of one length each, written once; null and zero vectors are left out."""
+    single = isinstance(rows.schema["v"].dataType.elementType, FloatType)
+    kind = np.float32 if single else np.float64
+    key = next(c for c in rows.columns if c != "v")
+    known = rows.select(F.col(key).cast("long").alias("id"), F.col("v") if single else F.col("v").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    schema = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("vs", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        block = TaskContext.get().partitionId() << 32
+
+        def out(size: int, ids: np.ndarray, vs: np.ndarray) -> pa.RecordBatch:
+            nonlocal block
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, size, ids.tobytes(), vs.tobytes()), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            starts = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                vs = flat[starts[at][:, None] + np.arange(size)]
+                real = (vs != 0).any(1)
+                old = held.pop(size, (np.zeros(0, np.int64), np.zeros((0, size), kind)))
+                mine, vs = np.concatenate([old[0], ids[at][real]]), np.concatenate([old[1], vs[real]])
+                most = max(64, min(PACK_ROWS, PACK_BYTES // (size * vs.itemsize)))
+                while len(mine) >= most:
+                    yield out(size, mine[:most], vs[:most])
+                    mine, vs = mine[most:], vs[most:]
+                held[size] = mine, vs
+        for size, (mine, vs) in held.items():
+            if len(mine):
+                yield out(size, mine, vs)
+
+    parts = max(1, -(-known.count() // PART_ROWS))
+    return cut(known.repartition(parts).mapInArrow(pack, "block long, size int, ids binary, vs binary"))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, least: float, once: bool = False) -> DataFrame:
+    """Rows (a, b, sim) of ``left`` (a, v) and ``right`` (b, v) with a cosine of at least ``least`` above 0, all pairs of packed rows compared.
+
+    Vectors are packed and written once, and partitions of both sides are read together; no row is copied for each block that it meets. Products
+    of unit vectors in single precision leave what can reach ``least`` by their error bound, and exact sums decide. A task holds two packs and
+    at most ``SLICE`` products. With ``once`` both sides are the same rows, and only pairs with a < b come out, each pack met once.
+    """
+    kinds = [np.float32 if isinstance(x.schema["v"].dataType.elementType, FloatType) else np.float64 for x in (left, right)]
+    one = packed(left.select("a", "v"))
+    two = one if once else packed(right.select("b", "v"))
+    one, two = one.toDF("i", "x_size", "x_ids", "x"), two.toDF("j", "y_size", "y_ids", "y")
+    meets = (F.col("x_size") <= F.col("y_size")) & (F.col("x_size") >= F.col("y_size"))
+    both = one.hint("shuffle_replicate_nl").join(two, meets & (F.col("i") <= F.col("j")) if once else meets)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+
+    def read(row: dict, side: str, kind: type) -> tuple:
+        vs = np.frombuffer(row[side], kind).reshape(-1, row[f"{side}_size"]).astype(float)
+        norms = np.sqrt((vs * vs).sum(1))
+        with np.errstate(all="ignore"):
+            unit = (vs / norms[:, None]).astype(np.float32)
+        return np.frombuffer(row[f"{side}_ids"], np.int64), (vs, np.full(len(vs), vs.shape[1]), norms), unit
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x, found, n = None, None, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in ("i", "j", "y_size", "y_ids", "y")}
+                if row["i"] != last:
+                    last, x = row["i"], read({c: batch.column(c)[k].as_py() for c in ("x_size", "x_ids", "x")}, "x", kinds[0])
+                (a, p, u), (b, q, w) = x, read(row, "y", kinds[1])
+                room = (row["y_size"] + 8) * 1.2e-7
+                for s in range(0, len(a), step := max(1, SLICE // len(b))):
+                    i, j = np.nonzero(u[s : s + step] @ w.T >= least - room)
+                    i += s
+                    if once and row["i"] == row["j"]:
+                        i, j = i[a[i] < b[j]], j[a[i] < b[j]]
+                    for t in range(0, len(i), 16_384):
+                        f, g = i[t : t + 16_384], j[t : t + 16_384]
+                        sim = exact(p, f, q, g)
+                        ok = sim >= least
+                        one, two = a[f[ok]], b[g[ok]]
+                        found.append((np.minimum(one, two), np.maximum(one, two), sim[ok]) if once else (one, two, sim[ok]))
+                        n += len(one)
+                        if n >= 131_072:
+                            yield out()
+                            found, n = [], 0
+        if found:
+            yield out()
+
+    return both.mapInArrow(cell, "a long, b long, sim double")
+
+
+def parts_well(left: DataFrame, right: DataFrame, least: float) -> bool:
+    """Whether ``PROBES`` vectors of ``left`` reach few cells of a tree of centres, by the rows and radii of the bounded sample of ``right`` that it is made of."""
+    tree, unit, _ = fitted(right)
+    if tree is None or not len(unit):
+        return False
+    cell, nodes, angles = tree.homes(unit)
+    tree.radii = np.full(len(tree.centres), -10.0)
+    np.maximum.at(tree.radii, np.concatenate([np.array(n, int) for n in nodes]), np.concatenate([np.array(a, float) for a in angles]))
+    rows, size, norm = matrix(left.select("v", "a").orderBy(F.xxhash64("a"), "a").limit(PROBES).toPandas()["v"])
+    at = np.flatnonzero((size == unit.shape[1]) & (norm > 0))
+    if not len(at):
+        return False
+    met = tree.reached(rows[at] / norm[at, None], float(np.arccos(min(1.0, least))))
+    held = np.bincount(cell, minlength=len(tree.centres)) / len(unit)
+    return sum(map(len, met)) / len(at) <= MOST_COPIES and sum(held[m].sum() for m in met) / len(at) <= MOST_MET
+
+
+def cosines(left: DataFrame, right: DataFrame, least: float | None = None, once: bool = False) -> DataFrame:
     """Rows (a, b, sim, and the further columns of ``right``) of ``left`` (a long, v) and ``right`` (b long, v, ...).
 
     sim is the cosine in double precision: 0 for a zero vector or unequal lengths, null for a null vector. Without ``least`` every pair comes
-    out, from ``meet``. With it, what is below it or null is left out, and only vectors meet whose cells are near enough (``dealt``).
+    out, from ``meet``. With it, what is below it or null is left out; if the vectors part well, only those meet whose cells are near enough
+    (``dealt``), else all do (``block_pairs``). With ``once`` both sides are the same rows, and pairs have a < b.
     """
     more = [f for f in right.schema.fields if f.name not in ("b", "v")]
+    if least is not None and least > 0 and not more and not parts_well(left, right, least):
+        return block_pairs(left, right, least, once)
+    if once:
+        return cosines(left, right, least).where("a < b")
     names = [f.name for f in more]
     schema = ", ".join(["a long", "b long", "sim double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in more)])
     left, right = doubles(left.select("a", "v")), doubles(right)
@@ -192,6 +317,18 @@ class Cells:
         return out
 
 
+def fitted(right: DataFrame) -> tuple[Cells | None, np.ndarray, int]:
+    """A tree of cells from a bounded sample of ``right`` (b, v), none for a few rows; the unit vectors of the sample; and the most common length."""
+    sizes = right.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    width, total = (sizes["n"], right.count()) if sizes else (0, 0)
+    if total <= BLOCK_ROWS:
+        return None, np.zeros((0, width)), width
+    rows, size, norms = matrix(right.select("v", "b").orderBy(F.xxhash64("b"), "b").limit(max(2, SAMPLE_BYTES // (8 * max(1, width)))).toPandas()["v"])
+    kept = np.flatnonzero((size == width) & (norms > 0))
+    unit = rows[kept, :width] / norms[kept, None]
+    return Cells(unit, min(MOST_CELLS, CELLS_PER_BLOCK * -(-total // BLOCK_ROWS))), unit, width
+
+
 def dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both sides with (cell, i, j), so that rows with a cosine of at least ``least`` above 0 meet in one group; and the rows of either side per cell.
 
@@ -203,9 +340,7 @@ def dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, D
     reach of each other.
     """
     angle, session = float(np.arccos(min(1.0, least))), left.sparkSession
-    sizes = right.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width, total = (sizes["n"], right.count()) if sizes else (0, 0)
-    cells = min(MOST_CELLS, CELLS_PER_BLOCK * -(-total // BLOCK_ROWS)) if total > BLOCK_ROWS else 1
+    tree, _, width = fitted(right)
     own = "a long, v array<double>"
 
     def usable(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,9 +349,7 @@ def dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, D
         return rows[:, :width], np.flatnonzero((size == width) & (norm > 0)), norm
 
     theirs = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in right.schema.fields)
-    if cells > 1:
-        rows, kept, norms = usable(right.select("v", "b").orderBy(F.xxhash64("b"), "b").limit(max(2, SAMPLE_BYTES // (8 * width))).toPandas()["v"])
-        tree = Cells(rows[kept] / norms[kept, None], cells)
+    if tree is not None:
         shared = session.sparkContext.broadcast(tree)
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
