@@ -167,6 +167,35 @@ def test_greedy_clusters(spark):
         assert got == want
 
 
+def test_clusters_in_ranges(spark, monkeypatch):
+    """Ids in few or many ranges give the clusters of a scan; long chains take as many written tables as the ranges need, not one for each link."""
+    rng = random.Random(12)
+    written = []
+    cut = consolidate.cut
+    monkeypatch.setattr(consolidate, "cut", lambda df: written.append(1) or cut(df))
+    crowd = [(a, b) for a in range(900, 930) for b in range(a + 1, 930)]
+    many = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(900)} | set(crowd))
+    chain = [(i, i + 1) for i in range(400)]
+    for pairs, most in ((many, 1 << 20), (many, 60), (chain, 40)):
+        near, want, taken = set(pairs), set(), set()
+        ids = sorted({x for p in pairs for x in p})
+        for seed in ids:
+            if seed in taken:
+                continue
+            members = [seed]
+            for x in ids:
+                if x > seed and x not in taken and all((m, x) in near for m in members):
+                    members.append(x)
+            if len(members) > 1:
+                taken.update(members)
+                want |= {(seed, m) for m in members}
+        written.clear()
+        shuffled = rng.sample([*pairs, *((b, a) for a, b in pairs[:50])], len(pairs) + 50)
+        got = sorted((r.cluster_id, r.id) for r in consolidate.greedy_clusters(spark.createDataFrame(shuffled, "a long, b long"), most).collect())
+        assert got == sorted(want) and len(written) < 12
+    assert consolidate.greedy_clusters(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_pairs_without_copies(spark, monkeypatch):
     """Evenly spread vectors, which no cells part, are written once and not once for each cell; the pairs are those of all products."""
     import numpy as np

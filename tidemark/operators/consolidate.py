@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions import scalars as X
 from tidemark.operators.filters import live
-from tidemark.operators.graph import cut
+from tidemark.operators.graph import cut, scratch_path
 from tidemark.operators.vectors import cosines
 from tidemark.sources.store import number_rows
 
@@ -40,84 +42,79 @@ def similar_pairs(records: DataFrame, threshold: float) -> DataFrame:
     return cosines(one, two, threshold, once=True).select("a", "b")
 
 
-def components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Rows (id, component): the smallest id that ``pairs`` (a, b) connect each id with. Labels spread by minimum and jump along labels; rounds are written."""
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = lower.join(lower.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left")
-        new = cut(jump.select("a", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
-        labels = new.select("a", "label")
-        if new.where("label <> old").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
-
-
 def greedy_clusters(pairs: DataFrame, most_pairs: int = 1 << 20) -> DataFrame:
     """Rows (cluster_id, id): scan ids in order; each one not taken starts a cluster, and later ones join if they pair with every member; no singletons.
 
-    A record's fate depends only on its own connected component of the pair graph, so components of up to ``most_pairs`` pairs are scanned
-    apart, in one task each. Larger ones go by ``cluster_rounds``, which gives the same clusters and never holds a component.
-    """
-    marked = cut(pairs.join(components(pairs).withColumnRenamed("id", "a"), "a"))
-    large = cut(marked.groupBy("component").count().where(F.col("count") > most_pairs).select("component"))
-    small = marked.join(large, "component", "left_anti").groupBy("component").applyInPandas(_scan, "cluster_id long, id long")
-    return small if large.isEmpty() else small.unionByName(cluster_rounds(marked.join(large, "component", "left_semi").select("a", "b")))
-
-
-def cluster_rounds(pairs: DataFrame) -> DataFrame:
-    """The clusters of ``greedy_clusters`` by joins alone.
-
-    A record without a smaller open neighbour starts a cluster for sure. All such seeds grow at once: a seed's next member is its smallest
-    candidate, the common open neighbours of its members; where seeds want the same record, the smallest takes it and the others wait, as the
-    scan would have asked that seed first. When no candidate is left, seeds and members leave the graph and the next seeds start. Every step
-    is written, and takes as many joins as before however large the component is.
+    As members join in order of ids, an id's cluster is the first one of which every smaller member pairs with it, and what larger ids do
+    does not change it. So ids are taken in ranges, smallest first. For each range joins count, over all tasks, which clusters of earlier
+    ranges an id pairs with whole (``_whole``); one task then reads these and the pairs within the range, id by id, and holds no more than the
+    range's own members. There are so many ranges that a range has about ``most_pairs`` pairs of its own: their number grows with the root of the pairs.
     """
-    near = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    open_, found = near, None
-    while not open_.isEmpty():
-        seeds = open_.groupBy("a").agg(F.min("b").alias("low")).where("a < low").select(F.col("a").alias("seed"))
-        wanted = cut(open_.join(seeds, F.col("a") == F.col("seed")).select("seed", F.col("b").alias("x")))
-        gone = cut(seeds.select(F.col("seed").alias("id")))
-        while not wanted.isEmpty():
-            first = wanted.groupBy("seed").agg(F.min("x").alias("x"))
-            asked = wanted.groupBy("x").agg(F.min("seed").alias("seed"))
-            won = cut(first.join(asked, ["seed", "x"]))
-            found = won if found is None else found.unionByName(won)
-            gone = gone.unionByName(won.select(F.col("x").alias("id")))
-            left = wanted.join(won.select("x"), "x", "left_anti").join(won.select("seed", F.col("x").alias("new")), "seed", "left")
-            fits = left.join(near.toDF("new", "x").withColumn("_near", F.lit(True)), ["new", "x"], "left")
-            wanted = cut(fits.where("new is null or _near").select("seed", "x"))
-        gone = cut(gone)
-        open_ = cut(open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
-    if found is None:
-        return pairs.select(F.col("a").alias("cluster_id"), F.col("b").alias("id")).limit(0)
-    return found.select(F.col("seed").alias("cluster_id"), F.col("x").alias("id")).unionByName(found.select(F.col("seed").alias("cluster_id"), F.col("seed").alias("id")).distinct())
-
-
-def _scan(part: pd.DataFrame) -> pd.DataFrame:
-    near: dict[int, set[int]] = {}
-    for a, b in zip(part["a"], part["b"], strict=True):
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    taken: set[int] = set()
-    rows = []
-    for seed in sorted(near):
-        if seed in taken:
-            continue
-        members, open_ = [seed], {x for x in near[seed] if x > seed and x not in taken}
-        while open_:
-            new = min(open_)
-            members.append(new)
-            open_ = {x for x in open_ if x > new} & near[new]
-        taken.update(members)
-        if len(members) > 1:
-            rows += [(seed, m) for m in members]
-    return pd.DataFrame(rows, columns=["cluster_id", "id"]).astype("int64")
+    spark, ends = pairs.sparkSession, F.array("a", "b")
+    once = cut(pairs.where("a <> b").select(F.array_min(ends).alias("a"), F.array_max(ends).alias("b")).distinct())
+    total = once.count()
+    ranges = max(1, math.ceil((2 * total / max(1, most_pairs)) ** 0.5))
+    places = once.select(F.col("a").cast("double").alias("x")).unionByName(once.select(F.col("b").cast("double").alias("x")))
+    bounds = sorted({int(x) for x in places.approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
+    home = lambda c: sum((F.when(F.col(c) > x, 1).otherwise(0) for x in bounds), F.lit(0))
+    path = scratch_path(spark)
+    once.select("a", "b", home("a").alias("low"), home("b").alias("k")).write.partitionBy("k").parquet(path)
+    dealt = spark.read.schema("a long, b long, low int, k int").parquet(path)
+    none = once.select(F.col("a").alias("cluster_id"), F.col("b").alias("id")).limit(0)
+    found = none
+    for k in range(len(bounds) + 1):
+        here = dealt.where(F.col("k") == k)
+        rows = here.where(F.col("low") == k).select("b", F.lit(1).alias("own"), F.col("a").alias("x"))
+        if k:
+            rows = rows.unionByName(_whole(here.where(F.col("low") < k), found).select("b", F.lit(0).alias("own"), F.col("cluster_id").alias("x")))
+        placed = cut(rows.repartition(1).sortWithinPartitions("b", "own", "x").mapInPandas(_scan, "cluster_id long, id long"))
+        found = placed if k == 0 else found.unionByName(placed)
+    return found.unionByName(found.select("cluster_id", F.col("cluster_id").alias("id")).distinct())
+
+
+def _whole(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (b, cluster_id): of the clusters so far, ``found`` (cluster_id, id) and single ids, those of which every member pairs with ``b`` as an ``a``."""
+    of = pairs.join(found.withColumnRenamed("id", "a"), "a", "left").select("b", F.coalesce("cluster_id", "a").alias("cluster_id"))
+    met = of.groupBy("b", "cluster_id").agg(F.count("*").alias("met"))
+    sizes = found.groupBy("cluster_id").agg((F.count("*") + 1).alias("members"))
+    return met.join(sizes, "cluster_id", "left").where(F.col("met") == F.coalesce("members", F.lit(1))).select("b", "cluster_id")
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (cluster_id, id) of ids that join a cluster, from rows (b, own, x) in order: clusters x of earlier ranges that b pairs with whole, then b's smaller neighbours x in its own range."""
+    taken: dict[int, int] = {}  # the cluster of an id of this range that has joined one
+    grown: dict[int, int] = {}  # the members of this range that a cluster has
+
+    def place(b: int, whole: list[int], near: list[int]) -> int | None:
+        met: dict[int, int] = {}
+        for a in near:
+            c = taken.get(a, a)
+            met[c] = met.get(c, 0) + 1
+        first = next((c for c in whole if met.get(c, 0) == grown.get(c, 0)), None)
+        if first is None:  # clusters of earlier ranges have smaller ids than those that start here
+            started = set(near).difference(taken)
+            first = min((c for c in started if met[c] == grown.get(c, 0) + 1), default=None)
+        if first is not None:
+            taken[b] = first
+            grown[first] = grown.get(first, 0) + 1
+        return first
+
+    held: tuple[int | None, list[int], list[int]] = (None, [], [])
+    for batch in batches:
+        joined = []
+        ids, starts = np.unique(batch["b"].to_numpy(), return_index=True)
+        own, x = batch["own"].to_numpy(), batch["x"].to_numpy()
+        for b, i, j in zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            if b != held[0]:
+                if held[0] is not None and (c := place(*held)) is not None:
+                    joined.append((c, held[0]))
+                held = (b, [], [])
+            split = i + int(np.searchsorted(own[i:j], 1))
+            held[1].extend(x[i:split].tolist())
+            held[2].extend(x[split:j].tolist())
+        yield pd.DataFrame(joined, columns=["cluster_id", "id"], dtype="int64")
+    if held[0] is not None and (c := place(*held)) is not None:
+        yield pd.DataFrame([(c, held[0])], columns=["cluster_id", "id"], dtype="int64")
 
 
 def temporal_split(members: DataFrame, max_days: float = S.SPREAD_DAYS) -> DataFrame:
