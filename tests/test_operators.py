@@ -278,6 +278,37 @@ def test_pruned_cosines(spark, monkeypatch):
     assert copies(again) < 2 * copies(two)  # a vector meets what is near it, however many cells there are
 
 
+def test_entities_of_equal_vectors(spark, monkeypatch):
+    """Entities with equal vectors are compared once, and each probe still finds every one of them."""
+    import numpy as np
+
+    from tidemark.operators import entities
+
+    compared = []
+    cosines = entities.cosines
+    monkeypatch.setattr(entities, "cosines", lambda left, right, least: compared.append(right.count()) or cosines(left, right, least))
+    rng = np.random.default_rng(8)
+    every = rng.standard_normal((12, 5)).round(2)
+    known = [(i, f"N{i}", every[i % 12].tolist()) for i in range(120)] + [(500, "n", None)]
+    probes = [(i, f"n{i}" if i % 3 else f"p{i}", (every[i % 12] + (0.3 * i / 40) * rng.standard_normal(5)).round(2).tolist()) for i in range(40)]
+    ents = spark.createDataFrame(known, "id long, name string, embedding array<float>")
+    asked = spark.createDataFrame(probes, "probe_id long, name string, vector array<float>")
+    want = {}
+    for p, name, v in probes:
+        v = np.float32(v).astype(float)
+        near = []
+        for e, other, u in known[:-1]:
+            u = np.float32(u).astype(float)
+            sim = (v * u).sum() / np.sqrt((v * v).sum() * (u * u).sum())
+            near += [(-round(sim, 12), e, other.lower() == name)] if sim >= 0.7 else []
+        near.sort()
+        same = [e for _, e, s in near if s]
+        want[p] = ("exact", same[0]) if same else ("distinct", None) if not near else ("merge" if near[0][0] <= -0.85 else "llm-needed", near[0][1])
+    got = {r.probe_id: (r.decision, r.entity_id) for r in entities.resolve(asked, ents).collect()}
+    assert got == want and {"exact", "merge"} <= {d for d, _ in got.values()}
+    assert compared == [12]
+
+
 def record(i, **more):
     base = dict(
         id=i, data="d", metadata="{}", embedding=[1.0, 0.0], embedding_model_id="m", embedding_dimensions=2, tier="episodic", importance=0.5, stability=5.0, last_accessed_at=datetime(2024, 1, 1),

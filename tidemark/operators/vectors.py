@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def packed(rows: DataFrame) -> DataFrame:
     single = isinstance(rows.schema["v"].dataType.elementType, FloatType)
     kind = np.float32 if single else np.float64
     key = next(c for c in rows.columns if c != "v")
-    known = rows.select(F.col(key).cast("long").alias("id"), F.col("v") if single else F.col("v").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    known = rows.select(F.col(key).cast("long").alias("id"), F.col("v") if single else F.col("v").cast("array<double>").alias("v"))
     schema = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("vs", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +104,13 @@ def packed(rows: DataFrame) -> DataFrame:
             block += 1
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, size, ids.tobytes(), vs.tobytes()), schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in batches:  # a filter of Spark's on computed vectors could move into the joins that they come from
+            batch = batch.filter(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
             starts = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes).tolist():
+            for size in np.unique(sizes[sizes > 0]).tolist():
                 at = np.flatnonzero(sizes == size)
                 vs = flat[starts[at][:, None] + np.arange(size)]
                 real = (vs != 0).any(1)
