@@ -122,6 +122,21 @@ def test_all_blocks_meet(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
 
 
+def test_decayed_without_scores(spark, monkeypatch):
+    """Nearly decayed candidates come out for each query without a table of all scores, those that edges reach past a filter included."""
+    from tidemark.operators.filters import RecallOptions
+
+    rows = [record(i, stability=0.5 if i % 3 else 300.0, tier="episodic" if i < 15 else "semantic", embedding=[1.0, i / 10]) for i in range(1, 21)]
+    edges = spark.createDataFrame([(1, 1, 16, "elaborates", 50.0, datetime(2024, 1, 20), None), (2, 1, 18, "elaborates", 50.0, datetime(2024, 1, 20), None)], S.EDGES)
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in (1, 2)], "query_id long, vector array<float>")
+    found = recall.recall(spark.createDataFrame(rows, S.RECORDS), edges, queries, RecallOptions(threshold=0.3, tier="episodic", limit=5), F.lit(datetime(2024, 2, 1)))
+    whole = {(r.query_id, r.id, round(r.ret, 12)) for r in found.fused.where("ret < 0.2").collect()}
+    monkeypatch.setattr(recall, "rank_all", None)
+    again = recall.recall(spark.createDataFrame(rows, S.RECORDS), edges, queries, RecallOptions(threshold=0.3, tier="episodic", limit=5), F.lit(datetime(2024, 2, 1)))
+    got = [(r.query_id, r.id, round(r.retention, 12)) for r in again.decayed.collect()]
+    assert sorted(got) == sorted(whole) and {(q, i) for q, i, _ in got} == {(q, i) for q in (1, 2) for i in [x for x in range(1, 15) if x % 3] + [16]}
+
+
 def test_budget_by_doubling(spark):
     """Bursts, gaps of hours and days, equal times and several processes against a scan."""
     from tidemark.operators import salience

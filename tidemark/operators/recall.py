@@ -30,12 +30,12 @@ RESULTS = (
 class Recall:
     """The parts of a recall. ``results`` is what the caller sees; updates are written only if recall strengthens.
 
-    ``scored``, ``lists``, ``fused`` and ``decayed`` hold a row for each query with each candidate. ``results`` and the updates are made without
-    them; they are computed where they are asked for.
+    ``scored``, ``lists`` and ``fused`` hold a row for each query with each candidate. ``results`` and the updates are made without them; they are
+    computed where they are asked for. ``decayed`` has the rows (query_id, id, retention) of candidates that have nearly decayed, and needs no scores.
     """
 
-    def __init__(self, results: DataFrame, record_updates: DataFrame, edge_updates: DataFrame, whole: Callable[[], Ranked]):
-        self.results, self.record_updates, self.edge_updates, self._whole = results, record_updates, edge_updates, whole
+    def __init__(self, results: DataFrame, record_updates: DataFrame, edge_updates: DataFrame, decayed: DataFrame, whole: Callable[[], Ranked]):
+        self.results, self.record_updates, self.edge_updates, self.decayed, self._whole = results, record_updates, edge_updates, decayed, whole
 
     @cached_property
     def ranked(self) -> Ranked:
@@ -53,11 +53,6 @@ class Recall:
     def fused(self) -> DataFrame:
         return self.ranked.fused
 
-    @property
-    def decayed(self) -> DataFrame:
-        """Rows (query_id, id, retention) of candidates that have nearly decayed."""
-        return self.fused.where(F.col("ret") < S.DECAY_RETENTION).select("query_id", "id", F.col("ret").alias("retention"))
-
 
 @dataclass
 class Ranked:
@@ -286,7 +281,11 @@ def recall(records: DataFrame, edges: DataFrame, queries: DataFrame, options: Re
     hit = edges.where("type = 'supersedes'").join(passing.select("query_id", F.col("id").alias("to_id")), "to_id")
     kept_edges = X.retention(F.col("last_accessed_at"), F.col("stability"), as_of)
     edge_updates = hit.select("query_id", "id", F.least(F.lit(S.MAX_STABILITY), F.col("stability") * X.growth(kept_edges)).alias("stability"), as_of.alias("last_accessed_at"))
-    return Recall(results, record_updates, edge_updates, whole)
+    faint = marked.where(F.col("ret") < S.DECAY_RETENTION).select("id", "ret", "in_pool")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id")).crossJoin(faint.where("in_pool"))
+    beside = reached.select("query_id", "id").join(faint.where("not in_pool"), "id")
+    decayed = asked.unionByName(beside).select("query_id", "id", F.col("ret").alias("retention"))
+    return Recall(results, record_updates, edge_updates, decayed, whole)
 
 
 def rank_all(marked: DataFrame, edges: DataFrame, queries: DataFrame, by_entity: bool, reached: DataFrame, as_of: Column) -> Ranked:
